@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_extract, langid, mixing, simhash, substring_dedup, toxicity, url_filter
+from . import decontaminate, html_extract, langid, line_dedup, mixing, simhash, substring_dedup, toxicity, url_filter
 from .common import doc_crc
 
 URL_RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"))
@@ -35,6 +35,24 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs.select("doc_id", "text"), model).select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_report(table(spark, sf_dir, "documents"))
+
+
+OP5_SQL = r"""
+WITH l AS (SELECT doc_id, line_no, line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS line_no FROM documents WHERE text IS NOT NULL)
+  WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+c AS (SELECT line, row_number() OVER (ORDER BY min((doc_id, line_no))) AS k, min((doc_id, line_no)) AS first FROM l GROUP BY line),
+w AS (SELECT k, first, list_distinct(list_filter(regexp_split_to_array(lower(line), '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS w FROM c),
+e AS (SELECT k, len(w) AS n, unnest(w) AS tok FROM w),
+o AS (SELECT a.k AS k, b.k AS j, any_value(a.n) AS n, any_value(b.n) AS m, count(*) AS common FROM e a JOIN e b ON a.tok = b.tok AND b.k < a.k AND b.n * 100 >= a.n * 80 AND a.n * 100 >= b.n * 80 GROUP BY a.k, b.k),
+gone AS (SELECT DISTINCT k FROM o WHERE common * 100 >= (n + m - common) * 80),
+r AS (SELECT l.doc_id, l.line_no, (gone.k IS NOT NULL OR c.first < (l.doc_id, l.line_no)) AS removed FROM l JOIN c USING (line) LEFT JOIN gone USING (k)),
+g AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (removed) AS n_removed, coalesce(string_agg(line_no::VARCHAR, ',' ORDER BY line_no) FILTER (removed), '') AS removed_lines FROM r GROUP BY doc_id)
+SELECT doc_id, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(removed_lines, '') AS removed_lines FROM documents LEFT JOIN g USING (doc_id)
+"""
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated_words(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -88,6 +106,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_html_text": op1_html_text,
         "op2_toxicity": op2_toxicity,
         "op3_language_id": op3_language_id,
+        "op5_line_dedup": op5_line_dedup,
         "op6_decontaminate": op6_decontaminate,
         "op7_simhash": op7_simhash,
         "op8_url_filter": op8_url_filter,
@@ -97,4 +116,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_decontaminate": OP6_SQL, "op8_url_filter": OP8_SQL}
+    return {"op5_line_dedup": OP5_SQL, "op6_decontaminate": OP6_SQL, "op8_url_filter": OP8_SQL}
