@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import HashIndex, small_batches, text_chunks
 
@@ -122,7 +123,12 @@ def fit(docs: DataFrame, learn: Column, rows_per_lang: int = 400, chars_per_row:
 
 
 def predict(docs: DataFrame, model: Trees, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, lang_pred, score) of every row's whole text.
+    """(doc_id, lang_pred, score) of every row's whole text, as ``predict_rows`` finds them."""
+    return predict_rows(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), model).select("doc_id", "lang_pred", F.col("lang_score").alias("score"))
+
+
+def predict_rows(docs: DataFrame, model: Trees, text: str = "text") -> DataFrame:
+    """``docs`` with lang_pred and lang_score of every row's whole text.
 
     The language of the shortest code; score is its share of 2**-bits over all languages. Null, empty and
     letterless texts, and all texts if nothing was learned, are ``und`` with score 0. Ties go to the language
@@ -138,7 +144,7 @@ def predict(docs: DataFrame, model: Trees, doc_id: str = "doc_id", text: str = "
         trees = shared.value
         for b in batches:
             pred, score = np.full(b.num_rows, UNKNOWN, object), np.zeros(b.num_rows)
-            for first, offsets, data in text_chunks(b.column(1)) if trees.langs else ():
+            for first, offsets, data in text_chunks(b.column(text)) if trees.langs else ():
                 bits = trees.code_lengths(data, offsets)
                 best = bits.argmin(axis=1)
                 share = 1.0 / np.exp2(np.minimum(bits.min(axis=1)[:, None] - bits, 0)).sum(axis=1)
@@ -148,6 +154,7 @@ def predict(docs: DataFrame, model: Trees, doc_id: str = "doc_id", text: str = "
                     has[i] = any(map(str.isalpha, bytes(data[offsets[i] : offsets[i + 1]]).decode("utf-8", "replace")))
                 for i in np.flatnonzero(has):
                     pred[first + i], score[first + i] = trees.langs[best[i]], share[i]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(pred, pa.string()), pa.array(score)], names=["doc_id", "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(pred, pa.string()), pa.array(score)], names=[*b.schema.names, "lang_pred", "lang_score"])
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double")
+    docs = docs.drop("lang_pred", "lang_score")
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType())]))
