@@ -40,6 +40,7 @@ def materialise(df: DataFrame, what: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    spark.sparkContext._jvm.System.gc()  # lets Spark's cleaner delete the shuffle files of what is now written
     return spark.read.schema(df.schema).parquet(path)
 
 

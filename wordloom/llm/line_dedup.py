@@ -47,17 +47,25 @@ def needed(a: Column, b: Column, t: int) -> Column:
     return F.ceil((a + b) * t / F.lit(100 + t) - 1e-9)
 
 
-def signatures(docs: DataFrame, doc_id: str, text: str, t: int) -> DataFrame:
-    """One row a class of equal lines: h, first place, size, parity bits and the probing prefix."""
+def order_of(docs: DataFrame, doc_id: str) -> Column:
+    """A line's place in the order (doc_id, line_no): one long where ids leave 22 bits for it, else a struct."""
+    fits = docs.agg(F.coalesce(F.max(F.abs(F.col(doc_id).cast("double"))), F.lit(0.0)) < float(1 << 40)).first()[0] and docs.where(F.col(doc_id).isNull()).limit(1).count() == 0
+    lines_fit = docs.agg(F.coalesce(F.max(F.length("text")), F.lit(0)) < 1 << 22).first()[0] if fits else False
+    return (F.col("doc_id").cast("long") * (1 << 22) + F.col("line_no")) if fits and lines_fit else F.struct("doc_id", "line_no")
+
+
+def signatures(docs: DataFrame, doc_id: str, text: str, t: int, place: Column) -> DataFrame:
+    """One row a class of equal lines: its first place, size, parity bits and the probing prefix."""
     level = rarity(docs, text)
-    rows = lines_of(docs, doc_id, text).select("h", "doc_id", "line_no", F.transform(tokens(F.col("line")), lambda w: F.xxhash64(w)).alias("x"))
+    mask = F.lit(BUCKETS - 1)
     # rarity on top, the hash below it: a line's tokens from the rarest to the most frequent
-    rank = lambda x: F.shiftleft(F.get(level, x.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")).cast("long"), 57).bitwiseOR(F.shiftrightunsigned(x, 7))
-    rows = rows.select("h", "doc_id", "line_no", F.size("x").alias("size"), F.transform("x", rank).alias("x"))
+    rank = lambda w: F.shiftleft(F.get(level, F.xxhash64(w).bitwiseAND(mask).cast("int")).cast("long"), 57).bitwiseOR(F.shiftrightunsigned(F.xxhash64(w), 7))
+    rows = lines_of(docs, doc_id, text).select("h", place.alias("place"), F.transform(tokens(F.col("line")), rank).alias("x"))
     parity = F.aggregate("x", F.lit(0).cast("long"), lambda acc, x: acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))))
-    keep = F.col("size") - F.ceil(F.col("size") * t / F.lit(100.0) - 1e-9) + 1
-    rows = rows.select("h", F.struct("doc_id", "line_no").alias("place"), "size", parity.alias("sig"), F.slice(F.sort_array("x"), F.lit(1), keep.cast("int")).alias("prefix"))
-    return rows.groupBy("h").agg(F.min("place").alias("first"), F.first("size").alias("size"), F.first("sig").alias("sig"), F.first("prefix").alias("prefix"))
+    size = F.size("x")
+    keep = size - F.ceil(size * t / F.lit(100.0) - 1e-9) + 1
+    rows = rows.select("h", "place", size.alias("size"), parity.alias("sig"), F.slice(F.sort_array("x"), F.lit(1), keep.cast("int")).alias("prefix"))
+    return rows.groupBy("h").agg(F.min("place").alias("place"), F.first("size").alias("size"), F.first("sig").alias("sig"), F.first("prefix").alias("prefix"))
 
 
 def later_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", t: int = 80, broadcast_lines: int = 1_000_000) -> DataFrame:
@@ -66,47 +74,47 @@ def later_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", t:
     A line is removed if an earlier one, by (doc_id, line number), has Jaccard of ``t`` hundredths or more
     with it on sets of lower-cased words; lines without words are never removed and not returned. An earlier
     line counts whether or not it is removed itself. Rows that share an id and a line number are equally
-    early; a null id comes first. Null texts have no lines.
+    early and judged together; a null id comes first. Null texts have no lines.
     """
-    sigs = materialise(signatures(docs, doc_id, text, t), "line-sets")
-    # sets of fewer than four tokens resemble only equal sets of other text, which share their first token too
-    each = sigs.select("h", "first", "size", "sig", F.posexplode("prefix").alias("pos", "token"))
-    indexed = F.col("pos") < F.col("size") - F.ceil(F.col("size") * 2 * t / F.lit(float(100 + t)) - 1e-9) + 1
-    first = each.groupBy("token").agg(F.min(F.struct("first", "h", "size", "sig")).alias("r"))
-
-    def similar(near: DataFrame, other: str) -> DataFrame:
-        """Pairs (h, o) of which ``other`` is earlier, after the size and parity filters."""
-        o = lambda c: F.col(f"{other}.{c}")
-        both = F.col("size") + o("size")
-        differ = F.bit_count(F.col("sig").bitwiseXOR(o("sig")))
-        fits = (o("first") < F.col("first")) & (F.least("size", o("size")) * 100 >= F.greatest("size", o("size")) * t) & (differ <= both - 2 * needed(F.col("size"), o("size"), t))
-        return near.where(fits).select("h", o("h").alias("o")).distinct()
+    docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    place = order_of(docs, "doc_id")
+    sigs = materialise(signatures(docs, "doc_id", "text", t, place), "line-sets")
+    columns = ["token", "place", "size", "pos", "sig"]
+    each = sigs.select("place", "size", "sig", F.posexplode("prefix").alias("pos", "token")).select(*columns)
+
+    def similar(near: DataFrame) -> DataFrame:
+        """Pairs (place, o) of which o is earlier, after the size and parity filters."""
+        both = F.col("size") + F.col("o_size")
+        differ = F.bit_count(F.col("sig").bitwiseXOR(F.col("o_sig")))
+        fits = (F.col("o") < F.col("place")) & (F.least("size", "o_size") * 100 >= F.greatest("size", "o_size") * t) & (differ <= both - 2 * needed(F.col("size"), F.col("o_size"), t))
+        return near.where(fits).select("place", "o").distinct()
 
     def verified(pairs: DataFrame) -> DataFrame:
-        """The h of pairs whose word sets really are that similar."""
+        """The places of pairs whose word sets really are that similar."""
         pairs = materialise(pairs, "line-pairs")
-        wanted = materialise(pairs.select("h").union(pairs.select("o")).distinct(), "line-wanted")
+        wanted = materialise(pairs.select("place").union(pairs.select("o")).distinct(), "line-wanted")
         small = wanted.count() <= broadcast_lines
-        words = lines_of(docs, doc_id, text).select("h", "line").join(F.broadcast(wanted) if small else wanted, "h", "left_semi")
-        words = words.groupBy("h").agg(F.first("line").alias("line"))
-        words = materialise(words.select("h", tokens(F.col("line")).alias("w")), "line-words")
-        p = pairs.join(words, "h").select("h", "o", F.col("w").alias("a")).join(words.select(F.col("h").alias("o"), F.col("w").alias("b")), "o")
+        words = lines_of(docs, "doc_id", "text").select(place.alias("place"), "line").join(F.broadcast(wanted) if small else wanted, "place", "left_semi")
+        words = materialise(words.select("place", tokens(F.col("line")).alias("w")), "line-words")
+        p = pairs.join(words, "place").select("place", "o", F.col("w").alias("a")).join(words.select(F.col("place").alias("o"), F.col("w").alias("b")), "o")
         common = F.size(F.array_intersect("a", "b"))
-        return p.where(common * 100 >= (F.size("a") + F.size("b") - common) * t).select("h").distinct()
-
-    found = verified(similar(each.join(first, "token"), "r"))
-    found = materialise(found, "line-found")
-    rest = each.join(found, "h", "left_anti")
-    index = each.where(indexed).select("token", F.struct("first", "h", "size", "sig", "pos").alias("o"))
-    # whichever of the two is smaller is met through its indexing prefix
-    lesser = rest.join(index, "token").where(F.col("o.size") <= F.col("size"))
-    greater = rest.where(indexed).join(each.select("token", F.struct("first", "h", "size", "sig", "pos").alias("o")), "token").where(F.col("o.size") > F.col("size"))
-    room = lambda d: d.where(1 + F.least(F.col("size") - F.col("pos") - 1, F.col("o.size") - F.col("o.pos") - 1) + F.least("pos", "o.pos") >= needed(F.col("size"), F.col("o.size"), t))
-    more = verified(similar(room(lesser).unionByName(room(greater)), "o"))
-    later = materialise(found.union(more).distinct(), "line-later")
-    classes = sigs.select("h", "first").join(later.withColumn("gone", F.lit(True)), "h", "left").select("h", "first", F.coalesce("gone", F.lit(False)).alias("gone"))
-    rows = lines_of(docs, doc_id, text).select("h", "doc_id", "line_no").join(classes, "h")
-    return rows.select("doc_id", "line_no", (F.col("gone") | (F.col("first") < F.struct("doc_id", "line_no"))).alias("removed"))
+        return materialise(p.where(common * 100 >= (F.size("a") + F.size("b") - common) * t).select("place").distinct(), "line-found")
+
+    dealt = each.repartition("token")
+    first = dealt.groupBy("token").agg(F.min("place").alias("o"), F.min_by("size", "place").alias("o_size"), F.min_by("sig", "place").alias("o_sig"), F.count("pos").alias("n")).where("n > 1").drop("n")
+    found = verified(similar(dealt.join(first, "token")))
+    # whichever of the two is smaller is met through its shorter, indexing prefix
+    flagged = sigs.join(found.withColumn("gone", F.lit(True)), "place", "left").select("place", "size", "sig", F.coalesce("gone", F.lit(False)).alias("gone"), F.posexplode("prefix").alias("pos", "token"))
+    o = flagged.select("token", *[F.col(c).alias(f"o_{c}") for c in ("size", "sig", "pos", "gone")], F.col("place").alias("o"))
+    indexed = lambda size, pos: pos < size - F.ceil(size * 2 * t / F.lit(float(100 + t)) - 1e-9) + 1
+    meets = F.when(F.col("o_size") <= F.col("size"), indexed(F.col("o_size"), F.col("o_pos"))).otherwise(indexed(F.col("size"), F.col("pos")))
+    room = 1 + F.least(F.col("size") - F.col("pos") - 1, F.col("o_size") - F.col("o_pos") - 1) + F.least("pos", "o_pos") >= needed(F.col("size"), F.col("o_size"), t)
+    near = flagged.join(o, "token").where(~F.col("gone") & F.col("o_gone").isNotNull() & meets & room)
+    more = verified(similar(near))
+    later = found.union(more).distinct().withColumn("gone", F.lit(True))
+    classes = lines_of(docs, "doc_id", "text").select("h", "doc_id", "line_no", place.alias("place"))
+    classes = classes.join(sigs.select("h", F.col("place").alias("first")), "h").join(later.withColumnRenamed("place", "first"), "first", "left")
+    return classes.select("doc_id", "line_no", (F.coalesce("gone", F.lit(False)) | (F.col("first") < F.col("place"))).alias("removed"))
 
 
 def line_report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", t: int = 80) -> DataFrame:
