@@ -5,14 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .plans import series_queries
+from .plans import mining_queries, series_queries
 
-PLANS = (series_queries,)
+PLANS = (series_queries, mining_queries)
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return series_queries.sax_word_histogram(spark, sf_dir)
+    """The twenty most novel points of the event series."""
+    return mining_queries.z_points(spark, sf_dir).orderBy(F.desc("z"), "series", "t").limit(20)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
