@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from .common import SPACE_RE, materialise
 
 BUCKETS = 1 << 16
+#: Tokens of a line by which its earliest likeness is sought before the full join.
+PROPOSING = 4
 
 
 def lines_of(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -60,7 +62,7 @@ def signatures(docs: DataFrame, doc_id: str, text: str, t: int, place: Column) -
     mask = F.lit(BUCKETS - 1)
     # rarity on top, the hash below it: a line's tokens from the rarest to the most frequent
     rank = lambda w: F.shiftleft(F.get(level, F.xxhash64(w).bitwiseAND(mask).cast("int")).cast("long"), 57).bitwiseOR(F.shiftrightunsigned(F.xxhash64(w), 7))
-    rows = lines_of(docs, doc_id, text).select("h", place.alias("place"), F.transform(tokens(F.col("line")), rank).alias("x"))
+    rows = lines_of(docs, doc_id, text).select("h", place.alias("place"), F.array_distinct(F.array_remove(F.transform(F.split(F.lower("line"), SPACE_RE), rank), rank(F.lit("")))).alias("x"))
     parity = F.aggregate("x", F.lit(0).cast("long"), lambda acc, x: acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))))
     size = F.size("x")
     keep = size - F.ceil(size * t / F.lit(100.0) - 1e-9) + 1
@@ -100,16 +102,19 @@ def later_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", t:
         common = F.size(F.array_intersect("a", "b"))
         return materialise(p.where(common * 100 >= (F.size("a") + F.size("b") - common) * t).select("place").distinct(), "line-found")
 
-    dealt = each.repartition("token")
-    first = dealt.groupBy("token").agg(F.min("place").alias("o"), F.min_by("size", "place").alias("o_size"), F.min_by("sig", "place").alias("o_sig"), F.count("pos").alias("n")).where("n > 1").drop("n")
+    # the rarest few tokens are enough to propose: what this round leaves, the next one meets in full
+    dealt = each.where(F.col("pos") < PROPOSING).repartition("token")
+    first = dealt.groupBy("token").agg(F.min("place").alias("o"), F.min_by("size", "place").alias("o_size"), F.min_by("sig", "place").alias("o_sig"), F.count("size").alias("n")).where("n > 1").drop("n")
     found = verified(similar(dealt.join(first, "token")))
     # whichever of the two is smaller is met through its shorter, indexing prefix
     flagged = sigs.join(found.withColumn("gone", F.lit(True)), "place", "left").select("place", "size", "sig", F.coalesce("gone", F.lit(False)).alias("gone"), F.posexplode("prefix").alias("pos", "token"))
-    o = flagged.select("token", *[F.col(c).alias(f"o_{c}") for c in ("size", "sig", "pos", "gone")], F.col("place").alias("o"))
     indexed = lambda size, pos: pos < size - F.ceil(size * 2 * t / F.lit(float(100 + t)) - 1e-9) + 1
-    meets = F.when(F.col("o_size") <= F.col("size"), indexed(F.col("o_size"), F.col("o_pos"))).otherwise(indexed(F.col("size"), F.col("pos")))
-    room = 1 + F.least(F.col("size") - F.col("pos") - 1, F.col("o_size") - F.col("o_pos") - 1) + F.least("pos", "o_pos") >= needed(F.col("size"), F.col("o_size"), t)
-    near = flagged.join(o, "token").where(~F.col("gone") & F.col("o_gone").isNotNull() & meets & room)
+    # one frame joined with itself, and no condition of one side alone, so that both sides read one exchange
+    size, o_size, pos, o_pos = (F.col(c) for c in ("a.size", "b.size", "a.pos", "b.pos"))
+    shorter = F.when(o_size <= size, ~F.col("a.gone") & indexed(o_size, o_pos)).otherwise(~F.col("a.gone") & indexed(size, pos))
+    room = 1 + F.least(size - pos - 1, o_size - o_pos - 1) + F.least(pos, o_pos) >= needed(size, o_size, t)
+    near = flagged.alias("a").join(flagged.alias("b"), F.col("a.token") == F.col("b.token")).where(shorter & room & (F.col("b.gone") | (F.col("b.place") < F.col("a.place"))))
+    near = near.select("a.place", "a.size", "a.sig", F.col("b.place").alias("o"), F.col("b.size").alias("o_size"), F.col("b.sig").alias("o_sig"))
     more = verified(similar(near))
     later = found.union(more).distinct().withColumn("gone", F.lit(True))
     classes = lines_of(docs, "doc_id", "text").select("h", "doc_id", "line_no", place.alias("place"))
