@@ -63,11 +63,14 @@ def signatures(docs: DataFrame, doc_id: str, text: str, t: int, place: Column) -
     # rarity on top, the hash below it: a line's tokens from the rarest to the most frequent
     rank = lambda w: F.shiftleft(F.get(level, F.xxhash64(w).bitwiseAND(mask).cast("int")).cast("long"), 57).bitwiseOR(F.shiftrightunsigned(F.xxhash64(w), 7))
     rows = lines_of(docs, doc_id, text).select("h", place.alias("place"), F.array_distinct(F.array_remove(F.transform(F.split(F.lower("line"), SPACE_RE), rank), rank(F.lit("")))).alias("x"))
-    parity = F.aggregate("x", F.lit(0).cast("long"), lambda acc, x: acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))))
+    # 128 parity bits in two longs: two sets differ in at least as many tokens as their bits differ
+    bit = lambda x, on: F.call_function("shiftleft", on.bitwiseAND(F.lit(1).cast("long")), x.bitwiseAND(F.lit(63)).cast("int"))
+    parity = F.aggregate("x", F.lit(0).cast("long"), lambda acc, x: acc.bitwiseXOR(bit(x, F.shiftright(x, 6))))
+    parity2 = F.aggregate("x", F.lit(0).cast("long"), lambda acc, x: acc.bitwiseXOR(bit(x, F.shiftright(F.bitwise_not(x), 6))))
     size = F.size("x")
     keep = size - F.ceil(size * t / F.lit(100.0) - 1e-9) + 1
-    rows = rows.select("h", "place", size.alias("size"), parity.alias("sig"), F.slice(F.sort_array("x"), F.lit(1), keep.cast("int")).alias("prefix"))
-    return rows.groupBy("h").agg(F.min("place").alias("place"), F.first("size").alias("size"), F.first("sig").alias("sig"), F.first("prefix").alias("prefix"))
+    rows = rows.select("h", "place", size.alias("size"), parity.alias("sig"), parity2.alias("sig2"), F.slice(F.sort_array("x"), F.lit(1), keep.cast("int")).alias("prefix"))
+    return rows.groupBy("h").agg(F.min("place").alias("place"), F.first("size").alias("size"), F.first("sig").alias("sig"), F.first("sig2").alias("sig2"), F.first("prefix").alias("prefix"))
 
 
 def later_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", t: int = 80, broadcast_lines: int = 1_000_000) -> DataFrame:
@@ -81,13 +84,13 @@ def later_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", t:
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     place = order_of(docs, "doc_id")
     sigs = materialise(signatures(docs, "doc_id", "text", t, place), "line-sets")
-    columns = ["token", "place", "size", "pos", "sig"]
-    each = sigs.select("place", "size", "sig", F.posexplode("prefix").alias("pos", "token")).select(*columns)
+    columns = ["token", "place", "size", "pos", "sig", "sig2"]
+    each = sigs.select("place", "size", "sig", "sig2", F.posexplode("prefix").alias("pos", "token")).select(*columns)
 
     def similar(near: DataFrame) -> DataFrame:
         """Pairs (place, o) of which o is earlier, after the size and parity filters."""
         both = F.col("size") + F.col("o_size")
-        differ = F.bit_count(F.col("sig").bitwiseXOR(F.col("o_sig")))
+        differ = F.bit_count(F.col("sig").bitwiseXOR(F.col("o_sig"))) + F.bit_count(F.col("sig2").bitwiseXOR(F.col("o_sig2")))
         fits = (F.col("o") < F.col("place")) & (F.least("size", "o_size") * 100 >= F.greatest("size", "o_size") * t) & (differ <= both - 2 * needed(F.col("size"), F.col("o_size"), t))
         return near.where(fits).select("place", "o").distinct()
 
@@ -104,17 +107,17 @@ def later_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", t:
 
     # the rarest few tokens are enough to propose: what this round leaves, the next one meets in full
     dealt = each.where(F.col("pos") < PROPOSING).repartition("token")
-    first = dealt.groupBy("token").agg(F.min("place").alias("o"), F.min_by("size", "place").alias("o_size"), F.min_by("sig", "place").alias("o_sig"), F.count("size").alias("n")).where("n > 1").drop("n")
+    first = dealt.groupBy("token").agg(F.min("place").alias("o"), F.min_by("size", "place").alias("o_size"), F.min_by("sig", "place").alias("o_sig"), F.min_by("sig2", "place").alias("o_sig2"), F.count("size").alias("n")).where("n > 1").drop("n")
     found = verified(similar(dealt.join(first, "token")))
     # whichever of the two is smaller is met through its shorter, indexing prefix
-    flagged = sigs.join(found.withColumn("gone", F.lit(True)), "place", "left").select("place", "size", "sig", F.coalesce("gone", F.lit(False)).alias("gone"), F.posexplode("prefix").alias("pos", "token"))
+    flagged = sigs.join(found.withColumn("gone", F.lit(True)), "place", "left").select("place", "size", "sig", "sig2", F.coalesce("gone", F.lit(False)).alias("gone"), F.posexplode("prefix").alias("pos", "token"))
     indexed = lambda size, pos: pos < size - F.ceil(size * 2 * t / F.lit(float(100 + t)) - 1e-9) + 1
     # one frame joined with itself, and no condition of one side alone, so that both sides read one exchange
     size, o_size, pos, o_pos = (F.col(c) for c in ("a.size", "b.size", "a.pos", "b.pos"))
     shorter = F.when(o_size <= size, ~F.col("a.gone") & indexed(o_size, o_pos)).otherwise(~F.col("a.gone") & indexed(size, pos))
     room = 1 + F.least(size - pos - 1, o_size - o_pos - 1) + F.least(pos, o_pos) >= needed(size, o_size, t)
     near = flagged.alias("a").join(flagged.alias("b"), F.col("a.token") == F.col("b.token")).where(shorter & room & (F.col("b.gone") | (F.col("b.place") < F.col("a.place"))))
-    near = near.select("a.place", "a.size", "a.sig", F.col("b.place").alias("o"), F.col("b.size").alias("o_size"), F.col("b.sig").alias("o_sig"))
+    near = near.select("a.place", "a.size", "a.sig", "a.sig2", F.col("b.place").alias("o"), F.col("b.size").alias("o_size"), F.col("b.sig").alias("o_sig"), F.col("b.sig2").alias("o_sig2"))
     more = verified(similar(near))
     later = found.union(more).distinct().withColumn("gone", F.lit(True))
     classes = lines_of(docs, "doc_id", "text").select("h", "doc_id", "line_no", place.alias("place"))
