@@ -87,9 +87,9 @@ def tail_surprisal(queries: DataFrame, reference: DataFrame, col: str, ref: str,
     with the other: values are binned by a range partitioning of the distinct values, and a bin starts with
     the total of the bins above it.
     """
-    values = queries.select(F.col(col).alias("v"), F.lit(0).alias("r")).union(reference.select(F.col(ref).alias("v"), F.lit(1).alias("r"))).groupBy("v").agg(F.sum("r").cast("long").alias("r"))
+    values = queries.select(F.col(col).alias("v"), F.lit(0).alias("r")).union(reference.select(F.col(ref).alias("v"), F.lit(1).alias("r"))).groupBy("v").agg(F.sum("r").cast("long").alias("r")).cache()
     cuts = values.agg(F.percentile_approx("v", [i / 64 for i in range(1, 64)], 1000).alias("cuts"))
-    binned = values.join(F.broadcast(cuts)).select("v", "r", F.size(F.filter("cuts", lambda c: c <= F.col("v"))).alias("bin"))
+    binned = values.join(F.broadcast(cuts)).select("v", "r", F.size(F.filter("cuts", lambda c: c <= F.col("v"))).alias("bin")).cache()
     totals = binned.groupBy("bin").agg(F.sum("r").alias("n"))
     base = totals.select("bin", (F.sum("n").over(W.orderBy(F.desc("bin")).rowsBetween(W.unboundedPreceding, 0)) - F.col("n")).alias("base"))
     ge = binned.join(F.broadcast(base), "bin").select("v", (F.col("base") + F.sum("r").over(W.partitionBy("bin").orderBy(F.desc("v")).rowsBetween(W.unboundedPreceding, 0))).alias("ge"))
