@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_spans, materialise, mix, small_batches, text_chunks, words_of
+from .common import hash_spans, mix, small_batches, text_chunks, words_of
 
 BITS = 20
 LOWER = np.arange(256, dtype=np.uint8)
@@ -138,6 +138,3 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], doc_id: str = "
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(1.0 / (1.0 + np.exp(-np.clip(total, -35, 35))))], names=["doc_id", "score"])
 
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, score double")
-
-
-__all__ = ["features", "fit", "materialise", "score", "train"]

@@ -17,23 +17,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialise
+from .common import lower_ascii, materialise
 
 WORDS_PER_BLOCK = 8
 
 
 def host_of(url: Column) -> Column:
-    return lower(F.regexp_extract(url, r"(?s)^.*?://([^/?#]*)", 1))
+    return lower_ascii(F.regexp_extract(url, r"(?s)^.*?://([^/?#]*)", 1))
 
 
 def path_of(url: Column) -> Column:
     return F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1)
 
 
-def lower(text: Column) -> Column:
-    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-
-
 def block_and_bits(hashes: np.ndarray, n_blocks: int) -> tuple[np.ndarray, np.ndarray]:
     """The block of each hash and the one bit that it sets in each of the block's eight words."""
     h = hashes.view(np.uint64)
