@@ -44,7 +44,7 @@ def at_thresholds(curves: DataFrame, thresholds: DataFrame, by: tuple[str, ...],
     Curve rows and thresholds are sorted together and the last curve row above each threshold is carried
     down, so no threshold meets every score.
     """
-    c = curves.select(*by, F.col("score").alias("at"), F.lit(0 if not strict else 0).alias("kind"), "tp", "fp", "pos", "neg", F.lit(None).cast("int").alias("k"))
+    c = curves.select(*by, F.col("score").alias("at"), F.lit(0).alias("kind"), "tp", "fp", "pos", "neg", F.lit(None).cast("int").alias("k"))
     t = thresholds.select(*by, F.col("threshold").alias("at"), F.lit(1 if not strict else -1).alias("kind"), *[F.lit(None).cast("long").alias(x) for x in ("tp", "fp", "pos", "neg")], "k")
     w = W.partitionBy(*by).orderBy(F.desc("at"), "kind").rowsBetween(W.unboundedPreceding, 0)
     all_ = W.partitionBy(*by)
