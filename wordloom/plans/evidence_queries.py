@@ -11,7 +11,7 @@ from ..operators import reports as P
 from ..operators import retrieval as T
 from ..operators import rules as R
 from ..operators import windows as X
-from .mining_queries import MATCH, matched
+from .mining_queries import MATCH, classes, matched
 from .series_queries import CENTROID, RISK, _weights, confidence, logits, r6
 from .sqltext import DAILY, EMB, EV, FM, lit, sym
 
@@ -40,12 +40,12 @@ ALLG = f"""{KEY}, ea AS (SELECT DISTINCT sample, 'ch=0|loc=' || CASE WHEN 21 - s
 
 
 def words(spark, d):
-    k = X.context_key(X.vector_series(spark, d).where("label < 3"), 64).withColumnRenamed("series", "sample").withColumn("channel", F.lit(0))
+    k = X.context_key(X.vector_series(spark, d), 64).withColumnRenamed("series", "sample").withColumn("channel", F.lit(0))
     return R.ordered_words(k)
 
 
 def targets(spark, d):
-    return X.read(spark, d, "embeddings").where("label < 3").select(F.col("vec_id").alias("sample"), "label", (F.col("label") == 1).cast("int").alias("y"))
+    return X.read(spark, d, "embeddings").select(F.col("vec_id").alias("sample"), "label", F.when(F.col("label") == 1, 1).otherwise(0).alias("y"))
 
 
 @query(f"WITH {THREE} SELECT sample, token FROM e3")
@@ -81,7 +81,7 @@ def rule_scores(spark, d):
 g AS (SELECT sp.token, pr.label, lp, support, (SELECT count(*) FROM e3 JOIN tg USING (sample) WHERE e3.token = sp.token AND tg.label = pr.label) AS c FROM sp, pr), s AS (SELECT *, ln((c + 1.0::DOUBLE) / (support + 3)) - lp AS shift FROM g)
 SELECT token, label, round(shift, 6) AS shift, support, round(sqrt(avg(shift * shift) OVER (PARTITION BY token)) * support / (support + 8.0), 6) AS strength FROM s""")
 def class_prior_rules(spark, d):
-    r = R.class_prior_rules(R.three_grams(words(spark, d)), targets(spark, d).select("sample", "label"), [0, 1, 2])
+    r = R.class_prior_rules(R.three_grams(words(spark, d)), targets(spark, d).select("sample", "label"), classes(spark, d))
     return r.select("token", "label", r6("shift"), "support", r6("strength"))
 
 

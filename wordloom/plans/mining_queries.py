@@ -30,8 +30,13 @@ def query(sql: str | None = None):
 
 
 def vectors(spark, d):
-    """Two classes of vectors as series, cut to labels 0, 1 and 2."""
-    return X.vector_series(spark, d).where("label < 3")
+    """Every vector as a series, whatever its class."""
+    return X.vector_series(spark, d)
+
+
+def classes(spark, d):
+    """The labels of the table in order."""
+    return [r.label for r in X.read(spark, d, "embeddings").where("label is not null").select("label").distinct().orderBy("label").collect()]
 
 
 def vector_words(spark, d):
@@ -140,7 +145,7 @@ SHAPE = f"{DIST}, fx AS (SELECT query AS feature, round(distance, 9) AS value, l
 def word_info_gain(spark, d):
     w, z, q = candidates(spark, d)
     dist = G.min_distances(z, q, 8)
-    s = G.best_splits(dist.select(F.col("query").alias("feature"), F.round("distance", 9).alias("value"), "label", F.lit(1).alias("n")), [0, 1, 2])
+    s = G.best_splits(dist.select(F.col("query").alias("feature"), F.round("distance", 9).alias("value"), "label", F.lit(1).alias("n")), classes(spark, d))
     return s.select("feature", r6("ig"), r6("threshold"), r6("gap"))
 
 
@@ -193,13 +198,9 @@ dm AS (SELECT code, support, arg_min(label, (-round(mean, 12), label)) AS domina
 bk AS (SELECT row_number() OVER (ORDER BY ig DESC, round(abs(gap), 9) DESC, code) AS rank, code, ig, gap, dominant, support FROM bs JOIN dm ON feature = code)"""
 
 
-def sfa3(spark, d):
-    return embedding_sfa(spark, d).where("label < 3")
-
-
 @query(f"WITH {BOSS} SELECT rank, code, round(ig, 6) AS ig, round(gap, 6) AS gap, dominant, round(support, 6) AS support FROM bk WHERE rank <= 8")
 def boss_top_k(spark, d):
-    return G.boss_words(sfa3(spark, d), FLAT4, [0, 1, 2], 8).select("rank", "code", r6("ig"), r6("gap"), "dominant", r6("support"))
+    return G.boss_words(embedding_sfa(spark, d), FLAT4, classes(spark, d), 8).select("rank", "code", r6("ig"), r6("gap"), "dominant", r6("support"))
 
 
 DIGITS = [f"(code // {4 ** (3 - i)}) % 4" for i in range(4)]
@@ -209,8 +210,8 @@ DIGITS = [f"(code // {4 ** (3 - i)}) % 4" for i in range(4)]
 x AS (SELECT series, di.code, t, flat, CASE WHEN s3.code = di.code THEN 1 ELSE 0 END AS same, ({' + '.join(f'abs(s{i} - r{i})' for i in range(4))}) / 12.0::DOUBLE AS d FROM s3, di)
 SELECT series, code, max(same) AS presence, round(avg(same), 6) AS frequency, round(min(d) FILTER (NOT flat), 6) AS distance, arg_min(t, (d, t)) FILTER (NOT flat) AS location, coalesce(max(d) FILTER (NOT flat) > min(d) FILTER (NOT flat), false) AS informative FROM x GROUP BY ALL""")
 def boss_match(spark, d):
-    w = sfa3(spark, d)
-    top = G.boss_words(w, FLAT4, [0, 1, 2], 8).select("code", *[(F.floor(F.col("code") / 4 ** (3 - i)) % 4).cast("int").alias(f"r{i}") for i in range(4)])
+    w = embedding_sfa(spark, d)
+    top = G.boss_words(w, FLAT4, classes(spark, d), 8).select("code", *[(F.floor(F.col("code") / 4 ** (3 - i)) % 4).cast("int").alias(f"r{i}") for i in range(4)])
     return G.boss_match(w, top, 4).select("series", "code", "presence", r6("frequency"), r6("distance"), "location", "informative")
 
 
