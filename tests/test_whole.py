@@ -6,6 +6,7 @@ import pytest
 
 from wordloom.plans import evidence_queries as V
 from wordloom.plans import mining_queries as Q
+from wordloom.plans import series_queries as E
 
 DIR = "/root/testdata/sf0.001"
 
@@ -66,3 +67,37 @@ def test_rules_and_matches_of_every_class(spark):
     assert {r.label for r in V.class_prior_rules(spark, DIR).collect()} == set(range(10))
     assert Q.match_features(spark, DIR).select("series").distinct().count() == n
     assert Q.boss_match(spark, DIR).select("series").distinct().count() == n
+
+
+# ---------------------------------------------------------------- contexts from every day on
+@pytest.mark.parametrize("name", ["continuation_rules", "residual_rules"])
+def test_every_context(spark, name):
+    whole = V.SQL[name].replace("t % 20 = 0 AND ", "")
+    assert whole != V.SQL[name]
+    same(V.QUERIES[name](spark, DIR), whole)
+
+
+def test_state_key_of_every_context(spark):
+    daily = {c: g.sort_values("t")["value"].to_numpy() for c, g in E.X.daily_series(spark, DIR).toPandas().groupby("channel")}
+    got = {(r.channel, r.start): r for r in E.forecast_state_key(spark, DIR).collect()}
+    assert set(got) == {(c, s) for c, v in daily.items() for s in range(len(v) - 89)}
+    for (c, s), r in list(got.items())[::97]:
+        v, x = daily[c][s : s + 90], np.linspace(-1, 1, 90)
+        want = (v[-1], v.mean(), v.std(), v[-1] - v[0], v[-24:].mean() - v.mean(), (x * v).mean() / (x * x).mean())
+        assert (r.last, r.mean, r.sd, r.change, r.recent_shift, r.slope) == pytest.approx(want, abs=1e-3)
+
+
+def test_neighbours_of_every_context(spark):
+    q, b, f = V.vectors(spark, DIR)
+    days = E.X.daily_series(spark, DIR).toPandas()
+    daily = {int(c[0]): g.sort_values("t")["value"].to_numpy() / 1e6 for c, g in days.groupby("channel")}
+    unit = lambda v: v.reshape(6, 10).mean(axis=1) / np.linalg.norm(v.reshape(6, 10).mean(axis=1))
+    mine = {c * 100000 + t: unit(v[t : t + 60]) for c, v in daily.items() for t in range(len(v) - 66)}
+    bank = {c * 100000 + t for c, v in daily.items() for t in range(int(0.55 * (len(v) - 66)))}
+    assert {r.bank for r in b.collect()} == bank and {r["query"] for r in q.collect()} == set(mine) - bank
+    ids = np.array(sorted(bank))
+    table = np.stack([mine[i] for i in ids])
+    some = sorted(set(mine) - bank)[::500]
+    got = V.T.nearest(q.where(V.F.col("query").isin(some)), b, 5, 6).toPandas().sort_values("rank").groupby("query")["bank"].apply(list)
+    for i in some:
+        assert got[i] == ids[np.lexsort((ids, -(table @ mine[i]).round(9)))[:5]].tolist()

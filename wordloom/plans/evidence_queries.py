@@ -100,10 +100,10 @@ ls AS (SELECT sample, arg_max(value, i) AS base FROM cx GROUP BY sample)"""
 
 
 def contexts(spark, d):
-    """(sample, ch, i, value) of 60-day contexts every 20 days, and (sample, h, level) of the 7 days after."""
+    """(sample, ch, i, value) of 60-day contexts from every day on, and (sample, h, level) of the 7 days after."""
     v = X.daily_series(spark, d).select(F.substring("channel", 1, 1).cast("long").alias("ch"), "t", (F.col("value") / 1e6).alias("value"))
     end = v.agg((F.max("t") + 1).alias("n"))
-    s = v.where("t % 20 = 0").join(F.broadcast(end)).where("t + 67 <= n").select((F.col("ch") * 100000 + F.col("t")).alias("sample"), "ch", F.col("t").alias("t0"))
+    s = v.join(F.broadcast(end)).where("t + 67 <= n").select((F.col("ch") * 100000 + F.col("t")).alias("sample"), "ch", F.col("t").alias("t0"))
     cells = s.select("sample", "ch", "t0", F.explode(F.sequence(F.col("t0"), F.col("t0") + 66)).alias("t")).join(v, ["ch", "t"]).withColumn("i", F.col("t") - F.col("t0"))
     return cells.where("i < 60").select("sample", "ch", "i", "value"), cells.where("i >= 60").select("sample", (F.col("i") - 60).alias("h"), F.col("value").alias("level"))
 

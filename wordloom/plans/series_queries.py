@@ -128,8 +128,13 @@ def ordered_sax_key(spark, d):
 SELECT channel, round(arg_max(value, t), 4) AS last, round(avg(value), 4) AS mean, round(stddev_pop(value), 4) AS sd, round(arg_max(value, t) - arg_min(value, t), 4) AS change,
 round(avg(value) FILTER (t >= 66) - avg(value), 4) AS recent_shift, round(avg(x * value) / avg(x * x), 4) AS slope FROM x GROUP BY channel""")
 def forecast_state_key(spark, d):
-    k = X.state_key(X.daily_series(spark, d).where("t < 90"), 90, keys=("channel",))
-    return k.select("channel", *[F.round(c, 4).alias(c) for c in ("last", "mean", "sd", "change", "recent_shift", "slope")])
+    """One row for each channel and each 90 days from day ``start`` on."""
+    p = X.daily_series(spark, d)
+    end = p.agg((F.max("t") - 89).alias("last"))
+    starts = F.sequence(F.greatest(F.col("t") - 89, F.lit(0)), F.least("t", "last"))
+    p = p.join(F.broadcast(end)).where("last >= greatest(t - 89, 0)").select("channel", "t", "value", F.explode(starts).alias("start"))
+    k = X.state_key(p.withColumn("t", F.col("t") - F.col("start")), 90, keys=("channel", "start"))
+    return k.select("channel", "start", *[F.round(c, 4).alias(c) for c in ("last", "mean", "sd", "change", "recent_shift", "slope")])
 
 
 @query(f"""WITH {EMB}, x AS (SELECT *, abs(value - lag(value) OVER (PARTITION BY series ORDER BY t)) AS step, t - 31.5 AS x FROM emb)
