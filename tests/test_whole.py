@@ -101,3 +101,29 @@ def test_neighbours_of_every_context(spark):
     got = V.T.nearest(q.where(V.F.col("query").isin(some)), b, 5, 6).toPandas().sort_values("rank").groupby("query")["bank"].apply(list)
     for i in some:
         assert got[i] == ids[np.lexsort((ids, -(table @ mine[i]).round(9)))[:5]].tolist()
+
+
+# ---------------------------------------------------------------- the vocabulary of every series
+@pytest.mark.parametrize("name", ["novelty_vocab", "nearest_normal_word", "window_novelty", "point_novelty", "novelty_normalizer"])
+def test_normal_words_of_every_series(spark, name):
+    whole = Q.SQL[name].replace(" AND series % 3 <> 0", "")
+    assert whole != Q.SQL[name]
+    same(Q.QUERIES[name](spark, DIR), whole)
+
+
+def test_rarity_of_every_series(spark):
+    w = Q.vector_words(spark, DIR).select("series", "t", "label", "code").toPandas()
+    got = {r.series: r for r in Q.word_rarity(spark, DIR).collect()}
+    assert set(got) == set(w["series"])
+    val = set()
+    for _, g in w.groupby("label"):
+        ids = sorted(set(g["series"]), key=lambda i: ((i * 1103515245 + 12345) % 2147483648, i))
+        val |= set(ids[: round(len(ids) * 0.5)])
+    for part in (val, set(got) - val):
+        train = w[~w["series"].isin(part)]["code"]
+        r = -np.log(train.value_counts() / len(train))
+        own = w[w["series"].isin(part)].copy()
+        own["r"] = own["code"].map(r).fillna(np.log(1 + len(train)))
+        top = own.sort_values(["r", "t"], ascending=[False, True]).groupby("series").first()
+        for i, x in top.iterrows():
+            assert got[i].rarity == pytest.approx(x["r"], abs=2e-6) and got[i].location == x["t"]

@@ -51,9 +51,15 @@ NSER = "(SELECT count(DISTINCT series) FROM sw)"
 x AS (SELECT series, t, coalesce(r, ln(1.0 + (SELECT count(*) FROM sw WHERE series % 2 = 0))) AS r FROM sw LEFT JOIN rt USING (code) WHERE series % 2 = 1)
 SELECT series, round(max(r), 6) AS rarity, arg_min(t, (-r, t)) AS location FROM x GROUP BY series""")
 def word_rarity(spark, d):
+    """Every series against the words of the other half of each class, the halves scored in turn."""
     w = vector_words(spark, d)
-    train = w.where("series % 2 = 0")
-    return G.rarity(w.where("series % 2 = 1"), G.rarity_table(train), F.lit(train.count())).select("series", r6("rarity"), "location")
+    half = X.stratified_split(w.select("series", "label").distinct(), "series", "label", 0.5).select("series", "split")
+    w = w.join(F.broadcast(half), "series").cache()
+    parts = []
+    for scored in ("val", "train"):
+        train = w.where(F.col("split") != scored)
+        parts.append(G.rarity(w.where(F.col("split") == scored), G.rarity_table(train), F.lit(train.count())))
+    return parts[0].unionByName(parts[1]).select("series", r6("rarity"), "location")
 
 
 @query(f"WITH {SFA}, b AS (SELECT *, lag(code) OVER (PARTITION BY series ORDER BY t) AS p FROM sfa) SELECT series, word, count(*) AS n FROM b WHERE p IS NULL OR p <> code GROUP BY ALL")
@@ -225,7 +231,7 @@ def event_words(spark, d):
 
 def normal(words):
     """Words of windows that end before point 30 are normal; codes of which the text says nothing are new."""
-    return words.where("t <= 18 and series % 3 <> 0")
+    return words.where("t <= 18")
 
 
 VOC = f"{EVW}, fl AS (SELECT series, t, s0, s1, s2, s3, CASE WHEN flat THEN '<flat>' ELSE word END AS word, CASE WHEN flat THEN -1 ELSE code END AS code FROM sw), vo AS (SELECT code, word, s0, s1, s2, s3, count(*) AS cnt FROM fl WHERE t <= 18 AND series % 3 <> 0 GROUP BY ALL)"
