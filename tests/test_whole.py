@@ -127,3 +127,27 @@ def test_rarity_of_every_series(spark):
         top = own.sort_values(["r", "t"], ascending=[False, True]).groupby("series").first()
         for i, x in top.iterrows():
             assert got[i].rarity == pytest.approx(x["r"], abs=2e-6) and got[i].location == x["t"]
+
+
+# ---------------------------------------------------------------- periods of the data
+def test_periods_come_from_the_data(spark):
+    daily = E.X.daily_series(spark, DIR).withColumnRenamed("channel", "series").toPandas()
+    events = E.X.event_series(spark, DIR).toPandas()
+    want = set()
+    for source, points in (("orders", daily), ("events", events)):
+        for i, g in points.groupby("series"):
+            x = g.sort_values("t")["value"].to_numpy()
+            x = x - x.mean()
+            acf = {k: (x[:-k] * x[k:]).sum() / (x * x).sum() for k in range(1, min(40, len(x) // 2 - 1) + 1)}
+            after = min((k for k in acf if acf[k] < 0), default=10**6)
+            peak = next((k for k in acf if k >= after and acf[k] > 0 and k + 1 in acf and acf[k] >= acf.get(k - 1, 9) and acf[k] >= acf[k + 1]), None)
+            if peak and acf[peak] >= 0.3:
+                want.add((source, str(i), peak))
+    assert {tuple(r) for r in Q.estimate_period(spark, DIR).collect()} == want
+
+
+def test_periods_follow_the_values(spark, tmp_path):
+    day = "date_add(date'2020-01-01', cast(id as int))"
+    spark.range(400).selectExpr(f"{day} AS o_orderdate", "'1-URGENT' AS o_orderpriority", "1000 + 500 * sin(2 * pi() * id / 9) AS o_totalprice").write.parquet(str(tmp_path / "orders.parquet"))
+    spark.range(200).selectExpr("7L AS user_id", "id AS event_id", "timestamp_seconds(id) AS ts", "sin(2 * pi() * id / 21) AS value", "'view' AS event_type").write.parquet(str(tmp_path / "events.parquet"))
+    assert {tuple(r) for r in Q.estimate_period(spark, str(tmp_path)).collect()} == {("orders", "1-URGENT", 9), ("events", "7", 21)}

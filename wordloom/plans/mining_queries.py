@@ -381,10 +381,11 @@ c AS (SELECT t, x0 - avg(x0) OVER () AS x FROM s), n AS (SELECT sum(x * x) AS ss
 p AS (SELECT lag, acf, lag(acf) OVER (ORDER BY lag) AS prev, lead(acf) OVER (ORDER BY lag) AS nxt, max(CASE WHEN acf < 0 THEN 1 ELSE 0 END) OVER (ORDER BY lag ROWS UNBOUNDED PRECEDING) AS neg FROM a)
 SELECT 1 AS series, min(lag) AS period FROM p WHERE neg = 1 AND acf > 0 AND acf >= prev AND acf >= nxt AND acf >= 0.3""")
 def estimate_period(spark, d):
-    """A fortnightly sine over the days that have orders."""
-    days = X.read(spark, d, "orders").select(F.to_date("o_orderdate").alias("day")).distinct().agg(F.count("*").cast("int").alias("n"))
-    p = days.select(F.lit(1).alias("series"), F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("t")).withColumn("value", F.sin(F.col("t") * 2 * 3.141592653589793 / 14.0))
-    return N.periods(N.autocorrelation(p, 40)).select("series", F.col("period").cast("long").alias("period"))
+    """Periods up to 40 days of the daily order totals by channel, and up to 40 points of the event series."""
+    daily = X.daily_series(spark, d).withColumnRenamed("channel", "series")
+    points = X.event_series(spark, d).select(F.col("series").cast("string").alias("series"), "t", "value")
+    each = [N.periods(N.autocorrelation(p, 40)).withColumn("source", F.lit(s)) for s, p in (("orders", daily), ("events", points))]
+    return each[0].unionByName(each[1]).select("source", "series", F.col("period").cast("long").alias("period"))
 
 
 TOPE = f"""{NOVEL}, sc AS (SELECT series, t, round(raw, 6) AS score FROM pn), p1 AS (SELECT series, arg_min(t, (-score, t)) AS a, max(score) AS s FROM sc GROUP BY series),
