@@ -188,6 +188,29 @@ def test_vector_graph_equals_brute_force(spark):
     assert vector_graph.link_vectors(df.where("false")).count() == 0
 
 
+def sphere(n, seed=11):
+    """Rows of one label that lie on a sphere of four dimensions: links everywhere, and no gap between clusters."""
+    v = np.random.default_rng(seed).normal(size=(n, 4))
+    return [(i, np.pad(x / np.linalg.norm(x), (0, 12)).tolist(), 1) for i, x in enumerate(v)]
+
+
+def test_links_across_many_clusters(spark):
+    rows = sphere(1500)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    links, comp = brute_links(rows)
+    true = sum(map(len, links.values()))
+    found = {k: {r.vec_id: r for r in vector_graph.link_vectors(df, shard_rows=60, overlap=k).collect()} for k in (1, 3)}
+    assert true > 10_000
+    for got in found.values():
+        assert sum(r.n_links for r in got.values()) >= 0.99 * true
+        assert all(got[i].n_links <= len(links[i]) and got[i].component_id == comp[i] for i in links)
+
+
+def test_no_link_no_recall(spark):
+    df = spark.createDataFrame([(0, [1.0, 0.0], 1), (1, [0.0, 1.0], 1)], "vec_id long, embedding array<double>, label int")
+    assert vector_graph.audit_recall(df, vector_graph.link_vectors(df), every=1) is None
+
+
 # ---------------------------------------------------------------- op5
 def brute_lines(texts):
     seen, out = [], {}

@@ -1,7 +1,8 @@
 """Embedding near-dedup on a robust-pruned flat graph.
 
-Vectors of one label are dealt to the nearest few of that label's clusters, so the shards overlap. In each
-shard a graph is built by robust pruning (a candidate goes if a nearer pick is closer to it than the node
+Vectors of one label are dealt to the nearest few of that label's clusters, so the shards overlap. How many
+is measured: all links of a sample of rows are found by brute force, and the overlap of a label is raised
+until both ends of each of them share a cluster. In each shard a graph is built by robust pruning (a candidate goes if a nearer pick is closer to it than the node
 is, by a factor), the adjacency lists of all shards are united, and every vector is searched: greedily from
 the shard's medoid and its own node, then expanding from every node in range until nothing new is in range.
 Each link found is verified by its cosine in double precision, and counted in one shard only, the first
@@ -151,12 +152,44 @@ def range_search(v: np.ndarray, graph: np.ndarray, queries: np.ndarray, least: f
     return np.nonzero(found)
 
 
-def link_vectors(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label", least: float = 0.93, shard_rows: int = 1500, overlap: int = 3, sample_rows: int = 20_000, max_clusters: int = 4096) -> DataFrame:
+def needed_overlap(nodes: DataFrame, centres: dict, probes: dict, least: float) -> dict[str, tuple[int, int]]:
+    """part: (links of the probes, nearest clusters that both ends of every one of them must be dealt to).
+
+    ``probes``: unit vectors by part. Each is compared with every node of its part, itself left out.
+    """
+    shared = nodes.sparkSession.sparkContext.broadcast((centres, probes))
+
+    def ranks(v: np.ndarray, c: np.ndarray) -> np.ndarray:
+        return (-(v @ c.T)).argsort(axis=1).argsort(axis=1)
+
+    def meet(batches):
+        centres, probes = shared.value
+        own = {p: ranks(v, centres[p][1]) for p, v in probes.items()}
+        for pdf in batches:
+            out = []
+            for p, at in pdf.groupby("part").indices.items():
+                if p not in probes:
+                    continue
+                v = unit(pdf["x"].iloc[at])
+                s = v @ probes[p].T
+                a, b = np.nonzero((s >= least) & (s < 1 - 1e-12))
+                rank, need = ranks(v, centres[p][1]), 0
+                for lo in range(0, len(a), 1 << 13):
+                    need = max(need, int(np.maximum(rank[a[lo : lo + (1 << 13)]], own[p][b[lo : lo + (1 << 13)]]).min(axis=1).max()) + 1)
+                out.append((p, len(a), need))
+            yield pd.DataFrame(out, columns=["part", "links", "need"])
+
+    found = nodes.select("part", "x").mapInPandas(meet, "part string, links long, need long")
+    return {r.part: (r.links, r.need) for r in found.groupBy("part").agg(F.sum("links").alias("links"), F.max("need").alias("need")).collect()}
+
+
+def link_vectors(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label", least: float = 0.93, shard_rows: int = 1500, overlap: int = 3, sample_rows: int = 20_000, max_clusters: int = 4096, audit_rows: int = 2000) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row.
 
     Vectors are compared only if their labels are equal and not null. A vector that is null, empty or zero,
     or has a null or non-finite component, links with nothing; so does one of another length than the
-    query. Clusters are fitted on at most ``sample_rows`` rows; every row is indexed and searched. Repeated
+    query. Clusters are fitted on at most ``sample_rows`` rows; every row is indexed and searched. A row is
+    dealt to ``overlap`` clusters at least, and to as many as the links of ``audit_rows`` sampled rows need. Repeated
     rows are vectors of their own that link with each other. n_links counts rows; a null id is kept false.
     """
     spark = vectors.sparkSession
@@ -177,6 +210,8 @@ def link_vectors(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "e
         if k > 1:
             centres[p] = (ids, kmeans(unit(group["x"]), k))
             ids += k
+    probes = {p: unit(g["x"].iloc[: -(-audit_rows * len(g) // len(some))]) for p, g in some.groupby("part") if p in centres and audit_rows}
+    need = {p: max(overlap, t) for p, (_, t) in needed_overlap(nodes, centres, probes, least).items()} if probes else {}
     shared = spark.sparkContext.broadcast(centres)
 
     def deal(batches):
@@ -185,7 +220,7 @@ def link_vectors(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "e
             for p, at in pdf.groupby("part").indices.items():
                 if p in shared.value:
                     first, c = shared.value[p]
-                    t = min(overlap, len(c))
+                    t = min(need.get(p, overlap), len(c))
                     near = np.argpartition(-(unit(pdf["x"].iloc[at]) @ c.T), t - 1, axis=1)[:, :t] + first
                 else:
                     near = np.full((len(at), 1), -1)
@@ -218,7 +253,7 @@ def link_vectors(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "e
             at[at == len(gid)] = 0
             graph.append(at[gid[at] == np.asarray(a, np.int64)])
         graph, width = padded(graph), max(map(len, pdf["shards"]))
-        of = np.array([[*s, *[-2] * (width - len(s))] for s in pdf["shards"]])
+        of = np.array([[*s, *[-2] * (width - len(s))] for s in pdf["shards"]], np.int64)  # wide enough for the mark of no shard below
         here, own, cross = int(pdf["shard"].iloc[0]), pdf["own"].to_numpy(), pdf["lo"].iloc[0] != pdf["hi"].iloc[0]
         links, parent = np.zeros(len(pdf), np.int64), list(range(len(pdf)))
         step = max(16, min(512, (1 << 22) // len(pdf)))
@@ -226,8 +261,11 @@ def link_vectors(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "e
             queries = np.arange(lo, min(lo + step, len(pdf)))
             a, b = range_search(v, graph, queries, least)
             a = queries[a]
-            same = (of[a][:, :, None] == of[b][:, None, :]) & (of[a] > -2)[:, :, None]
-            first = np.where(same.any(axis=2), of[a], np.iinfo(np.int64).max).min(axis=1)
+            first = np.empty(len(a), np.int64)
+            for k in range(0, len(a), part := max(1, (1 << 24) // width**2)):
+                x, y = of[a[k : k + part]], of[b[k : k + part]]
+                same = (x[:, :, None] == y[:, None, :]) & (x > -2)[:, :, None]
+                first[k : k + part] = np.where(same.any(axis=2), x, np.iinfo(np.int64).max).min(axis=1)
             mine = (first == here) & ((own[a] != own[b]) | (not cross))
             a, b = a[mine], b[mine]
             links += np.bincount(a, times[b], len(pdf)).astype(np.int64)
@@ -247,11 +285,11 @@ def link_vectors(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "e
     return r.select("vec_id", F.when(F.col("vec_id").isNull(), 0).otherwise(F.coalesce("n_links", F.lit(0))).cast("long").alias("n_links"), own.alias("component_id"), F.coalesce(own == F.col("vec_id"), F.lit(False)).alias("kept"))
 
 
-def audit_recall(vectors: DataFrame, result: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label", least: float = 0.93, every: int = 50, most: int = 2000) -> float:
-    """Share of the links of the rows whose id ``every`` divides (at most ``most`` of them) that ``result`` counts, against brute force over all rows."""
+def audit_recall(vectors: DataFrame, result: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label", least: float = 0.93, every: int = 50, most: int = 2000) -> float | None:
+    """Share of the links of the rows whose id ``every`` divides (at most ``most`` of them) that ``result`` counts, against brute force over all rows; None if they have no link."""
     q = vectors.where((F.col(vec_id) % every == 0) & F.col(embedding).isNotNull() & F.col(label).isNotNull()).orderBy(vec_id).limit(most).select(F.col(vec_id).alias("i"), F.col(label).cast("string").alias("l"), F.col(embedding).cast("array<double>").alias("x")).toPandas()
     if not len(q):
-        return 1.0
+        return None
     shared = vectors.sparkSession.sparkContext.broadcast((q["i"].to_numpy(), q["l"].to_numpy(), unit(q["x"])))
 
     def count(batches):
@@ -264,4 +302,4 @@ def audit_recall(vectors: DataFrame, result: DataFrame, vec_id: str = "vec_id",
     rows = vectors.where(F.col(embedding).isNotNull() & F.col(label).isNotNull()).select(F.col(vec_id).alias("i"), F.col(label).cast("string").alias("l"), F.col(embedding).cast("array<double>").alias("x"))
     true = rows.mapInPandas(count, "i long, n long").groupBy("i").agg(F.sum("n").alias("n"))
     t = true.join(result.select(F.col(vec_id).alias("i"), "n_links"), "i").agg(F.sum(F.least("n", "n_links")), F.sum("n")).first()
-    return 1.0 if not t[1] else t[0] / t[1]
+    return t[0] / t[1] if t[1] else None
