@@ -352,6 +352,14 @@ def test_url_rules_and_false_positives(spark):
     assert url_filter.filter_urls(spark.createDataFrame([(1, "http://a.com/")], "page_id long, url string"), rules.where("false")).first().verdict == "allow"
 
 
+def test_every_path_length_of_a_long_list(spark):
+    rules = spark.range(1, 5001).select(F.concat(F.lit("h"), "id", F.lit(".com")).alias("host"), F.concat(F.lit("/"), F.repeat(F.lit("a"), F.col("id").cast("int"))).alias("path"), F.lit("block").alias("verdict"))
+    some = [1, 2, 63, 64, *range(100, 5001, 100)]
+    urls = spark.createDataFrame([(n, f"http://www.h{n}.com/{'a' * n}") for n in some] + [(9000, "http://h70.com/aa")], "page_id long, url string")
+    got = {r.page_id: r for r in url_filter.filter_urls(urls, rules).collect()}
+    assert all(got[n].verdict == "block" and got[n].rule == f"h{n}.com/{'a' * n}" for n in some) and got[9000].verdict == "allow"
+
+
 def test_bloom_has_no_false_negatives(spark):
     keys = spark.range(5000).select(F.concat(F.lit("k"), "id").alias("key"))
     table = url_filter.build_filter(keys, "key")

@@ -76,25 +76,32 @@ def passes(hashes: Column, table: np.ndarray) -> Column:
     return test(hashes)
 
 
-def filter_urls(urls: DataFrame, listed: DataFrame, url: str = "url", row_id: str = "page_id", listed_verdict: str = "verdict", default: str = "allow", broadcast_rows: int = 100_000) -> DataFrame:
+def filter_urls(urls: DataFrame, listed: DataFrame, url: str = "url", row_id: str = "page_id", listed_verdict: str = "verdict", default: str = "allow", broadcast_rows: int = 100_000, most_lengths: int = 64) -> DataFrame:
     """Verdict of each row of ``urls`` by ``listed`` (host, path, verdict).
 
     Returns ``row_id``, host, path, rule (the entry that fits, longest first, ties by the smaller text) and
     verdict (the entry's, or ``default`` where none is listed). The list is broadcast only up to
     ``broadcast_rows`` entries; a longer one is joined by shuffling the few keys that the filter passes.
-    Nothing of a URL but its possible hits is shuffled.
+    Nothing of a URL but its possible hits is shuffled. Up to ``most_lengths`` different path lengths of the
+    list are part of the plan; more of them are joined with the URLs, so none is left out.
     """
     entries = listed.select(F.concat("host", "path").alias("rule"), F.col(listed_verdict).alias("says"), F.length("path").alias("len")).where("rule is not null")
     entries = entries.groupBy("rule").agg(F.min("says").alias("says"), F.min("len").alias("len"))
     table = build_filter(entries, "rule")
-    lengths = sorted(r[0] for r in entries.select("len").distinct().limit(4096).collect())
+    every = entries.select("len").distinct()
+    lengths = sorted(r[0] for r in every.limit(most_lengths + 1).collect())
     base = urls.select(F.col(row_id).alias("id"), F.coalesce(host_of(F.col(url)), F.lit("")).alias("host"), F.coalesce(path_of(F.col(url)), F.lit("")).alias("path"))
     # a row of its own per URL, so repeated or null ids stay apart
     labels = F.split("host", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.lit(1 << 20)), "."))
-    prefixes = F.array(*[F.when(F.length("path") >= n, F.substring("path", 1, n)) for n in lengths]) if lengths else F.array(F.lit(None).cast("string"))
-    keys = F.array_distinct(F.flatten(F.transform(suffixes, lambda s: F.transform(F.array_compact(prefixes), lambda p: F.concat(s, p)))))
-    found = base.select("host", "path").where("host <> ''").distinct().withColumn("key", F.explode(keys))
+    cut = lambda prefixes: F.array_distinct(F.flatten(F.transform(suffixes, lambda s: F.transform(F.array_compact(prefixes), lambda p: F.concat(s, p)))))
+    hosts = base.select("host", "path").where("host <> ''").distinct()
+    if len(lengths) > most_lengths:
+        hosts = hosts.join(F.broadcast(every), F.col("len") <= F.length("path"))
+        found = hosts.withColumn("key", F.explode(cut(F.array(F.expr("substring(path, 1, len)"))))).drop("len")
+    else:
+        prefixes = F.array(*[F.when(F.length("path") >= n, F.substring("path", 1, n)) for n in lengths]) if lengths else F.array(F.lit(None).cast("string"))
+        found = hosts.withColumn("key", F.explode(cut(prefixes)))
     found = found.where(passes(F.xxhash64("key"), table))
     small = entries.limit(broadcast_rows + 1).count() <= broadcast_rows
     exact = found.join(F.broadcast(entries) if small else entries, found["key"] == entries["rule"])
