@@ -26,22 +26,40 @@ SPACE_RE = r"[\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set, as in tests."""
+    """The folder that driver and executors share; a temporary one only where none is set and all run on one machine, as in tests."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="wordloom-")
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(path)
     return path
 
 
+class Scratch:
+    """Tables of one job, in a folder of their own under the shared one, until ``drop`` deletes them all."""
+
+    def __init__(self, spark: SparkSession, what: str) -> None:
+        self.spark, self.path, self.tables = spark, f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}", 0
+
+    def table(self, df: DataFrame) -> DataFrame:
+        """``df`` written as Parquet and read again: cuts lineage and survives lost executors."""
+        self.tables += 1
+        path = f"{self.path}/{self.tables}"
+        df.write.parquet(path)
+        self.spark.sparkContext._jvm.System.gc()  # lets Spark's cleaner delete the shuffle files of what is now written
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self) -> None:
+        """Only when nothing that is still to run reads a table of this job."""
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialise(df: DataFrame, what: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it again: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    spark.sparkContext._jvm.System.gc()  # lets Spark's cleaner delete the shuffle files of what is now written
-    return spark.read.schema(df.schema).parquet(path)
+    """``df`` as a table of the shared folder that stays, for results that are read later."""
+    return Scratch(df.sparkSession, what).table(df)
 
 
 def small_batches(spark: SparkSession) -> None:

@@ -2,25 +2,31 @@
 
 A line is the set of its lower-cased words. Its tokens are ordered by rarity; two lines of Jaccard 0.8 or
 more share a token in short prefixes of that order, at positions and with sizes that bound what they can
-have in common. Candidates that pass these filters and a parity test (an exact bound as well) are verified
-on their words, and a line that an earlier one resembles is removed.
-
-Rarity comes from counts of all tokens in 65,536 hash buckets, a table of fixed size that is part of the
-plan; any order that is the same for all lines keeps the join exact. Lines of equal text are one class with
-its first place. Before the full join, each token proposes only its earliest line to all others, so a large
-group of near copies is settled by rows in proportion to its size and never meets itself pair by pair.
+have in common. Candidates that pass these filters, a parity test and, if they are long, a test of how many
+prefix tokens they share (exact bounds as well) are verified on their words, and a line that an earlier one
+resembles is removed.
+
+Rarity comes from counts of all words in 2**20 hash buckets, kept in four bits each: a table of fixed size
+that is part of the plan; any order that is the same for all lines keeps the join exact. Lines of equal text
+are one class with its first place. Before the full join, a few tokens of each prefix, those of least hash
+and thus mostly the same ones in near copies, propose their earliest line to all others, so a large group of
+near copies is settled by rows in proportion to its size and does not meet itself pair by pair.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import SPACE_RE, materialise
+from .common import SPACE_RE, Scratch, materialise
 
-BUCKETS = 1 << 16
+BUCKET_BITS = 20
 #: Tokens of a line by which its earliest likeness is sought before the full join.
 PROPOSING = 4
+#: Parity bits in which a pair may differ, from which on the shared prefix tokens are counted too.
+WEAK_BITS = 40
+_31 = (1 << 31) - 1
 
 
 def lines_of(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -35,13 +41,21 @@ def tokens(line: Column) -> Column:
 
 
 def rarity(docs: DataFrame, text: str = "text") -> Column:
-    """The binary order of magnitude of each bucket's count of words, as one constant array."""
+    """Sixteen levels of each bucket's count of words, sixteen buckets a long, as one constant array.
+
+    A level is a binary order of magnitude, from an eighth of the mean bucket's count up.
+    """
     each = docs.select(F.explode(F.split(F.lower(F.col(text)), SPACE_RE)).alias("t"))
-    counts = each.groupBy((F.xxhash64("t").bitwiseAND(F.lit(BUCKETS - 1))).cast("int").alias("b")).count()
-    level = ["0"] * BUCKETS
-    for b, n in counts.select("b", F.floor(F.log2("count")).cast("int")).collect():
-        level[b] = str(n)
-    return F.split(F.lit(",".join(level)), ",").cast("array<tinyint>")
+    counts = each.groupBy(F.xxhash64("t").bitwiseAND(F.lit((1 << BUCKET_BITS) - 1)).cast("int").alias("b")).count()
+    size = F.floor(F.log2("count")).cast("int")
+    packed = counts.groupBy(F.shiftright("b", 4).alias("at")).agg(F.collect_list(F.struct(F.col("b").bitwiseAND(F.lit(15)).alias("k"), size.alias("n"))).alias("each"), F.sum("count").alias("n"))
+    rows = packed.collect()
+    least = max(0, (sum(r.n for r in rows) >> BUCKET_BITS).bit_length() - 4)
+    levels = ["0"] * (1 << BUCKET_BITS - 4)
+    for r in rows:
+        x = sum(min(15, max(0, n - least)) << 4 * k for k, n in r.each)
+        levels[r["at"]] = str(x - (1 << 64) if x >> 63 else x)
+    return F.split(F.lit(",".join(levels)), ",").cast("array<bigint>")
 
 
 def needed(a: Column, b: Column, t: int) -> Column:
@@ -49,27 +63,38 @@ def needed(a: Column, b: Column, t: int) -> Column:
     return F.ceil((a + b) * t / F.lit(100 + t) - 1e-9)
 
 
+def beyond_prefix(size: Column, t: int) -> Column:
+    """Tokens of a line after its probing prefix."""
+    return F.ceil(size * t / F.lit(100.0) - 1e-9) - 1
+
+
 def order_of(docs: DataFrame, doc_id: str) -> Column:
-    """A line's place in the order (doc_id, line_no): one long where ids leave 22 bits for it, else a struct."""
-    fits = docs.agg(F.coalesce(F.max(F.abs(F.col(doc_id).cast("double"))), F.lit(0.0)) < float(1 << 40)).first()[0] and docs.where(F.col(doc_id).isNull()).limit(1).count() == 0
-    lines_fit = docs.agg(F.coalesce(F.max(F.length("text")), F.lit(0)) < 1 << 22).first()[0] if fits else False
-    return (F.col("doc_id").cast("long") * (1 << 22) + F.col("line_no")) if fits and lines_fit else F.struct("doc_id", "line_no")
+    """A line's place in the order (doc_id, line_no): one long where ids are whole numbers that leave 22 bits for it, else a struct."""
+    wide = F.struct("doc_id", "line_no")
+    if not isinstance(docs.schema[doc_id].dataType, T.IntegralType):
+        return wide
+    known = docs.agg(F.max(F.abs(F.col(doc_id).cast("double"))).alias("id"), F.max(F.length("text")).alias("text"), F.max(F.col(doc_id).isNull()).alias("null")).first()
+    fits = (known.id or 0) < 1 << 40 and (known.text or 0) < 1 << 22 and not known["null"]
+    return (F.col("doc_id").cast("long") * (1 << 22) + F.col("line_no")) if fits else wide
 
 
 def signatures(docs: DataFrame, doc_id: str, text: str, t: int, place: Column) -> DataFrame:
-    """One row a class of equal lines: its first place, size, parity bits and the probing prefix."""
-    level = rarity(docs, text)
-    mask = F.lit(BUCKETS - 1)
+    """One row a class of equal lines: its first place, size, parity bits and the probing prefix, of which 32 bits a token."""
+    levels, shift = rarity(docs, text), lambda by, x, n: F.call_function(by, x, n)
+    hashes = F.transform(F.split(F.lower("line"), SPACE_RE), lambda w: F.xxhash64(w))
+    bucket = lambda y: y.bitwiseAND(F.lit((1 << BUCKET_BITS) - 1)).cast("int")
+    level = lambda y: shift("shiftrightunsigned", F.get(levels, F.shiftright(bucket(y), 4)), bucket(y).bitwiseAND(F.lit(15)) * 4).bitwiseAND(F.lit(15).cast("long"))
     # rarity on top, the hash below it: a line's tokens from the rarest to the most frequent
-    rank = lambda w: F.shiftleft(F.get(level, F.xxhash64(w).bitwiseAND(mask).cast("int")).cast("long"), 57).bitwiseOR(F.shiftrightunsigned(F.xxhash64(w), 7))
-    rows = lines_of(docs, doc_id, text).select("h", place.alias("place"), F.array_distinct(F.array_remove(F.transform(F.split(F.lower("line"), SPACE_RE), rank), rank(F.lit("")))).alias("x"))
-    # 128 parity bits in two longs: two sets differ in at least as many tokens as their bits differ
-    bit = lambda x, on: F.call_function("shiftleft", on.bitwiseAND(F.lit(1).cast("long")), x.bitwiseAND(F.lit(63)).cast("int"))
+    rank = lambda y: F.shiftleft(level(y), 59).bitwiseOR(F.shiftrightunsigned(y, 5))
+    rows = lines_of(docs, doc_id, text).select("h", place.alias("place"), F.array_remove(F.array_distinct(hashes), F.xxhash64(F.lit(""))).alias("y"))
+    rows = rows.select("h", "place", F.sort_array(F.transform("y", rank)).alias("x"))
+    # 128 parity bits in two longs, the second for lines that need them: two sets differ in at least as many tokens as their bits differ
+    bit = lambda x, on: shift("shiftleft", on.bitwiseAND(F.lit(1).cast("long")), x.bitwiseAND(F.lit(63)).cast("int"))
     parity = F.aggregate("x", F.lit(0).cast("long"), lambda acc, x: acc.bitwiseXOR(bit(x, F.shiftright(x, 6))))
     parity2 = F.aggregate("x", F.lit(0).cast("long"), lambda acc, x: acc.bitwiseXOR(bit(x, F.shiftright(F.bitwise_not(x), 6))))
     size = F.size("x")
-    keep = size - F.ceil(size * t / F.lit(100.0) - 1e-9) + 1
-    rows = rows.select("h", "place", size.alias("size"), parity.alias("sig"), parity2.alias("sig2"), F.slice(F.sort_array("x"), F.lit(1), keep.cast("int")).alias("prefix"))
+    prefix = F.transform(F.slice("x", F.lit(1), (size - beyond_prefix(size, t)).cast("int")), lambda x: (x.bitwiseAND(F.lit((1 << 32) - 1)) - (1 << 31)).cast("int"))
+    rows = rows.select("h", "place", size.alias("size"), parity.alias("sig"), parity2.alias("sig2"), prefix.alias("prefix"))
     return rows.groupBy("h").agg(F.min("place").alias("place"), F.first("size").alias("size"), F.first("sig").alias("sig"), F.first("sig2").alias("sig2"), F.first("prefix").alias("prefix"))
 
 
@@ -79,55 +104,69 @@ def later_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", t:
     A line is removed if an earlier one, by (doc_id, line number), has Jaccard of ``t`` hundredths or more
     with it on sets of lower-cased words; lines without words are never removed and not returned. An earlier
     line counts whether or not it is removed itself. Rows that share an id and a line number are equally
-    early and judged together; a null id comes first. Null texts have no lines.
+    early and judged together; a null id comes first; ids of any type that can be ordered will do. Null
+    texts have no lines, and other columns of ``docs`` are not looked at. Places of lines are broadcast only
+    up to ``broadcast_lines`` of them.
     """
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    scratch = Scratch(docs.sparkSession, "lines")
     place = order_of(docs, "doc_id")
-    sigs = materialise(signatures(docs, "doc_id", "text", t, place), "line-sets")
-    columns = ["token", "place", "size", "pos", "sig", "sig2"]
-    each = sigs.select("place", "size", "sig", "sig2", F.posexplode("prefix").alias("pos", "token")).select(*columns)
+    sigs = scratch.table(signatures(docs, "doc_id", "text", t, place))
 
-    def similar(near: DataFrame) -> DataFrame:
-        """Pairs (place, o) of which o is earlier, after the size and parity filters."""
-        both = F.col("size") + F.col("o_size")
-        differ = F.bit_count(F.col("sig").bitwiseXOR(F.col("o_sig"))) + F.bit_count(F.col("sig2").bitwiseXOR(F.col("o_sig2")))
-        fits = (F.col("o") < F.col("place")) & (F.least("size", "o_size") * 100 >= F.greatest("size", "o_size") * t) & (differ <= both - 2 * needed(F.col("size"), F.col("o_size"), t))
-        return near.where(fits).select("place", "o").distinct()
+    def small(df: DataFrame) -> DataFrame:
+        return F.broadcast(df) if df.count() <= broadcast_lines else df
+
+    def alike(size: Column, o_size: Column, sig: Column, o_sig: Column, sig2: Column, o_sig2: Column) -> Column:
+        """The size and parity filters."""
+        differ = F.bit_count(sig.bitwiseXOR(o_sig)) + F.bit_count(sig2.bitwiseXOR(o_sig2))
+        return (F.least(size, o_size) * 100 >= F.greatest(size, o_size) * t) & (differ <= size + o_size - 2 * needed(size, o_size, t))
 
     def verified(pairs: DataFrame) -> DataFrame:
         """The places of pairs whose word sets really are that similar."""
-        pairs = materialise(pairs, "line-pairs")
-        wanted = materialise(pairs.select("place").union(pairs.select("o")).distinct(), "line-wanted")
-        small = wanted.count() <= broadcast_lines
-        words = lines_of(docs, "doc_id", "text").select(place.alias("place"), "line").join(F.broadcast(wanted) if small else wanted, "place", "left_semi")
-        words = materialise(words.select("place", tokens(F.col("line")).alias("w")), "line-words")
+        pairs = scratch.table(pairs)
+        wanted = scratch.table(pairs.select("place").union(pairs.select("o")).distinct())
+        words = lines_of(docs, "doc_id", "text").select(place.alias("place"), "line").join(small(wanted), "place", "left_semi")
+        words = scratch.table(words.select("place", tokens(F.col("line")).alias("w")))
         p = pairs.join(words, "place").select("place", "o", F.col("w").alias("a")).join(words.select(F.col("place").alias("o"), F.col("w").alias("b")), "o")
         common = F.size(F.array_intersect("a", "b"))
-        return materialise(p.where(common * 100 >= (F.size("a") + F.size("b") - common) * t).select("place").distinct(), "line-found")
+        return scratch.table(p.where(common * 100 >= (F.size("a") + F.size("b") - common) * t).select("place").distinct())
 
-    # the rarest few tokens are enough to propose: what this round leaves, the next one meets in full
-    dealt = each.where(F.col("pos") < PROPOSING).repartition("token")
+    # a few tokens are enough to propose: what this round leaves, the next one meets in full
+    dealt = sigs.select("place", "size", "sig", "sig2", F.explode(F.slice(F.sort_array("prefix"), 1, PROPOSING)).alias("token")).repartition("token")
     first = dealt.groupBy("token").agg(F.min("place").alias("o"), F.min_by("size", "place").alias("o_size"), F.min_by("sig", "place").alias("o_sig"), F.min_by("sig2", "place").alias("o_sig2"), F.count("size").alias("n")).where("n > 1").drop("n")
-    found = verified(similar(dealt.join(first, "token")))
-    # whichever of the two is smaller is met through its shorter, indexing prefix
-    flagged = sigs.join(found.withColumn("gone", F.lit(True)), "place", "left").select("place", "size", "sig", "sig2", F.coalesce("gone", F.lit(False)).alias("gone"), F.posexplode("prefix").alias("pos", "token"))
-    indexed = lambda size, pos: pos < size - F.ceil(size * 2 * t / F.lit(float(100 + t)) - 1e-9) + 1
+    near = dealt.join(first, "token").where((F.col("o") < F.col("place")) & alike(*[F.col(c) for c in ("size", "o_size", "sig", "o_sig", "sig2", "o_sig2")]))
+    found = verified(near.select("place", "o").distinct())
+    # size and position in one long, with a mark for those that are settled
+    meta = F.shiftleft(F.col("size").cast("long"), 31).bitwiseOR(F.col("pos").cast("long")).bitwiseOR(F.when(F.col("gone"), F.lit(1 << 62)).otherwise(F.lit(0)))
+    flagged = sigs.join(small(found).withColumn("gone", F.lit(True)), "place", "left").select("place", "size", "sig", "sig2", F.coalesce("gone", F.lit(False)).alias("gone"), F.posexplode("prefix").alias("pos", "token"))
+    flagged = flagged.select("token", "place", meta.alias("meta"), "sig", "sig2")
     # one frame joined with itself, and no condition of one side alone, so that both sides read one exchange
-    size, o_size, pos, o_pos = (F.col(c) for c in ("a.size", "b.size", "a.pos", "b.pos"))
-    shorter = F.when(o_size <= size, ~F.col("a.gone") & indexed(o_size, o_pos)).otherwise(~F.col("a.gone") & indexed(size, pos))
+    get = lambda side, c: F.col(f"{side}.{c}")
+    size, o_size = (F.shiftrightunsigned(get(s, "meta"), 31).bitwiseAND(F.lit(_31)) for s in "ab")
+    pos, o_pos = (get(s, "meta").bitwiseAND(F.lit(_31)) for s in "ab")
+    open_ = get("a", "meta") < (1 << 62)
+    # whichever of the two is smaller is met through its shorter, indexing prefix; long pairs through all tokens, which are counted
+    indexed = lambda size, pos: pos < size - F.ceil(size * 2 * t / F.lit(float(100 + t)) - 1e-9) + 1
+    weak = lambda size, o_size: size + o_size - 2 * needed(size, o_size, t) >= WEAK_BITS
+    through = weak(size, o_size) | F.when(o_size <= size, indexed(o_size, o_pos)).otherwise(indexed(size, pos))
     room = 1 + F.least(size - pos - 1, o_size - o_pos - 1) + F.least(pos, o_pos) >= needed(size, o_size, t)
-    near = flagged.alias("a").join(flagged.alias("b"), F.col("a.token") == F.col("b.token")).where(shorter & room & (F.col("b.gone") | (F.col("b.place") < F.col("a.place"))))
-    near = near.select("a.place", "a.size", "a.sig", "a.sig2", F.col("b.place").alias("o"), F.col("b.size").alias("o_size"), F.col("b.sig").alias("o_sig"), F.col("b.sig2").alias("o_sig2"))
-    more = verified(similar(near))
-    later = found.union(more).distinct().withColumn("gone", F.lit(True))
-    classes = lines_of(docs, "doc_id", "text").select("h", "doc_id", "line_no", place.alias("place"))
-    classes = classes.join(sigs.select("h", F.col("place").alias("first")), "h").join(later.withColumnRenamed("place", "first"), "first", "left")
-    return classes.select("doc_id", "line_no", (F.coalesce("gone", F.lit(False)) | (F.col("first") < F.col("place"))).alias("removed"))
+    pair = flagged.alias("a").join(flagged.alias("b"), get("a", "token") == get("b", "token")).where((get("b", "place") < get("a", "place")) & F.when(open_, through).otherwise(False) & room & alike(size, o_size, get("a", "sig"), get("b", "sig"), get("a", "sig2"), get("b", "sig2")))
+    pair = pair.select(get("a", "place"), get("b", "place").alias("o"), size.alias("size"), o_size.alias("o_size")).groupBy("place", "o").agg(F.first("size").alias("n"), F.first("o_size").alias("m"), F.count("*").alias("shared"))
+    # what two lines have in common is in both prefixes or after the prefix that ends first
+    n, m = F.col("n"), F.col("m")
+    pair = pair.where(~weak(n, m) | (F.col("shared") + F.greatest(beyond_prefix(n, t), beyond_prefix(m, t)) >= needed(n, m, t)))
+    later = found.union(verified(pair.select("place", "o"))).distinct().withColumn("gone", F.lit(True))
+    classes = sigs.select("h", "place").join(small(later), "place", "left").select("h", F.col("place").alias("first"), F.coalesce("gone", F.lit(False)).alias("gone"))
+    out = lines_of(docs, "doc_id", "text").select("h", "doc_id", "line_no").join(classes, "h")
+    out = materialise(out.select("doc_id", "line_no", (F.col("gone") | (F.col("first") < place)).alias("removed")), "lines-removed")
+    scratch.drop()
+    return out
 
 
 def line_report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", t: int = 80) -> DataFrame:
     """(doc_id, n_lines, n_removed, removed_lines) of every id: lines that have a word, and the numbers of those removed, from 0."""
-    found = later_lines(docs, doc_id, text, t).distinct().groupBy("doc_id").agg(
+    # dealt by document first: both aggregations then need no shuffle of their own
+    found = later_lines(docs, doc_id, text, t).repartition("doc_id").distinct().groupBy("doc_id").agg(
         F.count("*").alias("n_lines"), F.sum(F.col("removed").cast("long")).alias("n_removed"), F.array_join(F.sort_array(F.collect_list(F.when(F.col("removed"), F.col("line_no")))), ",").alias("removed_lines")
     ).withColumnRenamed("doc_id", "_d")
     rows = docs.select(F.col(doc_id).alias("doc_id"))
@@ -135,11 +174,16 @@ def line_report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", t:
     return out.select("doc_id", F.coalesce("n_lines", F.lit(0)).cast("long").alias("n_lines"), F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("removed_lines", F.lit("")).alias("removed_lines"))
 
 
-def drop_later_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", t: int = 80) -> DataFrame:
-    """``docs`` with the removed lines cut from ``text``; all rows and other columns stay, a text without any line left is empty."""
-    gone = later_lines(docs, doc_id, text, t).where("removed").groupBy(F.col("doc_id").alias("_d")).agg(F.collect_set("line_no").alias("_gone"))
+def drop_later_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", t: int = 80, broadcast_lines: int = 1_000_000) -> DataFrame:
+    """``docs`` with the removed lines cut from ``text``; all rows and other columns, whatever their names, stay; a text without any line left is empty.
+
+    The numbers of the removed lines are broadcast up to ``broadcast_lines`` of them; beyond, the texts are shuffled to them.
+    """
+    gone = later_lines(docs, doc_id, text, t).where("removed").groupBy(F.col("doc_id").alias("_key")).agg(F.collect_set("line_no").alias("_gone"))
     gone = materialise(gone, "line-gone")
-    d = docs.join(gone, docs[doc_id].eqNullSafe(gone["_d"]), "left")
-    lines = F.split(F.col(text), "\n")
+    some = gone.agg(F.coalesce(F.sum(F.size("_gone")), F.lit(0))).first()[0] <= broadcast_lines
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    d = rows.join(F.broadcast(gone) if some else gone, F.col("_row")[doc_id].eqNullSafe(F.col("_key")), "left")
+    lines = F.split(F.col("_row")[text], "\n")
     kept = F.array_join(F.filter(F.transform(lines, lambda x, i: F.when(~F.array_contains("_gone", i), x)), lambda x: x.isNotNull()), "\n")
-    return d.select(*[F.when(F.col("_gone").isNotNull(), kept).otherwise(F.col(text)).alias(text) if c == text else F.col(c) for c in docs.columns])
+    return d.select(*[F.when(F.col("_gone").isNotNull(), kept).otherwise(F.col("_row")[text]).alias(text) if c == text else F.col("_row")[c].alias(c) for c in docs.columns])
