@@ -24,6 +24,8 @@ from .common import SPACE_RE, Scratch, materialise
 BUCKET_BITS = 20
 #: Tokens of a line by which its earliest likeness is sought before the full join.
 PROPOSING = 4
+#: Tokens from which on a line has the second half of its parity bits.
+LONG = 64
 #: Parity bits in which a pair may differ, from which on the shared prefix tokens are counted too.
 WEAK_BITS = 40
 _31 = (1 << 31) - 1
@@ -35,26 +37,33 @@ def lines_of(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     return d.where(F.col("line").rlike(r"[^\x20\x09-\x0D]")).withColumn("h", F.xxhash64("line"))
 
 
+def split_words(line: Column) -> Column:
+    """The lower-cased words of a line, and empty strings at its ends and between spaces; lines of plain spaces take the short way."""
+    low, other = F.lower(line), F.lit(False)
+    for c in "\t\x0b\x0c\r":
+        other = other | F.contains(line, F.lit(c))
+    return F.when(other, F.split(low, SPACE_RE)).otherwise(F.split(low, " "))
+
+
 def tokens(line: Column) -> Column:
     """The distinct lower-cased words of a line."""
-    return F.array_remove(F.array_distinct(F.split(F.lower(line), SPACE_RE)), "")
+    return F.array_remove(F.array_distinct(split_words(line)), "")
 
 
-def rarity(docs: DataFrame, text: str = "text") -> Column:
+def rarity(lines: DataFrame, scratch: Scratch) -> Column:
     """Sixteen levels of each bucket's count of words, sixteen buckets a long, as one constant array.
 
-    A level is a binary order of magnitude, from an eighth of the mean bucket's count up.
+    A level is a binary order of magnitude, from an eighth of the mean bucket's count up. It is stored with
+    its upper bit turned, so that levels compare rightly as the four upper bits of a signed long.
     """
-    each = docs.select(F.explode(F.split(F.lower(F.col(text)), SPACE_RE)).alias("t"))
-    counts = each.groupBy(F.xxhash64("t").bitwiseAND(F.lit((1 << BUCKET_BITS) - 1)).cast("int").alias("b")).count()
-    size = F.floor(F.log2("count")).cast("int")
-    packed = counts.groupBy(F.shiftright("b", 4).alias("at")).agg(F.collect_list(F.struct(F.col("b").bitwiseAND(F.lit(15)).alias("k"), size.alias("n"))).alias("each"), F.sum("count").alias("n"))
-    rows = packed.collect()
-    least = max(0, (sum(r.n for r in rows) >> BUCKET_BITS).bit_length() - 4)
+    each = lines.select(F.explode(split_words(F.col("line"))).alias("t"))
+    counts = scratch.table(each.groupBy(F.shiftrightunsigned(F.xxhash64("t"), 64 - BUCKET_BITS).cast("int").alias("b")).count())
+    least = max(0, ((counts.agg(F.sum("count")).first()[0] or 0) >> BUCKET_BITS).bit_length() - 4)
+    level = F.least(F.lit(15), F.greatest(F.lit(0), F.floor(F.log2("count")) - least)).cast("long").bitwiseXOR(F.lit(8).cast("long"))
+    nibble = F.call_function("shiftleft", level, F.col("b").bitwiseAND(F.lit(15)) * 4)
     levels = ["0"] * (1 << BUCKET_BITS - 4)
-    for r in rows:
-        x = sum(min(15, max(0, n - least)) << 4 * k for k, n in r.each)
-        levels[r["at"]] = str(x - (1 << 64) if x >> 63 else x)
+    for at, x in counts.groupBy(F.shiftright("b", 4)).agg(F.bit_or(nibble)).collect():
+        levels[at] = str(x)
     return F.split(F.lit(",".join(levels)), ",").cast("array<bigint>")
 
 
@@ -73,28 +82,26 @@ def order_of(docs: DataFrame, doc_id: str) -> Column:
     wide = F.struct("doc_id", "line_no")
     if not isinstance(docs.schema[doc_id].dataType, T.IntegralType):
         return wide
-    known = docs.agg(F.max(F.abs(F.col(doc_id).cast("double"))).alias("id"), F.max(F.length("text")).alias("text"), F.max(F.col(doc_id).isNull()).alias("null")).first()
+    known = docs.agg(F.max(F.abs(F.col(doc_id).cast("double"))).alias("id"), F.max(F.octet_length("text")).alias("text"), F.max(F.col(doc_id).isNull()).alias("null")).first()
     fits = (known.id or 0) < 1 << 40 and (known.text or 0) < 1 << 22 and not known["null"]
     return (F.col("doc_id").cast("long") * (1 << 22) + F.col("line_no")) if fits else wide
 
 
-def signatures(docs: DataFrame, doc_id: str, text: str, t: int, place: Column) -> DataFrame:
+def signatures(lines: DataFrame, levels: Column, t: int, place: Column) -> DataFrame:
     """One row a class of equal lines: its first place, size, parity bits and the probing prefix, of which 32 bits a token."""
-    levels, shift = rarity(docs, text), lambda by, x, n: F.call_function(by, x, n)
-    hashes = F.transform(F.split(F.lower("line"), SPACE_RE), lambda w: F.xxhash64(w))
-    bucket = lambda y: y.bitwiseAND(F.lit((1 << BUCKET_BITS) - 1)).cast("int")
-    level = lambda y: shift("shiftrightunsigned", F.get(levels, F.shiftright(bucket(y), 4)), bucket(y).bitwiseAND(F.lit(15)) * 4).bitwiseAND(F.lit(15).cast("long"))
+    shift = F.call_function
+    y = F.array_remove(F.array_distinct(F.transform(split_words(F.col("line")), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
     # rarity on top, the hash below it: a line's tokens from the rarest to the most frequent
-    rank = lambda y: F.shiftleft(level(y), 59).bitwiseOR(F.shiftrightunsigned(y, 5))
-    rows = lines_of(docs, doc_id, text).select("h", place.alias("place"), F.array_remove(F.array_distinct(hashes), F.xxhash64(F.lit(""))).alias("y"))
-    rows = rows.select("h", "place", F.sort_array(F.transform("y", rank)).alias("x"))
-    # 128 parity bits in two longs, the second for lines that need them: two sets differ in at least as many tokens as their bits differ
-    bit = lambda x, on: shift("shiftleft", on.bitwiseAND(F.lit(1).cast("long")), x.bitwiseAND(F.lit(63)).cast("int"))
-    parity = F.aggregate("x", F.lit(0).cast("long"), lambda acc, x: acc.bitwiseXOR(bit(x, F.shiftright(x, 6))))
-    parity2 = F.aggregate("x", F.lit(0).cast("long"), lambda acc, x: acc.bitwiseXOR(bit(x, F.shiftright(F.bitwise_not(x), 6))))
-    size = F.size("x")
+    level = lambda y: shift("shiftrightunsigned", F.get(levels, F.shiftrightunsigned(y, 68 - BUCKET_BITS).cast("int")), F.shiftrightunsigned(y, 62 - BUCKET_BITS).bitwiseAND(F.lit(60)).cast("int"))
+    rank = lambda y: F.shiftleft(level(y), 60).bitwiseOR(F.shiftrightunsigned(y, 4))
+    rows = lines.select("h", place.alias("place"), F.sort_array(F.transform(y, rank)).alias("x"))
+    # 128 parity bits in two longs, the second for longer lines only: two sets differ in at least as many tokens as their bits differ
+    one, size = F.lit(1).cast("long"), F.size("x")
+    bit = lambda x: x.bitwiseAND(F.lit(63)).cast("int")
+    parity = F.aggregate("x", F.lit(0).cast("long"), lambda acc, x: acc.bitwiseXOR(shift("shiftleft", one, bit(x))))
+    half = F.aggregate("x", F.lit(0).cast("long"), lambda acc, x: acc.bitwiseXOR(shift("shiftleft", F.shiftright(x, 6).bitwiseAND(one), bit(x))))
     prefix = F.transform(F.slice("x", F.lit(1), (size - beyond_prefix(size, t)).cast("int")), lambda x: (x.bitwiseAND(F.lit((1 << 32) - 1)) - (1 << 31)).cast("int"))
-    rows = rows.select("h", "place", size.alias("size"), parity.alias("sig"), parity2.alias("sig2"), prefix.alias("prefix"))
+    rows = rows.select("h", "place", size.alias("size"), parity.alias("sig"), F.when(size >= LONG, half).otherwise(F.lit(0).cast("long")).alias("sig2"), prefix.alias("prefix"))
     return rows.groupBy("h").agg(F.min("place").alias("place"), F.first("size").alias("size"), F.first("sig").alias("sig"), F.first("sig2").alias("sig2"), F.first("prefix").alias("prefix"))
 
 
@@ -111,28 +118,37 @@ def later_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", t:
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     scratch = Scratch(docs.sparkSession, "lines")
     place = order_of(docs, "doc_id")
-    sigs = scratch.table(signatures(docs, "doc_id", "text", t, place))
+    lines = lines_of(docs, "doc_id", "text")
+    sigs = scratch.table(signatures(lines, rarity(lines, scratch), t, place))
+    whole = sigs.schema["place"].dataType == T.LongType()
 
     def small(df: DataFrame) -> DataFrame:
         return F.broadcast(df) if df.count() <= broadcast_lines else df
 
     def alike(size: Column, o_size: Column, sig: Column, o_sig: Column, sig2: Column, o_sig2: Column) -> Column:
         """The size and parity filters."""
-        differ = F.bit_count(sig.bitwiseXOR(o_sig)) + F.bit_count(sig2.bitwiseXOR(o_sig2))
+        d, d2 = sig.bitwiseXOR(o_sig), sig2.bitwiseXOR(o_sig2)
+        differ = F.when(F.least(size, o_size) >= LONG, F.bit_count(d.bitwiseXOR(d2)) + F.bit_count(d2)).otherwise(F.bit_count(d))
         return (F.least(size, o_size) * 100 >= F.greatest(size, o_size) * t) & (differ <= size + o_size - 2 * needed(size, o_size, t))
 
     def verified(pairs: DataFrame) -> DataFrame:
         """The places of pairs whose word sets really are that similar."""
         pairs = scratch.table(pairs)
         wanted = scratch.table(pairs.select("place").union(pairs.select("o")).distinct())
-        words = lines_of(docs, "doc_id", "text").select(place.alias("place"), "line").join(small(wanted), "place", "left_semi")
+        if few := wanted.count() <= broadcast_lines:  # then only the documents of these lines are split
+            ids = wanted.select((F.shiftright("place", 22) if whole else F.col("place.doc_id")).alias("doc_id")).distinct()
+            some = docs.join(F.broadcast(ids), docs["doc_id"].eqNullSafe(ids["doc_id"]), "left_semi")
+        words = lines_of(some if few else docs).select(place.alias("place"), "line").join(F.broadcast(wanted) if few else wanted, "place", "left_semi")
         words = scratch.table(words.select("place", tokens(F.col("line")).alias("w")))
         p = pairs.join(words, "place").select("place", "o", F.col("w").alias("a")).join(words.select(F.col("place").alias("o"), F.col("w").alias("b")), "o")
         common = F.size(F.array_intersect("a", "b"))
         return scratch.table(p.where(common * 100 >= (F.size("a") + F.size("b") - common) * t).select("place").distinct())
 
     # a few tokens are enough to propose: what this round leaves, the next one meets in full
-    dealt = sigs.select("place", "size", "sig", "sig2", F.explode(F.slice(F.sort_array("prefix"), 1, PROPOSING)).alias("token")).repartition("token")
+    columns = ["place", "size", "sig", "sig2", "token"]
+    dealt = sigs.select("place", "size", "sig", "sig2", F.explode(F.slice(F.sort_array("prefix"), 1, PROPOSING)).alias("token"))
+    # none of these is ever null; said here, it is below the exchange, which aggregation and join then share
+    dealt = dealt.where(" and ".join(f"{c} is not null" for c in columns)).repartition("token")
     first = dealt.groupBy("token").agg(F.min("place").alias("o"), F.min_by("size", "place").alias("o_size"), F.min_by("sig", "place").alias("o_sig"), F.min_by("sig2", "place").alias("o_sig2"), F.count("size").alias("n")).where("n > 1").drop("n")
     near = dealt.join(first, "token").where((F.col("o") < F.col("place")) & alike(*[F.col(c) for c in ("size", "o_size", "sig", "o_sig", "sig2", "o_sig2")]))
     found = verified(near.select("place", "o").distinct())
@@ -165,12 +181,11 @@ def later_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", t:
 
 def line_report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", t: int = 80) -> DataFrame:
     """(doc_id, n_lines, n_removed, removed_lines) of every id: lines that have a word, and the numbers of those removed, from 0."""
-    # dealt by document first: both aggregations then need no shuffle of their own
-    found = later_lines(docs, doc_id, text, t).repartition("doc_id").distinct().groupBy("doc_id").agg(
-        F.count("*").alias("n_lines"), F.sum(F.col("removed").cast("long")).alias("n_removed"), F.array_join(F.sort_array(F.collect_list(F.when(F.col("removed"), F.col("line_no")))), ",").alias("removed_lines")
-    ).withColumnRenamed("doc_id", "_d")
-    rows = docs.select(F.col(doc_id).alias("doc_id"))
-    out = rows.join(found, rows["doc_id"].eqNullSafe(found["_d"]), "left")
+    # dealt by document first: the aggregations then need no shuffle of their own
+    found = later_lines(docs, doc_id, text, t).repartition("doc_id").groupBy("doc_id", "line_no").agg(F.max("removed").alias("removed"))
+    listed = F.array_join(F.sort_array(F.collect_list(F.when(F.col("removed"), F.col("line_no")))), ",")
+    found = found.groupBy(F.col("doc_id").alias("_d")).agg(F.count("*").alias("n_lines"), F.count_if("removed").alias("n_removed"), listed.alias("removed_lines"))
+    out = docs.select(F.col(doc_id).alias("doc_id")).join(found, F.col("doc_id").eqNullSafe(F.col("_d")), "left")
     return out.select("doc_id", F.coalesce("n_lines", F.lit(0)).cast("long").alias("n_lines"), F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("removed_lines", F.lit("")).alias("removed_lines"))
 
 
