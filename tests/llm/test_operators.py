@@ -241,6 +241,22 @@ def test_line_dedup_equals_brute_force(spark):
     assert kept[0].split("\n")[0] == lines[0] and kept[len(texts) - 1] == "" and kept[65] is None
 
 
+def test_line_dedup_without_broadcasts_and_of_long_lines(spark):
+    rng = random.Random(31)
+    words = [f"v{i}" for i in range(900)]
+    base = [rng.sample(words, n) for n in (70, 130, 260, 300)]
+    lines = []
+    for _ in range(60):
+        w = list(rng.choice(base))
+        for _ in range(rng.randrange(len(w) // 4)):
+            w[rng.randrange(len(w))] = rng.choice(words)
+        lines.append("\t".join(w) if rng.random() < 0.2 else " ".join(w))
+    texts = ["\n".join(lines[i : i + 3]) for i in range(0, 60, 3)] + [lines[0]] * 3
+    for limit in (1_000_000, 0):
+        got = {(r.doc_id, r.line_no): r.removed for r in line_dedup.later_lines(documents(spark, texts), broadcast_lines=limit).collect()}
+        assert got == brute_lines(texts)
+
+
 def test_line_dedup_of_strange_ids_and_empty(spark):
     rows = [(None, "one two three four"), (1 << 60, "one two three four"), (1 << 60, "other words")]
     got = line_dedup.later_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
@@ -248,6 +264,14 @@ def test_line_dedup_of_strange_ids_and_empty(spark):
     assert line_dedup.line_report(documents(spark, ["x"]).where("false")).count() == 0
 
 
+def test_line_dedup_of_text_ids_clashing_names_and_repeated_rows(spark):
+    rows = [("b", "one two three four\nx", 1, "k"), ("a", "ONE two three four", 2, "k"), ("a", "ONE two three four", 3, None)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string, _gone int, h string")
+    got = {(r.doc_id, r._gone): r.text for r in line_dedup.drop_later_lines(docs).collect()}
+    assert got == {("b", 1): "x", ("a", 2): rows[1][1], ("a", 3): rows[1][1]} and line_dedup.drop_later_lines(docs).columns == docs.columns
+    assert sorted(map(tuple, line_dedup.line_report(docs).collect())) == [("a", 1, 0, ""), ("a", 1, 0, ""), ("b", 2, 1, "0")]
+
+
 # ---------------------------------------------------------------- op6
 def brute_hits(texts, items, n=10):
     import re

@@ -4,11 +4,11 @@ A line is the set of its lower-cased words. Its tokens are ordered by rarity; tw
 more share a token in short prefixes of that order, at positions and with sizes that bound what they can
 have in common. Candidates that pass these filters, a parity test and, if they are long, a test of how many
 prefix tokens they share (exact bounds as well) are verified on their words, and a line that an earlier one
-resembles is removed.
+resembles is removed. Two lines that share neighbouring tokens are paired through the first of them.
 
 Rarity comes from counts of all words in 2**20 hash buckets, kept in four bits each: a table of fixed size
 that is part of the plan; any order that is the same for all lines keeps the join exact. Lines of equal text
-are one class with its first place. Before the full join, a few tokens of each prefix, those of least hash
+are one class, represented by its first line. Before the full join, a few tokens of each prefix, those of least hash
 and thus mostly the same ones in near copies, propose their earliest line to all others, so a large group of
 near copies is settled by rows in proportion to its size and does not meet itself pair by pair.
 """
@@ -34,7 +34,7 @@ _31 = (1 << 31) - 1
 def lines_of(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, line_no, line, h): every line that has a word; h is the hash of its text."""
     d = docs.select(F.col(doc_id).alias("doc_id"), F.posexplode(F.split(F.col(text), "\n")).alias("line_no", "line"))
-    return d.where(F.col("line").rlike(r"[^\x20\x09-\x0D]")).withColumn("h", F.xxhash64("line"))
+    return d.where(F.ltrim("line", F.lit(" \t\x0b\x0c\r")) != "").withColumn("h", F.xxhash64("line"))
 
 
 def split_words(line: Column) -> Column:
@@ -77,18 +77,28 @@ def beyond_prefix(size: Column, t: int) -> Column:
     return F.ceil(size * t / F.lit(100.0) - 1e-9) - 1
 
 
-def order_of(docs: DataFrame, doc_id: str) -> Column:
-    """A line's place in the order (doc_id, line_no): one long where ids are whole numbers that leave 22 bits for it, else a struct."""
-    wide = F.struct("doc_id", "line_no")
-    if not isinstance(docs.schema[doc_id].dataType, T.IntegralType):
-        return wide
-    known = docs.agg(F.max(F.abs(F.col(doc_id).cast("double"))).alias("id"), F.max(F.octet_length("text")).alias("text"), F.max(F.col(doc_id).isNull()).alias("null")).first()
-    fits = (known.id or 0) < 1 << 40 and (known.text or 0) < 1 << 22 and not known["null"]
-    return (F.col("doc_id").cast("long") * (1 << 22) + F.col("line_no")) if fits else wide
+def repeated_lines(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, Column]:
+    """(h, first) of lines whose text occurs more than once, and a line's place in the order (doc_id, line_no).
+
+    A place is one long where ids are whole numbers that leave 22 bits for the line number, which the same
+    pass finds out, else a struct.
+    """
+    lines, wide = lines_of(docs), F.struct("doc_id", "line_no")
+
+    def twice(h: Column, place: Column) -> DataFrame:
+        return scratch.table(lines.groupBy(h.alias("h")).agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1 or h is null").select("h", "first"))
+
+    if isinstance(docs.schema["doc_id"].dataType, T.IntegralType):
+        id_, place = F.col("doc_id").cast("long"), F.shiftleft(F.col("doc_id").cast("long"), 22).bitwiseOR(F.col("line_no").cast("long"))
+        fits = id_.between(-(1 << 40), (1 << 40) - 1) & (F.col("line_no") < 1 << 22)
+        repeated = twice(F.when(fits, F.col("h")), place)  # lines that do not fit meet in the group of null
+        if not repeated.where("h is null").count():
+            return repeated, place
+    return twice(F.col("h"), wide), wide
 
 
 def signatures(lines: DataFrame, levels: Column, t: int, place: Column) -> DataFrame:
-    """One row a class of equal lines: its first place, size, parity bits and the probing prefix, of which 32 bits a token."""
+    """(h, place, size, parity bits, probing prefix) of each line, of which 32 bits a token."""
     shift = F.call_function
     y = F.array_remove(F.array_distinct(F.transform(split_words(F.col("line")), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
     # rarity on top, the hash below it: a line's tokens from the rarest to the most frequent
@@ -101,25 +111,21 @@ def signatures(lines: DataFrame, levels: Column, t: int, place: Column) -> DataF
     parity = F.aggregate("x", F.lit(0).cast("long"), lambda acc, x: acc.bitwiseXOR(shift("shiftleft", one, bit(x))))
     half = F.aggregate("x", F.lit(0).cast("long"), lambda acc, x: acc.bitwiseXOR(shift("shiftleft", F.shiftright(x, 6).bitwiseAND(one), bit(x))))
     prefix = F.transform(F.slice("x", F.lit(1), (size - beyond_prefix(size, t)).cast("int")), lambda x: (x.bitwiseAND(F.lit((1 << 32) - 1)) - (1 << 31)).cast("int"))
-    rows = rows.select("h", "place", size.alias("size"), parity.alias("sig"), F.when(size >= LONG, half).otherwise(F.lit(0).cast("long")).alias("sig2"), prefix.alias("prefix"))
-    return rows.groupBy("h").agg(F.min("place").alias("place"), F.first("size").alias("size"), F.first("sig").alias("sig"), F.first("sig2").alias("sig2"), F.first("prefix").alias("prefix"))
+    return rows.select("h", "place", size.alias("size"), parity.alias("sig"), F.when(size >= LONG, half).otherwise(F.lit(0).cast("long")).alias("sig2"), prefix.alias("prefix"))
 
 
-def later_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", t: int = 80, broadcast_lines: int = 1_000_000) -> DataFrame:
-    """(doc_id, line_no, removed) of every line that has a word.
-
-    A line is removed if an earlier one, by (doc_id, line number), has Jaccard of ``t`` hundredths or more
-    with it on sets of lower-cased words; lines without words are never removed and not returned. An earlier
-    line counts whether or not it is removed itself. Rows that share an id and a line number are equally
-    early and judged together; a null id comes first; ids of any type that can be ordered will do. Null
-    texts have no lines, and other columns of ``docs`` are not looked at. Places of lines are broadcast only
-    up to ``broadcast_lines`` of them.
-    """
-    docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+def changed_lines(docs: DataFrame, t: int, broadcast_lines: int) -> tuple[DataFrame, Column]:
+    """(h, first, gone) of lines whose text is repeated or resembles an earlier line, and a line's place; docs has doc_id and text."""
     scratch = Scratch(docs.sparkSession, "lines")
-    place = order_of(docs, "doc_id")
-    lines = lines_of(docs, "doc_id", "text")
-    sigs = scratch.table(signatures(lines, rarity(lines, scratch), t, place))
+    repeated, place = repeated_lines(docs, scratch)
+    lines = lines_of(docs).withColumn("place", place)
+    few = repeated.count() <= broadcast_lines
+    if few:  # only the first line of each class goes on
+        lines = lines.join(F.broadcast(repeated), "h", "left").where(F.col("first").isNull() | (F.col("first") == F.col("place")))
+    sigs = signatures(lines, rarity(lines, scratch), t, F.col("place"))
+    if not few:  # lines of equal text are merged when they are short rows
+        sigs = sigs.groupBy("h").agg(F.min("place").alias("place"), *[F.first(c).alias(c) for c in ("size", "sig", "sig2", "prefix")])
+    sigs = scratch.table(sigs)
     whole = sigs.schema["place"].dataType == T.LongType()
 
     def small(df: DataFrame) -> DataFrame:
@@ -154,8 +160,8 @@ def later_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", t:
     found = verified(near.select("place", "o").distinct())
     # size and position in one long, with a mark for those that are settled
     meta = F.shiftleft(F.col("size").cast("long"), 31).bitwiseOR(F.col("pos").cast("long")).bitwiseOR(F.when(F.col("gone"), F.lit(1 << 62)).otherwise(F.lit(0)))
-    flagged = sigs.join(small(found).withColumn("gone", F.lit(True)), "place", "left").select("place", "size", "sig", "sig2", F.coalesce("gone", F.lit(False)).alias("gone"), F.posexplode("prefix").alias("pos", "token"))
-    flagged = flagged.select("token", "place", meta.alias("meta"), "sig", "sig2")
+    flagged = sigs.join(small(found).withColumn("gone", F.lit(True)), "place", "left").select("place", "size", "sig", "sig2", F.coalesce("gone", F.lit(False)).alias("gone"), "prefix", F.posexplode("prefix").alias("pos", "token"))
+    flagged = flagged.select("token", F.get("prefix", F.col("pos") - 1).alias("last"), "place", meta.alias("meta"), "sig", "sig2")
     # one frame joined with itself, and no condition of one side alone, so that both sides read one exchange
     get = lambda side, c: F.col(f"{side}.{c}")
     size, o_size = (F.shiftrightunsigned(get(s, "meta"), 31).bitwiseAND(F.lit(_31)) for s in "ab")
@@ -164,29 +170,56 @@ def later_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", t:
     # whichever of the two is smaller is met through its shorter, indexing prefix; long pairs through all tokens, which are counted
     indexed = lambda size, pos: pos < size - F.ceil(size * 2 * t / F.lit(float(100 + t)) - 1e-9) + 1
     weak = lambda size, o_size: size + o_size - 2 * needed(size, o_size, t) >= WEAK_BITS
-    through = weak(size, o_size) | F.when(o_size <= size, indexed(o_size, o_pos)).otherwise(indexed(size, pos))
+    again = F.coalesce(get("a", "last") == get("b", "last"), F.lit(False))
+    through = weak(size, o_size) | (~again & F.when(o_size <= size, indexed(o_size, o_pos)).otherwise(indexed(size, pos)))
     room = 1 + F.least(size - pos - 1, o_size - o_pos - 1) + F.least(pos, o_pos) >= needed(size, o_size, t)
     pair = flagged.alias("a").join(flagged.alias("b"), get("a", "token") == get("b", "token")).where((get("b", "place") < get("a", "place")) & F.when(open_, through).otherwise(False) & room & alike(size, o_size, get("a", "sig"), get("b", "sig"), get("a", "sig2"), get("b", "sig2")))
     pair = pair.select(get("a", "place"), get("b", "place").alias("o"), size.alias("size"), o_size.alias("o_size")).groupBy("place", "o").agg(F.first("size").alias("n"), F.first("o_size").alias("m"), F.count("*").alias("shared"))
     # what two lines have in common is in both prefixes or after the prefix that ends first
     n, m = F.col("n"), F.col("m")
     pair = pair.where(~weak(n, m) | (F.col("shared") + F.greatest(beyond_prefix(n, t), beyond_prefix(m, t)) >= needed(n, m, t)))
-    later = found.union(verified(pair.select("place", "o"))).distinct().withColumn("gone", F.lit(True))
-    classes = sigs.select("h", "place").join(small(later), "place", "left").select("h", F.col("place").alias("first"), F.coalesce("gone", F.lit(False)).alias("gone"))
-    out = lines_of(docs, "doc_id", "text").select("h", "doc_id", "line_no").join(classes, "h")
-    out = materialise(out.select("doc_id", "line_no", (F.col("gone") | (F.col("first") < place)).alias("removed")), "lines-removed")
+    later = scratch.table(found.union(verified(pair.select("place", "o"))).distinct())
+    gone = sigs.select("h", "place").join(small(later), "place", "left_semi").select("h", F.col("place").alias("first"), F.lit(True).alias("gone"))
+    # of a class that is both, one row: the one that says so
+    out = gone.union(repeated.select("h", "first", F.lit(False))).groupBy("h").agg(F.min("first").alias("first"), F.max("gone").alias("gone"))
+    out = materialise(out, "lines-changed")
     scratch.drop()
-    return out
+    return out, place
+
 
+def judged(docs: DataFrame, doc_id: str, text: str, t: int, broadcast_lines: int, how: str) -> DataFrame:
+    """(doc_id, line_no, removed) of every line (``how`` is left) or of lines of changed classes (inner)."""
+    docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    changed, place = changed_lines(docs, t, broadcast_lines)
+    side = F.broadcast(changed) if changed.count() <= broadcast_lines else changed
+    lines = lines_of(docs).select("h", "doc_id", "line_no").join(side, "h", how)
+    return lines.select("doc_id", "line_no", F.coalesce(F.col("gone") | (F.col("first") < place), F.lit(False)).alias("removed"))
+
+
+def later_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", t: int = 80, broadcast_lines: int = 1_000_000) -> DataFrame:
+    """(doc_id, line_no, removed) of every line that has a word.
+
+    A line is removed if an earlier one, by (doc_id, line number), has Jaccard of ``t`` hundredths or more
+    with it on sets of lower-cased words; lines without words are never removed and not returned. An earlier
+    line counts whether or not it is removed itself. Rows that share an id and a line number are equally
+    early and judged together; a null id comes first; ids of any type that can be ordered will do. Null
+    texts have no lines, and other columns of ``docs`` are not looked at. Places and hashes of lines are
+    broadcast only up to ``broadcast_lines`` of them, and joined by shuffling beyond.
+    """
+    return judged(docs, doc_id, text, t, broadcast_lines, "left")
 
-def line_report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", t: int = 80) -> DataFrame:
-    """(doc_id, n_lines, n_removed, removed_lines) of every id: lines that have a word, and the numbers of those removed, from 0."""
-    # dealt by document first: the aggregations then need no shuffle of their own
-    found = later_lines(docs, doc_id, text, t).repartition("doc_id").groupBy("doc_id", "line_no").agg(F.max("removed").alias("removed"))
-    listed = F.array_join(F.sort_array(F.collect_list(F.when(F.col("removed"), F.col("line_no")))), ",")
-    found = found.groupBy(F.col("doc_id").alias("_d")).agg(F.count("*").alias("n_lines"), F.count_if("removed").alias("n_removed"), listed.alias("removed_lines"))
-    out = docs.select(F.col(doc_id).alias("doc_id")).join(found, F.col("doc_id").eqNullSafe(F.col("_d")), "left")
-    return out.select("doc_id", F.coalesce("n_lines", F.lit(0)).cast("long").alias("n_lines"), F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("removed_lines", F.lit("")).alias("removed_lines"))
+
+def line_report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", t: int = 80, broadcast_lines: int = 1_000_000) -> DataFrame:
+    """(doc_id, n_lines, n_removed, removed_lines) of every row: its lines that have a word, and the numbers of those removed, from 0.
+
+    Rows that share an id share the numbers removed, as far as they have such lines.
+    """
+    removed = judged(docs, doc_id, text, t, broadcast_lines, "inner").where("removed").groupBy(F.col("doc_id").alias("_d")).agg(F.sort_array(F.collect_set("line_no")).alias("gone"))
+    own = F.transform(F.split(F.col(text), "\n"), lambda x: F.ltrim(x, F.lit(" \t\x0b\x0c\r")) != "")
+    out = docs.select(F.col(doc_id).alias("doc_id"), own.alias("own")).join(removed, F.col("doc_id").eqNullSafe(F.col("_d")), "left")
+    out = out.withColumn("gone", F.filter(F.coalesce("gone", F.array().cast("array<int>")), lambda i: F.coalesce(F.get("own", i), F.lit(False))))
+    n_lines = F.when(F.col("own").isNull(), 0).otherwise(F.size(F.filter("own", lambda x: x)))
+    return out.select("doc_id", n_lines.cast("long").alias("n_lines"), F.size("gone").cast("long").alias("n_removed"), F.array_join("gone", ",").alias("removed_lines"))
 
 
 def drop_later_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", t: int = 80, broadcast_lines: int = 1_000_000) -> DataFrame:
@@ -194,7 +227,7 @@ def drop_later_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
 
     The numbers of the removed lines are broadcast up to ``broadcast_lines`` of them; beyond, the texts are shuffled to them.
     """
-    gone = later_lines(docs, doc_id, text, t).where("removed").groupBy(F.col("doc_id").alias("_key")).agg(F.collect_set("line_no").alias("_gone"))
+    gone = judged(docs, doc_id, text, t, broadcast_lines, "inner").where("removed").groupBy(F.col("doc_id").alias("_key")).agg(F.collect_set("line_no").alias("_gone"))
     gone = materialise(gone, "line-gone")
     some = gone.agg(F.coalesce(F.sum(F.size("_gone")), F.lit(0))).first()[0] <= broadcast_lines
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
