@@ -15,14 +15,16 @@ from wordloom.llm.common import doc_crc, materialise
 
 #: Least share of the probability that the predicted language must have.
 LEAST_SCORE = 0.5
+#: Most document ids that a stage broadcasts.
+BROADCAST_IDS = 1_000_000
 
 
 def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without letters and those whose language is not clear; the lang column stays as it was."""
+    """Drops documents without letters and those whose language is not clear; every column stays as it was, whatever its name."""
     model = langid.fit(docs, F.pmod(doc_crc("doc_id"), F.lit(4)) != 2)
-    others = [c for c in docs.columns if c not in ("doc_id", "text")]
-    tagged = langid.predict_rows(docs, model)
-    return tagged.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("lang_score") >= LEAST_SCORE)).select("doc_id", "text", *others).select(*docs.columns)
+    rows = docs.select("text", F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("others"))
+    tagged = langid.predict_rows(rows, model).where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("lang_score") >= LEAST_SCORE))
+    return tagged.select(*[F.col("text") if c == "text" else F.col("others")[c].alias(c) for c in docs.columns])
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,10 +34,14 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of smallest id of each SimHash group; documents of null id stay."""
+    """Keeps the document of smallest id of each SimHash group; documents of null id stay.
+
+    Up to ``BROADCAST_IDS`` ids that go are broadcast; beyond, the documents are shuffled to them.
+    """
     groups = simhash.simhash_groups(docs)
-    gone = groups.where(F.col("component_id") != F.col("doc_id")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    gone = materialise(groups.where(F.col("component_id") != F.col("doc_id")).select("doc_id").distinct(), "near-copies")
+    side = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
+    return docs.join(side, "doc_id", "left_anti").select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
