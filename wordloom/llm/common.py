@@ -47,7 +47,7 @@ class Scratch:
         """``df`` written as Parquet and read again: cuts lineage and survives lost executors."""
         self.tables += 1
         path = f"{self.path}/{self.tables}"
-        df.write.parquet(path)
+        df.write.option("parquet.enable.dictionary", "false").parquet(path)  # mostly hashes
         self.spark.sparkContext._jvm.System.gc()  # lets Spark's cleaner delete the shuffle files of what is now written
         return self.spark.read.schema(df.schema).parquet(path)
 

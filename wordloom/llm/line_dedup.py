@@ -25,7 +25,7 @@ BUCKET_BITS = 20
 #: Tokens of a line by which its earliest likeness is sought before the full join.
 PROPOSING = 4
 #: Tokens from which on a line has the second half of its parity bits.
-LONG = 64
+LONG = 80
 #: Parity bits in which a pair may differ, from which on the shared prefix tokens are counted too.
 WEAK_BITS = 40
 _31 = (1 << 31) - 1
@@ -67,9 +67,14 @@ def rarity(lines: DataFrame, scratch: Scratch) -> Column:
     return F.split(F.lit(",".join(levels)), ",").cast("array<bigint>")
 
 
-def needed(a: Column, b: Column, t: int) -> Column:
-    """Least common tokens of sets of a and b tokens with Jaccard of t hundredths or more."""
-    return F.ceil((a + b) * t / F.lit(100 + t) - 1e-9)
+def enough(common: Column, both: Column, t: int) -> Column:
+    """Whether sets with ``both`` tokens together can have Jaccard of t hundredths or more with at most ``common`` common ones."""
+    return common * (100 + t) >= both * t
+
+
+def may_differ(bits: Column | int, both: Column, t: int) -> Column:
+    """Whether sets with ``both`` tokens together can have such a Jaccard and differ in ``bits`` tokens or more."""
+    return both * (100 - t) >= bits * (100 + t)
 
 
 def beyond_prefix(size: Column, t: int) -> Column:
@@ -135,7 +140,7 @@ def changed_lines(docs: DataFrame, t: int, broadcast_lines: int) -> tuple[DataFr
         """The size and parity filters."""
         d, d2 = sig.bitwiseXOR(o_sig), sig2.bitwiseXOR(o_sig2)
         differ = F.when(F.least(size, o_size) >= LONG, F.bit_count(d.bitwiseXOR(d2)) + F.bit_count(d2)).otherwise(F.bit_count(d))
-        return (F.least(size, o_size) * 100 >= F.greatest(size, o_size) * t) & (differ <= size + o_size - 2 * needed(size, o_size, t))
+        return (size * 100 >= o_size * t) & (o_size * 100 >= size * t) & may_differ(differ, size + o_size, t)
 
     def verified(pairs: DataFrame) -> DataFrame:
         """The places of pairs whose word sets really are that similar."""
@@ -168,16 +173,18 @@ def changed_lines(docs: DataFrame, t: int, broadcast_lines: int) -> tuple[DataFr
     pos, o_pos = (get(s, "meta").bitwiseAND(F.lit(_31)) for s in "ab")
     open_ = get("a", "meta") < (1 << 62)
     # whichever of the two is smaller is met through its shorter, indexing prefix; long pairs through all tokens, which are counted
-    indexed = lambda size, pos: pos < size - F.ceil(size * 2 * t / F.lit(float(100 + t)) - 1e-9) + 1
-    weak = lambda size, o_size: size + o_size - 2 * needed(size, o_size, t) >= WEAK_BITS
+    indexed = lambda size, pos: size * (2 * t) <= (size - pos) * (100 + t)
+    weak = lambda size, o_size: may_differ(WEAK_BITS, size + o_size, t)
     again = F.coalesce(get("a", "last") == get("b", "last"), F.lit(False))
     through = weak(size, o_size) | (~again & F.when(o_size <= size, indexed(o_size, o_pos)).otherwise(indexed(size, pos)))
-    room = 1 + F.least(size - pos - 1, o_size - o_pos - 1) + F.least(pos, o_pos) >= needed(size, o_size, t)
-    pair = flagged.alias("a").join(flagged.alias("b"), get("a", "token") == get("b", "token")).where((get("b", "place") < get("a", "place")) & F.when(open_, through).otherwise(False) & room & alike(size, o_size, get("a", "sig"), get("b", "sig"), get("a", "sig2"), get("b", "sig2")))
+    room = enough(1 + F.least(size - pos - 1, o_size - o_pos - 1) + F.least(pos, o_pos), size + o_size, t)
+    # what is cheap and rare first: most pairs of a token end at their order or at the parity test
+    like = alike(size, o_size, get("a", "sig"), get("b", "sig"), get("a", "sig2"), get("b", "sig2"))
+    pair = flagged.alias("a").join(flagged.alias("b"), get("a", "token") == get("b", "token")).where((get("b", "place") < get("a", "place")) & F.when(open_, like).otherwise(False) & through & room)
     pair = pair.select(get("a", "place"), get("b", "place").alias("o"), size.alias("size"), o_size.alias("o_size")).groupBy("place", "o").agg(F.first("size").alias("n"), F.first("o_size").alias("m"), F.count("*").alias("shared"))
     # what two lines have in common is in both prefixes or after the prefix that ends first
     n, m = F.col("n"), F.col("m")
-    pair = pair.where(~weak(n, m) | (F.col("shared") + F.greatest(beyond_prefix(n, t), beyond_prefix(m, t)) >= needed(n, m, t)))
+    pair = pair.where(~weak(n, m) | enough(F.col("shared") + F.greatest(beyond_prefix(n, t), beyond_prefix(m, t)), n + m, t))
     later = scratch.table(found.union(verified(pair.select("place", "o"))).distinct())
     gone = sigs.select("h", "place").join(small(later), "place", "left_semi").select("h", F.col("place").alias("first"), F.lit(True).alias("gone"))
     # of a class that is both, one row: the one that says so
