@@ -134,7 +134,7 @@ def representatives(words: DataFrame, windows: DataFrame, candidates: DataFrame,
 def shapelets(words: DataFrame, windows: DataFrame, window: int, word_len: int, flat_code: int, masks: list[tuple[int, ...]], n_candidates: int = 50, top_k: int = 10, alphabet: int = 4) -> tuple[DataFrame, DataFrame]:
     """(dictionary: rank, code, ig, threshold, gap, dominant, support; its queries): symbolic filter, then verification of raw windows by information gain."""
     labels = words.select("series", "label").distinct().groupBy("label").agg(F.count("*").alias("n"))
-    classes = [r.label for r in labels.select("label").orderBy("label").limit(1000).collect()]
+    classes = [r.label for r in labels.select("label").orderBy("label").collect()]
     scores = candidate_scores(collisions(words, masks, word_len, alphabet), labels, len(masks))
     cand = scores.join(eligible(words, flat_code), "code").orderBy(F.desc(F.round("score", 9)), "code").limit(n_candidates).cache()
     queries = representatives(words, windows, cand.select("code", "dominant"), window).cache()

@@ -23,7 +23,7 @@ METHODS = ("fastshapelets", "bossst")
 
 
 def flat_code(word_len: int, alphabet: int) -> int:
-    """The word of the zero vector under normal breakpoints: zero goes up at a middle edge."""
+    """The SAX word of the zero vector: zero goes up at a middle edge."""
     return sum((alphabet // 2) * alphabet**i for i in range(word_len))
 
 
@@ -39,9 +39,10 @@ def features(points: DataFrame, window: int, method: str = "fastshapelets", word
         top, queries = G.shapelets(words, z, window, word_len, flat_code(word_len, alphabet), G.projection_masks(word_len, mask_size, n_projections, seed), n_candidates, top_k, alphabet)
         return G.match(words, z, top, queries, window), top
     coefs = X.fourier_windows(points, window, word_len, carry=("label",))
-    words = X.sfa_words(coefs, X.sfa_edges(coefs, word_len, alphabet), word_len, alphabet, carry=("label",))
-    classes = [r[0] for r in points.select("label").distinct().orderBy("label").limit(1000).collect()]
-    top = G.boss_words(words, flat_code(word_len, alphabet), classes, top_k)
+    edges = X.sfa_edges(coefs, word_len, alphabet)
+    words = X.sfa_words(coefs, edges, word_len, alphabet, carry=("label",))
+    classes = [r[0] for r in points.select("label").distinct().orderBy("label").collect()]
+    top = G.boss_words(words, X.sfa_zero_code(edges, alphabet), classes, top_k)
     digits = top.select("code", *[(F.floor(F.col("code") / alphabet ** (word_len - 1 - i)) % alphabet).cast("int").alias(f"r{i}") for i in range(word_len)])
     return G.boss_match(words, digits, word_len, alphabet), top
 

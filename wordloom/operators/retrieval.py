@@ -9,28 +9,44 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def dot(a: str, b: str, n: int):
-    """Unrolled product of two array columns of n numbers, which stays in generated code."""
-    terms = [F.get(a, F.lit(i)) * F.get(b, F.lit(i)) for i in range(n)]
-    return sum(terms[1:], terms[0])
-
-
 def unit(df: DataFrame, col: str, floor: float = 1e-6) -> DataFrame:
     """``df`` with ``col`` (an array) scaled to length 1; shorter than ``floor`` counts as ``floor``."""
     norm = F.greatest(F.sqrt(F.aggregate(col, F.lit(0.0), lambda s, x: s + x * x)), F.lit(floor))
     return df.withColumn("_n", norm).withColumn(col, F.transform(col, lambda x: x / F.col("_n"))).drop("_n")
 
 
-def nearest(queries: DataFrame, bank: DataFrame, k: int, n: int, metric: str = "cosine", within: tuple[str, ...] = ()) -> DataFrame:
-    """(query, bank, rank, score): the k best bank rows of each query, score first then bank id; ``within`` keeps to equal keys.
+def nearest(queries: DataFrame, bank: DataFrame, k: int, n: int, metric: str = "cosine", block: int = 16_384) -> DataFrame:
+    """(query, bank, rank, score): the k best bank rows of each query, score first, rounded to nine places, then bank id.
 
-    ``queries`` (query, v) and ``bank`` (bank, v). The bank is the bounded side (candidates are capped by the
-    caller, as the method asks) and is broadcast; each query keeps its k best in a grouped limit.
+    ``queries`` (query, v) and ``bank`` (bank, v) with arrays of n numbers. Both are dealt by hash into blocks
+    of about ``block`` rows; each pair of blocks keeps the k best of its queries, so that k rows a query and
+    bank block are shuffled, never the product.
     """
-    j = queries.join(F.broadcast(bank.withColumnRenamed("v", "u")), list(within)) if within else queries.join(F.broadcast(bank.withColumnRenamed("v", "u")))
-    score = dot("v", "u", n) if metric == "cosine" else -F.sqrt(F.greatest(F.lit(0.0), sum([(F.get("v", F.lit(i)) - F.get("u", F.lit(i))) ** 2 for i in range(1, n)], (F.get("v", F.lit(0)) - F.get("u", F.lit(0))) ** 2)))
+    parts = [max(1, -(-d.count() // block)) for d in (queries, bank)]
+    q = queries.select("query", "v", F.pmod(F.xxhash64("query"), F.lit(parts[0])).alias("qb"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts[1] - 1).cast("long"))).alias("bb"))
+    b = bank.select("bank", "v", F.pmod(F.xxhash64("bank"), F.lit(parts[1])).alias("bb"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts[0] - 1).cast("long"))).alias("qb"))
+
+    def best(own: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({"query": np.zeros(0, np.int64), "bank": np.zeros(0, np.int64), "score": np.zeros(0)})]
+        if len(own) and len(others):
+            others = others.sort_values("bank", ignore_index=True)
+            x, y, ids = np.stack(own["v"]).astype(float)[:, :n], np.stack(others["v"]).astype(float)[:, :n], others["bank"].to_numpy()
+            for lo in range(0, len(x), step := max(1, (1 << 22) // len(y))):
+                some = x[lo : lo + step]
+                score = some @ y.T if metric == "cosine" else -np.sqrt(np.maximum(0.0, (some**2).sum(1)[:, None] + (y**2).sum(1)[None, :] - 2 * some @ y.T))
+                r = -score.round(9)
+                r_k = np.partition(r, min(k, len(y)) - 1, axis=1)[:, min(k, len(y)) - 1]
+                i, j = np.nonzero(r <= r_k[:, None])
+                order = np.lexsort((j, r[i, j], i))
+                i, j = i[order], j[order]
+                keep = np.arange(len(i)) - np.searchsorted(i, i) < k
+                i, j = i[keep], j[keep]
+                out.append(pd.DataFrame({"query": own["query"].to_numpy()[lo + i], "bank": ids[j], "score": score[i, j]}))
+        return pd.concat(out)
+
+    found = q.groupBy("qb", "bb").cogroup(b.groupBy("qb", "bb")).applyInPandas(best, "query long, bank long, score double")
     w = W.partitionBy("query").orderBy(F.desc(F.round("score", 9)), "bank")
-    return j.select("query", "bank", score.alias("score")).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query", "bank", "rank", "score")
 
 
 def softmax_weights(neighbours: DataFrame) -> DataFrame:
@@ -115,21 +131,27 @@ def prototype_memory(keys: DataFrame, futures: DataFrame, centres: DataFrame, n:
     return grid.select("centre", "h", F.coalesce((F.col("own") * F.col("c") + F.col("mean") * shrink) / (F.col("c") + shrink), F.col("mean")).alias("level"))
 
 
-def anomaly_weight(rows: DataFrame, grid: tuple[float, ...], budget: float, threshold: float) -> DataFrame:
-    """(weight, far): false-alarm rate of base + weight x evidence >= threshold on normal rows; the last weight within the budget is kept even if a smaller one failed."""
-    row = rows.agg(*[F.avg((F.col("base") + w * F.col("evidence") >= threshold).cast("double")).alias(f"f{i}") for i, w in enumerate(grid)])
-    g = row.select(F.inline(F.array(*[F.struct(F.lit(float(w)).alias("weight"), F.col(f"f{i}").alias("far")) for i, w in enumerate(grid)])))
-    return g.where(F.col("far") <= budget).orderBy(F.desc("weight")).limit(1)
+def anomaly_weight(rows: DataFrame, grid: tuple[float, ...] = (0.0, 0.1, 0.25, 0.5, 1.0), tolerance: float = 0.05) -> DataFrame:
+    """(weight, q95): the largest weight w with which the 95 % quantile of base + w x spread x evidence over normal rows rises by at most ``tolerance`` of the 5 to 95 % spread of base.
+
+    ``rows``: (base, evidence) of normal validation windows.
+    """
+    grid = tuple(sorted({0.0, *grid}))
+    spread = rows.agg(F.percentile("base", F.array(F.lit(0.05), F.lit(0.95))).alias("q")).select(F.col("q")[1].alias("top"), F.greatest(F.col("q")[1] - F.col("q")[0], F.lit(1e-6)).alias("spread"))
+    row = rows.join(F.broadcast(spread)).groupBy("top", "spread").agg(*[F.percentile(F.col("base") + w * F.col("spread") * F.col("evidence"), 0.95).alias(f"q{i}") for i, w in enumerate(grid)])
+    g = row.select("top", "spread", F.inline(F.array(*[F.struct(F.lit(w).alias("weight"), F.col(f"q{i}").alias("q95")) for i, w in enumerate(grid)])))
+    return g.where(F.col("q95") <= F.col("top") + tolerance * F.col("spread") + 1e-12).orderBy(F.desc("weight")).limit(1).select("weight", "q95")
 
 
-def clipped_evidence(train: DataFrame, rows: DataFrame, cols: tuple[str, ...], clip: float = 9.0) -> DataFrame:
-    """``rows`` with evidence: mean clipped squared z over ``cols``, scaled by the training 5 to 95 % range."""
-    stats = train.agg(*[F.avg(c).alias(f"{c}_m") for c in cols], *[F.greatest(F.stddev_pop(c), F.lit(1e-6)).alias(f"{c}_s") for c in cols])
+def clipped_evidence(train: DataFrame, rows: DataFrame, cols: tuple[str, ...], clip: float = 25.0) -> DataFrame:
+    """``rows`` with evidence: mean clipped squared z over ``cols``, scaled by the training 5 to 95 % range and cut to 0..1."""
+    stats = train.agg(*[F.avg(c).alias(f"{c}_m") for c in cols], *[F.greatest(F.stddev_pop(c), F.lit(1e-5)).alias(f"{c}_s") for c in cols])
     z2 = [F.least(((F.col(c) - F.col(f"{c}_m")) / F.col(f"{c}_s")) ** 2, F.lit(clip)) for c in cols]
     raw = sum(z2[1:], z2[0]) / len(cols)
     scored = lambda d: d.join(F.broadcast(stats)).withColumn("_e", raw)
     q = scored(train).agg(F.percentile("_e", F.array(F.lit(0.05), F.lit(0.95))).alias("_q"))
-    return scored(rows).join(F.broadcast(q)).select(*rows.columns, ((F.col("_e") - F.col("_q")[0]) / F.greatest(F.col("_q")[1] - F.col("_q")[0], F.lit(1e-9))).alias("evidence"))
+    scaled = (F.col("_e") - F.col("_q")[0]) / F.greatest(F.col("_q")[1] - F.col("_q")[0], F.lit(1e-6))
+    return scored(rows).join(F.broadcast(q)).select(*rows.columns, F.greatest(F.lit(0.0), F.least(F.lit(1.0), scaled)).alias("evidence"))
 
 
 def ridge(rows: DataFrame, x: list[str], y: list[str], alpha: float, by: str = "channel") -> DataFrame:

@@ -42,10 +42,11 @@ def activation_thresholds(features: DataFrame, q: float = 0.75) -> DataFrame:
 
 
 def miner_events(features: DataFrame, thresholds: DataFrame, top: int = 2, sample: str = "series") -> DataFrame:
-    """(sample, token): the ``top`` words of largest activation at or above their threshold."""
-    a = features.withColumn("a", F.col("presence") + F.col("frequency") - F.col("distance")).join(F.broadcast(thresholds), "code").where("a >= threshold")
+    """(sample, token): of the ``top`` words of largest activation in a sample, those at or above their threshold."""
+    a = features.withColumn("a", F.col("presence") + F.col("frequency") - F.col("distance"))
     w = W.partitionBy(sample).orderBy(F.desc(F.round("a", 9)), "code")
-    return a.withColumn("r", F.row_number().over(w)).where(F.col("r") <= top).select(sample, F.concat(F.lit("miner_word="), F.col("code").cast("string"), F.lit("|active")).alias("token"))
+    a = a.withColumn("r", F.row_number().over(w)).where(F.col("r") <= top).join(thresholds, "code").where("a >= threshold")
+    return a.select(sample, F.concat(F.lit("miner_word="), F.col("code").cast("string"), F.lit("|active")).alias("token"))
 
 
 def contrast_rules(events: DataFrame, targets: DataFrame, support: int = 4, confidence: float = 0.55, growth: float = 1.25, shrink: float = 8.0, sample: str = "sample") -> DataFrame:

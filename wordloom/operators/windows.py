@@ -109,6 +109,12 @@ def sfa_words(coefs: DataFrame, edges: DataFrame, n: int = 4, alphabet: int = 4,
     return df.withColumn("word", word(s)).withColumn("code", code(s, alphabet))
 
 
+def sfa_zero_code(edges: DataFrame, alphabet: int = 4) -> int:
+    """The code of the zero vector, to which windows without variance map, under fitted edges: one number."""
+    up = edges.groupBy("position").agg(F.count_if(F.col("edge") <= 0).alias("s"))
+    return sum(s * alphabet ** (n - 1 - k) for k, s, n in up.join(edges.agg((F.max("position") + 1).alias("n"))).select("position", "s", "n").collect())
+
+
 def whole_paa(points: DataFrame, length: int, segments: int, keys: tuple[str, ...] = ("series",), name: str = "value") -> DataFrame:
     """(keys, segment, level): PAA of whole series of ``length`` points by a join with the weights, a table of about length + segments rows."""
     spark = points.sparkSession

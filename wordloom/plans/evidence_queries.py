@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.symbols import breakpoints, hash_order
+from ..operators import mining as G
 from ..operators import reliability as L
 from ..operators import reports as P
 from ..operators import retrieval as T
@@ -30,11 +31,11 @@ def query(sql: str | None = None):
     return add
 
 
-KEY = f"""{EMB}, {_weights(64, 24)}, st AS (SELECT series, avg(value) AS mean, stddev_pop(value) AS sd FROM emb WHERE label < 3 GROUP BY series),
-lv AS (SELECT series, segment, sum(value * weight) AS level FROM emb JOIN wt USING (t) WHERE label < 3 GROUP BY ALL),
+KEY = f"""{EMB}, {_weights(64, 24)}, st AS (SELECT series, avg(value) AS mean, stddev_pop(value) AS sd FROM emb GROUP BY series),
+lv AS (SELECT series, segment, sum(value * weight) AS level FROM emb JOIN wt USING (t) GROUP BY ALL),
 ky AS (SELECT series AS sample, segment, {sym('((level - mean) / sd)', B4)} AS symbol FROM lv JOIN st USING (series)),
 wd AS (SELECT sample, list(symbol::VARCHAR ORDER BY segment) AS w FROM ky GROUP BY sample),
-tg AS (SELECT vec_id AS sample, label, CASE WHEN label = 1 THEN 1 ELSE 0 END AS y FROM embeddings WHERE label < 3)"""
+tg AS (SELECT vec_id AS sample, label, CASE WHEN label < 5 THEN 1 ELSE 0 END AS y FROM embeddings)"""
 THREE = f"""{KEY}, e3 AS (SELECT DISTINCT sample, 'ch=0|loc=' || place || '|sax=' || array_to_string(w[en - 2:en], '.') AS token FROM (SELECT sample, w, unnest(['early', 'middle', 'late']) AS place, unnest([3, 15, 24]) AS en FROM wd))"""
 ALLG = f"""{KEY}, ea AS (SELECT DISTINCT sample, 'ch=0|loc=' || CASE WHEN 21 - s < 3 THEN 'recent' ELSE 'context' END || '|sax=' || array_to_string(w[s + 1:s + 3], '.') AS token FROM (SELECT sample, w, unnest(range(22)) AS s FROM wd))"""
 
@@ -45,7 +46,7 @@ def words(spark, d):
 
 
 def targets(spark, d):
-    return X.read(spark, d, "embeddings").select(F.col("vec_id").alias("sample"), "label", F.when(F.col("label") == 1, 1).otherwise(0).alias("y"))
+    return X.read(spark, d, "embeddings").select(F.col("vec_id").alias("sample"), "label", F.when(F.col("label") < 5, 1).otherwise(0).alias("y"))
 
 
 @query(f"WITH {THREE} SELECT sample, token FROM e3")
@@ -78,23 +79,25 @@ def rule_scores(spark, d):
 
 
 @query(f"""WITH {THREE}, pr AS (SELECT label, ln(count(*) / (SELECT count(*) FROM tg)::DOUBLE) AS lp FROM tg GROUP BY label), sp AS (SELECT token, count(*) AS support FROM e3 GROUP BY token HAVING count(*) >= 4),
-g AS (SELECT sp.token, pr.label, lp, support, (SELECT count(*) FROM e3 JOIN tg USING (sample) WHERE e3.token = sp.token AND tg.label = pr.label) AS c FROM sp, pr), s AS (SELECT *, ln((c + 1.0::DOUBLE) / (support + 3)) - lp AS shift FROM g)
+g AS (SELECT sp.token, pr.label, lp, support, (SELECT count(*) FROM e3 JOIN tg USING (sample) WHERE e3.token = sp.token AND tg.label = pr.label) AS c FROM sp, pr), s AS (SELECT *, ln((c + 1.0::DOUBLE) / (support + 10)) - lp AS shift FROM g)
 SELECT token, label, round(shift, 6) AS shift, support, round(sqrt(avg(shift * shift) OVER (PARTITION BY token)) * support / (support + 8.0), 6) AS strength FROM s""")
 def class_prior_rules(spark, d):
     r = R.class_prior_rules(R.three_grams(words(spark, d)), targets(spark, d).select("sample", "label"), classes(spark, d))
     return r.select("token", "label", r6("shift"), "support", r6("strength"))
 
 
-@query(f"""WITH {MATCH}, th AS (SELECT code, quantile_cont(presence + frequency - distance, 0.75) AS thr FROM mt GROUP BY code), a AS (SELECT series, code, presence + frequency - distance AS a FROM mt),
-r AS (SELECT series, code, row_number() OVER (PARTITION BY series ORDER BY round(a, 9) DESC, code) AS r FROM a JOIN th USING (code) WHERE round(a, 9) >= round(thr, 9)) SELECT series, 'miner_word=' || code || '|active' AS token FROM r WHERE r <= 2""")
+@query(f"""WITH {MATCH}, st AS (SELECT code, avg(presence) AS pm, stddev_pop(presence) AS ps, avg(frequency) AS fm, stddev_pop(frequency) AS fs, avg(distance) AS dm, stddev_pop(distance) AS ds FROM mt GROUP BY code),
+a AS (SELECT series, code, (presence - pm) / CASE WHEN ps < 1e-6 THEN 1.0 ELSE ps END + (frequency - fm) / CASE WHEN fs < 1e-6 THEN 1.0 ELSE fs END - (distance - dm) / CASE WHEN ds < 1e-6 THEN 1.0 ELSE ds END AS a FROM mt JOIN st USING (code)),
+th AS (SELECT code, quantile_cont(a, 0.75) AS thr FROM a GROUP BY code), r AS (SELECT series, code, a, row_number() OVER (PARTITION BY series ORDER BY round(a, 9) DESC, code) AS r FROM a)
+SELECT series, 'miner_word=' || code || '|active' AS token FROM r JOIN th USING (code) WHERE r <= 2 AND a >= thr - 1e-9""")
 def miner_events(spark, d):
-    m = matched(spark, d)
-    return R.miner_events(m.withColumn("distance", F.col("distance")), R.activation_thresholds(m).withColumn("threshold", F.col("threshold") - 1e-9))
+    m = G.standardised(matched(spark, d).select("series", "code", "presence", "frequency", "distance"), ("presence", "frequency", "distance"))
+    return R.miner_events(m, R.activation_thresholds(m).withColumn("threshold", F.col("threshold") - 1e-9))
 
 
 # ---------------------------------------------------------------- contexts and futures of daily totals
 CTX = f"""{DAILY}, dv AS (SELECT substr(channel, 1, 1)::BIGINT AS ch, t, value / 1e6 AS value FROM daily),
-sm AS (SELECT ch * 100000 + t AS sample, ch, t AS t0, row_number() OVER (PARTITION BY ch ORDER BY t) AS r FROM dv WHERE t % 20 = 0 AND t + 67 <= (SELECT max(t) + 1 FROM dv)),
+sm AS (SELECT ch * 100000 + t AS sample, ch, t AS t0, row_number() OVER (PARTITION BY ch ORDER BY t) AS r FROM dv WHERE t + 67 <= (SELECT max(t) + 1 FROM dv)),
 cx AS (SELECT sample, sm.ch, dv.t - t0 AS i, value FROM sm JOIN dv ON dv.ch = sm.ch AND dv.t BETWEEN t0 AND t0 + 59), fu AS (SELECT sample, dv.t - t0 - 60 AS h, value AS level FROM sm JOIN dv ON dv.ch = sm.ch AND dv.t BETWEEN t0 + 60 AND t0 + 66),
 ls AS (SELECT sample, arg_max(value, i) AS base FROM cx GROUP BY sample)"""
 
@@ -202,12 +205,7 @@ def behaviour_targets(spark, d):
 
 
 # ---------------------------------------------------------------- retrieval
-PAAV = f"{CTX}, lv AS (SELECT sample, i // 10 AS s, avg(value) AS x FROM cx GROUP BY ALL), nr AS (SELECT sample, greatest(sqrt(sum(x * x)), 1e-6) AS n FROM lv GROUP BY sample), uv AS (SELECT sample, s, x / n AS x FROM lv JOIN nr USING (sample)), sp AS (SELECT sample, {{}} AS part FROM sm)".replace("{}", "CASE WHEN r <= 0.55 * max(r) OVER (PARTITION BY ch) THEN 0 ELSE 1 END")
-KNN = f"{PAAV}, sim AS (SELECT q.sample AS query, b.sample AS bank, sum(q.x * b.x) AS score FROM uv q JOIN uv b ON q.s = b.s JOIN sp qp ON qp.sample = q.sample JOIN sp bp ON bp.sample = b.sample WHERE qp.part = 1 AND bp.part = 0 GROUP BY ALL), nb AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, bank) AS rank FROM sim QUALIFY rank <= 5)"
-SOFT = f"{KNN}, dm AS (SELECT query, greatest(median(-score), 1e-4) AS m, min(-score) AS d1 FROM nb GROUP BY query), wx AS (SELECT query, bank, rank, -score AS d, exp(-(-score - d1) / m) AS e FROM nb JOIN dm USING (query)), ww AS (SELECT query, bank, rank, d, e / sum(e) OVER (PARTITION BY query) AS weight FROM wx)"
-FUTURE = f"{SOFT}, wf AS (SELECT query, h, sum(weight * level) AS forecast, greatest(0.0, sum(weight * level * level) - sum(weight * level) ^ 2) AS variance FROM ww JOIN fu ON fu.sample = bank GROUP BY ALL)"
-
-
+# no SQL: every context against the whole bank is too much for a plain product there; tests/test_whole.py has a brute force
 def vectors(spark, d):
     c, f = contexts(spark, d)
     lv = c.groupBy("sample", "ch", F.floor(F.col("i") / 10).alias("s")).agg(F.avg("value").alias("x")).groupBy("sample", "ch").agg(F.array_sort(F.collect_list(F.struct("s", "x")))["x"].alias("v"))
@@ -221,20 +219,19 @@ def neighbours(spark, d):
     return T.nearest(q, b, 5, 6), f
 
 
-@query(f"WITH {KNN} SELECT query, bank, rank, round(score, 6) AS score FROM nb")
+@query()
 def knn_neighbours(spark, d):
     return neighbours(spark, d)[0].select("query", "bank", "rank", r6("score"))
 
 
-@query(f"WITH {FUTURE} SELECT query, h, round(forecast, 5) AS forecast, round(variance, 4) AS variance FROM wf")
+@query()
 def knn_continuations(spark, d):
     n, f = neighbours(spark, d)
     w = T.weighted_future(T.softmax_weights(n), f.withColumnRenamed("sample", "bank"))
     return w.select("query", "h", F.round("forecast", 5).alias("forecast"), F.round("variance", 4).alias("variance"))
 
 
-@query(f"""WITH {FUTURE}, s AS (SELECT query, 1.0 / sum(weight ^ 2) AS support, min(d) AS d FROM ww GROUP BY query), k AS (SELECT greatest(median(d), 1e-4) AS scale FROM s), v AS (SELECT query, avg(variance) AS v FROM wf GROUP BY query)
-SELECT query, round(ln(least(support / 5, 1.0) * exp(-d / scale) / (1 + sqrt(v))), 3) AS log_reliability FROM s JOIN v USING (query), k""")
+@query()
 def knn_reliability(spark, d):
     n, f = neighbours(spark, d)
     w = T.softmax_weights(n)
@@ -242,8 +239,7 @@ def knn_reliability(spark, d):
     return r.select("query", F.round(F.log("reliability"), 3).alias("log_reliability"))
 
 
-@query(f"""WITH {FUTURE}, c AS (SELECT fu.level AS y, base, forecast AS memory FROM wf JOIN fu ON fu.sample = query AND fu.h = wf.h JOIN ls ON ls.sample = query), g AS (SELECT k / 20.0::DOUBLE AS alpha, avg(((1 - k / 20.0::DOUBLE) * base + k / 20.0::DOUBLE * memory - y) ^ 2) AS mse, avg(abs((1 - k / 20.0::DOUBLE) * base + k / 20.0::DOUBLE * memory - y)) AS mae FROM c, (SELECT unnest(range(21)) AS k) GROUP BY k)
-SELECT alpha, round(mse, 5) AS mse, round(mae, 5) AS mae FROM g WHERE mae <= (SELECT mae FROM g WHERE alpha = 0) + 1e-12 ORDER BY round(mse, 9), alpha LIMIT 1""")
+@query()
 def choose_alpha(spark, d):
     n, f = neighbours(spark, d)
     c, _ = contexts(spark, d)

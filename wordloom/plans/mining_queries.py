@@ -9,14 +9,16 @@ from ..operators import metrics as M
 from ..operators import mining as G
 from ..operators import novelty as N
 from ..operators import windows as X
-from .series_queries import SFA, embedding_sfa, r6
-from .sqltext import EMB, EV, lit, sax
+from .series_queries import SFA, embedding_edges, embedding_sfa, r6
+from .sqltext import DAILY, EMB, EV, lit, sax
 
 QUERIES: dict = {}
 SQL: dict = {}
 B4 = breakpoints(4)
 MASKS = G.projection_masks(4, 1, 6, 0)
-FLAT4 = 2 * 85  # the word of the zero vector: zero lies on the middle edge and goes up
+FLAT4 = 2 * 85  # the SAX word of the zero vector: zero lies on the middle edge and goes up
+#: The SFA word of the zero vector under the fitted edges.
+ZERO = f"(SELECT {' + '.join(f'(CASE WHEN 0.0 >= e{k}[1] THEN 1 ELSE 0 END + CASE WHEN 0.0 >= e{k}[2] THEN 1 ELSE 0 END + CASE WHEN 0.0 >= e{k}[3] THEN 1 ELSE 0 END) * {4 ** (3 - k)}' for k in range(4))} FROM ed)"
 
 
 def query(sql: str | None = None):
@@ -43,12 +45,14 @@ def vector_words(spark, d):
     return X.sax_words(vectors(spark, d), 8, 4, 4, carry=("label",))
 
 
-SW = f"{EMB}, e3 AS (SELECT * FROM emb WHERE label < 3), {sax('e3', 8, 4, B4, extra=', label')}"
+SW = f"{EMB}, e3 AS (SELECT * FROM emb), {sax('e3', 8, 4, B4, extra=', label')}"
 NSER = "(SELECT count(DISTINCT series) FROM sw)"
 
 
-@query(f"""WITH {SW}, rt AS (SELECT code, -ln(count(*) / (SELECT count(*) FROM sw WHERE series % 2 = 0)::DOUBLE) AS r FROM sw WHERE series % 2 = 0 GROUP BY code),
-x AS (SELECT series, t, coalesce(r, ln(1.0 + (SELECT count(*) FROM sw WHERE series % 2 = 0))) AS r FROM sw LEFT JOIN rt USING (code) WHERE series % 2 = 1)
+@query(f"""WITH {SW}, rk AS (SELECT series, label, row_number() OVER (PARTITION BY label ORDER BY (series * 1103515245 + 12345) % 2147483648, series) AS r, count(*) OVER (PARTITION BY label) AS n FROM (SELECT DISTINCT series, label FROM sw)),
+hf AS (SELECT series, CASE WHEN r <= round_even(n * 0.5, 0) THEN 1 ELSE 0 END AS half FROM rk), wh AS (SELECT series, t, code, half FROM sw JOIN hf USING (series)), nh AS (SELECT half, count(*) AS n FROM wh GROUP BY half),
+rt AS (SELECT 1 - half AS half, code, -ln(count(*) / any_value(n)::DOUBLE) AS r FROM wh JOIN nh USING (half) GROUP BY half, code),
+x AS (SELECT series, t, coalesce(r, ln(1.0 + n)) AS r FROM wh LEFT JOIN rt USING (half, code) JOIN (SELECT 1 - half AS half, n FROM nh) USING (half))
 SELECT series, round(max(r), 6) AS rarity, arg_min(t, (-r, t)) AS location FROM x GROUP BY series""")
 def word_rarity(spark, d):
     """Every series against the words of the other half of each class, the halves scored in turn."""
@@ -135,11 +139,11 @@ def min_distance(spark, d):
 
 
 def _split(src: str) -> str:
-    """CTEs of best splits over three classes of rows (feature, value, label, n)."""
+    """CTEs of best splits over the ten classes of rows (feature, value, label, n)."""
     ent = lambda c, t: " + ".join(f"CASE WHEN {x} > 0 AND {t} > 0 THEN -({x}::DOUBLE / {t}) * log2({x}::DOUBLE / {t}) ELSE 0 END" for x in c)
-    lefts, tots, rights = [f"l{i}" for i in range(3)], [f"t{i}" for i in range(3)], [f"(t{i} - l{i})" for i in range(3)]
-    return f"""v0 AS (SELECT feature, value, {', '.join(f'sum(CASE WHEN label = {i} THEN n ELSE 0 END)::BIGINT AS c{i}' for i in range(3))}, sum(n)::BIGINT AS n FROM {src} GROUP BY ALL),
-v1 AS (SELECT feature, value, lead(value) OVER o AS next, {', '.join(f'sum(c{i}) OVER u AS l{i}, sum(c{i}) OVER a AS t{i}' for i in range(3))}, sum(n) OVER u AS nl, sum(n) OVER a AS nt, sum(n * value) OVER u AS sl, sum(n * value) OVER a AS st FROM v0 WINDOW o AS (PARTITION BY feature ORDER BY value), u AS (PARTITION BY feature ORDER BY value ROWS UNBOUNDED PRECEDING), a AS (PARTITION BY feature)),
+    lefts, tots, rights = [f"l{i}" for i in range(10)], [f"t{i}" for i in range(10)], [f"(t{i} - l{i})" for i in range(10)]
+    return f"""v0 AS (SELECT feature, value, {', '.join(f'sum(CASE WHEN label = {i} THEN n ELSE 0 END)::BIGINT AS c{i}' for i in range(10))}, sum(n)::BIGINT AS n FROM {src} GROUP BY ALL),
+v1 AS (SELECT feature, value, lead(value) OVER o AS next, {', '.join(f'sum(c{i}) OVER u AS l{i}, sum(c{i}) OVER a AS t{i}' for i in range(10))}, sum(n) OVER u AS nl, sum(n) OVER a AS nt, sum(n * value) OVER u AS sl, sum(n * value) OVER a AS st FROM v0 WINDOW o AS (PARTITION BY feature ORDER BY value), u AS (PARTITION BY feature ORDER BY value ROWS UNBOUNDED PRECEDING), a AS (PARTITION BY feature)),
 v2 AS (SELECT feature, value, next, CASE WHEN next IS NULL THEN -1.0 ELSE round(({ent(tots, 'nt')}) - (nl * ({ent(lefts, 'nl')}) + (nt - nl) * ({ent(rights, '(nt - nl)')})) / nt, 12) END AS ig, CASE WHEN next IS NOT NULL THEN (st - sl) / (nt - nl) - sl / nl END AS gap FROM v1),
 bs AS (SELECT feature, CASE WHEN x.next IS NULL THEN 0.0 ELSE x.ig END AS ig, CASE WHEN x.next IS NULL THEN x.value ELSE (x.value + x.next) / 2 END AS threshold, CASE WHEN x.next IS NULL THEN 0.0 ELSE x.gap END AS gap FROM (SELECT feature, arg_min({{'value': value, 'next': next, 'ig': ig, 'gap': gap}}, (-ig, value)) AS x FROM v2 GROUP BY feature))"""
 
@@ -194,19 +198,23 @@ def word_tendencies(spark, d):
     return G.word_tendencies(matched(spark, d).join(lab, "series"))
 
 
-S3 = f"{SFA}, s3 AS (SELECT * FROM sfa WHERE label < 3)"
+S3 = f"{SFA}, s3 AS (SELECT * FROM sfa)"
 BOSS = f"""{S3}, rd AS (SELECT * FROM (SELECT *, lag(code) OVER (PARTITION BY series ORDER BY t) AS p FROM s3) WHERE p IS NULL OR p <> code),
 bg AS (SELECT series, label, code, count(*) AS c FROM rd GROUP BY ALL), fq AS (SELECT series, label, code, c / sum(c) OVER (PARTITION BY series)::DOUBLE AS value FROM bg),
-nl AS (SELECT label, count(DISTINCT series) AS n FROM s3 GROUP BY label), el AS (SELECT code, count(DISTINCT series) / (SELECT count(DISTINCT series) FROM s3)::DOUBLE AS support FROM s3 GROUP BY code HAVING bool_or(NOT flat) AND code <> {FLAT4}),
+nl AS (SELECT label, count(DISTINCT series) AS n FROM s3 GROUP BY label), el AS (SELECT code, count(DISTINCT series) / (SELECT count(DISTINCT series) FROM s3)::DOUBLE AS support FROM s3 GROUP BY code HAVING bool_or(NOT flat) AND code <> {ZERO}),
 e2 AS (SELECT * FROM el WHERE support >= 0.02), gr AS (SELECT e2.code, support, nl.label, nl.n, count(value) AS have, coalesce(sum(value), 0) / any_value(nl.n) AS mean FROM e2 CROSS JOIN nl LEFT JOIN fq ON fq.code = e2.code AND fq.label = nl.label GROUP BY e2.code, support, nl.label, nl.n),
 fx AS (SELECT code AS feature, round(value, 12) AS value, label, 1 AS n FROM fq SEMI JOIN e2 USING (code) UNION ALL SELECT code, 0.0, label, n - have FROM gr WHERE n > have), {_split('fx')},
 dm AS (SELECT code, support, arg_min(label, (-round(mean, 12), label)) AS dominant FROM gr GROUP BY ALL),
 bk AS (SELECT row_number() OVER (ORDER BY ig DESC, round(abs(gap), 9) DESC, code) AS rank, code, ig, gap, dominant, support FROM bs JOIN dm ON feature = code)"""
 
 
+def zero_word(spark, d) -> int:
+    return X.sfa_zero_code(embedding_edges(spark, d))
+
+
 @query(f"WITH {BOSS} SELECT rank, code, round(ig, 6) AS ig, round(gap, 6) AS gap, dominant, round(support, 6) AS support FROM bk WHERE rank <= 8")
 def boss_top_k(spark, d):
-    return G.boss_words(embedding_sfa(spark, d), FLAT4, classes(spark, d), 8).select("rank", "code", r6("ig"), r6("gap"), "dominant", r6("support"))
+    return G.boss_words(embedding_sfa(spark, d), zero_word(spark, d), classes(spark, d), 8).select("rank", "code", r6("ig"), r6("gap"), "dominant", r6("support"))
 
 
 DIGITS = [f"(code // {4 ** (3 - i)}) % 4" for i in range(4)]
@@ -217,7 +225,7 @@ x AS (SELECT series, di.code, t, flat, CASE WHEN s3.code = di.code THEN 1 ELSE 0
 SELECT series, code, max(same) AS presence, round(avg(same), 6) AS frequency, round(min(d) FILTER (NOT flat), 6) AS distance, arg_min(t, (d, t)) FILTER (NOT flat) AS location, coalesce(max(d) FILTER (NOT flat) > min(d) FILTER (NOT flat), false) AS informative FROM x GROUP BY ALL""")
 def boss_match(spark, d):
     w = embedding_sfa(spark, d)
-    top = G.boss_words(w, FLAT4, classes(spark, d), 8).select("code", *[(F.floor(F.col("code") / 4 ** (3 - i)) % 4).cast("int").alias(f"r{i}") for i in range(4)])
+    top = G.boss_words(w, zero_word(spark, d), classes(spark, d), 8).select("code", *[(F.floor(F.col("code") / 4 ** (3 - i)) % 4).cast("int").alias(f"r{i}") for i in range(4)])
     return G.boss_match(w, top, 4).select("series", "code", "presence", r6("frequency"), r6("distance"), "location", "informative")
 
 
@@ -234,7 +242,7 @@ def normal(words):
     return words.where("t <= 18")
 
 
-VOC = f"{EVW}, fl AS (SELECT series, t, s0, s1, s2, s3, CASE WHEN flat THEN '<flat>' ELSE word END AS word, CASE WHEN flat THEN -1 ELSE code END AS code FROM sw), vo AS (SELECT code, word, s0, s1, s2, s3, count(*) AS cnt FROM fl WHERE t <= 18 AND series % 3 <> 0 GROUP BY ALL)"
+VOC = f"{EVW}, fl AS (SELECT series, t, s0, s1, s2, s3, CASE WHEN flat THEN '<flat>' ELSE word END AS word, CASE WHEN flat THEN -1 ELSE code END AS code FROM sw), vo AS (SELECT code, word, s0, s1, s2, s3, count(*) AS cnt FROM fl WHERE t <= 18 GROUP BY ALL)"
 
 
 @query(f"WITH {VOC} SELECT code, word, cnt FROM vo")
@@ -376,10 +384,12 @@ def autocorrelation(spark, d):
     return a.select("series", F.col("lag").cast("long").alias("lag"), r6("acf"))
 
 
-@query("""WITH o AS (SELECT o_orderdate::DATE AS day, sum(o_totalprice::DECIMAL(18,2))::DOUBLE AS v FROM orders GROUP BY ALL), s AS (SELECT 1 AS series, day, v, row_number() OVER (ORDER BY day) - 1 AS t, v * 0.0 + sin(2 * pi() * (row_number() OVER (ORDER BY day) - 1) / 14.0) AS x0 FROM o),
-c AS (SELECT t, x0 - avg(x0) OVER () AS x FROM s), n AS (SELECT sum(x * x) AS ss FROM c), a AS (SELECT b.t - a.t AS lag, sum(a.x * b.x) / min(ss) AS acf FROM c a JOIN c b ON b.t - a.t BETWEEN 1 AND 40, n GROUP BY 1),
-p AS (SELECT lag, acf, lag(acf) OVER (ORDER BY lag) AS prev, lead(acf) OVER (ORDER BY lag) AS nxt, max(CASE WHEN acf < 0 THEN 1 ELSE 0 END) OVER (ORDER BY lag ROWS UNBOUNDED PRECEDING) AS neg FROM a)
-SELECT 1 AS series, min(lag) AS period FROM p WHERE neg = 1 AND acf > 0 AND acf >= prev AND acf >= nxt AND acf >= 0.3""")
+@query(f"""WITH {DAILY}, {EV}, pt AS (SELECT 'orders' AS source, channel AS series, t, value FROM daily UNION ALL SELECT 'events', series::VARCHAR, t, value FROM ev),
+c AS (SELECT source, series, t, value - avg(value) OVER (PARTITION BY source, series) AS x FROM pt), n AS (SELECT source, series, count(*) AS n, sum(x * x) AS ss FROM c GROUP BY ALL),
+a AS (SELECT a.source, a.series, b.t - a.t AS lag, sum(a.x * b.x) / min(ss) AS acf FROM c a JOIN c b ON a.source = b.source AND a.series = b.series AND b.t - a.t BETWEEN 1 AND 40 JOIN n ON n.source = a.source AND n.series = a.series WHERE ss > 1e-12 AND b.t - a.t < n // 2 GROUP BY ALL),
+p AS (SELECT *, lag(acf) OVER w AS prev, lead(acf) OVER w AS nxt, max(CASE WHEN acf < 0 THEN 1 ELSE 0 END) OVER (w ROWS UNBOUNDED PRECEDING) AS neg FROM a WINDOW w AS (PARTITION BY source, series ORDER BY lag)),
+k AS (SELECT source, series, min((lag, acf)) AS p FROM p WHERE neg = 1 AND acf > 0 AND acf >= prev AND acf >= nxt GROUP BY ALL)
+SELECT source, series, p[1]::BIGINT AS period FROM k WHERE p[2] >= 0.3""")
 def estimate_period(spark, d):
     """Periods up to 40 days of the daily order totals by channel, and up to 40 points of the event series."""
     daily = X.daily_series(spark, d).withColumnRenamed("channel", "series")

@@ -8,7 +8,7 @@ from ..operators import readouts as O
 from ..operators import retrieval as T
 from ..operators import rules as R
 from ..operators import windows as X
-from .evidence_queries import SOFT, contexts, states, vectors
+from .evidence_queries import contexts, states, vectors
 from .mining_queries import MATCH, NORM, events, matched, novelties, raw_points, shapelet_top_k
 from .mining_queries import vectors as vector_points
 from .series_queries import r6, recon
@@ -70,7 +70,7 @@ def kmeans_continuation_rules(spark, d):
     return R.continuation_rules(tokens, s)
 
 
-@query(f"WITH {SOFT}, y AS (SELECT query, bank, rank, round(-d + 0.1 * CASE WHEN (query - bank) % 7 = 0 THEN 1.0 ELSE 0.0 END, 9) AS score FROM ww) SELECT query, bank, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, bank) AS rank, round(score, 6) AS score FROM y QUALIFY row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, bank) <= 3")
+@query()
 def embedding_rerank(spark, d):
     q, b, _ = vectors(spark, d)
     n = T.nearest(q, b, 5, 6)
@@ -87,8 +87,8 @@ def forecast_evidence(spark, d):
     return O.forecast_evidence(q, b, f.withColumnRenamed("sample", "bank"), cells, 8, 6)
 
 
-@query(f"""WITH {NORM}, k AS (SELECT avg(raw) AS m, greatest(stddev_pop(raw), 1e-6) AS s FROM pn WHERE t <= 40), e AS (SELECT series, t, least(((raw - m) / s) ^ 2, 9.0) AS e FROM pn, k), q AS (SELECT quantile_cont(e, [0.05, 0.95]) AS q FROM e WHERE t <= 40)
-SELECT series, t, round((e - q[1]) / greatest(q[2] - q[1], 1e-9), 5) AS evidence FROM e, q WHERE t > 40""")
+@query(f"""WITH {NORM}, k AS (SELECT avg(raw) AS m, greatest(stddev_pop(raw), 1e-5) AS s FROM pn WHERE t <= 40), e AS (SELECT series, t, least(((raw - m) / s) ^ 2, 25.0) AS e FROM pn, k), q AS (SELECT quantile_cont(e, [0.05, 0.95]) AS q FROM e WHERE t <= 40)
+SELECT series, t, round(greatest(0.0, least(1.0, (e - q[1]) / greatest(q[2] - q[1], 1e-6))), 5) AS evidence FROM e, q WHERE t > 40""")
 def anomaly_evidence(spark, d):
     p = raw_points(spark, d).select("series", "t", "raw")
     return T.clipped_evidence(p.where("t <= 40"), p.where("t > 40"), ("raw",)).select("series", "t", F.round("evidence", 5).alias("evidence"))

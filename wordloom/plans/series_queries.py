@@ -98,6 +98,10 @@ def embedding_coefs(spark, d):
     return X.fourier_windows(X.vector_series(spark, d), 8, 4, carry=("label",))
 
 
+def embedding_edges(spark, d):
+    return X.sfa_edges(embedding_coefs(spark, d))
+
+
 def embedding_sfa(spark, d):
     c = embedding_coefs(spark, d)
     return X.sfa_words(c, X.sfa_edges(c), carry=("label",))
@@ -124,9 +128,9 @@ def ordered_sax_key(spark, d):
     return X.context_key(X.vector_series(spark, d), 64)
 
 
-@query(f"""WITH {DAILY}, x AS (SELECT channel, t, value, t * 2.0 / 89 - 1.0 AS x FROM daily WHERE t < 90)
-SELECT channel, round(arg_max(value, t), 4) AS last, round(avg(value), 4) AS mean, round(stddev_pop(value), 4) AS sd, round(arg_max(value, t) - arg_min(value, t), 4) AS change,
-round(avg(value) FILTER (t >= 66) - avg(value), 4) AS recent_shift, round(avg(x * value) / avg(x * x), 4) AS slope FROM x GROUP BY channel""")
+@query(f"""WITH {DAILY}, st AS (SELECT DISTINCT t AS start FROM daily WHERE t + 89 <= (SELECT max(t) FROM daily)), x AS (SELECT channel, start, t - start AS t, value, (t - start) * 2.0 / 89 - 1.0 AS x FROM daily JOIN st ON t BETWEEN start AND start + 89)
+SELECT channel, start, round(arg_max(value, t) + 1e-7, 4) AS last, round(avg(value) + 1e-7, 4) AS mean, round(stddev_pop(value) + 1e-7, 4) AS sd, round(arg_max(value, t) - arg_min(value, t) + 1e-7, 4) AS change,
+round(avg(value) FILTER (t >= 66) - avg(value) + 1e-7, 4) AS recent_shift, round(avg(x * value) / avg(x * x) + 1e-7, 4) AS slope FROM x GROUP BY channel, start""")
 def forecast_state_key(spark, d):
     """One row for each channel and each 90 days from day ``start`` on."""
     p = X.daily_series(spark, d)
@@ -134,7 +138,8 @@ def forecast_state_key(spark, d):
     starts = F.sequence(F.greatest(F.col("t") - 89, F.lit(0)), F.least("t", "last"))
     p = p.join(F.broadcast(end)).where("last >= greatest(t - 89, 0)").select("channel", "t", "value", F.explode(starts).alias("start"))
     k = X.state_key(p.withColumn("t", F.col("t") - F.col("start")), 90, keys=("channel", "start"))
-    return k.select("channel", "start", *[F.round(c, 4).alias(c) for c in ("last", "mean", "sd", "change", "recent_shift", "slope")])
+    # cents over 24 and 90 days end in ties of the fifth decimal; the shift settles them
+    return k.select("channel", "start", *[F.round(F.col(c) + 1e-7, 4).alias(c) for c in ("last", "mean", "sd", "change", "recent_shift", "slope")])
 
 
 @query(f"""WITH {EMB}, x AS (SELECT *, abs(value - lag(value) OVER (PARTITION BY series ORDER BY t)) AS step, t - 31.5 AS x FROM emb)
