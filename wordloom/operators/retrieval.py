@@ -23,14 +23,14 @@ def nearest(queries: DataFrame, bank: DataFrame, k: int, n: int, metric: str = "
     bank block are shuffled, never the product.
     """
     parts = [max(1, -(-d.count() // block)) for d in (queries, bank)]
-    q = queries.select("query", "v", F.pmod(F.xxhash64("query"), F.lit(parts[0])).alias("qb"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts[1] - 1).cast("long"))).alias("bb"))
-    b = bank.select("bank", "v", F.pmod(F.xxhash64("bank"), F.lit(parts[1])).alias("bb"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts[0] - 1).cast("long"))).alias("qb"))
+    q = queries.select(F.col("query").alias("query"), F.col("v").alias("v"), F.pmod(F.xxhash64("query"), F.lit(parts[0])).alias("qb"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts[1] - 1).cast("long"))).alias("bb"))
+    b = bank.select(F.col("bank").alias("bank"), F.col("v").alias("u"), F.pmod(F.xxhash64("bank"), F.lit(parts[1])).alias("bb"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts[0] - 1).cast("long"))).alias("qb"))
 
     def best(own: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
         out = [pd.DataFrame({"query": np.zeros(0, np.int64), "bank": np.zeros(0, np.int64), "score": np.zeros(0)})]
         if len(own) and len(others):
             others = others.sort_values("bank", ignore_index=True)
-            x, y, ids = np.stack(own["v"]).astype(float)[:, :n], np.stack(others["v"]).astype(float)[:, :n], others["bank"].to_numpy()
+            x, y, ids = np.stack(own["v"]).astype(float)[:, :n], np.stack(others["u"]).astype(float)[:, :n], others["bank"].to_numpy()
             for lo in range(0, len(x), step := max(1, (1 << 22) // len(y))):
                 some = x[lo : lo + step]
                 score = some @ y.T if metric == "cosine" else -np.sqrt(np.maximum(0.0, (some**2).sum(1)[:, None] + (y**2).sum(1)[None, :] - 2 * some @ y.T))
@@ -44,7 +44,7 @@ def nearest(queries: DataFrame, bank: DataFrame, k: int, n: int, metric: str = "
                 out.append(pd.DataFrame({"query": own["query"].to_numpy()[lo + i], "bank": ids[j], "score": score[i, j]}))
         return pd.concat(out)
 
-    found = q.groupBy("qb", "bb").cogroup(b.groupBy("qb", "bb")).applyInPandas(best, "query long, bank long, score double")
+    found = q.groupBy("qb", "bb").cogroup(b.withColumnsRenamed({"qb": "of", "bb": "own"}).groupBy("of", "own")).applyInPandas(best, "query long, bank long, score double")
     w = W.partitionBy("query").orderBy(F.desc(F.round("score", 9)), "bank")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query", "bank", "rank", "score")
 
