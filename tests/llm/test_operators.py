@@ -421,6 +421,47 @@ def test_mixing_takes_near_the_target_and_repeats(spark):
     assert mixing.mix_sources(docs.where("false")).count() == 0
 
 
+def test_mixing_equals_brute_force_sampling(spark):
+    rng = random.Random(41)
+    texts = [" ".join(["w"] * int(2 ** rng.uniform(0, 9))) for _ in range(700)] + [None, "", "a b"]
+    docs = documents(spark, texts, sources=[f"s{min(i % 7, 3)}" for i in range(700)] + ["s1", None, "z"])
+    got = {r.doc_id: r for r in mixing.mix_sources(docs).collect()}
+    u = {r.doc_id: (r.u + 0.5) / 2**53 for r in docs.select("doc_id", mixing.draw(F.xxhash64("doc_id"), 7).alias("u")).collect()}
+    by = defaultdict(list)
+    for i, r in got.items():
+        by[r.source].append((i, r.size))
+    for rows in by.values():
+        r, total = got[rows[0][0]], sum(n for _, n in rows)
+        whole = int(r.target / total + 1e-12) if total else 0
+        rest = r.target - whole * total if total else 0.0
+        order = {i: n.bit_length() for i, n in rows if n}
+        certain = set()
+        while order.keys() - certain:
+            scale = (rest - sum(n for i, n in rows if i in certain)) / sum(order[i] * n for i, n in rows if n and i not in certain)
+            top = max(order[i] for i in order if i not in certain)
+            if scale * top <= 1 + 1e-12:
+                break
+            certain |= {i for i in order if order[i] == top}
+        left, extra = rest - sum(n for i, n in rows if i in certain), set(certain)
+        odds = {i: u[i] / (1 - u[i]) / (scale * order[i] / (1 - scale * order[i])) for i in order if i not in certain and 0 < scale * order[i] < 1}
+        upto = 0
+        for i in sorted(odds, key=odds.get):
+            upto += got[i].size
+            if upto - got[i].size / 2 > left:
+                break
+            extra.add(i)
+        assert {i: r.copies for i, r in got.items() if i in dict(rows)} == {i: (whole + (i in extra)) if n else 0 for i, n in rows}
+
+
+def test_mixing_of_null_and_repeated_ids_and_clashing_names(spark):
+    rows = [(None, f"{'x ' * (i % 9)}y{i}", "a", i) for i in range(60)] + [(5, "p q r", "b", 1)] * 4
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, rank int").withColumn("b1", F.lit("mine"))
+    got = mixing.mix_sources(docs, keep=("rank", "b1", "text")).collect()
+    assert len(got) == 64 and all(r.b1 == "mine" and r.size == len(r.text.split()) for r in got) and sorted(r["rank"] for r in got) == sorted(x[3] for x in rows)
+    a = [r for r in got if r.source == "a"]
+    assert len({r.copies for r in a}) == 2 and abs(sum(r.taken for r in a) - a[0].target) <= 9
+
+
 # ---------------------------------------------------------------- op10
 def brute_repeats(texts, window=50):
     first, out = {}, {}

@@ -1,13 +1,15 @@
 """Mixing sources to target weights by Pareto order sampling.
 
 Each source gets a target number of words; the ratio of target to size says how many whole copies every
-document of it gets for certain, and the rest of the ratio is the inclusion probability p of one more copy.
-Documents are ranked by the odds of a number drawn from their id over the odds of p, and the lowest ranks
-are taken until their words fill what is left of the target.
-
-A rank is cut in two steps of a histogram (4,096 bins of the drawn number a source, then 4,096 of the bin
-that holds the cut), so that no source, however large, is sorted in one task: only the documents of one
-fine bin, about one in 16.8 million of a source, are put in order together.
+document of it gets for certain. One more copy goes to a sample that fills the rest of the target. In it a
+document's inclusion probability rises with its length (one more than the binary order of magnitude of its
+words, scaled so that the expected words are the rest; where that reaches 1 the copy is certain). The others
+are ranked by the odds of a number drawn from their id over the odds of their own probability, and the
+lowest ranks are taken until their words fill what is left.
+
+The cut is found in two steps of a histogram (4,096 bins of the rank a source, then 4,096 of the bin that
+holds the cut), so that no source, however large, is sorted in one task: only the documents of one fine
+bin, about one in 16.8 million of a source, are put in order together.
 """
 
 from __future__ import annotations
@@ -52,26 +54,51 @@ def targets(sizes: DataFrame, cycle: tuple[float, ...] = (5.0, 2.0, 1.0), budget
     return s.select("source", "source_size", F.when(F.col("level").isNull(), F.when(F.col("w") > 0, F.col("most")).otherwise(F.lit(0.0))).otherwise(F.least(F.col("most"), F.col("level") * F.col("w"))).alias("target"))
 
 
+def order_of_size(size: Column) -> Column:
+    """What the inclusion probability of a document is proportional to: one more than floor(log2(words))."""
+    return F.floor(F.log2(size) + 1e-9) + 1
+
+
+def inclusion(levels: DataFrame) -> DataFrame:
+    """(source, scale, certain): probabilities min(1, scale x order) with which the expected words are ``rest``, and the words that are certain.
+
+    ``levels``: (source, rest, order, words), a few rows a source. In closed form: the certain orders are the
+    highest ones, and the scale is that of the first order which it leaves at 1 or less.
+    """
+    down = W.partitionBy("source").orderBy(F.desc("order"))
+    s = levels.withColumn("certain", F.coalesce(F.sum("words").over(down.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    s = s.withColumn("scale", (F.col("rest") - F.col("certain")) / F.sum(F.col("order") * F.col("words")).over(down.rowsBetween(0, W.unboundedFollowing)))
+    return s.where(F.col("scale") * F.col("order") <= 1 + 1e-12).groupBy("source").agg(F.max_by(F.struct("scale", "certain"), "order").alias("x")).select("source", "x.scale", "x.certain")
+
+
 def mix_sources(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", cycle: tuple[float, ...] = (5.0, 2.0, 1.0), budget: float = 1.5, cap: float = 2.0, seed: int = 7, keep: tuple[str, ...] = ()) -> DataFrame:
     """Copies of each document in the mix: doc_id, size, source, source_size, target, copies, taken (words), ``keep``.
 
-    Whole copies only: ``floor(target / source_size)`` are certain, and one more goes to the documents of
-    lowest Pareto rank while their running words stay within half a document of what is left. Null text has
-    size 0 and is taken 0 words; a source of size 0 has target 0. Rows that share an id are drawn alike and
-    ordered by size; null ids are drawn as one id.
+    Whole copies only: ``floor(target / source_size)`` are certain, and one more goes to the documents whose
+    probability is 1 and to those of lowest Pareto rank while their running words stay within half a document
+    of what is left. Null text has size 0 and is taken 0 words; a source of size 0 has target 0. Rows that
+    share an id are drawn alike and ordered by size; rows of null id draw from their text.
     """
-    d = docs.select(F.col(doc_id).alias("_id"), F.coalesce(F.regexp_count(F.col(text), F.lit(WORD_RE)), F.lit(0)).cast("long").alias("size"), F.col(source).alias("source"), F.coalesce(draw(F.col(doc_id), seed), F.lit(0)).alias("_u"), *[F.col(c).alias(f"_keep_{i}") for i, c in enumerate(keep)])
+    d = docs.select(F.col(doc_id).alias("_id"), F.coalesce(F.regexp_count(F.col(text), F.lit(WORD_RE)), F.lit(0)).cast("long").alias("size"), F.col(source).alias("source"), F.coalesce(draw(F.when(F.col(doc_id).isNull(), F.xxhash64(F.col(text))).otherwise(F.xxhash64(F.col(doc_id))), seed), F.lit(0)).alias("_u"), *[F.col(c).alias(f"_keep_{i}") for i, c in enumerate(keep)])
     d = materialise(d, "mix-sizes") if not keep else d
-    size = materialise(targets(d.groupBy("source").agg(F.sum("size").alias("source_size")), cycle, budget, cap), "mix-targets")
+    size = targets(d.groupBy("source").agg(F.sum("size").alias("source_size")), cycle, budget, cap)
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    size = size.withColumn("whole", F.floor(ratio + 1e-12)).withColumn("p", F.greatest(F.lit(0.0), ratio - F.col("whole")))
-    size = size.withColumn("rest", F.greatest(F.lit(0.0), F.col("target") - F.col("whole") * F.col("source_size")))
+    size = size.withColumn("whole", F.floor(ratio + 1e-12))
+    size = materialise(size.withColumn("rest", F.greatest(F.lit(0.0), F.col("target") - F.col("whole") * F.col("source_size"))), "mix-targets")
+    levels = d.where("size > 0").groupBy("source", order_of_size(F.col("size")).alias("order")).agg(F.sum("size").alias("words"))
+    levels = levels.join(size.select(F.col("source").alias("s0"), "rest"), F.col("source").eqNullSafe(F.col("s0"))).drop("s0")
+    odds = inclusion(levels).withColumnRenamed("source", "s0")
+    size = materialise(size.join(odds, F.col("source").eqNullSafe(F.col("s0")), "left").drop("s0").withColumn("left", F.col("rest") - F.coalesce("certain", F.lit(0))), "mix-targets")
     # sources are few against documents, yet unbounded: the join is left to the planner, which measures the side
     r = d.join(size, d["source"].eqNullSafe(size["source"])).drop(size["source"])
-    u = (F.col("_u") + 0.5) / F.lit(float(1 << 53))
-    r = r.withColumn("rank", F.when((F.col("p") > 0) & (F.col("p") < 1), (u / (1 - u)) / (F.col("p") / (1 - F.col("p")))).otherwise(u))
-    # the rank rises with the drawn number inside a source, so bins of that number are bins of the rank
-    r = r.withColumn("b1", F.shiftright("_u", 41).cast("int")).withColumn("b2", F.shiftright("_u", 29).bitwiseAND(F.lit(BINS - 1)).cast("int"))
+    p, u = F.coalesce(F.col("scale") * order_of_size(F.col("size")), F.lit(0.0)), (F.col("_u") + 0.5) / F.lit(float(1 << 53))
+    r = r.withColumn("p", F.when(F.col("size") > 0, F.greatest(F.lit(0.0), p)).otherwise(F.lit(0.0)))
+    drawn = (F.col("p") > 0) & (F.col("p") < 1)
+    r = r.withColumn("rank", F.when(drawn, (u / (1 - u)) / (F.col("p") / (1 - F.col("p")))))
+    # bins of rank / (1 + rank), which lies between 0 and 1
+    bin_ = (F.col("rank") / (1 + F.col("rank")) * F.lit(float(BINS))).cast("double")
+    b1 = F.least(F.floor(bin_), F.lit(BINS - 1)).cast("int")
+    r = r.withColumn("b1", b1).withColumn("b2", F.least(F.floor((bin_ - F.col("b1")) * BINS), F.lit(BINS - 1)).cast("int"))
 
     def cut(h: DataFrame, by: str, left: str) -> DataFrame:
         """Of each source the bin that holds the cut, and the words still to fill in it."""
@@ -80,8 +107,8 @@ def mix_sources(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sou
         at = h.where(F.col("upto") > F.col(left)).groupBy("source").agg(F.min(F.struct(by, (F.col("upto") - F.col("words")).alias("before"), left)).alias("m"))
         return at.select("source", F.col(f"m.{by}").alias(f"cut_{by}"), (F.col(f"m.{left}") - F.col("m.before")).alias(f"left_{by}"))
 
-    some = r.where("rest > 0 and size > 0")
-    c1 = materialise(cut(some.groupBy("source", "b1").agg(F.sum("size").alias("words"), F.first("rest").alias("rest")), "b1", "rest"), "mix-cut")
+    some = r.where(F.col("rank").isNotNull())
+    c1 = materialise(cut(some.groupBy("source", "b1").agg(F.sum("size").alias("words"), F.first("left").alias("left")), "b1", "left"), "mix-cut")
     inner = some.join(c1.withColumnRenamed("source", "s1"), F.col("source").eqNullSafe(F.col("s1")) & (F.col("b1") == F.col("cut_b1"))).drop("s1")
     c2 = materialise(cut(inner.groupBy("source", "b2").agg(F.sum("size").alias("words"), F.first("left_b1").alias("left_b1")), "b2", "left_b1"), "mix-cut")
     fine = inner.join(c2.withColumnRenamed("source", "s2"), F.col("source").eqNullSafe(F.col("s2")) & (F.col("b2") == F.col("cut_b2"))).drop("s2")
@@ -93,7 +120,7 @@ def mix_sources(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sou
     r = r.join(cuts, F.col("source").eqNullSafe(F.col("s0")), "left")
     here = F.struct("rank", "_id", "size")
     more = (
-        F.when((F.col("rest") <= 0) | (F.col("size") == 0), False)
+        F.when(F.col("rank").isNull(), F.col("p") >= 1)
         .when(F.col("cut_b1").isNull() | (F.col("b1") < F.col("cut_b1")), True)
         .when(F.col("b1") > F.col("cut_b1"), False)
         .when(F.col("cut_b2").isNull() | (F.col("b2") < F.col("cut_b2")), True)
