@@ -498,6 +498,18 @@ def test_substring_dedup_equals_brute_force(spark):
     assert substring_dedup.remove_repeats(documents(spark, ["x"]).where("false")).count() == 0
 
 
+def test_frequent_windows_and_clashing_names(spark, monkeypatch):
+    rng = random.Random(51)
+    passage = " ".join(f"p{i}" for i in range(70))
+    texts = [f"{' '.join(f'a{i}b{rng.randrange(99)}' for _ in range(20))} {passage} end{i}" for i in range(30)]
+    docs = documents(spark, texts).withColumn("h", F.lit(1)).withColumn("ref", F.lit("x"))
+    for hot, most in ((5, 200_000), (5, 0), (10**6, 200_000)):
+        monkeypatch.setattr(substring_dedup, "HOT", hot)
+        monkeypatch.setattr(substring_dedup, "HOT_WINDOWS", most)
+        got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.remove_repeats(docs).collect()}
+        assert got == brute_repeats(texts)
+
+
 # ---------------------------------------------------------------- pipeline
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline

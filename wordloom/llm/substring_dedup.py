@@ -2,16 +2,17 @@
 
 The reference is every document of smaller id. It is indexed in blocks of ``window`` words: a window's anchor
 is the least hash of the ``gram``-word grams in it, equal windows have equal anchors, and only windows whose
-anchor occurs in two different texts are indexed, each with its first place (document, word). A document is
-then parsed greedily: from its first window that the index holds, the factor runs along the reference place
-while the next windows point to the next words of it; where it stops, each window across the factor's edge
-is looked up by itself, so a span copied from two references is found whole. Factors are at least ``window``
-words by construction; their words are duplicate spans.
+anchor occurs in two different texts are indexed, each by 128 bits of hash with its first place (document,
+word). A document is then parsed greedily: from its first window that the index holds, the factor runs along
+the reference while the next windows point to the next words of it; where it stops, the windows across the
+factor's edge have places of their own and start the next factor, so a span copied from two references is
+found whole. Factors are at least ``window`` words by construction; their words are the duplicate spans, and
+nothing else is removed.
 
 Exact copies are one class, parsed once. Anchors, windows and spans are shuffled by hash and combined before
 the shuffle; texts are shuffled only if a Bloom filter of bounded size says that their document is affected.
-A gram or a passage that a third of all documents share is one key of aggregations with partial sums and of
-joins against one row, so it costs rows in proportion to its occurrences.
+A gram that a third of all documents share is one key of aggregations with partial sums; windows that occur
+``HOT`` times or more meet their index entries by a broadcast of checked size, all others by shuffling.
 """
 
 from __future__ import annotations
@@ -28,8 +29,11 @@ from .url_filter import build_filter, passes
 
 WINDOW = 50
 GRAM = 8
+#: Occurrences from which on a window is not shuffled to its index entry, and most such windows that are broadcast.
+HOT, HOT_WINDOWS = 4096, 200_000
 NOTHING = hashlib.sha256(b"").hexdigest()
 _SPACES = word_table()
+_SECOND = np.uint64(0xD6E8FEB86659FD93)
 
 
 def sliding_least(x: np.ndarray, n: int) -> np.ndarray:
@@ -72,11 +76,12 @@ def joined(data: np.ndarray, span: tuple[int, int]) -> bytes:
     return b" ".join(bytes(data[span[0] : span[1]]).split())
 
 
-def spread(starts: np.ndarray, n: int, window: int) -> np.ndarray:
-    """Which of n words a window that starts at one of ``starts`` covers."""
+def covered(parsed: list[tuple[int, int, int, int]], n: int) -> np.ndarray:
+    """Which of n words the factors cover."""
     step = np.zeros(n + 1, np.int64)
-    np.add.at(step, starts, 1)
-    np.add.at(step, starts + window, -1)
+    for start, words, _, _ in parsed:
+        step[start] += 1
+        step[start + words] -= 1
     return np.cumsum(step[:n]) > 0
 
 
@@ -127,7 +132,7 @@ def find_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wind
     def windows(batches):
         for b in batches:
             keys, sets = b.column(2).to_pylist(), b.column(3)
-            row_at, starts, hashes = [], [], []
+            row_at, starts, hashes, others = [], [], [], []
             for row, h, data, _, _, span in texts_with_words(b.column(1)):
                 if hashlib.sha256(joined(data, span)).hexdigest() != keys[row]:
                     continue
@@ -136,12 +141,20 @@ def find_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wind
                 row_at.append(row)
                 starts.append(at.astype(np.int32))
                 hashes.append(run_hashes(h, window)[at].view(np.int64))
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row_at, pa.int64())), b.column(2).take(pa.array(row_at, pa.int64())), pa.array(starts, pa.list_(pa.int32())), pa.array(hashes, pa.list_(pa.int64()))], names=["doc_id", "sha", "at", "h"])
-
-    w = materialise(near.select("doc_id", "text", "sha", "anchors").mapInArrow(windows, "doc_id long, sha string, at array<int>, h array<long>"), "windows")
-    w = w.select("doc_id", "sha", F.explode(F.arrays_zip("at", "h")).alias("x")).select("doc_id", "sha", F.col("x.at").alias("at"), F.col("x.h").alias("h"))
-    index = w.groupBy("h").agg(F.min(F.struct("doc_id", "at")).alias("ref"), F.max("doc_id").alias("last")).where("ref.doc_id < last").select("h", "ref")
-    hits = w.join(index, "h").where(F.col("ref.doc_id") < F.col("doc_id"))
+                others.append(run_hashes(mix(h ^ _SECOND), window)[at].view(np.int64))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row_at, pa.int64())), b.column(2).take(pa.array(row_at, pa.int64())), pa.array(starts, pa.list_(pa.int32())), pa.array(hashes, pa.list_(pa.int64())), pa.array(others, pa.list_(pa.int64()))], names=["doc_id", "sha", "at", "h", "g"])
+
+    w = materialise(near.select("doc_id", "text", "sha", "anchors").mapInArrow(windows, "doc_id long, sha string, at array<int>, h array<long>, g array<long>"), "windows")
+    w = w.select("doc_id", "sha", F.explode(F.arrays_zip("at", "h", "g")).alias("x")).select("doc_id", "sha", "x.at", "x.h", "x.g")
+    index = w.groupBy("h", "g").agg(F.min(F.struct("doc_id", "at")).alias("ref"), F.max("doc_id").alias("last"), F.count("*").alias("n")).where("ref.doc_id < last").select("h", "g", "ref", "n")
+    index = materialise(index, "index")
+    hot = index.where(F.col("n") >= HOT).select("h", "g", "ref")
+    if hot.count() <= HOT_WINDOWS:
+        cold = w.join(F.broadcast(hot.select("h", "g")), ["h", "g"], "left_anti").join(index.where(F.col("n") < HOT).select("h", "g", "ref"), ["h", "g"])
+        hits = cold.unionByName(w.join(F.broadcast(hot), ["h", "g"]))
+    else:
+        hits = w.join(index.drop("n"), ["h", "g"])
+    hits = hits.where(F.col("ref.doc_id") < F.col("doc_id"))
     hits = hits.groupBy("doc_id", "sha").agg(F.sort_array(F.collect_set(F.struct("at", F.col("ref.doc_id").alias("ref_doc"), F.col("ref.at").alias("ref_at")))).alias("hits"))
     return rows.select("doc_id", "n_words", "sha").join(firsts, "sha"), materialise(hits, "hits")
 
@@ -169,14 +182,14 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                     continue
                 own = found[row].values
                 at, ref_doc, ref_at = (np.asarray(own.field(k)) for k in range(3))
-                gone = spread(at.astype(np.int64), len(h), window)
+                parsed = factors(at.tolist(), list(zip(ref_doc.tolist(), ref_at.tolist(), strict=True)), window)
+                gone = covered(parsed, len(h))
                 kept = b" ".join(bytes(data[s:e]) for s, e in zip(starts[~gone].tolist(), ends[~gone].tolist(), strict=True))
                 out["doc_id"].append(b.column(0)[row].as_py())
                 out["sha"].append(keys[row])
                 out["n_removed"].append(int(gone.sum()))
                 out["kept_sha256"].append(hashlib.sha256(kept).hexdigest())
                 out["kept_text"].append(kept.decode("utf-8", "replace"))
-                parsed = factors(at.tolist(), list(zip(ref_doc.tolist(), ref_at.tolist(), strict=True)), window)
                 out["factors"].append([{"start": s, "words": n, "ref_doc": r, "ref_start": p} for s, n, r, p in parsed])
             types = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.struct([("start", pa.int32()), ("words", pa.int32()), ("ref_doc", pa.int64()), ("ref_start", pa.int32())]))]
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), types, strict=True)], names=list(out))
