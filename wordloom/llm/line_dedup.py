@@ -6,7 +6,7 @@ have in common. Candidates that pass these filters, a parity test and, if they a
 prefix tokens they share (exact bounds as well) are verified on their words, and a line that an earlier one
 resembles is removed. Two lines that share neighbouring tokens are paired through the first of them.
 
-Rarity comes from counts of all words in 2**20 hash buckets, kept in four bits each: a table of fixed size
+Rarity comes from counts of all words in 2**18 hash buckets, kept in four bits each: a table of fixed size
 that is part of the plan; any order that is the same for all lines keeps the join exact. Lines of equal text
 are one class, represented by its first line. Before the full join, a few tokens of each prefix, those of least hash
 and thus mostly the same ones in near copies, propose their earliest line to all others, so a large group of
@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 
 from .common import SPACE_RE, Scratch, materialise
 
-BUCKET_BITS = 20
+BUCKET_BITS = 18
 #: Tokens of a line by which its earliest likeness is sought before the full join.
 PROPOSING = 4
 #: Tokens from which on a line has the second half of its parity bits.
@@ -82,8 +82,8 @@ def beyond_prefix(size: Column, t: int) -> Column:
     return F.ceil(size * t / F.lit(100.0) - 1e-9) - 1
 
 
-def repeated_lines(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, Column]:
-    """(h, first) of lines whose text occurs more than once, and a line's place in the order (doc_id, line_no).
+def repeated_lines(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, int, Column]:
+    """(h, first) of lines whose text occurs more than once, how many, and a line's place in the order (doc_id, line_no).
 
     A place is one long where ids are whole numbers that leave 22 bits for the line number, which the same
     pass finds out, else a struct.
@@ -97,9 +97,11 @@ def repeated_lines(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, Column
         id_, place = F.col("doc_id").cast("long"), F.shiftleft(F.col("doc_id").cast("long"), 22).bitwiseOR(F.col("line_no").cast("long"))
         fits = id_.between(-(1 << 40), (1 << 40) - 1) & (F.col("line_no") < 1 << 22)
         repeated = twice(F.when(fits, F.col("h")), place)  # lines that do not fit meet in the group of null
-        if not repeated.where("h is null").count():
-            return repeated, place
-    return twice(F.col("h"), wide), wide
+        n, far = repeated.agg(F.count("*"), F.count_if(F.col("h").isNull())).first()
+        if not far:
+            return repeated, n, place
+    repeated = twice(F.col("h"), wide)
+    return repeated, repeated.count(), wide
 
 
 def signatures(lines: DataFrame, levels: Column, t: int, place: Column) -> DataFrame:
@@ -122,9 +124,9 @@ def signatures(lines: DataFrame, levels: Column, t: int, place: Column) -> DataF
 def changed_lines(docs: DataFrame, t: int, broadcast_lines: int) -> tuple[DataFrame, Column]:
     """(h, first, gone) of lines whose text is repeated or resembles an earlier line, and a line's place; docs has doc_id and text."""
     scratch = Scratch(docs.sparkSession, "lines")
-    repeated, place = repeated_lines(docs, scratch)
+    repeated, n_repeated, place = repeated_lines(docs, scratch)
     lines = lines_of(docs).withColumn("place", place)
-    few = repeated.count() <= broadcast_lines
+    few = n_repeated <= broadcast_lines
     if few:  # only the first line of each class goes on
         lines = lines.join(F.broadcast(repeated), "h", "left").where(F.col("first").isNull() | (F.col("first") == F.col("place")))
     sigs = signatures(lines, rarity(lines, scratch), t, F.col("place"))
@@ -185,7 +187,7 @@ def changed_lines(docs: DataFrame, t: int, broadcast_lines: int) -> tuple[DataFr
     # what two lines have in common is in both prefixes or after the prefix that ends first
     n, m = F.col("n"), F.col("m")
     pair = pair.where(~weak(n, m) | enough(F.col("shared") + F.greatest(beyond_prefix(n, t), beyond_prefix(m, t)), n + m, t))
-    later = scratch.table(found.union(verified(pair.select("place", "o"))).distinct())
+    later = found.union(verified(pair.select("place", "o"))).distinct()
     gone = sigs.select("h", "place").join(small(later), "place", "left_semi").select("h", F.col("place").alias("first"), F.lit(True).alias("gone"))
     # of a class that is both, one row: the one that says so
     out = gone.union(repeated.select("h", "first", F.lit(False))).groupBy("h").agg(F.min("first").alias("first"), F.max("gone").alias("gone"))
