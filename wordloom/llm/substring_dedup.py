@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import POWERS, hash_spans, materialise, mix, small_batches, text_chunks, word_table, words_of
+from .common import POWERS, Scratch, hash_spans, materialise, mix, small_batches, text_chunks, word_table, words_of
 from .url_filter import build_filter, passes
 
 WINDOW = 50
@@ -126,7 +126,8 @@ def find_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wind
     of = rows.where(F.size("anchors") > 0).join(firsts.where("first is not null").withColumnRenamed("first", "doc_id"), ["sha", "doc_id"])
     each = of.select("doc_id", "sha", F.explode("anchors").alias("anchor"))
     shared = each.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a <> b").select("anchor")
-    wanted = materialise(each.join(shared, "anchor").groupBy("doc_id", "sha").agg(F.collect_set("anchor").alias("anchors")), "anchors")
+    scratch = Scratch(docs.sparkSession, "anchors")
+    wanted = scratch.table(each.join(shared, "anchor").groupBy("doc_id", "sha").agg(F.collect_set("anchor").alias("anchors")))
     near = d.where(passes(F.xxhash64("doc_id"), build_filter(wanted.select("doc_id"), "doc_id"))).join(wanted, "doc_id")
 
     def windows(batches):
@@ -145,6 +146,7 @@ def find_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wind
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row_at, pa.int64())), b.column(2).take(pa.array(row_at, pa.int64())), pa.array(starts, pa.list_(pa.int32())), pa.array(hashes, pa.list_(pa.int64())), pa.array(others, pa.list_(pa.int64()))], names=["doc_id", "sha", "at", "h", "g"])
 
     w = materialise(near.select("doc_id", "text", "sha", "anchors").mapInArrow(windows, "doc_id long, sha string, at array<int>, h array<long>, g array<long>"), "windows")
+    scratch.drop()
     w = w.select("doc_id", "sha", F.explode(F.arrays_zip("at", "h", "g")).alias("x")).select("doc_id", "sha", "x.at", "x.h", "x.g")
     index = w.groupBy("h", "g").agg(F.min(F.struct("doc_id", "at")).alias("ref"), F.max("doc_id").alias("last"), F.count("*").alias("n")).where("ref.doc_id < last").select("h", "g", "ref", "n")
     index = materialise(index, "index")
