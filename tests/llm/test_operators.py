@@ -310,13 +310,24 @@ def test_decontamination_equals_brute_force(spark):
     bench = spark.createDataFrame(items, "item_id long, text string")
     docs = documents(spark, texts)
     for limit in (200_000, 0):
-        hits, _ = decontaminate.find_hits(docs, bench, broadcast_windows=limit)
-        assert hits.count() > 0
-    got = {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.items_sha256) for r in decontaminate.contaminated_words(docs, bench).collect()}
-    assert got == brute_hits(texts, items)
+        out = decontaminate.contaminated_words(docs, bench, broadcast_windows=limit)
+        got = {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.items_sha256) for r in out.collect()}
+        assert got == brute_hits(texts, items)
     assert decontaminate.contaminated_words(docs, bench.where("false")).where("contaminated").count() == 0
 
 
+def test_selected_grams_are_thinned_and_shared(spark):
+    rng = random.Random(12)
+    words = [f"w{rng.randrange(5)}" if i % 50 < 20 else f"x{rng.randrange(900)}" for i in range(5000)]
+    rows = spark.createDataFrame([(1, words), (2, words[1000:1200])], "k int, words array<string>")
+    got = decontaminate.fingerprints(rows, ["k"], [10], 5, 10).select("k", "f", "at").collect()
+    assert len({(r.k, r.at) for r in got}) == len(got) < 0.4 * 5200
+    mine = {(r.at - 1000, r.f) for r in got if r.k == 1}
+    assert {(r.at, r.f) for r in got if r.k == 2} <= mine
+    at = sorted(r.at for r in got if r.k == 1)
+    assert at[0] <= 5 and at[-1] >= 4990 and max(b - a for a, b in zip(at, at[1:])) <= 6
+
+
 # ---------------------------------------------------------------- op7
 def test_fingerprint_by_definition():
     def slow(t):

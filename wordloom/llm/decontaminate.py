@@ -1,13 +1,16 @@
 """Benchmark decontamination by winnowing, in DataFrame functions only.
 
-Both sides hash every ``gram``-word gram and keep the least hash of each window of ``window`` words. Equal
-windows keep equal hashes, so joining the kept hashes and then comparing the words finds every shared span
-of at least ``window`` words, and nothing else. An item with fewer words is one window of its own length.
-
-Documents are never shuffled: their windows are made by zipping shifted slices of the array of word hashes,
-in segments of bounded length, and meet the benchmark's distinct windows in a join that is a broadcast up to
-``broadcast_windows`` of them and a shuffle of the kept hashes beyond. Windows that many items share are one
-row; items come back at the end.
+Both sides hash every ``gram``-word gram and select the least hash of each window of ``window`` words, the last
+of equal ones; a (hash, place) that several windows select in a row is kept once. Equal windows select the same
+gram, so every shared span of at least ``window`` words has a kept hash in common. Kept hashes are joined, and
+each meeting is extended to the left and right word by word: it is a hit if ``window`` words are equal. An item
+with fewer words is one window of its own length.
+
+Documents are read in one pass for all item lengths: windows are made by zipping shifted slices of the array of
+word hashes, in segments of bounded length. Up to ``broadcast_windows`` different benchmark hashes are broadcast
+and documents are not shuffled; beyond, the kept hashes and places of the documents are shuffled to them, and
+only documents that met one give the words round their places. Surroundings that many items share are one row;
+items come back at the end.
 """
 
 from __future__ import annotations
@@ -28,63 +31,108 @@ def words(text: Column) -> Column:
     return F.coalesce(F.array_remove(F.split(plain, NOT_WORD), ""), F.array().cast("array<string>"))
 
 
-def windows(df: DataFrame, keep: list[str], n: int, gram: int) -> DataFrame:
-    """``keep``, words, start and the winnowed hash f of each n-word window; df has ``words``, an array.
+def fingerprints(df: DataFrame, keep: list[str], lengths: list[int], gram: int, window: int) -> DataFrame:
+    """``keep``, words, n, f and at: the kept gram hashes of the windows of each of ``lengths`` words, ``window`` at most; df has ``words``, an array.
 
-    ``gram`` of n or more means that f is the hash of the whole window.
+    ``at`` is the place of the gram's first word. Tagged with their place, the hashes of one row serve its window
+    and the one before, so a row is kept exactly where the selection changes.
     """
-    k = min(gram, n)
-    # a text with fewer words gives no segment
-    df = df.where(F.size("words") >= n).select(*keep, "words", F.transform("words", lambda w: F.xxhash64(w)).alias("h"))
-    df = df.select(*keep, "words", "h", F.explode(F.sequence(F.lit(0), F.size("h") - n, F.lit(SEGMENT))).alias("seg"))
-    part = lambda i: F.slice("h", F.col("seg") + 1 + i, F.least(F.lit(SEGMENT), F.size("h") - n + 1 - F.col("seg"))).alias(f"h{i}")
-    df = df.select(*keep, "words", "seg", F.posexplode(F.arrays_zip(*[part(i) for i in range(n)])).alias("at", "x"))
-    grams = [F.xxhash64(*[F.col(f"x.h{i + j}") for j in range(k)]) for i in range(n - k + 1)]
-    return df.select(*keep, "words", (F.col("seg") + F.col("at")).alias("start"), (F.least(*grams) if len(grams) > 1 else grams[0]).alias("f"))
+    most, least = max(lengths), min(lengths)
+    tags = (1 << (window + 1).bit_length()) - 1  # the same on both sides
+    # the word before the first one is a zero; a text with fewer words gives no segment
+    hashes = F.concat(F.array(F.lit(0).cast("long")), F.transform("words", lambda w: F.xxhash64(w)))
+    df = df.where(F.size("words") >= least).select(*keep, "words", hashes.alias("h"))
+    df = df.select(*keep, "words", "h", F.explode(F.sequence(F.lit(0), F.size("words") - least, F.lit(SEGMENT))).alias("seg"))
+    part = lambda i: F.slice("h", F.col("seg") + 1 + i, F.least(F.lit(SEGMENT), F.size("words") - least + 1 - F.col("seg"))).alias(f"h{i}")
+    df = df.select(*keep, "words", "seg", F.posexplode(F.arrays_zip(*[part(i) for i in range(most + 1)])).alias("i", "x"))
+    sizes = sorted({min(gram, n) for n in lengths})
+    grams = {k: range(max(n - k for n in lengths if min(gram, n) == k) + 2) for k in sizes}
+    tagged = [F.xxhash64(*[F.col(f"x.h{j + i}") for i in range(k)]).bitwiseAND(F.lit(~tags)).bitwiseOR(F.lit(tags - 1 - j)).alias(f"g{k}_{j}") for k in sizes for j in grams[k]]
+    df = df.select(*keep, "words", (F.col("seg") + F.col("i")).alias("start"), *tagged)
+    found = []
+    for n in lengths:
+        k = min(gram, n)
+        chosen = lambda first: F.least(*c) if len(c := [F.col(f"g{k}_{j}") for j in range(first, first + n - k + 1)]) > 1 else c[0]  # noqa: B023, E731
+        m, before = chosen(1), chosen(0)
+        place = F.col("start") + (tags - 2 - m.bitwiseAND(F.lit(tags))).cast("int")
+        new = (F.col("start") + n <= F.size("words")) & ((F.col("start") == 0) | (m != before))
+        found.append((new, F.lit(n).alias("n"), m.bitwiseAND(F.lit(~tags)).alias("f"), place.alias("at")))
+    if len(found) == 1:
+        new, *columns = found[0]
+        return df.where(new).select(*keep, "words", *columns)
+    # no lambda here: the words must stay inside generated code, where rows of one text share them
+    each = F.array(*[F.when(new, F.struct(*columns)) for new, *columns in found])
+    return df.select(*keep, "words", F.explode(each).alias("y")).where("y is not null").select(*keep, "words", "y.n", "y.f", "y.at")
+
+
+def surroundings(df: DataFrame, keep: list[str], gram: int) -> DataFrame:
+    """``keep``, n, f, at, the words before the gram, nearest first, and those from it on, as far as a window can reach."""
+    before = F.least(F.col("at"), F.col("n") - F.least(F.lit(gram), F.col("n")))
+    left = F.reverse(F.slice("words", F.col("at") - before + 1, before))
+    return df.select(*keep, "n", "f", "at", left.alias("left"), F.slice("words", F.col("at") + 1, F.col("n")).alias("right"))
+
+
+def equal_start(a: str, b: str, most: int) -> Column:
+    """How many first words of two arrays are equal, up to ``most``."""
+    out = None
+    for i in range(most):
+        differ = ~F.coalesce(F.get(a, F.lit(i)) == F.get(b, F.lit(i)), F.lit(False))
+        out = F.when(differ, i) if out is None else out.when(differ, i)
+    return F.lit(0) if out is None else out.otherwise(most)
 
 
 def find_hits(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = 10, gram: int = 5, broadcast_windows: int = 200_000) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, th, start, n, wid) of every window of an item that occurs in a document, and (wid, item_id).
+    """(doc_id, th, start, end, cid) of the spans of words that windows of an item cover, and (cid, item_id).
 
-    ``th`` is the hash of the text, which keeps different rows of one id apart.
+    ``th`` is the hash of the text, which keeps different rows of one id apart; ``cid`` is a place of an item with
+    its surroundings.
     """
     items = benchmark.where("item_id is not null").select("item_id", words(F.col("text")).alias("words")).where(F.size("words") > 0)
     items = materialise(items, "items")
-    lengths = sorted({min(r[0], window) for r in items.select(F.least(F.size("words"), F.lit(window)).alias("n")).distinct().collect()})
-    d = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.xxhash64(text), F.lit(0)).alias("th"), words(F.col(text)).alias("words"))
-    hits, members = None, None
-    for n in lengths:
-        own = windows(items.where(F.size("words") == n) if n < window else items, ["item_id"], n, gram)
-        own = own.select("item_id", "f", F.slice("words", F.col("start") + 1, n).alias("w")).withColumn("wid", F.concat_ws(" ", "w"))
-        distinct = materialise(own.groupBy("wid").agg(F.first("f").alias("bf"), F.first("w").alias("w")), "bench-windows")
-        small = distinct.count() <= broadcast_windows
-        theirs = windows(d, ["doc_id", "th"], n, gram).withColumn("dw", F.slice("words", F.col("start") + 1, n)).drop("words") if not small else windows(d, ["doc_id", "th"], n, gram)
-        span = F.slice("words", F.col("start") + 1, n) if small else F.col("dw")
-        got = theirs.join(F.broadcast(distinct) if small else distinct, (F.col("f") == F.col("bf")) & (span == F.col("w")))
-        got = got.select("doc_id", "th", "start", F.lit(n).alias("n"), "wid")
-        hits = got if hits is None else hits.union(got)
-        part = own.select("wid", "item_id").distinct()
-        members = part if members is None else members.union(part)
-    if hits is None:
+    lengths = sorted({r[0] for r in items.select(F.least(F.size("words"), F.lit(window)).alias("n")).distinct().collect()})
+    if not lengths:
         spark = docs.sparkSession
-        return spark.createDataFrame([], "doc_id long, th long, start int, n int, wid string"), spark.createDataFrame([], "wid string, item_id long")
+        return spark.createDataFrame([], "doc_id long, th long, start int, end int, cid long"), spark.createDataFrame([], "cid long, item_id long")
+    own = None
+    for n in lengths:
+        part = fingerprints(items.where(F.size("words") == n) if n < window else items.where(F.size("words") >= n), ["item_id"], [n], gram, window)
+        own = part if own is None else own.union(part)
+    own = materialise(surroundings(own, ["item_id"], gram).drop("at"), "bench-places")
+    key = ["n", "f", "left", "right"]
+    places = materialise(own.select(*key).distinct().withColumn("cid", F.monotonically_increasing_id()), "bench-different")
+    members = own.join(places, key).select("cid", "item_id").distinct()
+    d = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.xxhash64(text), F.lit(0)).alias("th"), words(F.col(text)).alias("words"))
+    theirs, hashes = fingerprints(d, ["doc_id", "th"], lengths, gram, window), places.select("n", "f").distinct()
+    small = places.count() <= broadcast_windows
+    if small:
+        met = theirs.join(F.broadcast(hashes), ["n", "f"], "left_semi")
+    else:
+        met = materialise(theirs.drop("words").distinct().join(hashes, ["n", "f"], "left_semi"), "bench-met").alias("m")
+        same = F.col("m.doc_id").eqNullSafe(F.col("d.doc_id")) & (F.col("m.th") == F.col("d.th"))
+        met = d.alias("d").join(met, same).select("m.doc_id", "m.th", "words", "n", "f", "at")
+    near = surroundings(met, ["doc_id", "th"], gram).select("doc_id", "th", "n", "f", "at", F.col("left").alias("dl"), F.col("right").alias("dr"))
+    got = near.join(F.broadcast(places) if small else places, ["n", "f"])
+    got = got.select("doc_id", "th", "n", "at", "cid", equal_start("left", "dl", max(n - min(gram, n) for n in lengths)).alias("l"), equal_start("right", "dr", max(lengths)).alias("r"))
+    # the gram itself is equal, and with it at least one window
+    hits = got.where((F.col("r") >= F.least(F.lit(gram), "n")) & (F.col("l") + F.col("r") >= F.col("n")))
+    hits = hits.select("doc_id", "th", (F.col("at") - F.col("l")).alias("start"), (F.col("at") + F.col("r")).alias("end"), "cid")
     return materialise(hits.distinct(), "bench-hits"), materialise(members, "bench-members")
 
 
-def contaminated_words(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = 10, gram: int = 5, keep: tuple[str, ...] = ()) -> DataFrame:
+def contaminated_words(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = 10, gram: int = 5, keep: tuple[str, ...] = (), broadcast_windows: int = 200_000) -> DataFrame:
     """Per row: doc_id, n_words, n_hit, n_items, items_sha256, contaminated and ``keep``.
 
     A word is hit if it is inside any occurrence of a window of any item. Null and empty texts have no words
     and no hits; items of null id are left out; a benchmark without words hits nothing. Rows that share an
     id are judged by their own texts; equal rows agree.
     """
-    hits, members = find_hits(docs, benchmark, doc_id, text, window, gram)
+    hits, members = find_hits(docs, benchmark, doc_id, text, window, gram, broadcast_windows)
     key = ["doc_id", "th"]
-    end = F.col("start") + F.col("n")
-    w = W.partitionBy(*key).orderBy("start", "n").rowsBetween(W.unboundedPreceding, -1)
-    spans = hits.select(*key, "start", "n").distinct().withColumn("before", F.coalesce(F.max(end).over(w), F.lit(0)))
+    end = F.col("end")
+    w = W.partitionBy(*key).orderBy("start", "end").rowsBetween(W.unboundedPreceding, -1)
+    spans = hits.select(*key, "start", "end").distinct().withColumn("before", F.coalesce(F.max(end).over(w), F.lit(0)))
     covered = spans.groupBy(*key).agg(F.sum(F.greatest(F.lit(0), end - F.greatest("start", "before"))).cast("long").alias("n_hit"))
-    found = hits.select(*key, "wid").distinct().join(members, "wid").select(*key, F.col("item_id").cast("string").alias("item")).distinct()
+    found = hits.select(*key, "cid").distinct().join(members, "cid").select(*key, F.col("item_id").cast("string").alias("item")).distinct()
     found = found.groupBy(*key).agg(F.count("*").alias("n_items"), F.array_join(F.sort_array(F.collect_list("item")), ",").alias("items"))
     side = covered.join(found, [covered[k].eqNullSafe(found[k]) for k in key]).select(covered["doc_id"].alias("_d"), covered["th"].alias("_t"), "n_hit", "n_items", "items")
     side = materialise(side, "contaminated")
