@@ -32,44 +32,55 @@ def words(text: Column) -> Column:
 
 
 def fingerprints(df: DataFrame, keep: list[str], lengths: list[int], gram: int, window: int) -> DataFrame:
-    """``keep``, words, n, f and at: the kept gram hashes of the windows of each of ``lengths`` words, ``window`` at most; df has ``words``, an array.
+    """``keep``, n, f, at, and the words round it from ``base`` on: the kept gram hashes of the windows of each of ``lengths`` words.
 
-    ``at`` is the place of the gram's first word. Tagged with their place, the hashes of one row serve its window
-    and the one before, so a row is kept exactly where the selection changes.
+    df has ``words``, an array; lengths are ``window`` at most; ``at`` is the place of the gram's first word.
+    Tagged with their place, the hashes of one row serve its window and the one before, so a row is kept exactly
+    where the selection changes. A segment brings its own words only, so that very long texts stay linear. The
+    outer forms of explode keep Spark from testing the arrays, and so making them, a second time.
     """
     most, least = max(lengths), min(lengths)
     tags = (1 << (window + 1).bit_length()) - 1  # the same on both sides
-    # the word before the first one is a zero; a text with fewer words gives no segment
-    hashes = F.concat(F.array(F.lit(0).cast("long")), F.transform("words", lambda w: F.xxhash64(w)))
-    df = df.where(F.size("words") >= least).select(*keep, "words", hashes.alias("h"))
-    df = df.select(*keep, "words", "h", F.explode(F.sequence(F.lit(0), F.size("words") - least, F.lit(SEGMENT))).alias("seg"))
-    part = lambda i: F.slice("h", F.col("seg") + 1 + i, F.least(F.lit(SEGMENT), F.size("words") - least + 1 - F.col("seg"))).alias(f"h{i}")
-    df = df.select(*keep, "words", "seg", F.posexplode(F.arrays_zip(*[part(i) for i in range(most + 1)])).alias("i", "x"))
+    segments = F.when(F.col("size") >= least, F.sequence(F.lit(0), F.col("size") - least, F.lit(SEGMENT)))
+    df = df.select(*keep, "words", F.size("words").alias("size"))
+    df = df.select(*keep, "words", "size", F.explode_outer(segments).alias("seg")).withColumn("base", F.greatest(F.lit(0), F.col("seg") - most))
+    df = df.select(*keep, "size", "seg", "base", F.slice("words", F.col("base") + 1, F.lit(SEGMENT + 3 * most)).alias("words"))
+    df = df.withColumn("h", F.transform("words", lambda w: F.xxhash64(w)))
     sizes = sorted({min(gram, n) for n in lengths})
-    grams = {k: range(max(n - k for n in lengths if min(gram, n) == k) + 2) for k in sizes}
-    tagged = [F.xxhash64(*[F.col(f"x.h{j + i}") for i in range(k)]).bitwiseAND(F.lit(~tags)).bitwiseOR(F.lit(tags - 1 - j)).alias(f"g{k}_{j}") for k in sizes for j in grams[k]]
-    df = df.select(*keep, "words", (F.col("seg") + F.col("i")).alias("start"), *tagged)
-    found = []
+    shift = lambda k, i: F.slice("h", i + 1, F.greatest(F.lit(0), F.size("h") - k + 1)).alias(f"h{i}")
+    # before the first gram stands a zero
+    hashes = lambda k: F.transform(F.arrays_zip(*[shift(k, i) for i in range(k)]), lambda x: F.xxhash64(x))
+    df = df.select(*keep, "size", "seg", "base", "words", *[F.concat(F.array(F.lit(0).cast("long")), hashes(k)).alias(f"g{k}") for k in sizes])
+    starts = F.least(F.lit(SEGMENT), F.col("size") - least + 1 - F.col("seg"))
+    columns = [(k, j) for k in sizes for j in range(max(n - k for n in lengths if min(gram, n) == k) + 2)]
+    zipped = F.arrays_zip(*[F.slice(f"g{k}", F.col("seg") - F.col("base") + 1 + j, starts).alias(f"g{k}_{j}") for k, j in columns])
+    df = df.select(*keep, "size", "seg", "base", "words", F.posexplode_outer(zipped).alias("i", "x"))
+    start, found = F.col("seg") + F.col("i"), []
     for n in lengths:
         k = min(gram, n)
-        chosen = lambda first: F.least(*c) if len(c := [F.col(f"g{k}_{j}") for j in range(first, first + n - k + 1)]) > 1 else c[0]  # noqa: B023, E731
-        m, before = chosen(1), chosen(0)
-        place = F.col("start") + (tags - 2 - m.bitwiseAND(F.lit(tags))).cast("int")
-        new = (F.col("start") + n <= F.size("words")) & ((F.col("start") == 0) | (m != before))
+        tagged = [F.col(f"x.g{k}_{j}").bitwiseAND(F.lit(~tags)).bitwiseOR(F.lit(tags - 1 - j)) for j in range(n - k + 2)]
+        before, m = (F.least(*c) if len(c) > 1 else c[0] for c in (tagged[:-1], tagged[1:]))
+        place = start + (tags - 2 - m.bitwiseAND(F.lit(tags))).cast("int")
+        new = (start + n <= F.col("size")) & ((start == 0) | (m != before))
         found.append((new, F.lit(n).alias("n"), m.bitwiseAND(F.lit(~tags)).alias("f"), place.alias("at")))
     if len(found) == 1:
         new, *columns = found[0]
-        return df.where(new).select(*keep, "words", *columns)
+        return df.where(new).select(*keep, *columns, "base", "words")
     # no lambda here: the words must stay inside generated code, where rows of one text share them
     each = F.array(*[F.when(new, F.struct(*columns)) for new, *columns in found])
-    return df.select(*keep, "words", F.explode(each).alias("y")).where("y is not null").select(*keep, "words", "y.n", "y.f", "y.at")
+    return df.select(*keep, "base", "words", F.explode_outer(each).alias("y")).where("y is not null").select(*keep, "y.n", "y.f", "y.at", "base", "words")
 
 
 def surroundings(df: DataFrame, keep: list[str], gram: int) -> DataFrame:
-    """``keep``, n, f, at, the words before the gram, nearest first, and those from it on, as far as a window can reach."""
-    before = F.least(F.col("at"), F.col("n") - F.least(F.lit(gram), F.col("n")))
-    left = F.reverse(F.slice("words", F.col("at") - before + 1, before))
-    return df.select(*keep, "n", "f", "at", left.alias("left"), F.slice("words", F.col("at") + 1, F.col("n")).alias("right"))
+    """``keep``, n, f, at, and the words round the gram as far as a window can reach, ``before`` of them before it."""
+    at = F.col("at") - F.col("base")
+    before = F.least(at, F.col("n") - F.least(F.lit(gram), F.col("n")))
+    return df.select(*keep, "n", "f", "at", before.alias("before"), F.slice("words", at - before + 1, before + F.col("n")).alias("around"))
+
+
+def sides(left: str, right: str) -> tuple[Column, Column]:
+    """Of surroundings: the words before the gram, nearest first, and those from it on."""
+    return F.reverse(F.slice("around", F.lit(1), F.col("before"))).alias(left), F.slice("around", F.col("before") + 1, F.col("n")).alias(right)
 
 
 def equal_start(a: str, b: str, most: int) -> Column:
@@ -97,7 +108,7 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", tex
     for n in lengths:
         part = fingerprints(items.where(F.size("words") == n) if n < window else items.where(F.size("words") >= n), ["item_id"], [n], gram, window)
         own = part if own is None else own.union(part)
-    own = materialise(surroundings(own, ["item_id"], gram).drop("at"), "bench-places")
+    own = materialise(surroundings(own, ["item_id"], gram).select("item_id", "n", "f", *sides("left", "right")), "bench-places")
     key = ["n", "f", "left", "right"]
     places = materialise(own.select(*key).distinct().withColumn("cid", F.monotonically_increasing_id()), "bench-different")
     members = own.join(places, key).select("cid", "item_id").distinct()
@@ -107,10 +118,11 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", tex
     if small:
         met = theirs.join(F.broadcast(hashes), ["n", "f"], "left_semi")
     else:
-        met = materialise(theirs.drop("words").distinct().join(hashes, ["n", "f"], "left_semi"), "bench-met").alias("m")
+        met = materialise(theirs.drop("words", "base").distinct().join(hashes, ["n", "f"], "left_semi"), "bench-met").alias("m")
         same = F.col("m.doc_id").eqNullSafe(F.col("d.doc_id")) & (F.col("m.th") == F.col("d.th"))
-        met = d.alias("d").join(met, same).select("m.doc_id", "m.th", "words", "n", "f", "at")
-    near = surroundings(met, ["doc_id", "th"], gram).select("doc_id", "th", "n", "f", "at", F.col("left").alias("dl"), F.col("right").alias("dr"))
+        met = d.alias("d").join(met, same).select("m.doc_id", "m.th", "words", F.lit(0).alias("base"), "n", "f", "at")
+    # written here, which also keeps the generated code of the scan short enough for the JVM to compile
+    near = materialise(surroundings(met, ["doc_id", "th"], gram), "bench-near").select("doc_id", "th", "n", "f", "at", *sides("dl", "dr"))
     got = near.join(F.broadcast(places) if small else places, ["n", "f"])
     got = got.select("doc_id", "th", "n", "at", "cid", equal_start("left", "dl", max(n - min(gram, n) for n in lengths)).alias("l"), equal_start("right", "dr", max(lengths)).alias("r"))
     # the gram itself is equal, and with it at least one window
