@@ -1,5 +1,6 @@
 import hashlib
 import random
+import time
 import zlib
 from collections import defaultdict
 
@@ -69,6 +70,34 @@ def test_html_rules():
     assert html_extract.main_text(*html_extract.parse(page), set()) == "T & x one two 3 < 4 y"
 
 
+def test_html_wrappers_and_stray_signs():
+    text = lambda h: html_extract.main_text(*html_extract.parse(h), set())
+    assert text('<body><div class="layout with-sidebar"><article><p>The article.</p></article></div></body>') == "The article."
+    assert text('<div class="page has-comments"><main><p>M</p></main><div class="comments">c</div></div>') == "M"
+    assert text('<article>own</article><div class="related"><article>other</article></div>') == "own"
+    assert text("<p>so <math><mi>x</mi></math> holds</p>") == "so x holds"
+    assert text("<p>a <b and c</p><p>d</p>") == "a <b and c d" and text('1 <a href="x>y">t</a> 2') == "1 t 2"
+
+
+@pytest.mark.parametrize("unit", ['<a "', '<a ">"', "<div>", "<b>", "<div>x", "</x>", "<p '", "<div class='nav'>", "<!--"])
+def test_html_of_hostile_pages_is_linear(unit):
+    def seconds(n):
+        start = time.process_time()
+        parsed = html_extract.parse(unit * (n // len(unit)))
+        html_extract.subtree_hashes(*parsed)
+        html_extract.main_text(*parsed, set())
+        return time.process_time() - start
+
+    assert seconds(400_000) < 8 * seconds(100_000) + 0.5
+
+
+def test_subtree_hashes_tell_structure():
+    hashes = lambda h: html_extract.subtree_hashes(*html_extract.parse(h))
+    one, two, three = (hashes(f"<div><ul>{x}</ul></div>") for x in ("<li>a</li><li>b</li>", "<li>a b</li>", "<li class=on>a</li><li> b </li>"))
+    assert one[0] == three[0] and one[0] != two[0] and one[1] == three[1]
+    assert hashes("<div><img></div>") == {}
+
+
 def test_templates_of_a_host(spark):
     rows = [(i, f"http://a.com/{i}", f"<body><div>Welcome to A</div><p>text {i} of its own</p><div>Bottom line</div></body>") for i in range(8)]
     rows += [(20, "http://b.com/", "<body><div>Welcome to A</div><p>only</p></body>"), (21, None, None), (22, "x", ""), (23, "http://a.com/0", rows[0][2])]

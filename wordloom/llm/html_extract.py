@@ -13,6 +13,8 @@ only up to ``broadcast_hashes`` hashes in all and joined by shuffling beyond tha
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
+from collections import Counter
 from html import unescape
 
 import pyarrow as pa
@@ -26,7 +28,7 @@ from .url_filter import host_of
 # Element names and words of HTML practice, in no order that matters.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style title textarea xmp iframe noembed noframes noscript template svg math object audio video canvas".split())
+RAW = frozenset("script style title textarea xmp iframe noembed noframes noscript template svg object audio video canvas".split())
 FURNITURE = frozenset("head nav footer aside form button select option dialog menu fieldset datalist".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar form".split())
 KEPT_INSIDE = frozenset("p h1 h2 h3 h4 h5 h6 li blockquote pre dd dt td th tr tbody thead".split()) | INLINE
@@ -35,22 +37,24 @@ SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "
 NAMES = re.compile(r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|adsense|sponsor(?:ed)?|promo(?:tion)?|banner|cookies?|consent|gdpr|notices?|newsletter|subscribe|subscription|popup|modal|overlay|sidebar|side-?bar|widgets?|menu|nav|navbar|navigation|breadcrumbs?|footer|masthead|comments?|commentlist|respond|repl(?:y|ies)|disqus|shar(?:e|ing)|social|related|recommended|pagination|pager|skip|login|signup|search|toolbar|toc|hidden)(?:$|[\s_-]|\d)", re.I)
 HEADER_NAMES = re.compile(r"(?:^|[\s_-])(?:header|topbar|site-?title)(?:$|[\s_-])", re.I)
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/><]*)", re.S)
+_IN_TAG = re.compile(r"(?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+", re.S)
 _ATTR = re.compile(r"([^\s=/\"'>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))|([^\s=/\"'>]+)")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "start", "end", "drop", "names")
+    __slots__ = ("tag", "parent", "start", "end", "drop", "named", "names", "inside")
 
     def __init__(self, tag: str, parent: Node | None, start: int, attrs: str) -> None:
         self.tag, self.parent, self.start, self.end, self.drop, self.names = tag, parent, start, -1, tag in FURNITURE, ""
+        self.named, self.inside = False, parent is not None and (parent.inside or parent.tag in ("article", "main"))
         if attrs and not attrs.isspace():
             a = {(k or alone).lower(): v1 or v2 or v3 for k, v1, v2, v3, alone in _ATTR.findall(attrs)}
             self.names = f"{a.get('class', '')} {a.get('id', '')}"
             shown = a.get("style", "").replace(" ", "").lower()
             self.drop |= a.get("role", "").lower() in ROLES or "hidden" in a or a.get("aria-hidden", "").lower() == "true" or "display:none" in shown or "visibility:hidden" in shown
             if tag not in ("html", "body", "article", "main"):
-                self.drop |= bool(NAMES.search(self.names))
+                self.named = bool(NAMES.search(self.names))
             elif tag == "article":
                 self.drop |= bool(re.search(r"comment|reply|related|promo|sponsor", self.names, re.I))
             if a.get("role", "").lower() == "main":
@@ -62,10 +66,13 @@ def parse(html: str) -> tuple[list[str], list[Node]]:
     pieces, nodes, stack, at = [], [], [], 0
     root = Node("#", None, 0, "")
     stack.append(root)
+    is_open = Counter()
+    quotes = True  # until one is never closed
 
     def close(k: int) -> None:
         while len(stack) > k:
-            stack.pop().end = len(pieces)
+            stack[-1].end = len(pieces)
+            is_open[stack.pop().tag] -= 1
 
     while True:
         m = _TOKEN.search(html, at)
@@ -77,9 +84,18 @@ def parse(html: str) -> tuple[list[str], list[Node]]:
         at = m.end()
         if not m[2]:
             continue
+        until = _IN_TAG.match(html, at).end() if quotes else html.find(">", at)
+        if quotes and html[until : until + 1] not in ("<", ">"):
+            quotes, until = False, html.find(">", at)
+        if until < 0 or html[until] == "<" or (not quotes and html.find("<", at, until) >= 0):
+            # no tag: a plain less-than sign
+            pieces.append("<")
+            at = m.start() + 1
+            continue
+        inner, at = html[at:until], until + 1
         tag = m[2].lower()
         if m[1]:
-            for k in range(len(stack) - 1, 0, -1):
+            for k in range(len(stack) - 1, 0, -1) if is_open[tag] > 0 or is_open["main"] > 0 else ():
                 if stack[k].tag == tag or (stack[k].tag == "main" and tag in ("div", "section")):
                     if tag not in INLINE:
                         pieces.append(" ")
@@ -88,7 +104,7 @@ def parse(html: str) -> tuple[list[str], list[Node]]:
             continue
         if tag in RAW:
             pieces.append(" ") if tag not in ("script", "style", "template") else None
-            if not m[3].endswith("/"):
+            if not inner.endswith("/"):
                 end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*(?:>|\Z)", re.I).search(html, at)
                 at = end.end() if end else len(html)
             continue
@@ -96,7 +112,7 @@ def parse(html: str) -> tuple[list[str], list[Node]]:
             if tag != "wbr":
                 pieces.append(" ")
             if tag not in VOID or tag == "hr":
-                for k in range(len(stack) - 1, 0, -1):
+                for k in range(len(stack) - 1, 0, -1) if any(is_open[x] > 0 for x in CLOSED_BY_BLOCK) else ():
                     if stack[k].tag in CLOSED_BY_BLOCK:
                         close(k)
                         break
@@ -111,34 +127,51 @@ def parse(html: str) -> tuple[list[str], list[Node]]:
                         break
         if tag in VOID:
             continue
-        node = Node(tag, stack[-1], len(pieces), m[3])
+        node = Node(tag, stack[-1], len(pieces), inner)
         nodes.append(node)
+        is_open[node.tag] += 1
         stack.append(node)
     close(0)
+    titles = [x.start for x in nodes if x.tag == "h1"]
     for n in nodes:
         if n.tag == "header" or HEADER_NAMES.search(n.names):
-            inside = any(x.tag in ("article", "main") for x in above(n))
-            n.drop |= not (inside and any(x.tag == "h1" and n.start <= x.start < n.end for x in nodes))
+            k = bisect_left(titles, n.start)
+            n.drop |= not (n.inside and k < len(titles) and titles[k] < n.end)
+    # a wrapper that holds main, or the only article, is no furniture whatever its name says
+    mains = [x.start for x in nodes if x.tag == "main" and not x.drop]
+    articles = [x.start for x in nodes if x.tag == "article" and not x.drop]
+    held = sorted(mains + (articles if len(articles) == 1 else []))
+    for n in nodes:
+        if n.named:
+            k = bisect_left(held, n.start)
+            n.drop |= n.inside or k == len(held) or held[k] >= n.end
     return pieces, nodes
 
 
-def above(node: Node):
-    while (node := node.parent) is not None:
-        yield node
-
-
 def subtree_hashes(pieces: list[str], nodes: list[Node]) -> dict[int, int]:
-    """Signed 64-bit hash of each subtree that may be furniture, by its place in ``nodes``."""
-    out = {}
-    for k, n in enumerate(nodes):
-        if n.tag in ("html", "body", "main", "article", "head") or n.tag in INLINE:
-            continue
-        if n.tag in KEPT_INSIDE and any(x.tag in ("article", "main") for x in above(n)):
+    """Signed 64-bit hash of each subtree that may be furniture, by its place in ``nodes``.
+
+    A subtree is its tag, its own text and the hashes of its children, in order, so nested ones cost what their
+    own text does. Attributes are left out: a menu marks the page it is on by a class.
+    """
+    out, content, last = {}, [[] for _ in nodes], {id(n): k for k, n in enumerate(nodes)}
+    for k in range(len(nodes) - 1, -1, -1):
+        n, at, own, seen = nodes[k], nodes[k].start, [], False
+        # children come in reverse order
+        for start, end, digest in [*reversed(content[k]), (n.end, n.end, None)]:
+            text = " ".join("".join(pieces[at:start]).split())
+            seen |= bool(text) or digest is not None
+            own += [text] if text else []
+            own += [f"<{digest:x}>"] if digest is not None else []
+            at = end
+        content[k] = None
+        h = xxhash.xxh64_intdigest("|".join((n.tag, *own)).encode("utf-8", "surrogatepass")) if seen else None
+        parent = last.get(id(n.parent))
+        if parent is not None:
+            content[parent].append((n.start, n.end, h))
+        if h is None or n.tag in ("html", "body", "main", "article", "head") or n.tag in INLINE or (n.tag in KEPT_INSIDE and n.inside):
             continue
-        text = " ".join("".join(pieces[n.start : n.end]).split())
-        if text:
-            h = xxhash.xxh64_intdigest(f"{n.tag}|{text}".encode("utf-8", "surrogatepass"))
-            out[k] = h - (1 << 64) if h >> 63 else h
+        out[k] = h - (1 << 64) if h >> 63 else h
     return out
 
 
