@@ -345,6 +345,20 @@ def test_decontamination_equals_brute_force(spark):
     assert decontaminate.contaminated_words(docs, bench.where("false")).where("contaminated").count() == 0
 
 
+def test_windows_across_segments(spark):
+    rng = random.Random(13)
+    item = [f"z{i}" for i in range(14)]
+    texts = []
+    for at in (0, 1, 2035, 2038, 2043, 2047, 2048, 2049, 4090, 6000):
+        w = [f"a{rng.randrange(3000)}" for _ in range(6000)]
+        texts.append(" ".join([*w[:at], *item, *w[at:]]))
+    items = [(1, " ".join(item)), (2, "z3 z4 z5")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    for limit in (200_000, 0):
+        out = decontaminate.contaminated_words(documents(spark, texts), bench, broadcast_windows=limit)
+        assert {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.items_sha256) for r in out.collect()} == brute_hits(texts, items)
+
+
 def test_selected_grams_are_thinned_and_shared(spark):
     rng = random.Random(12)
     words = [f"w{rng.randrange(5)}" if i % 50 < 20 else f"x{rng.randrange(900)}" for i in range(5000)]

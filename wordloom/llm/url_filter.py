@@ -82,7 +82,8 @@ def filter_urls(urls: DataFrame, listed: DataFrame, url: str = "url", row_id: st
     Returns ``row_id``, host, path, rule (the entry that fits, longest first, ties by the smaller text) and
     verdict (the entry's, or ``default`` where none is listed). The list is broadcast only up to
     ``broadcast_rows`` entries; a longer one is joined by shuffling the few keys that the filter passes.
-    Nothing of a URL but its possible hits is shuffled. Up to ``most_lengths`` different path lengths of the
+    Host and path are shuffled to make them distinct, and again for the last join where the table of hits is too
+    large for Spark to broadcast by itself. Up to ``most_lengths`` different path lengths of the
     list are part of the plan; more of them are joined with the URLs, so none is left out.
     """
     entries = listed.select(F.concat("host", "path").alias("rule"), F.col(listed_verdict).alias("says"), F.length("path").alias("len")).where("rule is not null")
