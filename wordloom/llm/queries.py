@@ -1,4 +1,4 @@
-"""The queries op1 to op10 and pipeline over the synthetic tables, and DuckDB SQL where SQL can express them."""
+"""The queries op1 to op13 and pipeline over the synthetic tables, and DuckDB SQL where SQL can express them."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_extract, langid, line_dedup, mixing, simhash, substring_dedup, toxicity, url_filter, vector_graph
+from . import decontaminate, html_extract, langid, line_dedup, merkle, mixing, simhash, substring_dedup, toxicity, url_filter, vector_graph
 from .common import doc_crc
 
 URL_RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"))
@@ -127,6 +127,42 @@ SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_
 """
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tampered = F.when(F.pmod(doc_crc("doc_id"), F.lit(2)) == 0, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    m = merkle.manifest(table(spark, sf_dir, "documents"), changed={"text": tampered})
+    return m.select("doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("steps")).alias("proof_sha256"), "folded_root", "verified")
+
+
+def crc_sql(x: str) -> str:
+    """DuckDB expression of the unsigned crc32 of a string's UTF-8 bytes."""
+    octets = f"list_transform(range(1, length(hex(encode({x}))) // 2 + 1), lambda i: ('0x' || substr(hex(encode({x})), (2 * i - 1)::INTEGER, 2))::BIGINT)"
+    shift = "list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda y, z: xor(y >> 1, 3988292384 * (y & 1)))"
+    return f"xor(list_reduce([4294967295::BIGINT] || {octets}, lambda c, b: {shift}), 4294967295)"
+
+
+def _leaf_sql(text: str) -> str:
+    return "sha256(" + " || ".join(f"coalesce(strlen({c}::VARCHAR) || ':' || {c}::VARCHAR, '-')" for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+
+OP11_SQL = f"""
+WITH RECURSIVE d AS (SELECT doc_id, source, {_leaf_sql("text")} AS leaf, CASE WHEN {crc_sql("doc_id::VARCHAR")} % 2 = 0 THEN {_leaf_sql("replace(text, chr(10), '')")} ELSE {_leaf_sql("text")} END AS copy FROM documents),
+l AS (SELECT doc_id, leaf, copy, dense_rank() OVER (ORDER BY source IS NOT NULL, encode(source)) - 1 AS g, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY source) AS n FROM d),
+t(g, k, i, n, hash) AS (SELECT g, 0, i, n, leaf FROM l UNION ALL SELECT g, k + 1, i // 3, (n + 2) // 3, sha256(string_agg(hash, '' ORDER BY i)) FROM t WHERE n > 1 GROUP BY g, k, i // 3, n),
+r AS (SELECT g, hash AS subroot FROM t WHERE n = 1),
+u(k, i, n, hash) AS (SELECT 0, g, (SELECT count(*) FROM r), subroot FROM r UNION ALL SELECT k + 1, i // 3, (n + 2) // 3, sha256(string_agg(hash, '' ORDER BY i)) FROM u WHERE n > 1 GROUP BY k, i // 3, n),
+a AS (SELECT g AS tree, k, i, hash, n FROM t UNION ALL SELECT -1, k, i, hash, n FROM u),
+s AS (SELECT l.doc_id, a.k, a.i < l.i // (3 ** a.k)::BIGINT AS before, a.i, a.hash FROM l JOIN a ON a.tree = l.g AND a.n > 1 AND a.i // 3 = l.i // (3 ** (a.k + 1))::BIGINT AND a.i <> l.i // (3 ** a.k)::BIGINT
+  UNION ALL SELECT l.doc_id, 1000 + a.k, a.i < l.g // (3 ** a.k)::BIGINT, a.i, a.hash FROM l JOIN a ON a.tree = -1 AND a.n > 1 AND a.i // 3 = l.g // (3 ** (a.k + 1))::BIGINT AND a.i <> l.g // (3 ** a.k)::BIGINT),
+p AS (SELECT doc_id, string_agg(hash, '' ORDER BY k, i) AS proof FROM s GROUP BY doc_id),
+v AS (SELECT l.doc_id, row_number() OVER (PARTITION BY l.doc_id ORDER BY x.k) AS step, coalesce(string_agg(hash, '' ORDER BY s.i) FILTER (before), '') AS lhs, coalesce(string_agg(hash, '' ORDER BY s.i) FILTER (NOT before), '') AS rhs
+  FROM l JOIN (SELECT DISTINCT tree, CASE WHEN tree = -1 THEN 1000 + k ELSE k END AS k FROM a WHERE n > 1) x ON x.tree IN (-1, l.g) LEFT JOIN s ON s.doc_id = l.doc_id AND s.k = x.k GROUP BY l.doc_id, x.k),
+f(doc_id, step, h) AS (SELECT doc_id, 0, copy FROM l UNION ALL SELECT f.doc_id, f.step + 1, sha256(lhs || h || rhs) FROM f JOIN v ON v.doc_id = f.doc_id AND v.step = f.step + 1),
+e AS (SELECT doc_id, max_by(h, step) AS folded FROM f GROUP BY doc_id)
+SELECT l.doc_id, leaf, subroot, u.hash AS root, sha256(coalesce(proof, '')) AS proof_sha256, folded AS folded_root, folded = u.hash AS verified
+FROM l JOIN r USING (g) JOIN e USING (doc_id) LEFT JOIN p USING (doc_id), u WHERE u.n = 1
+"""
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -145,9 +181,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_url_filter": op8_url_filter,
         "op9_mixing": op9_mixing,
         "op10_substring_dedup": op10_substring_dedup,
+        "op11_merkle": op11_merkle,
         "pipeline": pipeline,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_vector_graph": OP4_SQL, "op5_line_dedup": OP5_SQL, "op6_decontaminate": OP6_SQL, "op8_url_filter": OP8_SQL, "op10_substring_dedup": OP10_SQL}
+    return {"op4_vector_graph": OP4_SQL, "op5_line_dedup": OP5_SQL, "op6_decontaminate": OP6_SQL, "op8_url_filter": OP8_SQL, "op10_substring_dedup": OP10_SQL, "op11_merkle": OP11_SQL}
