@@ -142,7 +142,7 @@ def manifest(docs: DataFrame, columns: tuple[str, ...] = ("doc_id", "source", "l
     key = F.coalesce(F.concat(F.lit("1"), F.col(source).cast("string")), F.lit("0"))  # null first
     leaves = scratch.table(docs.select(F.col(doc_id).alias("id"), key.alias("key"), leaf.alias("leaf"), copy.alias("copy")))
     rows = indexed(leaves, "key", ["id", "leaf"], scratch)
-    rows = scratch.table(rows.select("id", "leaf", "copy", F.col("group_no").alias("g"), F.col("index").alias("i"), F.col("size").alias("n")))
+    rows = scratch.table(rows.select("id", "leaf", "copy", F.col("group_no").alias("g"), F.col("index").alias("i"), F.col("group_size").alias("n")))
     tiers = climb(rows.select("g", "n", "i", F.col("leaf").alias("hash")), scratch, fan, depth)
     roots = tiers[-1].above().select("g", F.col("hash").alias("subroot"))
     sources = roots.agg(F.count("*")).first()[0]

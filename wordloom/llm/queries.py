@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_extract, langid, line_dedup, merkle, mixing, simhash, substring_dedup, toxicity, url_filter, vector_graph
+from . import decontaminate, html_extract, langid, line_dedup, merkle, mixing, sharding, simhash, substring_dedup, toxicity, url_filter, vector_graph
 from .common import doc_crc
 
 URL_RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"))
@@ -135,7 +135,7 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def crc_sql(x: str) -> str:
     """DuckDB expression of the unsigned crc32 of a string's UTF-8 bytes."""
-    octets = f"list_transform(range(1, length(hex(encode({x}))) // 2 + 1), lambda i: ('0x' || substr(hex(encode({x})), (2 * i - 1)::INTEGER, 2))::BIGINT)"
+    octets = f"list_transform(regexp_extract_all(hex(encode({x})), '..'), lambda p: ('0x' || p)::BIGINT)"
     shift = "list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda y, z: xor(y >> 1, 3988292384 * (y & 1)))"
     return f"xor(list_reduce([4294967295::BIGINT] || {octets}, lambda c, b: {shift}), 4294967295)"
 
@@ -163,6 +163,24 @@ FROM l JOIN r USING (g) JOIN e USING (doc_id) LEFT JOIN p USING (doc_id), u WHER
 """
 
 
+def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.shard_documents(table(spark, sf_dir, "documents"))
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+#: One document after the other, each to the first shard on its walk that is not full.
+OP12_SQL = f"""
+WITH RECURSIVE p AS (SELECT s, row_number() OVER (ORDER BY pt, s) AS j, pt >> 46 AS slot FROM (SELECT s, ('0x' || substr(md5('point11:' || s || ':' || k), 1, 15))::BIGINT AS pt FROM (SELECT unnest(range(8)) AS s), (SELECT unnest(range(256)) AS k))),
+d AS (SELECT doc_id, strlen(coalesce(text, '')) + 1 AS size, {crc_sql("text")}::BIGINT AS crc FROM documents),
+h AS (SELECT *, ('0x' || substr(md5('key11:' || doc_id), 1, 15))::BIGINT >> 46 AS slot, row_number() OVER (ORDER BY ('0x' || substr(md5('order11:' || doc_id || ':' || size || ':' || coalesce(crc::VARCHAR, '-')), 1, 15))::BIGINT) AS nth FROM d),
+w AS (SELECT nth, list(s ORDER BY steps) AS walk FROM (SELECT nth, s, min(CASE WHEN p.slot >= h.slot THEN j ELSE j + 2048 END) AS steps FROM h, p GROUP BY nth, s) GROUP BY nth),
+c AS (SELECT list(n // 8 + CASE WHEN s < n % 8 THEN 1 ELSE 0 END ORDER BY s) AS room FROM (SELECT count(*) AS n FROM d), (SELECT unnest(range(8)) AS s)),
+r(nth, shard, room) AS (SELECT 0::BIGINT, -1::BIGINT, room FROM c UNION ALL
+  SELECT nth, shard, list_transform(room, lambda x, i: CASE WHEN i = shard + 1 THEN x - 1 ELSE x END) FROM (SELECT w.nth, list_filter(walk, lambda s: room[s + 1] > 0)[1] AS shard, room FROM r JOIN w ON w.nth = r.nth + 1))
+SELECT doc_id, size::BIGINT AS size, crc AS text_crc32, 'rows' AS law, shard::INTEGER AS shard, row_number() OVER (PARTITION BY shard ORDER BY nth) - 1 AS slot, NULL::INTEGER AS grown_shard FROM h JOIN r USING (nth)
+"""
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -182,9 +200,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_mixing": op9_mixing,
         "op10_substring_dedup": op10_substring_dedup,
         "op11_merkle": op11_merkle,
+        "op12_sharding": op12_sharding,
         "pipeline": pipeline,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_vector_graph": OP4_SQL, "op5_line_dedup": OP5_SQL, "op6_decontaminate": OP6_SQL, "op8_url_filter": OP8_SQL, "op10_substring_dedup": OP10_SQL, "op11_merkle": OP11_SQL}
+    return {"op4_vector_graph": OP4_SQL, "op5_line_dedup": OP5_SQL, "op6_decontaminate": OP6_SQL, "op8_url_filter": OP8_SQL, "op10_substring_dedup": OP10_SQL, "op11_merkle": OP11_SQL, "op12_sharding": OP12_SQL}
