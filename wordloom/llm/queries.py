@@ -129,8 +129,7 @@ SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_
 
 def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     tampered = F.when(F.pmod(doc_crc("doc_id"), F.lit(2)) == 0, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
-    m = merkle.manifest(table(spark, sf_dir, "documents"), changed={"text": tampered})
-    return m.select("doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("steps")).alias("proof_sha256"), "folded_root", "verified")
+    return merkle.manifest(table(spark, sf_dir, "documents"), changed={"text": tampered}, with_steps=False)
 
 
 def crc_sql(x: str) -> str:
