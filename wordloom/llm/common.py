@@ -128,12 +128,16 @@ def words_of(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray) -> tupl
     if not len(data):
         none = np.zeros(0, np.int64)
         return none, none, none
-    inside = is_word[data]
+    return runs_of(is_word[data], offsets)
+
+
+def runs_of(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start byte, end byte, row) of each run of bytes that are ``inside``; no run spans two rows."""
     start, end = inside.copy(), inside.copy()
     start[1:] &= ~inside[:-1]
     end[:-1] &= ~inside[1:]
     edges = offsets[1:-1]
-    edges = edges[(edges > 0) & (edges < len(data))]
+    edges = edges[(edges > 0) & (edges < len(inside))]
     start[edges] = inside[edges]
     end[edges - 1] = inside[edges - 1]
     starts, ends = np.flatnonzero(start), np.flatnonzero(end) + 1

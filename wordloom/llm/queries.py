@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_extract, langid, line_dedup, merkle, mixing, sharding, simhash, substring_dedup, toxicity, url_filter, vector_graph
+from . import decontaminate, html_extract, langid, line_dedup, merkle, mixing, sharding, simhash, substring_dedup, toxicity, url_filter, variants, vector_graph
 from .common import doc_crc
 
 URL_RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"))
@@ -180,6 +180,25 @@ SELECT doc_id, size::BIGINT AS size, crc AS text_crc32, 'rows' AS law, shard::IN
 """
 
 
+def op13_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.group_variants(table(spark, sf_dir, "documents"))
+
+
+#: Near words meet in what is left of a word without one of its letters; ``chain`` is at most log2 of the largest n long.
+OP13_SQL = f"""
+WITH RECURSIVE t AS (SELECT doc_id, translate(w, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')) AS w FROM documents)),
+c AS (SELECT w, k, {crc_sql("doc_id || ':' || w")} AS h FROM (SELECT doc_id, w, count(*) AS k FROM t GROUP BY ALL)),
+v AS (SELECT word, sum(k)::BIGINT AS n FROM (SELECT CASE WHEN h % 97 = 0 THEN substr(w, 1, (h % length(w))::INTEGER) || substr(w, (h % length(w))::INTEGER + 2) ELSE w END AS word, k FROM c) WHERE length(word) >= 5 GROUP BY word HAVING sum(k) >= 3),
+x AS (SELECT word, n, length(word) AS len, i, substr(word, 1, (i - 1)::INTEGER) || substr(word, (i + 1)::INTEGER) AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM v)),
+p AS (SELECT a.word AS word, b.word AS near FROM x a JOIN x b ON a.rest = b.rest AND a.i = b.i AND a.len = b.len AND a.word <> b.word UNION SELECT x.word, v.word FROM x JOIN v ON x.rest = v.word UNION SELECT v.word, x.word FROM x JOIN v ON x.rest = v.word),
+q AS (SELECT p.word, count(*) AS n_near, max(v.n) AS top, (list(p.near ORDER BY v.n DESC, encode(p.near)))[1] AS near FROM p JOIN v ON v.word = p.near GROUP BY p.word),
+f AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN top >= 2 * v.n THEN near END AS form, CASE WHEN top >= 2 * v.n THEN top END AS form_n FROM v LEFT JOIN q USING (word)),
+chain(word, here) AS (SELECT word, word FROM f UNION ALL SELECT chain.word, f.form FROM chain JOIN f ON f.word = chain.here WHERE f.form IS NOT NULL),
+r AS (SELECT chain.word, chain.here AS root FROM chain JOIN f ON f.word = chain.here WHERE f.form IS NULL)
+SELECT word, form, root, n, n_near::BIGINT AS n_near, form_n::BIGINT AS form_n FROM f JOIN r USING (word)
+"""
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -200,9 +219,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_substring_dedup": op10_substring_dedup,
         "op11_merkle": op11_merkle,
         "op12_sharding": op12_sharding,
+        "op13_variants": op13_variants,
         "pipeline": pipeline,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_vector_graph": OP4_SQL, "op5_line_dedup": OP5_SQL, "op6_decontaminate": OP6_SQL, "op8_url_filter": OP8_SQL, "op10_substring_dedup": OP10_SQL, "op11_merkle": OP11_SQL, "op12_sharding": OP12_SQL}
+    return {"op4_vector_graph": OP4_SQL, "op5_line_dedup": OP5_SQL, "op6_decontaminate": OP6_SQL, "op8_url_filter": OP8_SQL, "op10_substring_dedup": OP10_SQL, "op11_merkle": OP11_SQL, "op12_sharding": OP12_SQL, "op13_variants": OP13_SQL}
