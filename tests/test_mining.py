@@ -11,13 +11,13 @@ from wordloom.sources import formats as S
 
 def test_split_of_one_value(spark):
     d = spark.createDataFrame([(0, 3.0, 0, 2), (0, 3.0, 1, 1)], "feature int, value double, label int, n long")
-    r = G.best_splits(d, [0, 1]).first()
+    r = G.best_splits(d).first()
     assert (r.ig, r.threshold, r.gap) == (0.0, 3.0, 0.0)
 
 
 def test_perfect_split(spark):
     d = spark.createDataFrame([(0, 1.0, 0, 1), (0, 2.0, 0, 1), (0, 8.0, 1, 1), (0, 10.0, 1, 1)], "feature int, value double, label int, n long")
-    r = G.best_splits(d, [0, 1]).first()
+    r = G.best_splits(d).first()
     assert r.ig == pytest.approx(1) and r.threshold == 5.0 and r.gap == 7.5
 
 

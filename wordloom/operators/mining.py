@@ -1,7 +1,8 @@
 """Word mining: rarity, bags, collisions, information gain, shapelets by SAX and by SFA, matching, features.
 
-Words come as (series, t, label, word, code, flat, s0..). Series are fitted together; an extra key column
-such as a channel can be part of ``keys``.
+Words come as (series, t, label, word, code, flat, s0..). Series are fitted together; with ``by``, such as
+("channel",), each value of these columns is fitted on its own, all in the same jobs: its series (whose ids
+must differ between channels), its vocabulary, candidates, splits and dictionary.
 """
 
 from __future__ import annotations
@@ -13,19 +14,40 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.symbols import FLAT, code, entropy
+from ..functions.symbols import FLAT, code
 
 
-def rarity_table(words: DataFrame) -> DataFrame:
-    """(code, rarity): minus the log of the share of training windows with this word."""
-    n = words.agg(F.count("*").alias("n"))
-    return words.groupBy("code").count().join(F.broadcast(n)).select("code", (-F.log(F.col("count") / F.col("n"))).alias("rarity"))
+#: Bytes of a dictionary that may be broadcast; a larger one is shuffled.
+MOST_BROADCAST = 64 << 20
 
 
-def rarity(words: DataFrame, table: DataFrame, n_train: Column | int) -> DataFrame:
-    """(series, rarity, location): the rarest window of each series, first on ties; a word unseen in training counts 1/(n+1)."""
+def beside(df: DataFrame, totals: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    """``df`` with what ``totals`` says of each value of ``by``; without ``by`` it is one row."""
+    return df.join(totals, list(by)) if by else df.join(F.broadcast(totals))
+
+
+def few(df: DataFrame, row_bytes: int) -> DataFrame:
+    """``df`` marked for broadcast if its counted rows are small enough."""
+    return F.broadcast(df) if df.count() * row_bytes <= MOST_BROADCAST else df
+
+
+def ranked(df: DataFrame, order: list[Column], most: int, by: tuple[str, ...]) -> DataFrame:
+    """The first ``most`` rows (of each ``by``) with their rank; a partition holds one vocabulary at most."""
+    if not by:
+        df = df.orderBy(*order).limit(most)
+    return df.withColumn("rank", F.row_number().over(W.partitionBy(*by).orderBy(*order))).where(F.col("rank") <= most)
+
+
+def rarity_table(words: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, code, rarity): minus the log of the share of training windows with this word."""
+    n = words.groupBy(*by).agg(F.count("*").alias("n"))
+    return beside(words.groupBy(*by, "code").count(), n, by).select(*by, "code", (-F.log(F.col("count") / F.col("n"))).alias("rarity"))
+
+
+def rarity(words: DataFrame, table: DataFrame, n_train: Column | int, by: tuple[str, ...] = ()) -> DataFrame:
+    """(series, rarity, location): the rarest window of each series, first on ties; a word unseen in training counts 1/(n+1). ``n_train`` may be a column of ``words``."""
     floor = F.log(F.lit(1.0) + n_train)
-    r = words.join(table, "code", "left").select("series", "t", F.coalesce("rarity", floor).alias("r"))
+    r = words.join(table, [*by, "code"], "left").select("series", "t", F.coalesce("rarity", floor).alias("r"))
     best = r.groupBy("series").agg(F.min(F.struct((-F.col("r")).alias("m"), F.col("t").alias("t"))).alias("b"))
     return best.select("series", (-F.col("b.m")).alias("rarity"), F.col("b.t").alias("location"))
 
@@ -44,31 +66,31 @@ def projection_masks(word_len: int, mask_size: int, n: int, seed: int = 0) -> li
     return [every[rng.randrange(len(every))] for _ in range(n)]
 
 
-def collisions(words: DataFrame, masks: list[tuple[int, ...]], word_len: int, alphabet: int = 4) -> DataFrame:
-    """(code, label, n): for each word and class, the number of distinct series that hold a word equal to it under a mask, summed over masks."""
+def collisions(words: DataFrame, masks: list[tuple[int, ...]], word_len: int, alphabet: int = 4, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, code, label, n): for each word and class, the number of distinct series that hold a word equal to it under a mask, summed over masks."""
     s = [F.col(f"s{j}") for j in range(word_len)]
     keys = F.array(*[F.struct(F.lit(k).alias("mask"), code([s[j] for j in m], alphabet).alias("key")) for k, m in enumerate(masks)])
-    own = words.select("series", "label", "code", *[f"s{j}" for j in range(word_len)]).distinct()
-    per = own.select("series", "label", F.inline(keys)).distinct().groupBy("mask", "key", "label").agg(F.count("*").alias("n"))
-    vocabulary = own.select("code", *[f"s{j}" for j in range(word_len)]).distinct().select("code", F.inline(keys))
-    return vocabulary.join(per, ["mask", "key"]).groupBy("code", "label").agg(F.sum("n").alias("n"))
+    own = words.select(*by, "series", "label", "code", *[f"s{j}" for j in range(word_len)]).distinct()
+    per = own.select(*by, "series", "label", F.inline(keys)).distinct().groupBy(*by, "mask", "key", "label").agg(F.count("*").alias("n"))
+    vocabulary = own.select(*by, "code", *[f"s{j}" for j in range(word_len)]).distinct().select(*by, "code", F.inline(keys))
+    return vocabulary.join(per, [*by, "mask", "key"]).groupBy(*by, "code", "label").agg(F.sum("n").alias("n"))
 
 
-def candidate_scores(coll: DataFrame, classes: DataFrame, n_masks: int) -> DataFrame:
-    """(code, score, dominant): largest p_c less the mean of the other classes' p, p the share of series and masks that collide; for two classes the absolute difference. ``classes``: (label, n), broadcast."""
-    grid = coll.select("code").distinct().join(F.broadcast(classes))
-    p = grid.join(coll.withColumnRenamed("n", "c"), ["code", "label"], "left").withColumn("p", F.coalesce("c", F.lit(0)) / (F.lit(float(n_masks)) * F.col("n")))
-    w = W.partitionBy("code")
+def candidate_scores(coll: DataFrame, classes: DataFrame, n_masks: int, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, code, score, dominant): largest p_c less the mean of the other classes' p, p the share of series and masks that collide; for two classes the absolute difference. ``classes``: (by, label, n)."""
+    grid = beside(coll.select(*by, "code").distinct(), classes, by)
+    p = grid.join(coll.withColumnRenamed("n", "c"), [*by, "code", "label"], "left").withColumn("p", F.coalesce("c", F.lit(0)) / (F.lit(float(n_masks)) * F.col("n")))
+    w = W.partitionBy(*by, "code")
     p = p.withColumn("k", F.count("*").over(w)).withColumn("others", (F.sum("p").over(w) - F.col("p")) / F.greatest(F.lit(1), F.col("k") - 1))
-    best = p.groupBy("code").agg(F.max(F.col("p") - F.col("others")).alias("score"), F.min(F.struct((-F.round("p", 9)).alias("m"), "label"))["label"].alias("dominant"))
+    best = p.groupBy(*by, "code").agg(F.max(F.col("p") - F.col("others")).alias("score"), F.min(F.struct((-F.round("p", 9)).alias("m"), "label"))["label"].alias("dominant"))
     return best
 
 
-def eligible(words: DataFrame, flat_code: int) -> DataFrame:
-    """(code, support): words with a window that is not flat and other than the flat word, with the share of series that hold them."""
-    n = words.agg(F.count_distinct("series").alias("n"))
-    d = words.groupBy("code").agg(F.count_distinct("series").alias("c"), F.max(~F.col("flat")).alias("shaped"))
-    return d.where(F.col("shaped") & (F.col("code") != flat_code)).join(F.broadcast(n)).select("code", (F.col("c") / F.col("n")).alias("support"))
+def eligible(words: DataFrame, flat_code: int, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, code, support): words with a window that is not flat and other than the flat word, with the share of series that hold them."""
+    n = words.groupBy(*by).agg(F.count_distinct("series").alias("n"))
+    d = words.groupBy(*by, "code").agg(F.count_distinct("series").alias("c"), F.max(~F.col("flat")).alias("shaped"))
+    return beside(d.where(F.col("shaped") & (F.col("code") != flat_code)), n, by).select(*by, "code", (F.col("c") / F.col("n")).alias("support"))
 
 
 def motifs(words: DataFrame, coll: DataFrame, flat_code: int, n_masks: int, top_k: int) -> DataFrame:
@@ -80,25 +102,33 @@ def motifs(words: DataFrame, coll: DataFrame, flat_code: int, n_masks: int, top_
     return d.select(F.row_number().over(w).alias("rank"), "code", "support", "p")
 
 
-def best_splits(values: DataFrame, classes: list, feature: str = "feature") -> DataFrame:
+def best_splits(values: DataFrame, feature: str | tuple[str, ...] = "feature") -> DataFrame:
     """(feature, ig, threshold, gap) of the best threshold of each feature from rows (feature, value, label, n).
 
+    Classes stay rows, however many there are: what a class adds to a side's entropy is n log n, and only the
+    classes of the rows at a value change there, so the sums of both sides are running sums of these changes.
     Rows are merged by value first; the gain is taken between distinct values, the first best one wins, and a
     feature of one value has gain 0 at that value. ``n`` lets one row stand for many, such as absent words.
+    ``feature`` may be several columns.
     """
-    per = [F.sum(F.when(F.col("label") == c, F.col("n")).otherwise(0)).alias(f"c{i}") for i, c in enumerate(classes)]
-    v = values.groupBy(feature, "value").agg(*per, F.sum("n").alias("n"))
-    up, all_ = W.partitionBy(feature).orderBy("value").rowsBetween(W.unboundedPreceding, 0), W.partitionBy(feature)
-    k = range(len(classes))
-    v = v.select(feature, "value", F.lead("value").over(W.partitionBy(feature).orderBy("value")).alias("next"), *[F.sum(f"c{i}").over(up).alias(f"l{i}") for i in k], *[F.sum(f"c{i}").over(all_).alias(f"t{i}") for i in k], F.sum("n").over(up).alias("nl"), F.sum("n").over(all_).alias("nt"), F.sum(F.col("n") * F.col("value")).over(up).alias("sl"), F.sum(F.col("n") * F.col("value")).over(all_).alias("st"))
-    left, total = [F.col(f"l{i}") for i in k], [F.col(f"t{i}") for i in k]
-    right = [t - x for t, x in zip(total, left, strict=True)]
+    key = [feature] if isinstance(feature, str) else list(feature)
+    nlogn = lambda x: F.when(x > 0, x * F.log2(x.cast("double"))).otherwise(0.0)
+    rows = values.groupBy(*key, "label", "value").agg(F.sum("n").alias("n"))
+    up, whole = W.partitionBy(*key, "label").orderBy("value").rowsBetween(W.unboundedPreceding, 0), W.partitionBy(*key, "label")
+    rows = rows.select(*key, "value", "n", F.sum("n").over(up).alias("l"), F.sum("n").over(whole).alias("t"))
+    before, left, right, wider = F.col("l") - F.col("n"), F.col("l"), F.col("t") - F.col("l"), F.col("t") - F.col("l") + F.col("n")
+    v = rows.groupBy(*key, "value").agg(F.sum("n").alias("n"), F.sum(nlogn(left) - nlogn(before)).alias("dl"), F.sum(nlogn(right) - nlogn(wider)).alias("dr"))
+    order = W.partitionBy(*key).orderBy("value")
+    up, whole = order.rowsBetween(W.unboundedPreceding, 0), W.partitionBy(*key)
+    # over all values the left side grows to the total and the right side falls from it to 0
+    v = v.select(*key, "value", F.lead("value").over(order).alias("next"), F.sum("dl").over(up).alias("al"), F.sum("dr").over(up).alias("ar"), F.sum("dl").over(whole).alias("at"), F.sum("n").over(up).alias("nl"), F.sum("n").over(whole).alias("nt"), F.sum(F.col("n") * F.col("value")).over(up).alias("sl"), F.sum(F.col("n") * F.col("value")).over(whole).alias("st"))
     nr = F.col("nt") - F.col("nl")
-    ig = entropy(total) - (F.col("nl") * entropy(left) + nr * entropy(right)) / F.col("nt")
-    v = v.select(feature, "value", "next", F.when(F.col("next").isNull(), F.lit(-1.0)).otherwise(F.round(ig, 12)).alias("ig"), F.when(F.col("next").isNotNull(), (F.col("st") - F.col("sl")) / nr - F.col("sl") / F.col("nl")).alias("gap"))
-    best = v.groupBy(feature).agg(F.min(F.struct((-F.col("ig")).alias("m"), "value", "next", "gap")).alias("b"))
+    total, lower, upper = nlogn(F.col("nt")) - F.col("at"), nlogn(F.col("nl")) - F.col("al"), nlogn(nr) - (F.col("at") + F.col("ar"))
+    ig = (total - lower - upper) / F.col("nt")
+    v = v.select(*key, "value", "next", F.when(F.col("next").isNull(), F.lit(-1.0)).otherwise(F.round(ig, 12) + 0.0).alias("ig"), F.when(F.col("next").isNotNull(), (F.col("st") - F.col("sl")) / nr - F.col("sl") / F.col("nl")).alias("gap"))
+    best = v.groupBy(*key).agg(F.min(F.struct((-F.col("ig")).alias("m"), "value", "next", "gap")).alias("b"))
     none = F.col("b.next").isNull()
-    return best.select(feature, F.when(none, 0.0).otherwise(-F.col("b.m")).alias("ig"), F.when(none, F.col("b.value")).otherwise((F.col("b.value") + F.col("b.next")) / 2).alias("threshold"), F.when(none, 0.0).otherwise(F.col("b.gap")).alias("gap"))
+    return best.select(*key, F.when(none, 0.0).otherwise(-F.col("b.m")).alias("ig"), F.when(none, F.col("b.value")).otherwise((F.col("b.value") + F.col("b.next")) / 2).alias("threshold"), F.when(none, 0.0).otherwise(F.col("b.gap")).alias("gap"))
 
 
 def z_windows(points: DataFrame, window: int, carry: tuple[str, ...] = ("label",)) -> DataFrame:
@@ -110,51 +140,54 @@ def z_windows(points: DataFrame, window: int, carry: tuple[str, ...] = ("label",
     return x.where(F.col("n") == window).select("series", "t", *carry, flat.alias("flat"), *[F.when(flat, 0.0).otherwise((F.col(f"x{i}") - F.col("mean")) / F.col("sd")).alias(f"z{i}") for i in range(window)])
 
 
-def min_distances(windows: DataFrame, queries: DataFrame, window: int, carry: tuple[str, ...] = ("label",)) -> DataFrame:
-    """(series, carry, query, distance, location, spread): least length-normalised distance of each query to each series.
+def min_distances(windows: DataFrame, queries: DataFrame, window: int, carry: tuple[str, ...] = ("label",), by: tuple[str, ...] = ()) -> DataFrame:
+    """(series, carry, by, query, distance, location, spread): least length-normalised distance of each query to each series.
 
-    ``queries``: (query, q0..q(w-1)), z-normalised and few (a dictionary), so they are broadcast. The distance
+    ``queries``: (by, query, q0..q(w-1)), z-normalised and a dictionary, so they are broadcast (with ``by`` up to a
+    counted size). The distance
     is unrolled arithmetic that stays in generated code, with a partial minimum before the shuffle. Flat
     windows count only where all windows are flat, with spread 0.
     """
     d2 = sum([(F.col(f"z{i}") - F.col(f"q{i}")) * (F.col(f"z{i}") - F.col(f"q{i}")) for i in range(1, window)], (F.col("z0") - F.col("q0")) * (F.col("z0") - F.col("q0")))
-    each = windows.join(F.broadcast(queries)).select("series", *carry, "query", "t", "flat", F.sqrt(d2 / F.lit(float(window))).alias("d"))
+    both = windows.join(few(queries, 8 * window + 64), list(by)) if by else windows.join(F.broadcast(queries))
+    carry = (*carry, *[c for c in by if c not in carry])
+    each = both.select("series", *carry, "query", "t", "flat", F.sqrt(d2 / F.lit(float(window))).alias("d"))
     shaped = F.when(~F.col("flat"), F.struct(F.round("d", 9).alias("r"), "t", "d"))
     g = each.groupBy("series", *carry, "query").agg(F.min(shaped).alias("a"), F.min(F.struct("t", "d")).alias("f"), F.max(F.when(~F.col("flat"), F.col("d"))).alias("most"))
     return g.select("series", *carry, "query", F.coalesce("a.d", "f.d").alias("distance"), F.coalesce("a.t", "f.t").alias("location"), F.when(F.col("a").isNull(), 0.0).otherwise(F.col("most") - F.col("a.d")).alias("spread"))
 
 
-def representatives(words: DataFrame, windows: DataFrame, candidates: DataFrame, window: int) -> DataFrame:
-    """(query, q0..): the first non-flat window of each candidate in a series of its dominant class, else in any; candidates (code, dominant)."""
+def representatives(words: DataFrame, windows: DataFrame, candidates: DataFrame, window: int, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, query, q0..): the first non-flat window of each candidate in a series of its dominant class, else in any; candidates (by, code, dominant)."""
     pref = F.when(F.col("label") == F.col("dominant"), 0).otherwise(1)
-    at = words.where(~F.col("flat")).join(F.broadcast(candidates), "code").groupBy("code").agg(F.min(F.struct(pref.alias("p"), "series", "t")).alias("m")).select(F.col("code").alias("query"), "m.series", "m.t")
-    return windows.join(F.broadcast(at), ["series", "t"]).select("query", *[F.col(f"z{i}").alias(f"q{i}") for i in range(window)])
-
-
-def shapelets(words: DataFrame, windows: DataFrame, window: int, word_len: int, flat_code: int, masks: list[tuple[int, ...]], n_candidates: int = 50, top_k: int = 10, alphabet: int = 4) -> tuple[DataFrame, DataFrame]:
-    """(dictionary: rank, code, ig, threshold, gap, dominant, support; its queries): symbolic filter, then verification of raw windows by information gain."""
-    labels = words.select("series", "label").distinct().groupBy("label").agg(F.count("*").alias("n"))
-    classes = [r.label for r in labels.select("label").orderBy("label").collect()]
-    scores = candidate_scores(collisions(words, masks, word_len, alphabet), labels, len(masks))
-    cand = scores.join(eligible(words, flat_code), "code").orderBy(F.desc(F.round("score", 9)), "code").limit(n_candidates).cache()
-    queries = representatives(words, windows, cand.select("code", "dominant"), window).cache()
-    dist = min_distances(windows, queries, window)
-    splits = best_splits(dist.select(F.col("query").alias("feature"), F.round("distance", 9).alias("value"), "label", F.lit(1).alias("n")), classes)
-    d = splits.join(F.broadcast(cand), splits["feature"] == cand["code"])
+    shaped = words.where(~F.col("flat")).join(few(candidates, 64) if by else F.broadcast(candidates), [*by, "code"])
+    at = shaped.groupBy(*by, "code").agg(F.min(F.struct(pref.alias("p"), "series", "t")).alias("m")).select(*by, F.col("code").alias("query"), "m.series", "m.t")
+    return windows.join(at if by else F.broadcast(at), [*by, "series", "t"]).select(*by, "query", *[F.col(f"z{i}").alias(f"q{i}") for i in range(window)])
+
+
+def shapelets(words: DataFrame, windows: DataFrame, window: int, word_len: int, flat_code: int, masks: list[tuple[int, ...]], n_candidates: int = 50, top_k: int = 10, alphabet: int = 4, by: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """(dictionary: by, rank, code, ig, threshold, gap, dominant, support; its queries): symbolic filter, then verification of raw windows by information gain."""
+    labels = words.select(*by, "series", "label").distinct().groupBy(*by, "label").agg(F.count("*").alias("n"))
+    scores = candidate_scores(collisions(words, masks, word_len, alphabet, by), labels, len(masks), by)
+    cand = ranked(scores.join(eligible(words, flat_code, by), [*by, "code"]), [F.desc(F.round("score", 9)), F.col("code")], n_candidates, by).drop("rank").cache()
+    queries = representatives(words, windows, cand.select(*by, "code", "dominant"), window, by).cache()
+    dist = min_distances(windows, queries, window, ("label",), by)
+    splits = best_splits(dist.select(*by, F.col("query").alias("code"), F.round("distance", 9).alias("value"), "label", F.lit(1).alias("n")), (*by, "code"))
     order = [F.desc("ig"), F.desc(F.round(F.abs("gap"), 9)), F.desc(F.round("score", 9)), F.col("code")]
-    top = d.orderBy(*order).limit(top_k).select(F.row_number().over(W.orderBy(*order)).alias("rank"), "code", "ig", "threshold", "gap", "dominant", "support")
+    top = ranked(splits.join(cand, [*by, "code"]), order, top_k, by).select(*by, "rank", "code", "ig", "threshold", "gap", "dominant", "support")
     return top, queries
 
 
-def match(words: DataFrame, windows: DataFrame, dictionary: DataFrame, queries: DataFrame, window: int) -> DataFrame:
-    """(series, code, presence, frequency, distance, location, informative) of each dictionary word in each series; frequency is over all windows."""
-    chosen = queries.join(F.broadcast(dictionary.select(F.col("code").alias("query"))), "query")
-    dist = min_distances(windows, chosen, window, ())
+def match(words: DataFrame, windows: DataFrame, dictionary: DataFrame, queries: DataFrame, window: int, by: tuple[str, ...] = ()) -> DataFrame:
+    """(series, by, code, presence, frequency, distance, location, informative) of each dictionary word in each series; frequency is over all windows."""
+    codes = dictionary.select(*by, "code")
+    chosen = queries.join(codes.withColumnRenamed("code", "query") if by else F.broadcast(codes.withColumnRenamed("code", "query")), [*by, "query"])
+    dist = min_distances(windows, chosen, window, (), by)
     n = words.groupBy("series").agg(F.count("*").alias("n"))
-    hits = words.join(F.broadcast(dictionary.select("code")), "code").groupBy("series", "code").agg(F.count("*").alias("c"))
+    hits = words.join(few(codes, 64) if by else F.broadcast(codes), [*by, "code"]).groupBy("series", "code").agg(F.count("*").alias("c"))
     d = dist.withColumnRenamed("query", "code").join(n, "series").join(hits, ["series", "code"], "left")
     c = F.coalesce("c", F.lit(0))
-    return d.select("series", "code", (c > 0).cast("int").alias("presence"), (c / F.col("n")).alias("frequency"), "distance", "location", (F.col("spread") > 1e-4).alias("informative"))
+    return d.select("series", *by, "code", (c > 0).cast("int").alias("presence"), (c / F.col("n")).alias("frequency"), "distance", "location", (F.col("spread") > 1e-4).alias("informative"))
 
 
 def standardised(features: DataFrame, cols: tuple[str, ...], by: tuple[str, ...] = ("code",)) -> DataFrame:
@@ -165,7 +198,7 @@ def standardised(features: DataFrame, cols: tuple[str, ...], by: tuple[str, ...]
     return d.select(*rest, *[((F.col(c) - F.col(f"{c}_m")) / F.when(F.col(f"{c}_s") < 1e-6, 1.0).otherwise(F.col(f"{c}_s"))).alias(c) for c in cols])
 
 
-def boss_words(words: DataFrame, flat_code: int, classes: list, top_k: int = 10, min_support: float = 0.02) -> DataFrame:
+def boss_words(words: DataFrame, flat_code: int, top_k: int = 10, min_support: float = 0.02) -> DataFrame:
     """(rank, code, ig, dominant, support): SFA words by information gain of their reduced relative frequency.
 
     A series without the word has frequency 0; it enters as one row a class, not as a dense grid. If no word
@@ -184,7 +217,7 @@ def boss_words(words: DataFrame, flat_code: int, classes: list, top_k: int = 10,
     zero = grid.where("n > have").select(F.col("code").alias("feature"), F.lit(0.0).alias("value"), "label", (F.col("n") - F.col("have")).alias("n"))
     rows = f.select(F.col("code").alias("feature"), F.round("value", 12).alias("value"), "label", F.lit(1).cast("long").alias("n")).unionByName(zero)
     dominant = grid.groupBy("code", "support").agg(F.min(F.struct((-F.round("mean", 12)).alias("m"), "label"))["label"].alias("dominant"))
-    s = best_splits(rows, classes).withColumnRenamed("feature", "code").join(dominant, "code")
+    s = best_splits(rows).withColumnRenamed("feature", "code").join(dominant, "code")
     order = [F.desc("ig"), F.desc(F.round(F.abs("gap"), 9)), F.col("code")]
     return s.orderBy(*order).limit(top_k).select(F.row_number().over(W.orderBy(*order)).alias("rank"), "code", "ig", "gap", "dominant", "support")
 

@@ -41,8 +41,7 @@ def features(points: DataFrame, window: int, method: str = "fastshapelets", word
     coefs = X.fourier_windows(points, window, word_len, carry=("label",))
     edges = X.sfa_edges(coefs, word_len, alphabet)
     words = X.sfa_words(coefs, edges, word_len, alphabet, carry=("label",))
-    classes = [r[0] for r in points.select("label").distinct().orderBy("label").collect()]
-    top = G.boss_words(words, X.sfa_zero_code(edges, alphabet), classes, top_k)
+    top = G.boss_words(words, X.sfa_zero_code(edges, alphabet), top_k)
     digits = top.select("code", *[(F.floor(F.col("code") / alphabet ** (word_len - 1 - i)) % alphabet).cast("int").alias(f"r{i}") for i in range(word_len)])
     return G.boss_match(words, digits, word_len, alphabet), top
 

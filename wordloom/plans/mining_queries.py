@@ -155,7 +155,7 @@ SHAPE = f"{DIST}, fx AS (SELECT query AS feature, round(distance, 9) AS value, l
 def word_info_gain(spark, d):
     w, z, q = candidates(spark, d)
     dist = G.min_distances(z, q, 8)
-    s = G.best_splits(dist.select(F.col("query").alias("feature"), F.round("distance", 9).alias("value"), "label", F.lit(1).alias("n")), classes(spark, d))
+    s = G.best_splits(dist.select(F.col("query").alias("feature"), F.round("distance", 9).alias("value"), "label", F.lit(1).alias("n")))
     return s.select("feature", r6("ig"), r6("threshold"), r6("gap"))
 
 
@@ -214,7 +214,7 @@ def zero_word(spark, d) -> int:
 
 @query(f"WITH {BOSS} SELECT rank, code, round(ig, 6) AS ig, round(gap, 6) AS gap, dominant, round(support, 6) AS support FROM bk WHERE rank <= 8")
 def boss_top_k(spark, d):
-    return G.boss_words(embedding_sfa(spark, d), zero_word(spark, d), classes(spark, d), 8).select("rank", "code", r6("ig"), r6("gap"), "dominant", r6("support"))
+    return G.boss_words(embedding_sfa(spark, d), zero_word(spark, d), 8).select("rank", "code", r6("ig"), r6("gap"), "dominant", r6("support"))
 
 
 DIGITS = [f"(code // {4 ** (3 - i)}) % 4" for i in range(4)]
@@ -225,7 +225,7 @@ x AS (SELECT series, di.code, t, flat, CASE WHEN s3.code = di.code THEN 1 ELSE 0
 SELECT series, code, max(same) AS presence, round(avg(same), 6) AS frequency, round(min(d) FILTER (NOT flat), 6) AS distance, arg_min(t, (d, t)) FILTER (NOT flat) AS location, coalesce(max(d) FILTER (NOT flat) > min(d) FILTER (NOT flat), false) AS informative FROM x GROUP BY ALL""")
 def boss_match(spark, d):
     w = embedding_sfa(spark, d)
-    top = G.boss_words(w, zero_word(spark, d), classes(spark, d), 8).select("code", *[(F.floor(F.col("code") / 4 ** (3 - i)) % 4).cast("int").alias(f"r{i}") for i in range(4)])
+    top = G.boss_words(w, zero_word(spark, d), 8).select("code", *[(F.floor(F.col("code") / 4 ** (3 - i)) % 4).cast("int").alias(f"r{i}") for i in range(4)])
     return G.boss_match(w, top, 4).select("series", "code", "presence", r6("frequency"), r6("distance"), "location", "informative")
 
 
