@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import extractor as E
 from ..operators import readouts as O
 from ..operators import retrieval as T
 from ..operators import rules as R
 from ..operators import windows as X
 from .evidence_queries import contexts, states, vectors
-from .mining_queries import MATCH, NORM, events, matched, novelties, raw_points, shapelet_top_k
+from .mining_queries import MATCH, MASKS, NORM, TOP, events, matched, novelties, raw_points, shapelet_top_k
 from .mining_queries import vectors as vector_points
 from .series_queries import r6, recon
 
@@ -32,6 +33,49 @@ def pattern_tokens(spark, d):
     return O.pattern_tokens(matched(spark, d), shapelet_top_k(spark, d)).select("series", F.col("token").cast("long").alias("token"), "kind", r6("value"))
 
 
+def channels(spark, d):
+    """Vectors as series of two channels of 32 points, and a third channel that is dead."""
+    p = vector_points(spark, d)
+    live = p.select("series", F.floor(F.col("t") / 32).alias("channel"), (F.col("t") % 32).alias("t"), "value", "label")
+    return live.unionByName(p.where("t < 32").select("series", F.lit(2).cast("long").alias("channel"), "t", (F.col("value") * 0.0).alias("value"), "label"))
+
+
+def fitted(spark, d):
+    # the masks of six projections of words of four letters with one letter hidden are those of the SQL
+    return E.fit(channels(spark, d), 8, 4, 4, top_k=6, n_candidates=15, n_projections=len(MASKS))
+
+
+def _by_channel(sql: str, select: str) -> str:
+    """One channel's CTEs and rows after the other."""
+    return " UNION ALL ".join(f"SELECT {c} AS channel, * FROM (WITH {sql.replace('e3 AS (SELECT * FROM emb)', f'e3 AS (SELECT series, label, t % 32 AS t, value FROM emb WHERE t // 32 = {c})')} {select})" for c in (0, 1))
+
+
+LETTERS = " || ".join(f"chr((97 + (code // {4 ** (3 - i)}) % 4)::INTEGER)" for i in range(4))
+PADDED = f"""ds AS ({_by_channel(TOP, f"SELECT rank, code, {LETTERS} AS word, ig, dominant, support FROM tk WHERE rank <= 6")}), kk AS (SELECT max(rank) AS k FROM ds),
+sl AS (SELECT channel, unnest(range(k)) AS slot FROM (SELECT unnest(range(3)) AS channel), kk), wd AS (SELECT sl.channel, slot, coalesce(word, '<none>') AS word, code, coalesce(ig, 0) AS ig, dominant, coalesce(support, 0) AS support FROM sl LEFT JOIN ds ON ds.channel = sl.channel AND rank = slot + 1)"""
+
+
+@query(f"WITH {PADDED} SELECT channel, slot, word, round(ig, 6) AS info_gain, dominant, round(support, 6) AS support FROM wd")
+def channel_words(spark, d):
+    return E.words(fitted(spark, d)).select("channel", F.col("slot").cast("long").alias("slot"), "word", r6("info_gain"), "dominant", r6("support"))
+
+
+@query(f"WITH {PADDED} SELECT channel, 3 * slot + p AS j, slot, ['presence', 'frequency', 'distance'][p + 1] AS kind, word FROM wd, (SELECT unnest(range(3)) AS p) UNION ALL SELECT unnest(range(3)), 3 * k, NULL, 'rarity', NULL FROM kk")
+def channel_feature_names(spark, d):
+    return E.feature_names(fitted(spark, d)).select("channel", F.col("j").cast("long").alias("j"), F.col("slot").cast("long").alias("slot"), "kind", "word")
+
+
+@query(f"""WITH {PADDED}, mm AS ({_by_channel(MATCH, "SELECT series, code, presence, frequency, distance FROM mt")}),
+ra AS ({_by_channel(MATCH, "SELECT series, max(-ln(c / n::DOUBLE)) AS rarity FROM sw JOIN (SELECT code, count(*) AS c FROM sw GROUP BY code) USING (code), (SELECT count(*) AS n FROM sw) GROUP BY series")} UNION ALL SELECT 2, vec_id, 0.0 FROM embeddings WHERE len(embedding) > 0),
+ft AS (SELECT ra.series, ra.channel, 3 * slot + p AS j, coalesce([presence::DOUBLE, frequency, distance][p + 1], 0.0) AS x FROM ra JOIN wd USING (channel) CROSS JOIN (SELECT unnest(range(3)) AS p) LEFT JOIN mm ON mm.channel = ra.channel AND mm.series = ra.series AND mm.code = wd.code
+  UNION ALL SELECT series, channel, 3 * k, rarity FROM ra, kk),
+st AS (SELECT j, avg(x) AS m, CASE WHEN stddev_pop(x) < 1e-6 THEN 1.0 ELSE stddev_pop(x) END AS s FROM ft GROUP BY j)
+SELECT series, channel, j, round((x - m) / s, 5) + 0.0 AS value FROM ft JOIN st USING (j)""")
+def channel_features(spark, d):
+    t = E.transform(fitted(spark, d), channels(spark, d))
+    return t.select("series", "channel", F.posexplode("features").alias("j", "x")).select("series", "channel", F.col("j").cast("long").alias("j"), (F.round("x", 5) + 0.0).alias("value"))
+
+
 @query()
 def multiscale_features(spark, d):
     return O.multiscale(vector_points(spark, d), (8, 16), n_candidates=10, top_k=4)
