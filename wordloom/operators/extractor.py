@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.symbols import hash_order
 from . import mining as G
 from . import windows as X
+from .ordering import fixed
 
 KINDS = ("presence", "frequency", "distance")
 NONE = "<none>"
@@ -79,12 +80,12 @@ def fit(points: DataFrame, window: int, word_len: int = 8, alphabet: int = 4, to
     words, z = pieces(keyed(subset(points, max_fit_series, seed)) if max_fit_series else p, window, word_len, alphabet, step)
     flat = sum((alphabet // 2) * alphabet**i for i in range(word_len))
     top, queries = G.shapelets(words, z, window, word_len, flat, G.projection_masks(word_len, mask_size, n_projections, seed), n_candidates, top_k, alphabet, BY)
-    top = top.cache()
+    top, queries = fixed(top), fixed(queries)
     width = top.agg(F.max("rank")).first()[0]
     if width is None:
         raise ValueError("no words on any channel: every channel looks constant; check the input or take a shorter window")
     totals = words.groupBy("channel").agg(F.count("*").alias("n_train"))
-    e = Extractor(window, word_len, alphabet, step, top, queries, G.rarity_table(words, BY), totals, width, [], [])
+    e = Extractor(window, word_len, alphabet, step, top, queries, fixed(G.rarity_table(words, BY)), fixed(totals), width, [], [])
     stats = raw(e, points).select(F.posexplode("features").alias("j", "x")).groupBy("j").agg(F.avg("x").alias("m"), F.stddev_pop("x").alias("s")).orderBy("j").collect()  # 3 K + 1 rows
     e.mean, e.sd = [r.m for r in stats], [r.s if r.s >= 1e-6 else 1.0 for r in stats]
     return e

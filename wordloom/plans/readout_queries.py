@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.symbols import hash_order
 from ..operators import extractor as E
+from ..operators import paths as S
 from ..operators import readouts as O
+from ..operators import reliability as L
 from ..operators import retrieval as T
 from ..operators import rules as R
 from ..operators import windows as X
+from ..operators.ordering import fixed
 from .evidence_queries import contexts, states, vectors
 from .mining_queries import MATCH, MASKS, NORM, TOP, events, matched, novelties, raw_points, shapelet_top_k
 from .mining_queries import vectors as vector_points
@@ -76,6 +80,34 @@ def channel_features(spark, d):
     return t.select("series", "channel", F.posexplode("features").alias("j", "x")).select("series", "channel", F.col("j").cast("long").alias("j"), (F.round("x", 5) + 0.0).alias("value"))
 
 
+def fold_logits(spark, d):
+    """(series, y, k, logit) of every vector: minus the squared distance to each class's centroid over the other three of four folds."""
+    e = vector_points(spark, d).withColumn("fold", hash_order("series") % 4)
+    sums = e.groupBy("fold", F.col("label").alias("k"), "t").agg(F.sum("value").alias("s"), F.count("*").alias("n"))
+    pairs = sums.withColumnRenamed("fold", "other").join(F.broadcast(sums.select("fold").distinct()), F.col("fold") != F.col("other"))  # four folds, classes and 64 places
+    centre = pairs.groupBy("fold", "k", "t").agg((F.sum("s") / F.sum("n")).alias("c"))
+    return e.join(F.broadcast(centre), ["fold", "t"]).groupBy("series", F.col("label").alias("y"), "k").agg((-F.sum((F.col("value") - F.col("c")) * (F.col("value") - F.col("c")))).alias("logit"))
+
+
+@query()
+def reliability_readout(spark, d):
+    """Selective prediction of every vector's class: heads fitted on two of four folds, judged on the others."""
+    logits = fold_logits(spark, d)
+    conf = L.confidence(L.softmax(logits)).withColumnRenamed("series", "id")
+    wrong = logits.groupBy(F.col("series").alias("id")).agg(F.when(F.min(F.struct((-F.col("logit")).alias("m"), "k"))["k"] == F.first("y"), 0.0).otherwise(1.0).alias("loss"))
+    stats = X.summary_statistics(vector_points(spark, d), 64)
+    stats = stats.select(F.col("series").alias("id"), F.array(*[F.col(c).cast("double") for c in stats.columns if c != "series"]).alias("s"))
+    feats = E.transform(fitted(spark, d), channels(spark, d)).groupBy(F.col("series").alias("id")).agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("channel", "features"))), lambda x: x["features"])).alias("f"))  # three channels
+    rows = conf.join(wrong, "id").join(stats, "id").join(feats, "id").select("id", "loss", "conf", F.concat(F.array("conf", "entropy"), "s", "f").alias("x"))
+    rows = fixed(rows)
+    width = rows.select(F.size("x")).first()[0]
+    heads = {"statistics": list(range(2, 10)), "symbolic": list(range(10, width)), "fm_signal+statistics": list(range(10)), "fm_signal+symbolic": [0, 1, *range(10, width)]}
+    fold = hash_order("id") % 4
+    summary, report = S.readout(rows.where(fold < 2).withColumn("target", F.col("loss")), rows.where(fold >= 2), "classification", heads, "conf", n_folds=3, n_permutations=8, strengths=S.STRENGTHS[2::3])
+    p = F.when(F.col("name") == "symbolic", F.lit(report["p_value"]))
+    return summary.select("name", r6("aurc"), r6("oracle_aurc"), r6("excess"), r6("gain"), F.round(p, 6).alias("p_value"))
+
+
 @query()
 def multiscale_features(spark, d):
     return O.multiscale(vector_points(spark, d), (8, 16), n_candidates=10, top_k=4)
