@@ -4,6 +4,9 @@ import duckdb
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
+from wordloom.operators import retrieval as T
 from wordloom.plans import evidence_queries as V
 from wordloom.plans import mining_queries as Q
 from wordloom.plans import series_queries as E
@@ -171,3 +174,33 @@ def test_anomaly_weight_keeps_the_false_alarm_budget(spark):
     q = np.quantile(base, [0.05, 0.95])
     q95 = {w: np.quantile(base + w * (q[1] - q[0]) * evidence, 0.95) for w in (0.0, 0.1, 0.25, 0.5, 1.0)}
     assert got.weight == max(w for w, x in q95.items() if x <= q[1] + 0.05 * (q[1] - q[0])) and got.q95 == pytest.approx(q95[got.weight])
+
+
+def test_bounded_bank_is_an_exact_sample(spark):
+    rows = [(i, i % 3, [float(i), 1.0]) for i in range(900)]
+    df = spark.createDataFrame(rows, "bank long, ch int, v array<double>")
+    got = {(r.ch, r.bank) for r in T.bounded_bank(df.repartition(7), 40, by=("ch",)).collect()}
+    want = {(c, b) for c in range(3) for b in sorted((i for i, k, _ in rows if k == c), key=lambda i: ((i * 1103515245 + 12345) % 2147483648, i))[:40]}
+    assert got == want and T.bounded_bank(df, 5000).count() == 900
+    q, b = T.standard_keys(df.withColumnRenamed("bank", "query"), df, ("ch",))
+    x = np.array([r.v for r in b.where("ch = 1").collect()])
+    assert abs(x.mean(0)).max() < 1e-9 and x[:, 0].std() == pytest.approx(1) and set(x[:, 1]) == {0.0} and q.count() == 900
+
+
+def test_two_views_search_the_whole_bank(spark):
+    rng = np.random.default_rng(4)
+    e, s = rng.normal(size=(60, 5)), rng.normal(size=(60, 3))
+    e[50] = -e[0]
+    s[50] = s[0]  # last by embedding, first by symbols
+    bank = spark.createDataFrame([(i, e[i].tolist(), s[i].tolist()) for i in range(1, 60)], "bank long, e array<double>, s array<double>")
+    query = spark.createDataFrame([(0, e[0].tolist(), s[0].tolist())], "query long, e array<double>, s array<double>")
+    for beta in (0.0, 0.2, 5.0):
+        got = T.two_views(query, bank, 4, (5, 3), beta).orderBy("rank").collect()
+        n = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+        mean, sd = s[1:].mean(0), s[1:].std(0)
+        score = n(e[1:]) @ n(e[0]) + beta * (n((s[1:] - mean) / sd) @ n((s[0] - mean) / sd))
+        order = np.argsort(-score)[:4]
+        assert [r.bank for r in got] == (order + 1).tolist() and [r.score for r in got] == pytest.approx(score[order])
+        w = np.exp(score[order] - score[order][0])
+        assert [r.weight for r in got] == pytest.approx(w / w.sum())
+        assert (50 in [r.bank for r in got]) == (beta == 5.0)

@@ -84,9 +84,9 @@ def anomaly_readout(base: DataFrame, symbolic: DataFrame, held: DataFrame, lam:
     return per.groupBy("stream").agg(F.avg("best_f1").alias("best_f1"), F.avg("ap").alias("ap"), F.count("*").alias("n_entities"))
 
 
-def forecast_evidence(queries: DataFrame, bank: DataFrame, futures: DataFrame, cells: DataFrame, k: int, n: int) -> DataFrame:
+def forecast_evidence(queries: DataFrame, bank: DataFrame, futures: DataFrame, cells: DataFrame, k: int, n: int, by: str | None = None) -> DataFrame:
     """(alpha, mse, mae) chosen for base and retrieved futures: ``queries`` (query, v), ``bank`` (bank, v), ``futures`` (bank, h, level), ``cells`` (query, h, y, base)."""
-    memory = T.weighted_future(T.softmax_weights(T.nearest(queries, bank, k, n)), futures)
+    memory = T.weighted_future(T.softmax_weights(T.nearest(queries, bank, k, n, by=by)), futures)
     return T.choose_alpha(cells.join(memory.select("query", "h", F.col("forecast").alias("memory")), ["query", "h"]))
 
 

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.symbols import hash_order
+
 
 def unit(df: DataFrame, col: str, floor: float = 1e-6) -> DataFrame:
     """``df`` with ``col`` (an array) scaled to length 1; shorter than ``floor`` counts as ``floor``."""
@@ -15,16 +17,37 @@ def unit(df: DataFrame, col: str, floor: float = 1e-6) -> DataFrame:
     return df.withColumn("_n", norm).withColumn(col, F.transform(col, lambda x: x / F.col("_n"))).drop("_n")
 
 
-def nearest(queries: DataFrame, bank: DataFrame, k: int, n: int, metric: str = "cosine", block: int = 16_384) -> DataFrame:
+def bounded_bank(keys: DataFrame, limit: int = 4096, seed: int = 0, by: tuple[str, ...] = ()) -> DataFrame:
+    """At most ``limit`` rows of (bank, v, by) (of each ``by``): those of least hash of the id, an exact sample that is the same in every run."""
+    w = W.partitionBy(*by).orderBy(hash_order("bank", seed), "bank")  # only the first rows of each task are shuffled
+    return keys.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= limit).drop("_r")
+
+
+def standard_keys(queries: DataFrame, bank: DataFrame, by: tuple[str, ...] = (), floor: float = 1e-6, least: float = 1.0) -> tuple[DataFrame, DataFrame]:
+    """``queries`` and ``bank`` with v in the bank's scale: each dimension less its mean over its sd (of each ``by``); an sd below ``floor`` counts as ``least``."""
+    s = bank.select(*by, F.posexplode("v").alias("_j", "_x")).groupBy(*by, "_j").agg(F.avg("_x").alias("m"), F.stddev_pop("_x").alias("s"))
+    s = s.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("_j", "m", F.when(F.col("s") < floor, least).otherwise(F.col("s")).alias("s")))), lambda x: F.struct(x["m"].alias("m"), x["s"].alias("s"))).alias("_k"))  # one entry a dimension
+
+    def scaled(df: DataFrame) -> DataFrame:
+        d = df.join(s, list(by)) if by else df.join(F.broadcast(s))
+        return d.withColumn("v", F.zip_with("v", "_k", lambda x, k: (x - k["m"]) / k["s"])).drop("_k")
+
+    return scaled(queries), scaled(bank)
+
+
+def nearest(queries: DataFrame, bank: DataFrame, k: int, n: int, metric: str = "cosine", block: int = 16_384, by: str | None = None) -> DataFrame:
     """(query, bank, rank, score): the k best bank rows of each query, score first, rounded to nine places, then bank id.
 
-    ``queries`` (query, v) and ``bank`` (bank, v) with arrays of n numbers. Both are dealt by hash into blocks
-    of about ``block`` rows; each pair of blocks keeps the k best of its queries, so that k rows a query and
-    bank block are shuffled, never the product.
+    ``queries`` (query, v) and ``bank`` (bank, v) with arrays of n numbers; the score is their product (the
+    cosine of unit vectors) or minus their Euclidean distance. With ``by`` a query meets the bank rows of its
+    own value of this column. Both are dealt by hash into blocks of about ``block`` rows; each pair of blocks
+    keeps the k best of its queries, so that k rows a query and bank block are shuffled, never the product.
+    The work is queries x bank: bound the bank (``bounded_bank``) where the table grows.
     """
     parts = [max(1, -(-d.count() // block)) for d in (queries, bank)]
-    q = queries.select(F.col("query").alias("query"), F.col("v").alias("v"), F.pmod(F.xxhash64("query"), F.lit(parts[0])).alias("qb"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts[1] - 1).cast("long"))).alias("bb"))
-    b = bank.select(F.col("bank").alias("bank"), F.col("v").alias("u"), F.pmod(F.xxhash64("bank"), F.lit(parts[1])).alias("bb"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts[0] - 1).cast("long"))).alias("qb"))
+    own = [F.col(by)] if by else [F.lit(0)]
+    q = queries.select(own[0].alias("g"), F.col("query").alias("query"), F.col("v").alias("v"), F.pmod(F.xxhash64("query"), F.lit(parts[0])).alias("qb"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts[1] - 1).cast("long"))).alias("bb"))
+    b = bank.select(own[0].alias("of_g"), F.col("bank").alias("bank"), F.col("v").alias("u"), F.pmod(F.xxhash64("bank"), F.lit(parts[1])).alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts[0] - 1).cast("long"))).alias("of"))
 
     def best(own: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
         out = [pd.DataFrame({"query": np.zeros(0, np.int64), "bank": np.zeros(0, np.int64), "score": np.zeros(0)})]
@@ -33,7 +56,13 @@ def nearest(queries: DataFrame, bank: DataFrame, k: int, n: int, metric: str = "
             x, y, ids = np.stack(own["v"]).astype(float)[:, :n], np.stack(others["u"]).astype(float)[:, :n], others["bank"].to_numpy()
             for lo in range(0, len(x), step := max(1, (1 << 22) // len(y))):
                 some = x[lo : lo + step]
-                score = some @ y.T if metric == "cosine" else -np.sqrt(np.maximum(0.0, (some**2).sum(1)[:, None] + (y**2).sum(1)[None, :] - 2 * some @ y.T))
+                if metric == "cosine":
+                    score = some @ y.T
+                else:
+                    score = np.zeros((len(some), len(y)))
+                    for j in range(n):  # differences themselves: near rows would lose their digits in x2 + y2 - 2xy
+                        score -= (some[:, j, None] - y[None, :, j]) ** 2
+                    score = -np.sqrt(-score)
                 r = -score.round(9)
                 r_k = np.partition(r, min(k, len(y)) - 1, axis=1)[:, min(k, len(y)) - 1]
                 i, j = np.nonzero(r <= r_k[:, None])
@@ -44,11 +73,29 @@ def nearest(queries: DataFrame, bank: DataFrame, k: int, n: int, metric: str = "
                 out.append(pd.DataFrame({"query": own["query"].to_numpy()[lo + i], "bank": ids[j], "score": score[i, j]}))
         return pd.concat(out)
 
-    found = q.groupBy("qb", "bb").cogroup(b.withColumnsRenamed({"qb": "of", "bb": "own"}).groupBy("of", "own")).applyInPandas(best, "query long, bank long, score double")
+    found = q.groupBy("g", "qb", "bb").cogroup(b.groupBy("of_g", "of", "own")).applyInPandas(best, "query long, bank long, score double")
     w = W.partitionBy("query").orderBy(F.desc(F.round("score", 9)), "bank")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query", "bank", "rank", "score")
 
 
+def two_views(queries: DataFrame, bank: DataFrame, k: int, dims: tuple[int, int], beta: float = 0.2, by: str | None = None) -> DataFrame:
+    """(query, bank, rank, score, weight): the k bank rows of largest embedding cosine plus ``beta`` x symbolic cosine.
+
+    ``queries`` (query, e, s) and ``bank`` (bank, e, s): embeddings of dims[0] numbers, symbolic features of
+    dims[1], which are standardised over the bank first (sd at least 1e-5). The sum of both cosines is one
+    product of joined vectors, so the whole bank is searched by it and a row that neither view would list alone
+    can win. Weights are exp(score - best score) of the k rows, normalised.
+    """
+    symbolic = [d.withColumn("v", F.col("s")) for d in (queries, bank)]
+    symbolic = standard_keys(*symbolic, (by,) if by else (), 1e-5, 1e-5)
+    q, b = (unit(unit(d, "e"), "v") for d in symbolic)
+    q = q.withColumn("v", F.concat("e", F.transform("v", lambda x: x * F.lit(float(beta)))))
+    found = nearest(q, b.withColumn("v", F.concat("e", "v")), k, sum(dims), by=by)
+    w = W.partitionBy("query")
+    e = F.exp(F.col("score") - F.max("score").over(w))
+    return found.withColumn("_e", e).withColumn("weight", F.col("_e") / F.sum("_e").over(w)).drop("_e")
+
+
 def softmax_weights(neighbours: DataFrame) -> DataFrame:
     """(query, bank, rank, weight): exp(-(d - d1)/max(median d, 1e-4)) normalised, d = -score."""
     w = W.partitionBy("query")

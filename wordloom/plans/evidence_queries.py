@@ -205,33 +205,51 @@ def behaviour_targets(spark, d):
 
 
 # ---------------------------------------------------------------- retrieval
-# no SQL: every context against the whole bank is too much for a plain product there; tests/test_whole.py has a brute force
+#: Level vectors of six segments; the first 55 % of each channel's contexts, 1,024 of them by hash, are the bank; a horizon of seven days is left out before the queries.
+RETR = f"""{CTX}, lv AS (SELECT sample, i // 10 AS s, avg(value) AS x FROM cx GROUP BY ALL), rn AS (SELECT sample, ch, r, max(r) OVER (PARTITION BY ch) AS n FROM sm), qy AS (SELECT sample, ch FROM rn WHERE r > 0.55 * n + 7),
+bk AS (SELECT sample, ch FROM rn WHERE r <= 0.55 * n QUALIFY row_number() OVER (PARTITION BY ch ORDER BY (sample * 1103515245 + 12345) % 2147483648, sample) <= 1024)"""
+TOP5 = "nb AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, bank) AS rank FROM sim QUALIFY rank <= 5)"
+KNN = f"""{RETR}, st AS (SELECT ch, s, avg(x) AS m, CASE WHEN stddev_pop(x) < 1e-6 THEN 1.0 ELSE stddev_pop(x) END AS sd FROM lv JOIN bk USING (sample) GROUP BY ch, s),
+zz AS (SELECT sample, list((x - m) / sd ORDER BY s) AS z FROM lv JOIN sm USING (sample) JOIN st USING (ch, s) GROUP BY sample),
+sim AS (SELECT q.sample AS query, b.sample AS bank, -sqrt({' + '.join(f'(x.z[{j}] - y.z[{j}]) * (x.z[{j}] - y.z[{j}])' for j in range(1, 7))}) AS score FROM qy q JOIN bk b USING (ch) JOIN zz x ON x.sample = q.sample JOIN zz y ON y.sample = b.sample), {TOP5}"""
+SOFT = "dm AS (SELECT query, greatest(median(-score), 1e-4) AS m, min(-score) AS d1 FROM nb GROUP BY query), wx AS (SELECT query, bank, rank, -score AS d, exp(-(-score - d1) / m) AS e FROM nb JOIN dm USING (query)), ww AS (SELECT query, bank, rank, d, e / sum(e) OVER (PARTITION BY query) AS weight FROM wx)"
+FUTURE = f"{SOFT}, wf AS (SELECT query, h, sum(weight * level) AS forecast, greatest(0.0, sum(weight * level * level) - sum(weight * level) ^ 2) AS variance FROM ww JOIN fu ON fu.sample = bank GROUP BY ALL)"
+
+
 def vectors(spark, d):
+    """((query, ch, v), (bank, ch, v), futures): level vectors of contexts, the bank a bounded sample of the earlier ones."""
     c, f = contexts(spark, d)
     lv = c.groupBy("sample", "ch", F.floor(F.col("i") / 10).alias("s")).agg(F.avg("value").alias("x")).groupBy("sample", "ch").agg(F.array_sort(F.collect_list(F.struct("s", "x")))["x"].alias("v"))
     r = lv.withColumn("r", F.row_number().over(W.partitionBy("ch").orderBy("sample"))).withColumn("n", F.count("*").over(W.partitionBy("ch")))
-    u = T.unit(r, "v")
-    return u.where("r > 0.55 * n").select(F.col("sample").alias("query"), "v"), u.where("r <= 0.55 * n").select(F.col("sample").alias("bank"), "v"), f
+    q = r.where("r > 0.55 * n + 7").select(F.col("sample").alias("query"), "ch", "v")
+    return q, T.bounded_bank(r.where("r <= 0.55 * n").select(F.col("sample").alias("bank"), "ch", "v"), 1024, by=("ch",)), f
+
+
+def unit_vectors(spark, d):
+    q, b, f = vectors(spark, d)
+    return T.unit(q, "v"), T.unit(b, "v"), f
 
 
 def neighbours(spark, d):
     q, b, f = vectors(spark, d)
-    return T.nearest(q, b, 5, 6), f
+    q, b = T.standard_keys(q, b, ("ch",))
+    return T.nearest(q, b, 5, 6, "euclidean", by="ch"), f
 
 
-@query()
+@query(f"WITH {KNN} SELECT query, bank, rank, round(score, 6) AS score FROM nb")
 def knn_neighbours(spark, d):
     return neighbours(spark, d)[0].select("query", "bank", "rank", r6("score"))
 
 
-@query()
+@query(f"WITH {KNN}, {FUTURE} SELECT query, h, round(forecast, 5) AS forecast, round(variance, 4) AS variance FROM wf")
 def knn_continuations(spark, d):
     n, f = neighbours(spark, d)
     w = T.weighted_future(T.softmax_weights(n), f.withColumnRenamed("sample", "bank"))
     return w.select("query", "h", F.round("forecast", 5).alias("forecast"), F.round("variance", 4).alias("variance"))
 
 
-@query()
+@query(f"""WITH {KNN}, {FUTURE}, s AS (SELECT query, 1.0 / sum(weight ^ 2) AS support, min(d) AS d FROM ww GROUP BY query), k AS (SELECT greatest(median(d), 1e-4) AS scale FROM s), v AS (SELECT query, avg(variance) AS v FROM wf GROUP BY query)
+SELECT query, round(ln(least(support / 5, 1.0) * exp(-d / scale) / (1 + sqrt(v))), 3) AS log_reliability FROM s JOIN v USING (query), k""")
 def knn_reliability(spark, d):
     n, f = neighbours(spark, d)
     w = T.softmax_weights(n)
@@ -239,20 +257,51 @@ def knn_reliability(spark, d):
     return r.select("query", F.round(F.log("reliability"), 3).alias("log_reliability"))
 
 
-@query()
+CHOSEN = """cl AS (SELECT level AS y, base, forecast AS memory FROM wf JOIN fu ON fu.sample = query AND fu.h = wf.h JOIN ls ON ls.sample = query),
+gr AS (SELECT a / 20.0 AS alpha, avg(((1 - a / 20.0) * base + a / 20.0 * memory - y) ^ 2) AS mse, avg(abs((1 - a / 20.0) * base + a / 20.0 * memory - y)) AS mae FROM cl, (SELECT unnest(range(21)) AS a) GROUP BY a)
+SELECT alpha::DOUBLE AS alpha, round(mse, 5) AS mse, round(mae, 5) AS mae FROM gr WHERE mae <= (SELECT mae FROM gr WHERE alpha = 0) + 1e-12 ORDER BY round(mse, 9), alpha LIMIT 1"""
+
+
+def _last(spark, d):
+    return contexts(spark, d)[0].groupBy("sample").agg(F.max_by("value", "i").alias("base"))
+
+
+@query(f"WITH {KNN}, {FUTURE}, {CHOSEN}")
 def choose_alpha(spark, d):
     n, f = neighbours(spark, d)
-    c, _ = contexts(spark, d)
-    base = c.groupBy("sample").agg(F.max_by("value", "i").alias("base"))
     w = T.weighted_future(T.softmax_weights(n), f.withColumnRenamed("sample", "bank")).withColumnRenamed("query", "sample")
-    cells = w.join(f, ["sample", "h"]).join(base, "sample").select(F.col("level").alias("y"), "base", F.col("forecast").alias("memory"))
+    cells = w.join(f, ["sample", "h"]).join(_last(spark, d), "sample").select(F.col("level").alias("y"), "base", F.col("forecast").alias("memory"))
     a = T.choose_alpha(cells)
     return a.select("alpha", F.round("mse", 5).alias("mse"), F.round("mae", 5).alias("mae"))
 
 
+def symbols(spark, d):
+    """(sample, segment, symbol) of each context's SAX word of twelve segments."""
+    c, _ = contexts(spark, d)
+    return X.context_key(c.select(F.col("sample").alias("series"), F.col("i").alias("t"), "value"), 60, 12).withColumnRenamed("series", "sample")
+
+
+#: Both views of a context: its unit level vector, and how often each symbol stands in its SAX word, standardised over the bank.
+VIEWS = f"""{STATE}, {RETR.removeprefix(CTX + ', ')}, un AS (SELECT sample, list(x / n ORDER BY s) AS e FROM lv JOIN (SELECT sample, greatest(sqrt(sum(x * x)), 1e-6) AS n FROM lv GROUP BY sample) USING (sample) GROUP BY sample),
+cn AS (SELECT sm.sample, ch, k, coalesce(sum(CASE WHEN symbol = k THEN 1.0 ELSE 0.0 END), 0.0) AS c FROM sm JOIN sy USING (sample), (SELECT unnest(range(4)) AS k) GROUP BY ALL), cs2 AS (SELECT ch, k, avg(c) AS m, greatest(stddev_pop(c), 1e-5) AS sd FROM cn JOIN bk USING (sample, ch) GROUP BY ALL),
+cz AS (SELECT sample, k, (c - m) / sd AS z FROM cn JOIN cs2 USING (ch, k)), cu AS (SELECT sample, list(z / n ORDER BY k) AS z FROM cz JOIN (SELECT sample, greatest(sqrt(sum(z * z)), 1e-6) AS n FROM cz GROUP BY sample) USING (sample) GROUP BY sample),
+sim AS (SELECT q.sample AS query, b.sample AS bank, {' + '.join(f'x.e[{j}] * y.e[{j}]' for j in range(1, 7))} + 0.2 * ({' + '.join(f'u.z[{j}] * v.z[{j}]' for j in range(1, 5))}) AS score
+  FROM qy q JOIN bk b USING (ch) JOIN un x ON x.sample = q.sample JOIN un y ON y.sample = b.sample JOIN cu u ON u.sample = q.sample JOIN cu v ON v.sample = b.sample), {TOP5}"""
+
+
+@query(f"WITH {VIEWS} SELECT query, bank, rank, round(score, 6) AS score, round(exp(score - max(score) OVER (PARTITION BY query)) / sum(exp(score - 1)) OVER (PARTITION BY query) / exp(1 - max(score) OVER (PARTITION BY query)), 6) AS weight FROM nb")
+def two_view_neighbours(spark, d):
+    """Bank rows by embedding and symbolic cosine over the whole bank of the query's channel."""
+    q, b, _ = vectors(spark, d)
+    s = symbols(spark, d).groupBy("sample").agg(F.array(*[F.sum((F.col("symbol") == k).cast("double")) for k in range(4)]).alias("s"))
+    q = q.join(s.withColumnRenamed("sample", "query"), "query").withColumnRenamed("v", "e")
+    b = b.join(s.withColumnRenamed("sample", "bank"), "bank").withColumnRenamed("v", "e")
+    return T.two_views(q, b, 5, (6, 4), 0.2, "ch").select("query", "bank", "rank", r6("score"), r6("weight"))
+
+
 @query()
 def prototype_memory(spark, d):
-    q, b, f = vectors(spark, d)
+    q, b, f = unit_vectors(spark, d)
     keys = b.select(F.col("bank").alias("id"), "v")
     return T.prototype_memory(keys, f.withColumnRenamed("sample", "id").join(keys.select("id"), "id"), T.farthest_centres(keys, 4, 6), 6)
 

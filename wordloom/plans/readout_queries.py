@@ -13,7 +13,7 @@ from ..operators import retrieval as T
 from ..operators import rules as R
 from ..operators import windows as X
 from ..operators.ordering import fixed
-from .evidence_queries import contexts, states, vectors
+from .evidence_queries import CHOSEN, FUTURE, RETR, TOP5, contexts, states, unit_vectors
 from .mining_queries import MATCH, MASKS, NORM, TOP, events, matched, novelties, raw_points, shapelet_top_k
 from .mining_queries import vectors as vector_points
 from .series_queries import r6, recon
@@ -146,21 +146,26 @@ def kmeans_continuation_rules(spark, d):
     return R.continuation_rules(tokens, s)
 
 
-@query()
+UNIT = f"""{RETR}, un AS (SELECT sample, list(x / n ORDER BY s) AS e FROM lv JOIN (SELECT sample, greatest(sqrt(sum(x * x)), 1e-6) AS n FROM lv GROUP BY sample) USING (sample) GROUP BY sample),
+sim AS (SELECT q.sample AS query, b.sample AS bank, {' + '.join(f'x.e[{j}] * y.e[{j}]' for j in range(1, 7))} AS score FROM qy q JOIN bk b USING (ch) JOIN un x ON x.sample = q.sample JOIN un y ON y.sample = b.sample)"""
+
+
+@query(f"WITH {UNIT}, {TOP5}, sc AS (SELECT query, bank, score + CASE WHEN (query - bank) % 7 = 0 THEN 0.1 ELSE 0.0 END AS score FROM nb) SELECT query, bank, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, bank) AS rank, round(score, 6) AS score FROM sc QUALIFY rank <= 3")
 def embedding_rerank(spark, d):
-    q, b, _ = vectors(spark, d)
-    n = T.nearest(q, b, 5, 6)
+    q, b, _ = unit_vectors(spark, d)
+    n = T.nearest(q, b, 5, 6, by="ch")
     sym = n.select("query", "bank", F.when((F.col("query") - F.col("bank")) % 7 == 0, 1.0).otherwise(0.0).alias("score"))
     return T.rerank(n, sym, 0.1, 3).select("query", "bank", "rank", r6("score"))
 
 
-@query()
+@query(f"WITH {UNIT}, {TOP5.replace('<= 5', '<= 8')}, {FUTURE}, {CHOSEN}")
 def forecast_evidence(spark, d):
-    q, b, f = vectors(spark, d)
+    q, b, f = unit_vectors(spark, d)
     c, _ = contexts(spark, d)
     base = c.groupBy("sample").agg(F.max_by("value", "i").alias("base"))
     cells = f.join(base, "sample").select(F.col("sample").alias("query"), "h", F.col("level").alias("y"), "base")
-    return O.forecast_evidence(q, b, f.withColumnRenamed("sample", "bank"), cells, 8, 6)
+    e = O.forecast_evidence(q, b, f.withColumnRenamed("sample", "bank"), cells, 8, 6, "ch")
+    return e.select("alpha", F.round("mse", 5).alias("mse"), F.round("mae", 5).alias("mae"))
 
 
 @query(f"""WITH {NORM}, k AS (SELECT avg(raw) AS m, greatest(stddev_pop(raw), 1e-5) AS s FROM pn WHERE t <= 40), e AS (SELECT series, t, least(((raw - m) / s) ^ 2, 25.0) AS e FROM pn, k), q AS (SELECT quantile_cont(e, [0.05, 0.95]) AS q FROM e WHERE t <= 40)
