@@ -564,6 +564,20 @@ def test_frequent_windows_and_clashing_names(spark, monkeypatch):
         assert got == brute_repeats(texts)
 
 
+@pytest.mark.parametrize("size", [1024, 2048])
+def test_words_of_structure_are_told_apart(spark, size):
+    """Words that any polynomial modulo 2**64 maps to one value are different words."""
+    bits = [bin(i).count("1") % 2 for i in range(size)]
+    one, two = "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+    data = np.frombuffer((one + two).encode(), np.uint8)
+    h = common.hash_spans(data, np.array([0, size]), np.array([size, 2 * size]))
+    assert h[0] != h[1]
+    same = [f"w{i}" for i in range(59)]
+    texts = [" ".join([*same[:30], w, *same[30:]]) for w in (one, two)]
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.remove_repeats(documents(spark, texts)).collect()}
+    assert got == brute_repeats(texts) and got[1][1] == 0
+
+
 # ---------------------------------------------------------------- pipeline
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline

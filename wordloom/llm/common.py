@@ -11,11 +11,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Most bytes of text that one numpy step works on, unless one text alone is longer.
 CHUNK_BYTES = 1 << 20
+#: Bytes from which a word is hashed on its own.
+LONG_SPAN = 32
 _BASE = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -145,11 +148,18 @@ def runs_of(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each byte span, all at once: differences of one running polynomial."""
+    """A 64-bit hash of each byte span: differences of one running polynomial, all at once, and XXH64 for long spans.
+
+    A polynomial modulo 2**64 has equal values for long words that alternate in certain ways, whatever its base,
+    so spans of over ``LONG_SPAN`` bytes are hashed by a function without that structure.
+    """
     POWERS.need(len(data) + 1)
     run = np.zeros(len(data) + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * POWERS.up[: len(data)], out=run[1:])
-    return mix((run[ends] - run[starts]) * POWERS.down[starts] + (ends - starts).astype(np.uint64))
+    out = mix((run[ends] - run[starts]) * POWERS.down[starts] + (ends - starts).astype(np.uint64))
+    for k in np.flatnonzero(ends - starts > LONG_SPAN).tolist():
+        out[k] = xxhash.xxh64_intdigest(data[starts[k] : ends[k]].tobytes())
+    return out
 
 
 def word_table(not_words: tuple[int, ...] = SPACE_BYTES) -> np.ndarray:
