@@ -6,6 +6,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
+from wordloom.operators import reports as T_reports
 from wordloom.operators import retrieval as T
 from wordloom.plans import evidence_queries as V
 from wordloom.plans import mining_queries as Q
@@ -88,16 +89,24 @@ def test_neighbours_of_every_context(spark):
     q, b, f = V.vectors(spark, DIR)
     days = E.X.daily_series(spark, DIR).toPandas()
     daily = {int(c[0]): g.sort_values("t")["value"].to_numpy() / 1e6 for c, g in days.groupby("channel")}
-    unit = lambda v: v.reshape(6, 10).mean(axis=1) / np.linalg.norm(v.reshape(6, 10).mean(axis=1))
-    mine = {c * 100000 + t: unit(v[t : t + 60]) for c, v in daily.items() for t in range(len(v) - 66)}
-    bank = {c * 100000 + t for c, v in daily.items() for t in range(int(0.55 * (len(v) - 66)))}
-    assert {r.bank for r in b.collect()} == bank and {r["query"] for r in q.collect()} == set(mine) - bank
-    ids = np.array(sorted(bank))
-    table = np.stack([mine[i] for i in ids])
-    some = sorted(set(mine) - bank)[::500]
-    got = V.T.nearest(q.where(V.F.col("query").isin(some)), b, 5, 6).toPandas().sort_values("rank").groupby("query")["bank"].apply(list)
-    for i in some:
-        assert got[i] == ids[np.lexsort((ids, -(table @ mine[i]).round(9)))[:5]].tolist()
+    mine = {c * 100000 + t: v[t : t + 60].reshape(6, 10).mean(axis=1) for c, v in daily.items() for t in range(len(v) - 66)}
+    bank, queries = set(), set()
+    for c, v in daily.items():
+        n = len(v) - 66
+        early = [c * 100000 + t for t in range(int(0.55 * n))]
+        bank |= set(sorted(early, key=lambda i: ((i * 1103515245 + 12345) % 2147483648, i))[:1024])
+        queries |= {c * 100000 + t for t in range(n) if t + 1 > 0.55 * n + 7}
+    assert {r.bank for r in b.collect()} == bank and {r["query"] for r in q.collect()} == queries
+    got = V.neighbours(spark, DIR)[0].toPandas().sort_values("rank").groupby("query")["bank"].apply(list)
+    assert set(got.index) == queries
+    for c in daily:
+        ids = np.array(sorted(i for i in bank if i // 100000 == c))
+        table = np.stack([mine[i] for i in ids])
+        mean, sd = table.mean(0), table.std(0)
+        table = (table - mean) / sd
+        for i in sorted(i for i in queries if i // 100000 == c):
+            far = np.sqrt(((table - (mine[i] - mean) / sd) ** 2).sum(1)).round(9)
+            assert got[i] == ids[np.lexsort((ids, far))[:5]].tolist()
 
 
 # ---------------------------------------------------------------- the vocabulary of every series
@@ -189,13 +198,13 @@ def test_bounded_bank_is_an_exact_sample(spark):
 
 def test_two_views_search_the_whole_bank(spark):
     rng = np.random.default_rng(4)
-    e, s = rng.normal(size=(60, 5)), rng.normal(size=(60, 3))
+    e, s = rng.normal(size=(60, 5)), rng.normal(size=(60, 8))
     e[50] = -e[0]
     s[50] = s[0]  # last by embedding, first by symbols
     bank = spark.createDataFrame([(i, e[i].tolist(), s[i].tolist()) for i in range(1, 60)], "bank long, e array<double>, s array<double>")
     query = spark.createDataFrame([(0, e[0].tolist(), s[0].tolist())], "query long, e array<double>, s array<double>")
-    for beta in (0.0, 0.2, 5.0):
-        got = T.two_views(query, bank, 4, (5, 3), beta).orderBy("rank").collect()
+    for beta in (0.0, 0.2, 20.0):
+        got = T.two_views(query, bank, 4, (5, 8), beta).orderBy("rank").collect()
         n = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
         mean, sd = s[1:].mean(0), s[1:].std(0)
         score = n(e[1:]) @ n(e[0]) + beta * (n((s[1:] - mean) / sd) @ n((s[0] - mean) / sd))
@@ -203,4 +212,31 @@ def test_two_views_search_the_whole_bank(spark):
         assert [r.bank for r in got] == (order + 1).tolist() and [r.score for r in got] == pytest.approx(score[order])
         w = np.exp(score[order] - score[order][0])
         assert [r.weight for r in got] == pytest.approx(w / w.sum())
-        assert (50 in [r.bank for r in got]) == (beta == 5.0)
+        assert (50 in [r.bank for r in got]) == (beta == 20.0)
+
+
+def test_signed_ranks_beyond_sign_vectors(spark):
+    rng = np.random.default_rng(6)
+    for n, ties in ((2, False), (5, False), (12, True), (60, False), (60, True), (230, True)):
+        d = rng.normal(0.2, 1, n)
+        d = np.round(d, 1) if ties else d
+        d[0] = 0.0
+        d = d[np.abs(d) > 1e-12]
+        m = np.round(np.abs(d), 12)
+        rank = np.array([(m < x).sum() + ((m == x).sum() + 1) / 2 for x in m])
+        w = rank[d > 0].sum()
+        r = T_reports.wilcoxon_greater(spark.createDataFrame([(float(x),) for x in [*d, 0.0]], "d double")).first()
+        assert r.n == len(d)
+        if len(d) < 3:
+            assert r.p is None
+            continue
+        assert r.w_plus == pytest.approx(w)
+        chances = {0.0: 1.0}
+        for x in rank:
+            new = {}
+            for s, c in chances.items():
+                for y in (s, s + x):
+                    new[y] = new.get(y, 0.0) + c / 2
+            chances = new
+        want = sum(c for s, c in chances.items() if s >= w - 1e-9)
+        assert r.p == pytest.approx(want, abs=1e-12 if len(d) <= 200 else 3e-3)

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
+
+from .ordering import running
 
 
 def latest(rows: DataFrame, keys: tuple[str, ...], order: str) -> DataFrame:
@@ -31,19 +36,39 @@ def wins(rows: DataFrame, keys: tuple[str, ...], a: str, b: str) -> DataFrame:
     return rows.groupBy(*keys).agg(F.count("*").alias("n"), F.sum((d > 1e-12).cast("int")).alias("wins"), F.avg(d).alias("mean_delta"))
 
 
-def wilcoxon_greater(rows: DataFrame, col: str = "d") -> DataFrame:
-    """(n, w_plus, p): exact one-sided signed-rank test; differences up to 1e-12 are dropped and fewer than 3 give null.
+#: Differences up to which the null distribution is exact.
+EXACT = 200
+
+
+def _upper_tail(z):
+    """P(Z >= z) of a standard normal; for the one row of a test."""
+    return None if z is None else 0.5 * math.erfc(z / math.sqrt(2.0))
+
+
+def wilcoxon_greater(rows: DataFrame, col: str = "d", exact: int = EXACT) -> DataFrame:
+    """(n, w_plus, p): one-sided signed-rank test; differences up to 1e-12 are dropped and fewer than 3 give null.
 
-    Each of the 2**n sign vectors is a row of a sequence, so n is at most 20; average ranks for ties.
+    Ties have average ranks. Up to ``exact`` differences p is exact: the probability of each rank sum is built
+    rank by rank, in steps of a half, which takes n x n (n + 1) additions in place of 2 ** n sign vectors.
+    Beyond it p is the normal approximation with the variance corrected for ties. Ranks come from counts by
+    distinct magnitude, so only these are put in one order.
     """
     d = rows.where(F.abs(col) > 1e-12).select(F.col(col).alias("d"), F.round(F.abs(col), 12).alias("m"))
-    w = W.orderBy("m")
-    r = d.withColumn("rank", F.rank().over(w) + (F.count("*").over(W.partitionBy("m")) - 1) / 2.0)
-    one = r.agg(F.count("*").alias("n"), F.sum(F.when(F.col("d") > 0, F.col("rank")).otherwise(0.0)).alias("w_plus"), F.array_sort(F.collect_list("rank")).alias("ranks"))
-    signs = one.where("n between 3 and 20").select("n", "w_plus", "ranks", F.explode(F.sequence(F.lit(0).cast("long"), F.pow(F.lit(2.0), F.col("n")).cast("long") - 1)).alias("s"))
-    total = F.aggregate(F.transform("ranks", lambda x, i: F.when(F.col("s").bitwiseAND(F.pow(F.lit(2.0), i).cast("long")) != 0, x).otherwise(0.0)), F.lit(0.0), lambda a, x: a + x)
-    p = signs.select("n", "w_plus", (total >= F.col("w_plus") - 1e-9).cast("double").alias("hit")).groupBy("n", "w_plus").agg(F.avg("hit").alias("p"))
-    return one.select("n", "w_plus").join(p.select(F.col("n").alias("_n"), "p"), F.col("n") == F.col("_n"), "left").drop("_n")
+    sizes = d.groupBy("m").agg(F.count("*").alias("t"), F.sum((F.col("d") > 0).cast("long")).alias("up"))
+    sizes = running(sizes, ["m"], {"upto": "t"}).withColumn("rank", F.col("upto") - F.col("t") + (F.col("t") + 1) / 2.0)
+    t = F.col("t").cast("double")
+    one = sizes.agg(F.coalesce(F.sum("t"), F.lit(0)).alias("n"), F.sum(F.col("rank") * F.col("up")).alias("w_plus"), F.sum(t * t * t - t).alias("ties"))
+    n = F.col("n").cast("double")
+    z = (F.col("w_plus") - n * (n + 1) / 4) / F.sqrt(n * (n + 1) * (2 * n + 1) / 24 - F.col("ties") / 48)
+    one = one.select("n", "w_plus", F.when(F.col("n") > exact, z).alias("z"))
+    few = sizes.join(F.broadcast(one.where(F.col("n").between(3, exact)).select(F.col("n").alias("_n"), "w_plus")))
+    few = few.groupBy("_n", "w_plus").agg(F.flatten(F.collect_list(F.array_repeat((2 * F.col("rank")).cast("int"), F.col("t").cast("int")))).alias("ranks"))  # at most `exact`
+    start = F.transform(F.sequence(F.lit(0).cast("long"), F.col("_n") * (F.col("_n") + 1)), lambda i: F.when(i == 0, 1.0).otherwise(0.0))
+    shift = lambda acc, r: F.transform(acc, lambda x, i: 0.5 * (x + F.when(i >= r, F.coalesce(F.get(acc, i - r), F.lit(0.0))).otherwise(0.0)))
+    chances = few.select("_n", "w_plus", F.posexplode(F.aggregate("ranks", start, shift)).alias("s", "c"))
+    p = chances.where(F.col("s") >= 2 * F.col("w_plus") - 1e-9).groupBy("_n").agg(F.sum("c").alias("_p"))
+    out = one.join(p, F.col("n") == F.col("_n"), "left")
+    return out.select("n", "w_plus", F.when(F.col("n") > exact, F.udf(_upper_tail, DoubleType())("z")).otherwise(F.col("_p")).alias("p"))
 
 
 def compact(rows: DataFrame, nested: tuple[str, ...]) -> DataFrame:

@@ -380,15 +380,28 @@ def stream_wins(spark, d):
     return P.wins(j, ("task",), "a", "b").select("task", "n", "wins", r6("mean_delta"))
 
 
-@query(f"""WITH {RES}, dd AS (SELECT a.score - b.score AS d FROM rs a JOIN rs b USING (task, seed) WHERE a.variant = '1-URGENT' AND b.variant = '5-LOW' AND a.task <> 'P' AND abs(a.score - b.score) > 1e-12),
+@query(f"""WITH {RES}, dd AS (SELECT a.score - b.score AS d FROM rs a JOIN rs b USING (task, seed) WHERE a.variant = '1-URGENT' AND b.variant = '5-LOW' AND abs(a.score - b.score) > 1e-12),
 rk AS (SELECT d, rank() OVER (ORDER BY round(abs(d), 12)) + (count(*) OVER (PARTITION BY round(abs(d), 12)) - 1) / 2.0 AS r, row_number() OVER (ORDER BY round(abs(d), 12)) - 1 AS i FROM dd), w AS (SELECT count(*) AS n, sum(CASE WHEN d > 0 THEN r ELSE 0 END) AS w FROM rk),
 t AS (SELECT s, sum(CASE WHEN (s >> i) & 1 = 1 THEN r ELSE 0 END) AS x FROM rk, (SELECT unnest(range((2 ^ n)::BIGINT)) AS s FROM w) GROUP BY s) SELECT n, round(w, 6)::DOUBLE AS w_plus, round(avg(CASE WHEN x >= w - 1e-9 THEN 1.0 ELSE 0.0 END), 9) AS p FROM t, w GROUP BY n, w""")
 def wilcoxon_exact(spark, d):
-    r = results(spark, d).where("task <> 'P'")
+    r = results(spark, d)
     j = r.where("variant = '1-URGENT'").select("task", "seed", F.col("score").alias("a")).join(r.where("variant = '5-LOW'").select("task", "seed", F.col("score").alias("b")), ["task", "seed"])
     return P.wilcoxon_greater(j.select((F.col("a") - F.col("b")).alias("d"))).select("n", r6("w_plus"), F.round("p", 9).alias("p"))
 
 
+@query("""WITH RECURSIVE mo AS (SELECT date_trunc('month', o_orderdate::DATE) AS month, avg(o_totalprice) FILTER (o_orderpriority = '1-URGENT') / 1e5 AS a, avg(o_totalprice) FILTER (o_orderpriority = '5-LOW') / 1e5 AS b FROM orders GROUP BY ALL),
+dd AS (SELECT round(a - b, 9) AS d FROM mo WHERE abs(round(a - b, 9)) > 1e-12), rk AS (SELECT d, rank() OVER (ORDER BY abs(d)) + (count(*) OVER (PARTITION BY abs(d)) - 1) / 2.0 AS r, row_number() OVER (ORDER BY abs(d)) AS i FROM dd),
+w AS (SELECT count(*) AS n, sum(CASE WHEN d > 0 THEN r ELSE 0 END) AS w FROM rk),
+ch(i, s, c) AS (SELECT 0::BIGINT, 0::BIGINT, 1.0::DOUBLE UNION ALL SELECT i, s, sum(c) FROM (SELECT ch.i + 1 AS i, ch.s + k * (2 * r)::BIGINT AS s, c / 2 AS c FROM ch JOIN rk ON rk.i = ch.i + 1, (SELECT unnest([0, 1]) AS k)) GROUP BY i, s)
+SELECT n, round(w, 6)::DOUBLE AS w_plus, round(sum(c), 9) AS p FROM ch, w WHERE i = n AND s >= 2 * w - 1e-9 GROUP BY n, w""")
+def wilcoxon_months(spark, d):
+    """Whether urgent orders are dearer than those of low priority, month by month: more pairs than sign vectors could be listed for."""
+    o = X.read(spark, d, "orders")
+    price = lambda p: F.avg(F.when(F.col("o_orderpriority") == p, F.col("o_totalprice"))) / 1e5
+    m = o.groupBy(F.trunc(F.to_date("o_orderdate"), "month").alias("month")).agg(F.round(price("1-URGENT") - price("5-LOW"), 9).alias("d"))
+    return P.wilcoxon_greater(m.where(F.col("d").isNotNull())).select("n", r6("w_plus"), F.round("p", 9).alias("p"))
+
+
 @query("SELECT o_custkey, o_orderkey, o_orderstatus FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) = 1")
 def latest_results(spark, d):
     return P.latest(X.read(spark, d, "orders").select("o_custkey", "o_orderkey", "o_orderstatus"), ("o_custkey",), "o_orderkey")
