@@ -14,9 +14,10 @@ from ..operators import rules as R
 from ..operators import windows as X
 from ..operators.ordering import fixed
 from .evidence_queries import CHOSEN, FUTURE, RETR, TOP5, contexts, states, unit_vectors
-from .mining_queries import MATCH, MASKS, NORM, TOP, events, matched, novelties, raw_points, shapelet_top_k
+from .mining_queries import BOSS, DIGITS, MATCH, MASKS, NORM, TOP, events, matched, novelties, raw_points, shapelet_top_k
 from .mining_queries import vectors as vector_points
 from .series_queries import r6, recon
+from .sqltext import EMB, EV, FM
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -113,9 +114,12 @@ def multiscale_features(spark, d):
     return O.multiscale(vector_points(spark, d), (8, 16), n_candidates=10, top_k=4)
 
 
-@query()
+@query(f"""WITH {BOSS}, di AS (SELECT code, {', '.join(f'{x} AS r{i}' for i, x in enumerate(DIGITS))} FROM bk WHERE rank <= 6),
+x AS (SELECT series, di.code, t, flat, CASE WHEN s3.code = di.code THEN 1 ELSE 0 END AS same, ({' + '.join(f'abs(s{i} - r{i})' for i in range(4))}) / 12.0::DOUBLE AS d FROM s3, di)
+SELECT series, code, max(same) AS presence, round(avg(same), 6) AS frequency, round(min(d) FILTER (NOT flat), 6) AS distance, arg_min(t, (d, t)) FILTER (NOT flat) AS location, coalesce(max(d) FILTER (NOT flat) > min(d) FILTER (NOT flat), false) AS informative FROM x GROUP BY ALL""")
 def boss_features(spark, d):
-    return O.features(vector_points(spark, d), 8, "bossst", top_k=6)[0]
+    f = O.features(vector_points(spark, d), 8, "bossst", top_k=6)[0]
+    return f.select("series", "code", "presence", r6("frequency"), r6("distance"), "location", "informative")
 
 
 @query()
@@ -126,7 +130,26 @@ def anomaly_readout(spark, d):
     return O.anomaly_readout(late, s, held).select("stream", r6("best_f1"), r6("ap"), "n_entities")
 
 
-@query()
+#: Ramps by distance to each segment, then every threshold of the 250 by plain comparison.
+VUS_SQL = f"""WITH {EV}, {FM}, ok AS (SELECT series, count(*) AS n, sum(label) AS hard FROM fm GROUP BY series HAVING min(label) <> max(label)),
+p AS (SELECT series, t, label, score, n, hard, row_number() OVER (PARTITION BY series ORDER BY score DESC, t) - 1 AS k, label - coalesce(lag(label) OVER (PARTITION BY series ORDER BY t), 0) AS up, coalesce(lead(label) OVER (PARTITION BY series ORDER BY t), 0) - label AS down FROM fm JOIN ok USING (series)),
+sg AS (SELECT a.series, a.t AS s, min(b.t) AS e FROM p a JOIN p b ON a.series = b.series AND b.t >= a.t AND a.up = 1 AND b.down = -1 GROUP BY a.series, a.t),
+ww AS (SELECT unnest(range(11)) AS w),
+sl AS (SELECT p.series, w, p.t, p.score, p.n, p.hard, least(1.0, label + coalesce(sum(CASE WHEN p.t >= e AND p.t < e + w // 2 THEN sqrt(1 - (p.t - e) / greatest(w, 1)::DOUBLE) WHEN p.t < s AND p.t >= s - w // 2 THEN sqrt(1 - (s - p.t) / greatest(w, 1)::DOUBLE) ELSE 0 END), 0)) AS soft
+  FROM p CROSS JOIN ww JOIN sg USING (series) WHERE w <= p.n - 1 GROUP BY p.series, w, p.t, p.score, p.n, p.hard, label),
+rs AS (SELECT *, t - row_number() OVER (PARTITION BY series, w, soft > 0 ORDER BY t) AS run FROM sl), tp AS (SELECT series, w, run, max(score) AS top FROM rs WHERE soft > 0 GROUP BY ALL),
+mass AS (SELECT series, w, any_value(n) AS n, (any_value(hard) + sum(soft)) / 2 AS pos FROM sl GROUP BY ALL), segs AS (SELECT series, w, count(*) AS m FROM tp GROUP BY ALL),
+th AS (SELECT ok.series, q, p.score AS c FROM ok, (SELECT unnest(range(250)) AS q) JOIN p ON p.series = ok.series AND p.k = CASE WHEN q = 249 THEN ok.n - 1 ELSE floor(q * ((ok.n - 1) / 249.0::DOUBLE))::BIGINT END),
+cv AS (SELECT th.series, w, q, c, count(*) AS found, sum(soft) AS hit FROM (SELECT DISTINCT series, c FROM th) JOIN th USING (series, c) JOIN sl ON sl.series = th.series AND sl.score >= c GROUP BY ALL),
+ex AS (SELECT th.series, w, q, count(*) AS e FROM th JOIN tp ON tp.series = th.series AND tp.top >= th.c GROUP BY ALL),
+pt AS (SELECT series, w, q, least(hit / pos, 1.0) * coalesce(e, 0) / m AS tpr, (found - hit) / (n - pos) AS fpr, hit / found AS prec FROM cv JOIN mass USING (series, w) JOIN segs USING (series, w) LEFT JOIN ex USING (series, w, q)),
+al AS (SELECT * FROM pt UNION ALL SELECT DISTINCT series, w, -1, 0.0, 0.0, 1.0 FROM pt UNION ALL SELECT DISTINCT series, w, 250, 1.0, 1.0, NULL FROM pt),
+st AS (SELECT series, w, q, prec, tpr, fpr, lag(tpr) OVER o AS t0, lag(fpr) OVER o AS f0 FROM al WINDOW o AS (PARTITION BY series, w ORDER BY q)),
+ar AS (SELECT series, w, sum((fpr - f0) * (tpr + t0) / 2) AS roc, sum(CASE WHEN q BETWEEN 0 AND 249 THEN (tpr - t0) * prec END) AS pr FROM st GROUP BY ALL)
+SELECT series, round(avg(roc), 6) AS vus_roc, round(avg(pr), 6) AS vus_pr FROM ar GROUP BY series"""
+
+
+@query(VUS_SQL)
 def vus(spark, d):
     return O.vus(recon(spark, d), 10).select("series", r6("vus_roc"), r6("vus_pr"))
 
@@ -175,6 +198,6 @@ def anomaly_evidence(spark, d):
     return T.clipped_evidence(p.where("t <= 40"), p.where("t > 40"), ("raw",)).select("series", "t", F.round("evidence", 5).alias("evidence"))
 
 
-@query()
+@query(f"WITH {EMB} SELECT series, t + 16 AS i, round(value, 6) AS value, 1 AS mask FROM emb UNION ALL SELECT vec_id, unnest(range(16)), 0.0, 0 FROM embeddings")
 def truncated_input(spark, d):
     return X.model_input(X.vector_series(spark, d), 64, 80).select("series", "i", r6("value"), "mask")
