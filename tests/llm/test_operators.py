@@ -91,6 +91,19 @@ def test_html_of_hostile_pages_is_linear(unit):
     assert seconds(400_000) < 8 * seconds(100_000) + 0.5
 
 
+@pytest.mark.parametrize("parts", [("<main>", "<b>", "</x>"), ("", "<div>", "<dt></dt>"), ("<p>", "<b>", "<div>"), ("", "<span>", "<li>"), ("<main>", "<b>", "</div>"), ("<h1>", "<td>", "</main>")])
+def test_html_of_mixed_hostile_pages_is_linear(parts):
+    def seconds(n):
+        page = parts[0] + parts[1] * n + parts[2] * n
+        start = time.process_time()
+        parsed = html_extract.parse(page)
+        html_extract.subtree_hashes(*parsed)
+        html_extract.main_text(*parsed, set())
+        return time.process_time() - start
+
+    assert seconds(80_000) < 8 * seconds(20_000) + 0.5
+
+
 def test_subtree_hashes_tell_structure():
     hashes = lambda h: html_extract.subtree_hashes(*html_extract.parse(h))
     one, two, three = (hashes(f"<div><ul>{x}</ul></div>") for x in ("<li>a</li><li>b</li>", "<li>a b</li>", "<li class=on>a</li><li> b </li>"))

@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left
-from collections import Counter
+from collections import defaultdict
 from html import unescape
 
 import pyarrow as pa
@@ -34,6 +34,7 @@ ROLES = frozenset("navigation banner contentinfo complementary search dialog ale
 KEPT_INSIDE = frozenset("p h1 h2 h3 h4 h5 h6 li blockquote pre dd dt td th tr tbody thead".split()) | INLINE
 CLOSED_BY_BLOCK = frozenset("p h1 h2 h3 h4 h5 h6".split())
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+SIBLING_WALLS = ("ul", "ol", "dl", "table", "select", "article", "main", "body")
 NAMES = re.compile(r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|adsense|sponsor(?:ed)?|promo(?:tion)?|banner|cookies?|consent|gdpr|notices?|newsletter|subscribe|subscription|popup|modal|overlay|sidebar|side-?bar|widgets?|menu|nav|navbar|navigation|breadcrumbs?|footer|masthead|comments?|commentlist|respond|repl(?:y|ies)|disqus|shar(?:e|ing)|social|related|recommended|pagination|pager|skip|login|signup|search|toolbar|toc|hidden)(?:$|[\s_-]|\d)", re.I)
 HEADER_NAMES = re.compile(r"(?:^|[\s_-])(?:header|topbar|site-?title)(?:$|[\s_-])", re.I)
 
@@ -66,13 +67,20 @@ def parse(html: str) -> tuple[list[str], list[Node]]:
     pieces, nodes, stack, at = [], [], [], 0
     root = Node("#", None, 0, "")
     stack.append(root)
-    is_open = Counter()
+    # places in the stack of the open elements by tag, and of those that stop a block from closing a paragraph:
+    # what an end tag or a sibling closes is found without walking the stack
+    places, walls = defaultdict(list), []
     quotes = True  # until one is never closed
 
     def close(k: int) -> None:
         while len(stack) > k:
             stack[-1].end = len(pieces)
-            is_open[stack.pop().tag] -= 1
+            places[stack.pop().tag].pop() if len(stack) > 1 else stack.pop()
+            if walls and walls[-1] >= len(stack):
+                walls.pop()
+
+    def innermost(tags) -> int:
+        return max((places[t][-1] for t in tags if places[t]), default=0)
 
     while True:
         m = _TOKEN.search(html, at)
@@ -95,12 +103,10 @@ def parse(html: str) -> tuple[list[str], list[Node]]:
         inner, at = html[at:until], until + 1
         tag = m[2].lower()
         if m[1]:
-            for k in range(len(stack) - 1, 0, -1) if is_open[tag] > 0 or is_open["main"] > 0 else ():
-                if stack[k].tag == tag or (stack[k].tag == "main" and tag in ("div", "section")):
-                    if tag not in INLINE:
-                        pieces.append(" ")
-                    close(k)
-                    break
+            if k := innermost((tag, "main") if tag in ("div", "section") else (tag,)):
+                if tag not in INLINE:
+                    pieces.append(" ")
+                close(k)
             continue
         if tag in RAW:
             pieces.append(" ") if tag not in ("script", "style", "template") else None
@@ -112,24 +118,17 @@ def parse(html: str) -> tuple[list[str], list[Node]]:
             if tag != "wbr":
                 pieces.append(" ")
             if tag not in VOID or tag == "hr":
-                for k in range(len(stack) - 1, 0, -1) if any(is_open[x] > 0 for x in CLOSED_BY_BLOCK) else ():
-                    if stack[k].tag in CLOSED_BY_BLOCK:
-                        close(k)
-                        break
-                    if stack[k].tag not in INLINE:
-                        break
-            if tag in SIBLINGS:
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k].tag in SIBLINGS[tag]:
-                        close(k)
-                        break
-                    if stack[k].tag in ("ul", "ol", "dl", "table", "select", "article", "main", "body"):
-                        break
+                if walls and stack[walls[-1]].tag in CLOSED_BY_BLOCK:
+                    close(walls[-1])
+            if tag in SIBLINGS and (k := innermost(SIBLINGS[tag])) and k >= innermost(SIBLING_WALLS):
+                close(k)
         if tag in VOID:
             continue
         node = Node(tag, stack[-1], len(pieces), inner)
         nodes.append(node)
-        is_open[node.tag] += 1
+        places[node.tag].append(len(stack))
+        if node.tag in CLOSED_BY_BLOCK or node.tag not in INLINE:
+            walls.append(len(stack))
         stack.append(node)
     close(0)
     titles = [x.start for x in nodes if x.tag == "h1"]
