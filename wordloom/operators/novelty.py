@@ -7,6 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.symbols import mindist_cell
+from .ordering import quantile_row
+from .windows import over_blocks
 
 FLAT_CODE = -1
 NEAR_WORDS = 2048
@@ -53,16 +55,18 @@ def window_novelty(words: DataFrame, vocab: DataFrame, n: int, alphabet: int = 4
     return d.select("series", "t", "word", cnt.alias("cnt"), "nearest", dist.alias("distance"), (-F.log((cnt + 1.0) / F.col("denom")) + weight * dist).alias("novelty"))
 
 
-def point_novelty(points: DataFrame, nov: DataFrame, window: int) -> DataFrame:
-    """``points`` with raw: the largest novelty of the windows that cover each point, 0 where none does."""
+def point_novelty(points: DataFrame, nov: DataFrame, window: int, block: int | None = None) -> DataFrame:
+    """``points`` with raw: the largest novelty of the windows that cover each point, 0 where none does. With ``block``, series are cut in blocks of so many points, whatever their length."""
     w = W.partitionBy("series").orderBy("t").rowsBetween(-(window - 1), 0)
     d = points.join(nov.select("series", "t", "novelty"), ["series", "t"], "left")
-    return d.select(*points.columns, F.coalesce(F.max("novelty").over(w), F.lit(0.0)).alias("raw"))
+    raw = lambda x: x.select(*points.columns, F.coalesce(F.max("novelty").over(w), F.lit(0.0)).alias("raw"))
+    return over_blocks(d, window, block, raw, back=True).select(*points.columns, "raw") if block else raw(d)
 
 
 def normaliser(held: DataFrame, by: tuple[str, ...] = (), floor: float = 0.5) -> DataFrame:
     """(by, loc, scale): median and interquartile range, at least ``floor``, of held-out normal scores."""
-    q = held.groupBy(*by).agg(F.percentile("raw", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
+    quarters = [0.25, 0.5, 0.75]
+    q = held.groupBy(*by).agg(F.percentile("raw", F.array(*[F.lit(x) for x in quarters])).alias("q")) if by else quantile_row(held, "raw", quarters)
     return q.select(*by, F.col("q")[1].alias("loc"), F.greatest(F.col("q")[2] - F.col("q")[0], F.lit(floor)).alias("scale"))
 
 
@@ -75,7 +79,7 @@ def reduced_channels(z: DataFrame, channels: int) -> DataFrame:
 
 def robust(values: DataFrame, col: str) -> DataFrame:
     """One row (loc, scale): median and IQR; a zero IQR falls back to the sd, then to 1."""
-    r = values.agg(F.percentile(col, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"), F.stddev_pop(col).alias("sd"))
+    r = quantile_row(values, col, [0.25, 0.5, 0.75]).join(F.broadcast(values.agg(F.stddev_pop(col).alias("sd"))))
     iqr = F.col("q")[2] - F.col("q")[0]
     return r.select(F.col("q")[1].alias("loc"), F.when(iqr > 1e-12, iqr).when(F.col("sd") > 1e-12, F.col("sd")).otherwise(1.0).alias("scale"))
 

@@ -50,3 +50,25 @@ def running(rows: DataFrame, order: list[str], sums: dict[str, str]) -> DataFram
     inside = W.partitionBy("_part").orderBy("_at").rowsBetween(W.unboundedPreceding, 0)
     d = d.join(F.broadcast(n), "_part").select("*", *[(F.sum(c).over(inside) + F.col(f"_b{k}")).alias(name) for k, (name, c) in enumerate(sums.items())])
     return d.drop("_part", "_at", *[f"_b{k}" for k in range(len(sums))])
+
+
+def quantiles(rows: DataFrame, cols: list[str], qs: list[float]) -> DataFrame:
+    """(k, i, value): the exact quantile qs[i] of cols[k], interpolated between neighbours, nulls left out; no rows where a column has no value.
+
+    All columns are put in one order by ranges, and only the values at the places in question are picked, so no
+    task gets a whole column and nothing grows with the number of distinct values.
+    """
+    long = rows.select(F.posexplode(F.array(*[F.col(c).cast("double") for c in cols])).alias("k", "v")).where("v is not null")
+    d = places(long, ["k", "v"], "_place")
+    n = d.groupBy("k").agg(F.min("_place").alias("_first"), F.count("*").alias("_n"))  # one row a column
+    at = F.col("q") * (F.col("_n") - 1)
+    want = n.select("k", "_first", "_n", F.posexplode(F.array(*[F.lit(float(q)) for q in qs])).alias("i", "q")).withColumn("_at", at).withColumn("_low", F.floor("_at"))
+    picks = F.array(F.struct(F.col("_low").alias("p"), (F.col("_low") + 1 - F.col("_at")).alias("w")), F.struct(F.least(F.col("_low") + 1, F.col("_n") - 1).alias("p"), (F.col("_at") - F.col("_low")).alias("w")))
+    want = want.select("k", "i", "_first", F.inline(picks)).select("k", "i", (F.col("_first") + F.col("p")).alias("_place"), "w")
+    return d.join(F.broadcast(want), ["k", "_place"]).groupBy("k", "i").agg(F.sum(F.col("v") * F.col("w")).alias("value"))
+
+
+def quantile_row(rows: DataFrame, col: str, qs: list[float], out: str = "q") -> DataFrame:
+    """One row with an array of the quantiles of one column."""
+    q = quantiles(rows, [col], qs)
+    return q.groupBy().agg(F.array_sort(F.collect_list(F.struct("i", "value"))).alias("_x")).select(F.transform("_x", lambda x: x["value"]).alias(out))  # one value a quantile

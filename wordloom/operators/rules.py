@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .ordering import quantile_row
+
 
 def ordered_words(symbols: DataFrame, sample: str = "sample", channel: str = "channel") -> DataFrame:
     """(sample, channel, word array): the ordered symbols of each context from (sample, channel, segment, symbol)."""
@@ -148,5 +150,5 @@ def match_regions(tokens: DataFrame, length: int) -> DataFrame:
 
 def behaviour_targets(rows: DataFrame, col: str, q: float) -> DataFrame:
     """``rows`` with y: 1 where ``col`` reaches its quantile q."""
-    cut = rows.agg(F.percentile(col, q).alias("_cut"))
-    return rows.join(F.broadcast(cut)).withColumn("y", (F.col(col) >= F.col("_cut")).cast("int")).drop("_cut")
+    cut = quantile_row(rows, col, [q], "_cut")
+    return rows.join(F.broadcast(cut)).withColumn("y", (F.col(col) >= F.col("_cut")[0]).cast("int")).drop("_cut")

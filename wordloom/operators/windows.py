@@ -5,11 +5,14 @@ A series is long: (series, t, value, ...), one row a point; windows are frames o
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.symbols import FLAT, breakpoints, code, fourier_rows, hash_order, paa_weights, symbol, word
+from .ordering import quantile_row, quantiles
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,6 +51,24 @@ def sliding(points: DataFrame, window: int, keys: tuple[str, ...] = ("series",),
     return out, spec
 
 
+def over_blocks(points: DataFrame, window: int, block: int, make: Callable[[DataFrame], DataFrame], back: bool = False) -> DataFrame:
+    """What ``make`` gives for series of any length, from blocks of ``block`` points instead of whole series.
+
+    Each block gets copies of the window - 1 points after it (before it if ``back``), so every window of its own
+    points is whole inside it. ``make`` takes and returns rows with series and t and looks no further than that;
+    its ``series`` stands for one block. What it gives for copied points is dropped.
+    """
+    own = F.floor(F.col("t") / block)
+    inside = F.col("t") % block
+    other = F.when(inside >= block - (window - 1), own + 1) if back else F.when(inside < window - 1, own - 1)
+    if block < window:
+        raise ValueError("a block must hold a window")
+    d = points.withColumn("_block", F.explode(F.array_compact(F.array(own, other)))).withColumn("series", F.struct("series", "_block")).drop("_block")
+    out = make(d)
+    out = out.where(F.floor(F.col("t") / block) == F.col("series")["_block"])
+    return out.withColumn("series", F.col("series")["series"])
+
+
 def complete(df: DataFrame, window: int, step: int = 1) -> DataFrame:
     return df.where((F.col("n") == window) & (F.col("t") % step == 0))
 
@@ -95,9 +116,7 @@ def fourier_windows(points: DataFrame, window: int = 8, n: int = 4, step: int =
 def sfa_edges(coefs: DataFrame, n: int = 4, alphabet: int = 4) -> DataFrame:
     """(position, q, edge): multiple coefficient binning, exact quantiles i/alphabet of each coefficient over all windows."""
     at = [i / alphabet for i in range(1, alphabet)]
-    row = coefs.agg(*[F.percentile(f"c{k}", F.array(*[F.lit(x) for x in at])).alias(f"e{k}") for k in range(n)])
-    each = F.array(*[F.struct(F.lit(k).alias("position"), F.col(f"e{k}").alias("e")) for k in range(n)])
-    return row.select(F.inline(each)).select("position", F.posexplode("e").alias("q", "edge"))
+    return quantiles(coefs, [f"c{k}" for k in range(n)], at).select(F.col("k").alias("position"), F.col("i").alias("q"), F.col("value").alias("edge"))
 
 
 def sfa_words(coefs: DataFrame, edges: DataFrame, n: int = 4, alphabet: int = 4, keys: tuple[str, ...] = ("series",), carry: tuple[str, ...] = ()) -> DataFrame:
@@ -193,7 +212,7 @@ def future_direction(points: DataFrame, context: int, horizon: int, keys: tuple[
     spec = W.partitionBy(*keys).orderBy("t")
     now, late, future = spec.rowsBetween(0, context - 1), spec.rowsBetween(context - min(recent, context), context - 1), spec.rowsBetween(context, context + horizon - 1)
     d = points.select(*keys, "t", F.count("value").over(future).alias("n"), ((F.avg("value").over(future) - F.avg("value").over(late)) / (F.stddev_pop("value").over(now) + 1e-8)).alias("delta")).where(F.col("n") == horizon).drop("n")
-    cut = d.agg(F.percentile("delta", F.array(F.lit(1 / 3), F.lit(2 / 3))).alias("cut"))
+    cut = quantile_row(d, "delta", [1 / 3, 2 / 3], "cut")
     return d.join(F.broadcast(cut)).select(*keys, "t", "delta", symbol(F.col("delta"), [F.col("cut")[0], F.col("cut")[1]]).alias("direction"))
 
 

@@ -290,6 +290,11 @@ def point_novelty(spark, d):
     return raw_points(spark, d).select("series", "t", r6("raw"))
 
 
+@query(f"WITH {NOVEL} SELECT series, t, round(raw, 6) AS raw FROM pn")
+def point_novelty_blocked(spark, d):
+    return N.point_novelty(X.event_series(spark, d).select("series", "t", "label"), novelties(spark, d), 12, 16).select("series", "t", r6("raw"))
+
+
 NORM = f"{NOVEL}, no AS (SELECT q[2] AS loc, greatest(q[3] - q[1], 0.5) AS scale FROM (SELECT quantile_cont(raw, [0.25, 0.5, 0.75]) AS q FROM pn WHERE t BETWEEN 30 AND 40))"
 
 

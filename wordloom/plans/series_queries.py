@@ -42,6 +42,12 @@ def sax_words(spark, d):
     return X.sax_words(X.event_series(spark, d)).select("series", "t", "word", "code")
 
 
+@query(f"WITH {EV}, {sax('ev', 24, 8, B4)} SELECT series, t, word, code FROM sw")
+def sax_words_blocked(spark, d):
+    """The same words from blocks of 32 points, each with the 23 points after it, as for series too long for one task."""
+    return X.over_blocks(X.event_series(spark, d), 24, 32, X.sax_words).select("series", "t", "word", "code")
+
+
 @query(f"WITH {EV}, {sax('ev', 24, 8, B4)} SELECT word, count(*) AS n FROM sw GROUP BY word")
 def sax_word_histogram(spark, d):
     return X.sax_words(X.event_series(spark, d)).groupBy("word").agg(F.count("*").alias("n"))
