@@ -17,6 +17,7 @@ from . import mining as G
 from . import novelty as N
 from . import retrieval as T
 from . import windows as X
+from .ordering import fixed
 
 #: Miner registry: what fit and match mean for each method.
 METHODS = ("fastshapelets", "bossst")
@@ -72,9 +73,9 @@ def anomaly_readout(base: DataFrame, symbolic: DataFrame, held: DataFrame, lam:
     ``base`` and ``symbolic``: (series, t, label, score); ``held``: (series, t) of held-out normal points, by
     which both are scaled and calibrated. The test points are the others.
     """
-    both = base.select("series", "t", "label", F.col("score").alias("b")).join(symbolic.select("series", "t", F.col("score").alias("s")), ["series", "t"]).cache()
-    ref, new = both.join(held, ["series", "t"], "left_semi").cache(), both.join(held, ["series", "t"], "left_anti").cache()
-    q = N.tail_surprisal(N.tail_surprisal(new, ref, "b", "b", "qb").cache(), ref, "s", "s", "qs").cache()
+    both = fixed(base.select("series", "t", "label", F.col("score").alias("b")).join(symbolic.select("series", "t", F.col("score").alias("s")), ["series", "t"]))
+    ref, new = fixed(both.join(held, ["series", "t"], "left_semi")), both.join(held, ["series", "t"], "left_anti")
+    q = fixed(N.tail_surprisal(fixed(N.tail_surprisal(new, ref, "b", "b", "qb")), ref, "s", "s", "qs"))
     kb, ks = N.robust(ref, "b").select(F.col("loc").alias("lb"), F.col("scale").alias("cb")), N.robust(ref, "s").select(F.col("loc").alias("ls"), F.col("scale").alias("cs"))
     d = q.join(F.broadcast(kb.join(ks)))
     zb, zs = (F.col("b") - F.col("lb")) / F.col("cb"), (F.col("s") - F.col("ls")) / F.col("cs")

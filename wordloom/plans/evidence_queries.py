@@ -428,7 +428,11 @@ def explanations(spark, d):
     return explained(spark, d)[0].select("series", "rank", "code", r6("attribution"), "start", "end", r6("distance"), "class")
 
 
-@query(f"WITH {EXPL} SELECT series, code FROM er JOIN mt USING (series, code) WHERE rank <= 3 AND (location < 0 OR location + 8 > 64)")
+@query(f"""WITH {EXPL}, rc AS (SELECT series, er.code, location + CASE WHEN series % 5 = 0 THEN 60 ELSE 0 END AS s, distance + CASE WHEN series % 5 <= 1 THEN 0.5 ELSE 0.0 END AS d, distance FROM er JOIN mt USING (series, code) WHERE er.rank <= 3)
+SELECT series, code, CASE WHEN s < 0 OR s + 8 > 64 THEN 'bounds' ELSE 'distance' END AS problem FROM rc WHERE s < 0 OR s + 8 > 64 OR abs(d - distance) > 1e-3""")
 def verify_records(spark, d):
+    """Explanations of every series checked again; in two of five series they were damaged: spans moved by 60 points, distances by a half."""
     e, m = explained(spark, d)
-    return P.verify(e, m, 64).select("series", "code")
+    hurt = F.col("series") % 5
+    e = e.withColumns({"start": F.col("start") + F.when(hurt == 0, 60).otherwise(0), "end": F.col("end") + F.when(hurt == 0, 60).otherwise(0), "distance": F.col("distance") + F.when(hurt <= 1, 0.5).otherwise(0.0)})
+    return P.verify(e, m, 64).select("series", "code", "problem")
