@@ -217,7 +217,7 @@ def test_two_views_search_the_whole_bank(spark):
 
 def test_signed_ranks_beyond_sign_vectors(spark):
     rng = np.random.default_rng(6)
-    for n, ties in ((2, False), (5, False), (12, True), (60, False), (60, True), (230, True)):
+    for n, ties in ((2, False), (12, True), (60, True), (230, True)):
         d = rng.normal(0.2, 1, n)
         d = np.round(d, 1) if ties else d
         d[0] = 0.0
