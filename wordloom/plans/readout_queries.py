@@ -139,7 +139,7 @@ sl AS (SELECT p.series, w, p.t, p.score, p.n, p.hard, least(1.0, label + coalesc
   FROM p CROSS JOIN ww JOIN sg USING (series) WHERE w <= p.n - 1 GROUP BY p.series, w, p.t, p.score, p.n, p.hard, label),
 rs AS (SELECT *, t - row_number() OVER (PARTITION BY series, w, soft > 0 ORDER BY t) AS run FROM sl), tp AS (SELECT series, w, run, max(score) AS top FROM rs WHERE soft > 0 GROUP BY ALL),
 mass AS (SELECT series, w, any_value(n) AS n, (any_value(hard) + sum(soft)) / 2 AS pos FROM sl GROUP BY ALL), segs AS (SELECT series, w, count(*) AS m FROM tp GROUP BY ALL),
-th AS (SELECT ok.series, q, p.score AS c FROM ok, (SELECT unnest(range(250)) AS q) JOIN p ON p.series = ok.series AND p.k = CASE WHEN q = 249 THEN ok.n - 1 ELSE floor(q * ((ok.n - 1) / 249.0::DOUBLE))::BIGINT END),
+tk AS (SELECT series, q, CASE WHEN q = 249 THEN n - 1 ELSE floor(q * ((n - 1) / 249.0::DOUBLE))::BIGINT END AS k FROM ok, (SELECT unnest(range(250)) AS q)), th AS (SELECT tk.series, q, p.score AS c FROM tk JOIN p ON p.series = tk.series AND p.k = tk.k),
 cv AS (SELECT th.series, w, q, c, count(*) AS found, sum(soft) AS hit FROM (SELECT DISTINCT series, c FROM th) JOIN th USING (series, c) JOIN sl ON sl.series = th.series AND sl.score >= c GROUP BY ALL),
 ex AS (SELECT th.series, w, q, count(*) AS e FROM th JOIN tp ON tp.series = th.series AND tp.top >= th.c GROUP BY ALL),
 pt AS (SELECT series, w, q, least(hit / pos, 1.0) * coalesce(e, 0) / m AS tpr, (found - hit) / (n - pos) AS fpr, hit / found AS prec FROM cv JOIN mass USING (series, w) JOIN segs USING (series, w) LEFT JOIN ex USING (series, w, q)),
