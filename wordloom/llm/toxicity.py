@@ -2,8 +2,8 @@
 
 Features of a text are the presence of each word, each pair of neighbours and each pair one or two words
 apart, hashed to 2**20 coordinates. Every coordinate has its own learning rate; L1 keeps most weights at
-exactly zero, so the model that is broadcast is a short list. Training takes a bounded sample of labelled
-rows (``max_rows``, ``max_bytes`` a text) in one task; scoring takes every row.
+exactly zero, so the model that is broadcast is a short list. The features of a bounded sample of labelled rows
+(``max_rows``), each with its whole text, are made in many tasks and learned from in one; scoring takes every row.
 """
 
 from __future__ import annotations
@@ -85,40 +85,52 @@ def train(rows: list[tuple[np.ndarray, int]], epochs: int = 8, alpha: float = 1.
     return model.result()
 
 
-def fit(docs: DataFrame, labels: DataFrame, learn: Column, max_rows: int = 10_000, max_bytes: int = 100_000, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
+def text_features(texts: DataFrame) -> DataFrame:
+    """(u, y, i): the distinct coordinates of each whole text as 32-bit numbers in bytes; at most 2**20 a text."""
+
+    def run(batches):
+        for b in batches:
+            for first, offsets, data in text_chunks(b.column(0)):
+                row, coordinate = features(data, offsets)
+                key = np.unique((row << BITS) | coordinate)
+                cuts = np.searchsorted(key >> BITS, np.arange(len(offsets)))
+                found = [(key[cuts[i] : cuts[i + 1]] & ((1 << BITS) - 1)).astype("<i4").tobytes() for i in range(len(offsets) - 1)]
+                yield pa.RecordBatch.from_arrays([b.column(1).slice(first, len(found)), b.column(2).slice(first, len(found)), pa.array(found, pa.binary())], names=["u", "y", "i"])
+
+    return texts.select("text", "u", "y").mapInArrow(run, "u long, y int, i binary")
+
+
+def fit(docs: DataFrame, labels: DataFrame, learn: Column, max_rows: int = 10_000, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
     """Sparse weights (coordinate, weight) from labelled documents that ``learn`` admits; empty if there are none.
 
     A document with several labels counts as toxic if one says so; null labels are left out. If more than
-    ``max_rows`` rows are labelled, those of lowest hash train; texts over ``max_bytes`` characters do not.
+    ``max_rows`` ids are labelled, those of lowest hash train. Texts train whole, however long. Of rows that
+    repeat an id the one whose text sorts first trains; columns other than doc_id, text and toxic are not read.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    y = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("y"))
+    y = labels.select("doc_id", "toxic").where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("y"))
     y = y.where(learn).withColumn("u", F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id"), 11))
     n = max(1, y.count())
     y = y.where(F.col("u") < F.lit(float(1 << 53) * min(1.0, 1.5 * max_rows / n + 1e-9))).orderBy("u").limit(max_rows)
-    chosen = docs.select("doc_id", "text").where(F.col("text").isNotNull() & (F.length("text") <= max_bytes)).join(F.broadcast(y), "doc_id")
+    chosen = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(y), "doc_id")
+    chosen = chosen.groupBy("doc_id", "u", "y").agg(F.min("text").alias("text"))
 
     def one_task(batches):
-        got = []
-        for b in batches:
-            u, label = b.column(1).to_pylist(), b.column(2).to_pylist()
-            for first, offsets, data in text_chunks(b.column(0)):
-                row, coordinate = features(data, offsets)
-                key = np.unique((row << BITS) | coordinate)
-                row, coordinate = key >> BITS, key & ((1 << BITS) - 1)
-                cuts = np.searchsorted(row, np.arange(len(offsets)))
-                got += [((u[first + i], label[first + i]), coordinate[cuts[i] : cuts[i + 1]].astype(np.int32)) for i in range(len(offsets) - 1)]
+        got = [(u, y, np.frombuffer(i, "<i4")) for b in batches for u, y, i in zip(*(c.to_pylist() for c in b.columns), strict=True)]
         got.sort(key=lambda x: x[0])
-        i, w = train([(c.astype(np.int64), k[1]) for k, c in got]) if got else (np.zeros(0, np.int64), np.zeros(0))
+        i, w = train([(c.astype(np.int64), y) for _, y, c in got]) if got else (np.zeros(0, np.int64), np.zeros(0))
         yield pa.RecordBatch.from_arrays([pa.array(i, pa.int64()), pa.array(w, pa.float64())], names=["i", "w"])
 
-    pdf = chosen.select("text", "u", "y").repartition(1).mapInArrow(one_task, "i long, w double").toPandas()
+    pdf = text_features(chosen).repartition(1).mapInArrow(one_task, "i long, w double").toPandas()
     return pdf["i"].to_numpy(np.int64), pdf["w"].to_numpy(np.float64)
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, score) of every whole text; null and empty texts get the intercept's probability; 0.5 without a model."""
+    """(doc_id, score) of every whole text; null and empty texts get the intercept's probability; 0.5 without a model.
+
+    Repeated rows are each scored; only the two columns named are read, so others may clash with anything.
+    """
     spark = docs.sparkSession
     small_batches(spark)
     shared = spark.sparkContext.broadcast(model)
