@@ -147,6 +147,46 @@ def test_toxicity_without_labels(spark):
     assert toxicity.score(docs, toxicity.fit(docs, empty, F.lit(True))).count() == 2
 
 
+def test_toxicity_trains_on_whole_texts_once_an_id(spark):
+    clean = sentences(60, 2)
+    long = " ".join(sentences(2500, 9)) + " grotty grotty"
+    texts = [t + (" grotty" if i % 3 == 0 else "") for i, t in enumerate(clean)] + [long] * 3
+    assert len(long) > 100_000
+    labels = spark.createDataFrame([(i, int(i % 3 == 0 or i >= 60)) for i in range(63)], "doc_id long, toxic int")
+    docs = documents(spark, texts)
+    whole = toxicity.text_features(docs.select("text", F.col("doc_id").alias("u"), F.lit(1).alias("y"))).where("u = 60").first().i
+    data = np.frombuffer(long.encode(), np.uint8)
+    assert np.array_equal(np.frombuffer(whole, "<i4"), np.unique(toxicity.features(data, np.array([0, len(data)]))[1]))
+    first = toxicity.fit(docs, labels, F.lit(True))
+    again = docs.union(docs.withColumn("text", F.concat("text", F.lit(" zzz")))).withColumn("toxic", F.lit(9)).withColumn("y", F.lit("x"))
+    second = toxicity.fit(again, labels.withColumn("u", F.lit("clash")), F.lit(True))
+    assert all(np.array_equal(a, b) for a, b in zip(first, second, strict=True))
+
+
+def test_ftrl_by_its_definition():
+    rng = random.Random(4)
+    rows = [(np.array(sorted(rng.sample(range(12), 5))), rng.randrange(2)) for _ in range(40)]
+    index, weight = toxicity.train(rows, epochs=3, alpha=0.5, beta=1.0, l1=0.4, l2=0.1, positive=2.0, least_rows=1)
+    z, n, bias = defaultdict(float), defaultdict(float), 1 << toxicity.BITS
+
+    def w(i):
+        if i == bias:
+            return -z[i] / ((1.0 + n[i] ** 0.5) / 0.5)
+        return 0.0 if abs(z[i]) <= 0.4 else -(z[i] - (0.4 if z[i] > 0 else -0.4)) / ((1.0 + n[i] ** 0.5) / 0.5 + 0.1)
+
+    for _ in range(3):
+        for coordinates, y in rows:
+            at = [*coordinates.tolist(), bias]
+            now = {i: w(i) for i in at}
+            g = (1 / (1 + np.exp(-sum(now.values()))) - y) * (2.0 if y else 1.0)
+            for i in at:
+                step = ((n[i] + g * g) ** 0.5 - n[i] ** 0.5) / 0.5
+                z[i] += g - step * now[i]
+                n[i] += g * g
+    true = {i: w(i) for i in z if w(i)}
+    assert dict(zip(index.tolist(), weight.tolist(), strict=True)) == pytest.approx(true, rel=1e-9)
+
+
 # ---------------------------------------------------------------- op3
 def brute_bits(train, text, order=4):
     """Code length by the definition, one byte at a time, over one language's texts."""
@@ -175,7 +215,8 @@ def brute_bits(train, text, order=4):
 
 def test_code_lengths_are_exact():
     train = {"x": ["the cat sat", "on the mat"], "y": ["der hund", "die katze lief"]}
-    trees = langid.Trees({k: [t.encode() for t in v] for k, v in train.items()})
+    keys = {k: [langid.padded_keys(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())])) for t in v] for k, v in train.items()}
+    trees = langid.Trees({k: np.unique(np.concatenate(v), return_counts=True) for k, v in keys.items()})
     texts = ["the hat", "Die Katze", "zq", ""]
     data = np.frombuffer("".join(texts).encode(), np.uint8)
     offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
@@ -185,6 +226,20 @@ def test_code_lengths_are_exact():
             assert got[i, j] == pytest.approx(brute_bits(train[lang], t), rel=1e-5, abs=1e-4)
 
 
+def test_language_sample_is_whole_and_bounded(spark):
+    rng = random.Random(6)
+    texts = ["".join(rng.choice("abC d") for _ in range(n)) for n in (30, 50, 9000, 20, 7000, 40)]
+    docs = documents(spark, texts + [None, ""], langs=["en", "en", "en", "de", "de", None, "en", "de"])
+    got = langid.sample(docs, F.lit(True), 2, 4000, 11)
+    assert {(r.lang, r.text) for r in got.collect()} == {("en", texts[0]), ("en", texts[1]), ("de", texts[3]), ("de", texts[4])}
+    true = defaultdict(int)
+    for lang, t in got.collect():
+        b = b"\n" * 4 + t.lower().encode()
+        for i in range(4, len(b)):
+            true[lang, int.from_bytes(b[i - 4 : i + 1], "big")] += 1
+    assert {(r.lang, r.key): r.n for r in langid.gram_counts(got).collect()} == true
+
+
 def test_language_of_edges(spark):
     a, b = [f"th{x}" for x in "aeiou"], [f"sch{x}" for x in "aeiou"]
     texts = sentences(60, 3, a) + sentences(60, 4, b) + ["123 !?", None, "", "\u4e16\u754c"]

@@ -6,8 +6,9 @@ shorter context, down to a uniform order -1. Statistics are frozen after trainin
 byte depends only on the bytes before it; the trees become tables from byte n-grams to the code lengths of
 all languages at once, and a text's exact code length is a sum of table look-ups, made in numpy.
 
-The model is fitted on a bounded sample of labelled rows (``rows_per_lang``, ``chars_per_row``), so the
-tables that are broadcast are bounded too: at most rows x chars x 5 n-grams a language.
+The model is fitted on a bounded sample of labelled rows (``rows_per_lang``), every one of them with its whole
+text. Tasks count the n-grams of the sampled texts, so texts never reach the driver; what it takes is one row
+per different n-gram of five bytes and language.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -40,20 +42,22 @@ def padded_keys(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return key[at]
 
 
+def summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Different keys in ascending order and the sum of n of each."""
+    keys, at = np.unique(keys, return_inverse=True)
+    return keys, np.bincount(at, n, len(keys)).astype(np.int64)
+
+
 class Trees:
-    """Frozen code lengths in bits of every seen n-gram and context, for all languages."""
-
-    def __init__(self, texts: dict[str, list[bytes]]) -> None:
-        self.langs = sorted(texts)
-        per_lang = {}
-        for lang in self.langs:
-            data = np.frombuffer(b"".join(texts[lang]), np.uint8)
-            per_lang[lang] = padded_keys(data, np.concatenate([[0], np.cumsum([len(t) for t in texts[lang]], dtype=np.int64)]))
+    """Frozen code lengths in bits of every seen n-gram and context, for all languages, from each language's (keys, counts)."""
+
+    def __init__(self, counts: dict[str, tuple[np.ndarray, np.ndarray]]) -> None:
+        self.langs = sorted(counts)
         self.grams, self.contexts = [], []
         n_lang, shorter_keys, shorter = len(self.langs), None, None
         for order in range(ORDER + 1):
             cut = np.uint64((1 << 8 * (order + 1)) - 1)
-            seen = [np.unique(per_lang[x] & cut, return_counts=True) for x in self.langs]
+            seen = [summed(counts[x][0] & cut, counts[x][1]) for x in self.langs]
             keys = np.arange(256, dtype=np.uint64) if order == 0 else np.unique(np.concatenate([k for k, _ in seen] or [np.zeros(0, np.uint64)]))
             contexts = np.unique(keys >> np.uint64(8))
             of = np.searchsorted(contexts, keys >> np.uint64(8))
@@ -101,25 +105,46 @@ class Trees:
         return out
 
 
-def sample(docs: DataFrame, learn: Column, rows_per_lang: int, chars_per_row: int, seed: int) -> dict[str, list[bytes]]:
-    """A bounded sample of texts by language: rows of lowest hash, in the order of it.
+def sample(docs: DataFrame, learn: Column, rows_per_lang: int, short: int, seed: int) -> DataFrame:
+    """(lang, text) of at most ``rows_per_lang`` rows a language, whole: rows of lowest hash.
 
-    Counts by language set a hash threshold first, so that only about twice the rows wanted are ranked,
-    whatever share of the table one language holds. A text longer than ``chars_per_row`` is used only where a
-    language has too few shorter ones, and then its first ``chars_per_row`` characters train the model.
+    Rows of over ``short`` characters follow after all others, so that they are taken only where a language has too
+    few of those; none is cut. Counts by language set a hash threshold first, so that only about twice the rows
+    wanted are ranked, whatever share of the table one language holds. Rows that repeat an id share a hash and are
+    ranked by their text.
     """
-    d = docs.select(F.col("doc_id"), "text", "lang", F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id"), 11).alias("u"), (F.length("text") > chars_per_row).alias("long"))
+    d = docs.select(F.col("doc_id"), "text", "lang", F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id"), 11).alias("u"), (F.length("text") > short).alias("long"))
     d = d.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") > 0))
     counts = d.groupBy("lang", "long").count()
     share = counts.select("lang", "long", (F.lit(float(1 << 53)) * F.least(F.lit(1.0), 2.0 * rows_per_lang / F.col("count") + 1e-9)).alias("below"))
-    some = d.join(F.broadcast(share), ["lang", "long"]).where("u < below").select("lang", "long", "u", F.substring("text", 1, chars_per_row).alias("text"))
-    pdf = some.groupBy("lang").agg(F.slice(F.sort_array(F.collect_list(F.struct("long", "u", "text"))), 1, rows_per_lang)["text"].alias("texts")).collect()
-    return {r.lang: [t.encode("utf-8", "surrogatepass") for t in r.texts] for r in pdf}
+    some = d.join(F.broadcast(share), ["lang", "long"]).where("u < below")
+    w = W.partitionBy("lang").orderBy("long", "u", F.xxhash64("text"))
+    return some.withColumn("r", F.row_number().over(w)).where(F.col("r") <= rows_per_lang).select("lang", "text")
+
+
+def gram_counts(texts: DataFrame) -> DataFrame:
+    """(lang, key, n): how often each n-gram of five bytes ends a place in the texts of a language."""
+
+    def run(batches):
+        for b in batches:
+            langs = np.array(b.column(0).to_pylist(), object)
+            for first, offsets, data in text_chunks(b.column(1)):
+                rows, keys = np.repeat(langs[first : first + len(offsets) - 1], np.diff(offsets)), padded_keys(data, offsets)
+                for lang in sorted(set(rows)):
+                    k, n = np.unique(keys[rows == lang], return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(k), pa.string()), pa.array(k.astype(np.int64)), pa.array(n.astype(np.int64))], names=["lang", "key", "n"])
+
+    return texts.mapInArrow(run, "lang string, key long, n long").groupBy("lang", "key").agg(F.sum("n").alias("n"))
 
 
-def fit(docs: DataFrame, learn: Column, rows_per_lang: int = 400, chars_per_row: int = 4000, seed: int = 11) -> Trees:
-    """Context trees from the labelled rows that ``learn`` admits; none admitted: no languages."""
-    return Trees(sample(docs, learn, rows_per_lang, chars_per_row, seed))
+def fit(docs: DataFrame, learn: Column, rows_per_lang: int = 400, short: int = 4000, seed: int = 11) -> Trees:
+    """Context trees from the whole texts of at most ``rows_per_lang`` labelled rows a language that ``learn`` admits; none admitted: no languages."""
+    small_batches(docs.sparkSession)
+    counts = gram_counts(sample(docs, learn, rows_per_lang, short, seed))
+    got = counts.toArrow()
+    lang = got["lang"].combine_chunks().dictionary_encode()
+    code, key, n = lang.indices.to_numpy(), got["key"].to_numpy().astype(np.uint64), got["n"].to_numpy()
+    return Trees({x: summed(key[code == i], n[code == i]) for i, x in enumerate(lang.dictionary.to_pylist())})
 
 
 def predict(docs: DataFrame, model: Trees, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -132,7 +157,7 @@ def predict_rows(docs: DataFrame, model: Trees, text: str = "text") -> DataFrame
 
     The language of the shortest code; score is its share of 2**-bits over all languages. Null, empty and
     letterless texts, and all texts if nothing was learned, are ``und`` with score 0. Ties go to the language
-    that sorts first; repeated rows are each predicted.
+    that sorts first; repeated rows are each predicted. Input columns lang_pred and lang_score are replaced.
     """
     spark = docs.sparkSession
     small_batches(spark)
