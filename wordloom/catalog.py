@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .plans import evidence_queries, mining_queries, readout_queries, series_queries, source_queries
+from .plans import evidence_queries, mining_queries, readout_queries, selection_queries, series_queries, source_queries
 
-PLANS = (series_queries, mining_queries, evidence_queries, source_queries, readout_queries)
+PLANS = (series_queries, mining_queries, evidence_queries, source_queries, readout_queries, selection_queries)
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
