@@ -105,10 +105,10 @@ def residual_reference(events: DataFrame, rules: DataFrame, top: int = 8, descen
 
 
 def class_prior_rules(events: DataFrame, targets: DataFrame, classes: list, support: int = 4, shrink: float = 8.0, sample: str = "sample") -> DataFrame:
-    """(token, label, shift, support, strength): ln((count+1)/(support+C)) - ln prior for every class; strength is the RMS of the shifts, shrunk."""
+    """(token, label, shift, support, strength): ln((count+1)/(support+C)) - ln((class count+1)/(rows+C)) for every class; strength is the RMS of the shifts, shrunk."""
     k = len(classes)
     n = targets.agg(F.count("*").alias("n"))
-    prior = targets.groupBy("label").agg(F.count("*").alias("c")).join(F.broadcast(n)).select("label", F.log(F.col("c") / F.col("n")).alias("lp"))
+    prior = targets.groupBy("label").agg(F.count("*").alias("c")).join(F.broadcast(n)).select("label", F.log((F.col("c") + 1.0) / (F.col("n") + k)).alias("lp"))
     counts = events.join(targets, sample).groupBy("token").agg(F.count("*").alias("support"), *[F.sum(F.when(F.col("label") == c, 1).otherwise(0)).alias(f"c{i}") for i, c in enumerate(classes)]).where(F.col("support") >= support)
     long = counts.select("token", "support", F.inline(F.array(*[F.struct(F.lit(c).alias("label"), F.col(f"c{i}").alias("count")) for i, c in enumerate(classes)])))
     s = long.join(F.broadcast(prior), "label").withColumn("shift", F.log((F.col("count") + 1.0) / (F.col("support") + k)) - F.col("lp"))

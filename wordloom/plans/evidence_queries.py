@@ -78,7 +78,7 @@ def rule_scores(spark, d):
     return R.rule_scores(targets(spark, d), R.all_grams(words(spark, d)), contrast(spark, d)).select("sample", r6("score"))
 
 
-@query(f"""WITH {THREE}, pr AS (SELECT label, ln(count(*) / (SELECT count(*) FROM tg)::DOUBLE) AS lp FROM tg GROUP BY label), sp AS (SELECT token, count(*) AS support FROM e3 GROUP BY token HAVING count(*) >= 4),
+@query(f"""WITH {THREE}, pr AS (SELECT label, ln((count(*) + 1) / ((SELECT count(*) FROM tg) + 10)::DOUBLE) AS lp FROM tg GROUP BY label), sp AS (SELECT token, count(*) AS support FROM e3 GROUP BY token HAVING count(*) >= 4),
 g AS (SELECT sp.token, pr.label, lp, support, (SELECT count(*) FROM e3 JOIN tg USING (sample) WHERE e3.token = sp.token AND tg.label = pr.label) AS c FROM sp, pr), s AS (SELECT *, ln((c + 1.0::DOUBLE) / (support + 10)) - lp AS shift FROM g)
 SELECT token, label, round(shift, 6) AS shift, support, round(sqrt(avg(shift * shift) OVER (PARTITION BY token)) * support / (support + 8.0), 6) AS strength FROM s""")
 def class_prior_rules(spark, d):
