@@ -4,25 +4,27 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def fixed(df: DataFrame) -> DataFrame:
-    """``df`` computed once, its lineage cut by a checkpoint.
-
-    The folder is the session's; where none is set and all runs on one machine, as in tests, a temporary one,
-    and on a cluster without one Spark keeps the rows instead.
-    """
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, from ``spark.checkpoint.dir``; a temporary one only where none is set and all runs on one machine, as in tests."""
+    sc = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not folder:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="checkpoints-")
     if sc.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not folder and sc.master.startswith("local") and not sc.master.startswith("local-cluster"):
-            folder = tempfile.mkdtemp(prefix="checkpoints-")
-        if not folder:
-            return df.persist()
         sc.setCheckpointDir(folder)
+    return folder
+
+
+def fixed(df: DataFrame) -> DataFrame:
+    """``df`` computed once, its lineage cut by a checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

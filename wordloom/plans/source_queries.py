@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 
 from ..operators import novelty as N
 from ..operators import windows as X
+from ..operators.ordering import shared_folder
 from ..sources import formats as S
 from .mining_queries import event_words, normal
 from .series_queries import r6
@@ -91,12 +92,11 @@ def results_last_write(spark, d):
 @query()
 def streaming_novelty(spark, d):
     """Event series replayed through the streaming scorer into a shared folder, then read back."""
-    import tempfile
     import uuid
 
     from ..streaming.scorer import OUT, score_stream
 
-    base = f"{(spark.conf.get('spark.checkpoint.dir', None) or tempfile.gettempdir()).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    base = f"{shared_folder(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
     X.event_series(spark, d).select("series", "t", "value").write.parquet(f"{base}/in")
     vocab = N.vocabulary(normal(event_words(spark, d)), 4).groupBy("word").agg(F.sum("cnt").alias("cnt"))
     words = [(r.word, r.cnt) for r in vocab.collect()]
