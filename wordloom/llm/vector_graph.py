@@ -285,21 +285,32 @@ def link_vectors(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "e
     return r.select("vec_id", F.when(F.col("vec_id").isNull(), 0).otherwise(F.coalesce("n_links", F.lit(0))).cast("long").alias("n_links"), own.alias("component_id"), F.coalesce(own == F.col("vec_id"), F.lit(False)).alias("kept"))
 
 
-def audit_recall(vectors: DataFrame, result: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label", least: float = 0.93, every: int = 50, most: int = 2000) -> float | None:
-    """Share of the links of the rows whose id ``every`` divides (at most ``most`` of them) that ``result`` counts, against brute force over all rows; None if they have no link."""
-    q = vectors.where((F.col(vec_id) % every == 0) & F.col(embedding).isNotNull() & F.col(label).isNotNull()).orderBy(vec_id).limit(most).select(F.col(vec_id).alias("i"), F.col(label).cast("string").alias("l"), F.col(embedding).cast("array<double>").alias("x")).toPandas()
-    if not len(q):
-        return None
-    shared = vectors.sparkSession.sparkContext.broadcast((q["i"].to_numpy(), q["l"].to_numpy(), unit(q["x"])))
-
-    def count(batches):
-        ids, labels, v = shared.value
-        for pdf in batches:
-            s = v @ unit(pdf["x"]).T >= least
-            s &= (labels[:, None] == pdf["l"].to_numpy()[None, :]) & (ids[:, None] != pdf["i"].to_numpy()[None, :])
-            yield pd.DataFrame({"i": ids, "n": s.sum(axis=1)})
+def audit_recall(vectors: DataFrame, result: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label", least: float = 0.93, every: int = 50, block: int = 2000) -> float | None:
+    """Share of the links of all rows whose id ``every`` divides that ``result`` counts, against brute force over all rows; None if they have no link.
 
+    The queries are broadcast in blocks of about ``block`` of them, one pass over the rows a block, so none is left out
+    and the driver holds one block at a time.
+    """
     rows = vectors.where(F.col(embedding).isNotNull() & F.col(label).isNotNull()).select(F.col(vec_id).alias("i"), F.col(label).cast("string").alias("l"), F.col(embedding).cast("array<double>").alias("x"))
-    true = rows.mapInPandas(count, "i long, n long").groupBy("i").agg(F.sum("n").alias("n"))
-    t = true.join(result.select(F.col(vec_id).alias("i"), "n_links"), "i").agg(F.sum(F.least("n", "n_links")), F.sum("n")).first()
-    return t[0] / t[1] if t[1] else None
+    asked = rows.where(F.col("i") % every == 0)
+    blocks = -(-asked.count() // block)
+    counted = result.select(F.col(vec_id).alias("i"), "n_links")
+    found = true = 0
+    for k in range(blocks):
+        q = asked.where(F.pmod(F.xxhash64("i"), F.lit(blocks)) == k).toPandas()
+        if not len(q):
+            continue
+        shared = vectors.sparkSession.sparkContext.broadcast((q["i"].to_numpy(), q["l"].to_numpy(), unit(q["x"])))
+
+        def count(batches, shared=shared):
+            ids, labels, v = shared.value
+            for pdf in batches:
+                s = v @ unit(pdf["x"]).T >= least
+                s &= (labels[:, None] == pdf["l"].to_numpy()[None, :]) & (ids[:, None] != pdf["i"].to_numpy()[None, :])
+                yield pd.DataFrame({"i": ids, "n": s.sum(axis=1)})
+
+        n = rows.mapInPandas(count, "i long, n long").groupBy("i").agg(F.sum("n").alias("n"))
+        t = n.join(counted, "i").agg(F.sum(F.least("n", "n_links")), F.sum("n")).first()
+        found, true = found + (t[0] or 0), true + (t[1] or 0)
+        shared.unpersist()
+    return found / true if true else None
