@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from wordloom.operators import mining as G
 from wordloom.operators import novelty as N
@@ -90,3 +91,39 @@ def test_contract():
 
     q, s = e.queries(), e.oracle_sql()
     assert set(s) <= set(q) and len(q) > 80
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_matches_are_hashed_and_never_sorted(spark):
+    """Rows of window x word are reduced by hash aggregates; a minimum of structs would sort all of them."""
+    rng = np.random.default_rng(11)
+    rows = [(s, t, float(x), s % 2) for s in range(6) for t, x in enumerate(rng.normal(size=20))]
+    rows += [(6, t, 1.0, 0) for t in range(20)] + [(7, t, float(t % 4), 1) for t in range(20)]  # flat; every fourth window the same
+    rows += [(8, t, float("nan") if t == 0 else float(t % 4), 1) for t in range(20)]
+    p = spark.createDataFrame(rows, "series long, t long, value double, label int")
+    z = G.z_windows(p, 4)
+    q = z.where("series = 7 and t = 5").select(F.lit(1).alias("query"), *[F.col(f"z{i}").alias(f"q{i}") for i in range(4)])
+    d = G.min_distances(z, q, 4)
+    c = X.fourier_windows(p.where("series < 8"), 4, 4, carry=("label",))
+    w, zero = X.fitted_sfa_words(c, carry=("label",))
+    m = G.boss_match(w, w.where("series = 7 and t = 5").select("code", *[F.col(f"s{i}").alias(f"r{i}") for i in range(4)]), 4)
+    for df in (d, m):
+        assert "SortAggregate" not in _plan(df) and "HashAggregate" in _plan(df)
+    got = {r.series: r for r in d.collect()}
+    assert (got[7].location, got[7].distance) == (1, pytest.approx(0, abs=1e-9)) and got[8].location == 1
+    assert (got[6].location, got[6].spread) == (0, 0.0) and got[6].distance == pytest.approx(1)
+    zs = {(r.series, r.t): np.array([r.z0, r.z1, r.z2, r.z3]) for r in z.collect()}
+    for s in range(6):
+        each = [np.sqrt(((zs[s, t] - zs[7, 5]) ** 2).mean()) for t in range(17)]
+        assert got[s].location == int(np.argmin(np.round(each, 9))) and got[s].distance == pytest.approx(min(each)) and got[s].spread == pytest.approx(max(each) - min(each))
+    ws = {(r.series, r.t): (np.array([r.s0, r.s1, r.s2, r.s3]), r.code, r.flat) for r in w.collect()}
+    ref, code, _ = ws[7, 5]
+    for r in m.collect():
+        each = [np.abs(ws[r.series, t][0] - ref).sum() / 12 for t in range(17)]
+        assert (r.location, r.distance) == (int(np.argmin(each)), pytest.approx(min(each)))
+        assert r.presence == int(any(ws[r.series, t][1] == code for t in range(17))) and r.informative == (r.series != 6 and max(each) > min(each))
+    flat = [v[1] for k, v in ws.items() if v[2]]
+    assert flat and set(flat) == {zero}

@@ -59,7 +59,7 @@ def keyed(points: DataFrame) -> DataFrame:
 
 def pieces(points: DataFrame, window: int, word_len: int, alphabet: int, step: int) -> tuple[DataFrame, DataFrame]:
     """(words, z-normalised windows) of keyed points."""
-    words = X.sax_words(points, window, word_len, alphabet, step, carry=("channel", "label"))
+    words = X.sax_words(points, window, word_len, alphabet, step, carry=("channel", "label")).cache()
     z = G.z_windows(points, window, carry=("channel", "label"))
     return words, z.where(F.col("t") % step == 0) if step > 1 else z
 
@@ -86,7 +86,8 @@ def fit(points: DataFrame, window: int, word_len: int = 8, alphabet: int = 4, to
         raise ValueError("no words on any channel: every channel looks constant; check the input or take a shorter window")
     totals = words.groupBy("channel").agg(F.count("*").alias("n_train"))
     e = Extractor(window, word_len, alphabet, step, top, queries, fixed(G.rarity_table(words, BY)), fixed(totals), width, [], [])
-    stats = raw(e, points).select(F.posexplode("features").alias("j", "x")).groupBy("j").agg(F.avg("x").alias("m"), F.stddev_pop("x").alias("s")).orderBy("j").collect()  # 3 K + 1 rows
+    own = raw(e, points).cache()  # what ``transform`` of the same points starts from
+    stats = own.select(F.posexplode("features").alias("j", "x")).groupBy("j").agg(F.avg("x").alias("m"), F.stddev_pop("x").alias("s")).orderBy("j").collect()  # 3 K + 1 rows
     e.mean, e.sd = [r.m for r in stats], [r.s if r.s >= 1e-6 else 1.0 for r in stats]
     return e
 

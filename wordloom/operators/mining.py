@@ -140,21 +140,33 @@ def z_windows(points: DataFrame, window: int, carry: tuple[str, ...] = ("label",
     return x.where(F.col("n") == window).select("series", "t", *carry, flat.alias("flat"), *[F.when(flat, 0.0).otherwise((F.col(f"x{i}") - F.col("mean")) / F.col("sd")).alias(f"z{i}") for i in range(window)])
 
 
+def first_at(rank: Column, t: Column) -> Column:
+    """A whole ``rank`` below 2**32 and a place below 2**31 as one long, whose minimum is the first place of least rank; the minimum of a struct would sort all rows."""
+    return F.shiftleft(rank.cast("long"), 31).bitwiseOR(t.cast("long"))
+
+
+def place_of(packed: str) -> Column:
+    return F.col(packed).bitwiseAND(F.lit((1 << 31) - 1))
+
+
 def min_distances(windows: DataFrame, queries: DataFrame, window: int, carry: tuple[str, ...] = ("label",), by: tuple[str, ...] = ()) -> DataFrame:
     """(series, carry, by, query, distance, location, spread): least length-normalised distance of each query to each series.
 
     ``queries``: (by, query, q0..q(w-1)), z-normalised and a dictionary, so they are broadcast (with ``by`` up to a
     counted size). The distance
-    is unrolled arithmetic that stays in generated code, with a partial minimum before the shuffle. Flat
-    windows count only where all windows are flat, with spread 0.
+    is unrolled arithmetic that stays in generated code, with a partial minimum before the shuffle, in numbers
+    alone, so that rows are hashed and never sorted. Locations are the first of least distance to nine decimals.
+    Flat windows, which all are as far, count only where all windows are flat, with spread 0.
     """
     d2 = sum([(F.col(f"z{i}") - F.col(f"q{i}")) * (F.col(f"z{i}") - F.col(f"q{i}")) for i in range(1, window)], (F.col("z0") - F.col("q0")) * (F.col("z0") - F.col("q0")))
     both = windows.join(few(queries, 8 * window + 64), list(by)) if by else windows.join(F.broadcast(queries))
     carry = (*carry, *[c for c in by if c not in carry])
+    d, shaped = F.col("d"), lambda x: F.when(~F.col("flat"), x)
+    # d is at most 2; a window with a value that is not a number comes last
+    nano = F.when(F.isnan("d"), F.lit((1 << 32) - 1)).otherwise(F.floor(d * 1e9 + 0.5))
     each = both.select("series", *carry, "query", "t", "flat", F.sqrt(d2 / F.lit(float(window))).alias("d"))
-    shaped = F.when(~F.col("flat"), F.struct(F.round("d", 9).alias("r"), "t", "d"))
-    g = each.groupBy("series", *carry, "query").agg(F.min(shaped).alias("a"), F.min(F.struct("t", "d")).alias("f"), F.max(F.when(~F.col("flat"), F.col("d"))).alias("most"))
-    return g.select("series", *carry, "query", F.coalesce("a.d", "f.d").alias("distance"), F.coalesce("a.t", "f.t").alias("location"), F.when(F.col("a").isNull(), 0.0).otherwise(F.col("most") - F.col("a.d")).alias("spread"))
+    g = each.groupBy("series", *carry, "query").agg(F.min(shaped(d)).alias("a"), F.min(shaped(first_at(nano, F.col("t")))).alias("at"), F.max(shaped(d)).alias("most"), F.min("d").alias("f"), F.min("t").alias("t"))
+    return g.select("series", *carry, "query", F.coalesce("a", "f").alias("distance"), F.coalesce(place_of("at"), "t").alias("location"), F.when(F.col("a").isNull(), 0.0).otherwise(F.col("most") - F.col("a")).alias("spread"))
 
 
 def representatives(words: DataFrame, windows: DataFrame, candidates: DataFrame, window: int, by: tuple[str, ...] = ()) -> DataFrame:
@@ -162,30 +174,41 @@ def representatives(words: DataFrame, windows: DataFrame, candidates: DataFrame,
     pref = F.when(F.col("label") == F.col("dominant"), 0).otherwise(1)
     shaped = words.where(~F.col("flat")).join(few(candidates, 64) if by else F.broadcast(candidates), [*by, "code"])
     at = shaped.groupBy(*by, "code").agg(F.min(F.struct(pref.alias("p"), "series", "t")).alias("m")).select(*by, F.col("code").alias("query"), "m.series", "m.t")
-    return windows.join(at if by else F.broadcast(at), [*by, "series", "t"]).select(*by, "query", *[F.col(f"z{i}").alias(f"q{i}") for i in range(window)])
+    at = at.cache()
+    few_series = few(at.select("series").distinct(), 64) if by else F.broadcast(at.select("series").distinct())
+    # the half join goes below the windows, which are made for these series alone
+    return windows.join(few_series, "series", "left_semi").join(at if by else F.broadcast(at), [*by, "series", "t"]).select(*by, "query", *[F.col(f"z{i}").alias(f"q{i}") for i in range(window)])
 
 
-def shapelets(words: DataFrame, windows: DataFrame, window: int, word_len: int, flat_code: int, masks: list[tuple[int, ...]], n_candidates: int = 50, top_k: int = 10, alphabet: int = 4, by: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
-    """(dictionary: by, rank, code, ig, threshold, gap, dominant, support; its queries): symbolic filter, then verification of raw windows by information gain."""
+def mined(words: DataFrame, windows: DataFrame, window: int, word_len: int, flat_code: int, masks: list[tuple[int, ...]], n_candidates: int = 50, top_k: int = 10, alphabet: int = 4, by: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(dictionary: by, rank, code, ig, threshold, gap, dominant, support; its queries; distances of all candidates): symbolic filter, then verification of raw windows by information gain. ``words`` are read several times and should be cached."""
     labels = words.select(*by, "series", "label").distinct().groupBy(*by, "label").agg(F.count("*").alias("n"))
     scores = candidate_scores(collisions(words, masks, word_len, alphabet, by), labels, len(masks), by)
     cand = ranked(scores.join(eligible(words, flat_code, by), [*by, "code"]), [F.desc(F.round("score", 9)), F.col("code")], n_candidates, by).drop("rank").cache()
     queries = representatives(words, windows, cand.select(*by, "code", "dominant"), window, by).cache()
-    dist = min_distances(windows, queries, window, ("label",), by)
+    dist = min_distances(windows, queries, window, ("label",), by).cache()
     splits = best_splits(dist.select(*by, F.col("query").alias("code"), F.round("distance", 9).alias("value"), "label", F.lit(1).alias("n")), (*by, "code"))
     order = [F.desc("ig"), F.desc(F.round(F.abs("gap"), 9)), F.desc(F.round("score", 9)), F.col("code")]
     top = ranked(splits.join(cand, [*by, "code"]), order, top_k, by).select(*by, "rank", "code", "ig", "threshold", "gap", "dominant", "support")
-    return top, queries
+    return top, queries, dist
+
+
+def shapelets(words: DataFrame, windows: DataFrame, window: int, word_len: int, flat_code: int, masks: list[tuple[int, ...]], n_candidates: int = 50, top_k: int = 10, alphabet: int = 4, by: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """The dictionary and the queries of ``mined``."""
+    return mined(words, windows, window, word_len, flat_code, masks, n_candidates, top_k, alphabet, by)[:2]
 
 
-def match(words: DataFrame, windows: DataFrame, dictionary: DataFrame, queries: DataFrame, window: int, by: tuple[str, ...] = ()) -> DataFrame:
-    """(series, by, code, presence, frequency, distance, location, informative) of each dictionary word in each series; frequency is over all windows."""
+def match(words: DataFrame, windows: DataFrame, dictionary: DataFrame, queries: DataFrame, window: int, by: tuple[str, ...] = (), distances: DataFrame | None = None) -> DataFrame:
+    """(series, by, code, presence, frequency, distance, location, informative) of each dictionary word in each series; frequency is over all windows. ``distances`` of these series, if they were taken before, are not taken again."""
     codes = dictionary.select(*by, "code")
-    chosen = queries.join(codes.withColumnRenamed("code", "query") if by else F.broadcast(codes.withColumnRenamed("code", "query")), [*by, "query"])
-    dist = min_distances(windows, chosen, window, (), by)
+    keys = codes.withColumnRenamed("code", "query")
+    if distances is None:
+        distances = min_distances(windows, queries.join(keys if by else F.broadcast(keys), [*by, "query"]), window, (), by)
+    else:
+        distances = distances.drop("label").join(few(keys, 64) if by else F.broadcast(keys), [*by, "query"], "left_semi")
     n = words.groupBy("series").agg(F.count("*").alias("n"))
     hits = words.join(few(codes, 64) if by else F.broadcast(codes), [*by, "code"]).groupBy("series", "code").agg(F.count("*").alias("c"))
-    d = dist.withColumnRenamed("query", "code").join(n, "series").join(hits, ["series", "code"], "left")
+    d = distances.withColumnRenamed("query", "code").join(n, "series").join(hits, ["series", "code"], "left")
     c = F.coalesce("c", F.lit(0))
     return d.select("series", *by, "code", (c > 0).cast("int").alias("presence"), (c / F.col("n")).alias("frequency"), "distance", "location", (F.col("spread") > 1e-4).alias("informative"))
 
@@ -211,7 +234,7 @@ def boss_words(words: DataFrame, flat_code: int, top_k: int = 10, min_support: f
     ok = eligible(words, flat_code)
     wide = ok.where(F.col("support") >= min_support)
     ok = wide if wide.limit(1).count() else ok.orderBy(F.desc("support"), "code").limit(top_k)
-    f = freq.join(ok, "code")
+    f = freq.join(ok, "code").cache()
     have = f.groupBy("code", "label").agg(F.count("*").alias("have"), F.sum("value").alias("mass"))
     grid = ok.join(F.broadcast(n)).join(have, ["code", "label"], "left").select("code", "label", "support", "n", F.coalesce("have", F.lit(0)).alias("have"), (F.coalesce("mass", F.lit(0.0)) / F.col("n")).alias("mean"))
     zero = grid.where("n > have").select(F.col("code").alias("feature"), F.lit(0.0).alias("value"), "label", (F.col("n") - F.col("have")).alias("n"))
@@ -224,10 +247,11 @@ def boss_words(words: DataFrame, flat_code: int, top_k: int = 10, min_support: f
 
 def boss_match(words: DataFrame, dictionary: DataFrame, n: int, alphabet: int = 4) -> DataFrame:
     """(series, code, presence, frequency, distance, location): mean symbol difference / (alphabet - 1), least over non-flat windows; ``dictionary``: (code, r0..r(n-1)), broadcast."""
-    gap = sum([F.abs(F.col(f"s{i}") - F.col(f"r{i}")) for i in range(1, n)], F.abs(F.col("s0") - F.col("r0"))) / F.lit(float(n * (alphabet - 1)))
-    each = words.select("series", "t", "flat", F.col("code").alias("own"), *[f"s{i}" for i in range(n)]).join(F.broadcast(dictionary)).select("series", "code", "t", "flat", (F.col("own") == F.col("code")).cast("int").alias("same"), gap.alias("d"))
-    g = each.groupBy("series", "code").agg(F.max("same").alias("presence"), F.avg("same").alias("frequency"), F.min(F.when(~F.col("flat"), F.struct("d", "t"))).alias("a"), F.min(F.struct("t", "d")).alias("f"), F.max(F.when(~F.col("flat"), F.col("d"))).alias("most"))
-    return g.select("series", "code", "presence", "frequency", F.coalesce("a.d", "f.d").alias("distance"), F.coalesce("a.t", "f.t").alias("location"), F.coalesce(F.col("most") > F.col("a.d"), F.lit(False)).alias("informative"))
+    gap = sum([F.abs(F.col(f"s{i}") - F.col(f"r{i}")) for i in range(1, n)], F.abs(F.col("s0") - F.col("r0")))
+    share, shaped = (lambda c: F.col(c) / F.lit(float(n * (alphabet - 1)))), lambda x: F.when(~F.col("flat"), x)
+    each = words.select("series", "t", "flat", F.col("code").alias("own"), *[f"s{i}" for i in range(n)]).join(F.broadcast(dictionary)).select("series", "code", "t", "flat", (F.col("own") == F.col("code")).cast("int").alias("same"), gap.alias("gap"))
+    g = each.groupBy("series", "code").agg(F.max("same").alias("presence"), F.avg("same").alias("frequency"), F.min(shaped(F.col("gap"))).alias("a"), F.min(shaped(first_at(F.col("gap"), F.col("t")))).alias("at"), F.max(shaped(F.col("gap"))).alias("most"), F.min("gap").alias("f"), F.min("t").alias("t"))
+    return g.select("series", "code", "presence", "frequency", F.coalesce(share("a"), share("f")).alias("distance"), F.coalesce(place_of("at"), "t").alias("location"), F.coalesce(F.col("most") > F.col("a"), F.lit(False)).alias("informative"))
 
 
 def with_locations(features: DataFrame, length: int) -> DataFrame:

@@ -36,13 +36,13 @@ def features(points: DataFrame, window: int, method: str = "fastshapelets", word
     if method not in METHODS:
         raise ValueError(f"method must be one of {METHODS}")
     if method == "fastshapelets":
-        words, z = X.sax_words(points, window, word_len, alphabet, carry=("label",)), G.z_windows(points, window)
-        top, queries = G.shapelets(words, z, window, word_len, flat_code(word_len, alphabet), G.projection_masks(word_len, mask_size, n_projections, seed), n_candidates, top_k, alphabet)
-        return G.match(words, z, top, queries, window), top
+        words, z = X.sax_words(points, window, word_len, alphabet, carry=("label",)).cache(), G.z_windows(points, window)
+        top, queries, dist = G.mined(words, z, window, word_len, flat_code(word_len, alphabet), G.projection_masks(word_len, mask_size, n_projections, seed), n_candidates, top_k, alphabet)
+        top = top.cache()
+        return G.match(words, z, top, queries, window, distances=dist), top
     coefs = X.fourier_windows(points, window, word_len, carry=("label",))
-    edges = X.sfa_edges(coefs, word_len, alphabet)
-    words = X.sfa_words(coefs, edges, word_len, alphabet, carry=("label",))
-    top = G.boss_words(words, X.sfa_zero_code(edges, alphabet), top_k)
+    words, zero = X.fitted_sfa_words(coefs, word_len, alphabet, carry=("label",))
+    top = G.boss_words(words, zero, top_k)
     digits = top.select("code", *[(F.floor(F.col("code") / alphabet ** (word_len - 1 - i)) % alphabet).cast("int").alias(f"r{i}") for i in range(word_len)])
     return G.boss_match(words, digits, word_len, alphabet), top
 

@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.symbols import FLAT, breakpoints, code, fourier_rows, hash_order, paa_weights, symbol, word
-from .ordering import quantile_row, quantiles
+from .ordering import fixed, quantile_row, quantiles
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -134,6 +134,13 @@ def sfa_zero_code(edges: DataFrame, alphabet: int = 4) -> int:
     return sum(s * alphabet ** (n - 1 - k) for k, s, n in up.join(edges.agg((F.max("position") + 1).alias("n"))).select("position", "s", "n").collect())
 
 
+def fitted_sfa_words(coefs: DataFrame, n: int = 4, alphabet: int = 4, keys: tuple[str, ...] = ("series",), carry: tuple[str, ...] = ()) -> tuple[DataFrame, int]:
+    """(words, zero code) under edges fitted on the same windows: coefficients, edges and words are made once, whoever reads them."""
+    coefs = coefs.cache()
+    edges = fixed(sfa_edges(coefs, n, alphabet))  # n x (alphabet - 1) numbers
+    return sfa_words(coefs, edges, n, alphabet, keys, carry).cache(), sfa_zero_code(edges, alphabet)
+
+
 def whole_paa(points: DataFrame, length: int, segments: int, keys: tuple[str, ...] = ("series",), name: str = "value") -> DataFrame:
     """(keys, segment, level): PAA of whole series of ``length`` points by a join with the weights, a table of about length + segments rows."""
     spark = points.sparkSession

@@ -12,7 +12,7 @@ from ..operators import reports as P
 from ..operators import retrieval as T
 from ..operators import rules as R
 from ..operators import windows as X
-from .mining_queries import MATCH, classes, matched
+from .mining_queries import MATCH, classes, dictionary_and_matches, matched
 from .series_queries import CENTROID, RISK, _weights, confidence, logits, r6
 from .sqltext import DAILY, EMB, EV, FM, lit, sym
 
@@ -416,11 +416,10 @@ EXPL = f"{MATCH}, ab AS (SELECT series, code, presence * 1.0 + frequency * 2.0 -
 
 
 def explained(spark, d):
-    m = matched(spark, d)
+    top, m = dictionary_and_matches(spark, d)
+    m = m.cache()
     parts = m.select("series", "code", F.explode(F.array(F.col("presence") * 1.0, F.col("frequency") * 2.0, -F.col("distance"))).alias("part"))
-    from .mining_queries import shapelet_top_k
-
-    return P.explanations(m, shapelet_top_k(spark, d), parts, 8), m
+    return P.explanations(m, top, parts, 8), m
 
 
 @query(f"WITH {EXPL} SELECT series, er.rank, er.code, round(attribution, 6) AS attribution, location AS start, location + 8 AS \"end\", round(distance, 6) AS distance, dominant AS class FROM er JOIN mt USING (series, code) JOIN tk ON tk.code = er.code WHERE er.rank <= 3")

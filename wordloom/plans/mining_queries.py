@@ -9,7 +9,7 @@ from ..operators import metrics as M
 from ..operators import mining as G
 from ..operators import novelty as N
 from ..operators import windows as X
-from .series_queries import SFA, embedding_edges, embedding_sfa, r6
+from .series_queries import SFA, embedding_sfa, embedding_sfa_and_zero, r6
 from .sqltext import DAILY, EMB, EV, lit, sax
 
 QUERIES: dict = {}
@@ -42,7 +42,8 @@ def classes(spark, d):
 
 
 def vector_words(spark, d):
-    return X.sax_words(vectors(spark, d), 8, 4, 4, carry=("label",))
+    """The words of every vector, made once a query and kept in order of the series."""
+    return X.sax_words(vectors(spark, d), 8, 4, 4, carry=("label",)).cache()
 
 
 SW = f"{EMB}, e3 AS (SELECT * FROM emb), {sax('e3', 8, 4, B4, extra=', label')}"
@@ -164,19 +165,22 @@ TOP = f"""{SHAPE}, tk AS (SELECT row_number() OVER (ORDER BY ig DESC, round(abs(
 
 @query(f"WITH {TOP} SELECT rank, code, round(ig, 6) AS ig, round(threshold, 6) AS threshold, round(gap, 6) AS gap, dominant, round(support, 6) AS support FROM tk WHERE rank <= 6")
 def shapelet_top_k(spark, d):
-    w, z = vector_words(spark, d), G.z_windows(vectors(spark, d), 8)
-    top, _ = G.shapelets(w, z, 8, 4, FLAT4, MASKS, 15, 6)
-    return top.select("rank", "code", r6("ig"), r6("threshold"), r6("gap"), "dominant", r6("support"))
+    return dictionary_and_matches(spark, d)[0].select("rank", "code", r6("ig"), r6("threshold"), r6("gap"), "dominant", r6("support"))
 
 
 MATCH = f"""{TOP}, di AS (SELECT code FROM tk WHERE rank <= 6), nw AS (SELECT series, count(*) AS n FROM sw GROUP BY series), hc AS (SELECT series, code, count(*) AS c FROM sw SEMI JOIN di USING (code) GROUP BY ALL),
 mt AS (SELECT md.series, md.label, query AS code, CASE WHEN c > 0 THEN 1 ELSE 0 END AS presence, coalesce(c, 0) / n::DOUBLE AS frequency, distance, location, spread > 1e-4 AS informative FROM md JOIN di ON query = di.code JOIN nw USING (series) LEFT JOIN hc ON hc.series = md.series AND hc.code = query)"""
 
 
-def matched(spark, d):
+def dictionary_and_matches(spark, d):
     w, z = vector_words(spark, d), G.z_windows(vectors(spark, d), 8)
-    top, q = G.shapelets(w, z, 8, 4, FLAT4, MASKS, 15, 6)
-    return G.match(w, z, top, q, 8)
+    top, q, dist = G.mined(w, z, 8, 4, FLAT4, MASKS, 15, 6)
+    top = top.cache()
+    return top, G.match(w, z, top, q, 8, distances=dist)
+
+
+def matched(spark, d):
+    return dictionary_and_matches(spark, d)[1]
 
 
 @query(f"WITH {MATCH} SELECT series, code, presence, round(frequency, 6) AS frequency, round(distance, 6) AS distance, location, informative, round(CASE WHEN informative THEN location / 63.0 ELSE 0.0 END, 6) AS place FROM mt")
@@ -208,13 +212,9 @@ dm AS (SELECT code, support, arg_min(label, (-round(mean, 12), label)) AS domina
 bk AS (SELECT row_number() OVER (ORDER BY ig DESC, round(abs(gap), 9) DESC, code) AS rank, code, ig, gap, dominant, support FROM bs JOIN dm ON feature = code)"""
 
 
-def zero_word(spark, d) -> int:
-    return X.sfa_zero_code(embedding_edges(spark, d))
-
-
 @query(f"WITH {BOSS} SELECT rank, code, round(ig, 6) AS ig, round(gap, 6) AS gap, dominant, round(support, 6) AS support FROM bk WHERE rank <= 8")
 def boss_top_k(spark, d):
-    return G.boss_words(embedding_sfa(spark, d), zero_word(spark, d), 8).select("rank", "code", r6("ig"), r6("gap"), "dominant", r6("support"))
+    return G.boss_words(*embedding_sfa_and_zero(spark, d), 8).select("rank", "code", r6("ig"), r6("gap"), "dominant", r6("support"))
 
 
 DIGITS = [f"(code // {4 ** (3 - i)}) % 4" for i in range(4)]
@@ -224,8 +224,8 @@ DIGITS = [f"(code // {4 ** (3 - i)}) % 4" for i in range(4)]
 x AS (SELECT series, di.code, t, flat, CASE WHEN s3.code = di.code THEN 1 ELSE 0 END AS same, ({' + '.join(f'abs(s{i} - r{i})' for i in range(4))}) / 12.0::DOUBLE AS d FROM s3, di)
 SELECT series, code, max(same) AS presence, round(avg(same), 6) AS frequency, round(min(d) FILTER (NOT flat), 6) AS distance, arg_min(t, (d, t)) FILTER (NOT flat) AS location, coalesce(max(d) FILTER (NOT flat) > min(d) FILTER (NOT flat), false) AS informative FROM x GROUP BY ALL""")
 def boss_match(spark, d):
-    w = embedding_sfa(spark, d)
-    top = G.boss_words(w, zero_word(spark, d), 8).select("code", *[(F.floor(F.col("code") / 4 ** (3 - i)) % 4).cast("int").alias(f"r{i}") for i in range(4)])
+    w, zero = embedding_sfa_and_zero(spark, d)
+    top = G.boss_words(w, zero, 8).select("code", *[(F.floor(F.col("code") / 4 ** (3 - i)) % 4).cast("int").alias(f"r{i}") for i in range(4)])
     return G.boss_match(w, top, 4).select("series", "code", "presence", r6("frequency"), r6("distance"), "location", "informative")
 
 

@@ -108,9 +108,13 @@ def embedding_edges(spark, d):
     return X.sfa_edges(embedding_coefs(spark, d))
 
 
+def embedding_sfa_and_zero(spark, d):
+    """The SFA words of every vector and the code of the zero vector, under edges fitted once."""
+    return X.fitted_sfa_words(embedding_coefs(spark, d), carry=("label",))
+
+
 def embedding_sfa(spark, d):
-    c = embedding_coefs(spark, d)
-    return X.sfa_words(c, X.sfa_edges(c), carry=("label",))
+    return embedding_sfa_and_zero(spark, d)[0]
 
 
 @query(f"WITH {EMB}, {FOURIER}, ed AS ({' UNION ALL '.join(f'SELECT {k} AS position, quantile_cont(c{k}, [0.25, 0.5, 0.75]) AS e FROM fc' for k in range(4))}) SELECT position, q - 1 AS q, round(e[q], 6) AS edge FROM (SELECT position, e, unnest([1, 2, 3]) AS q FROM ed)")
