@@ -10,7 +10,8 @@ Rarity comes from counts of all words in 2**18 hash buckets, kept in four bits e
 that is part of the plan; any order that is the same for all lines keeps the join exact. Lines of equal text
 are one class, represented by its first line. Before the full join, a few tokens of each prefix, those of least hash
 and thus mostly the same ones in near copies, propose their earliest line to all others, so a large group of
-near copies is settled by rows in proportion to its size and does not meet itself pair by pair.
+near copies is settled by rows in proportion to its size and does not meet itself pair by pair. Lines that were near
+the earliest one but not alike get a second proposal, of the earliest lines of a fixed number of parts of the group.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ from .common import SPACE_RE, Scratch, materialise
 BUCKET_BITS = 18
 #: Tokens of a line by which its earliest likeness is sought before the full join.
 PROPOSING = 4
+#: Parts of a token's lines of which each proposes its earliest one to lines that the first proposal did not settle.
+PARTS = 16
 #: Tokens from which on a line has the second half of its parity bits.
 LONG = 80
 #: Parity bits in which a pair may differ, from which on the shared prefix tokens are counted too.
@@ -144,27 +147,44 @@ def changed_lines(docs: DataFrame, t: int, broadcast_lines: int) -> tuple[DataFr
         differ = F.when(F.least(size, o_size) >= LONG, F.bit_count(d.bitwiseXOR(d2)) + F.bit_count(d2)).otherwise(F.bit_count(d))
         return (size * 100 >= o_size * t) & (o_size * 100 >= size * t) & may_differ(differ, size + o_size, t)
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        """The places of pairs whose word sets really are that similar."""
-        pairs = scratch.table(pairs)
+    def words_of_lines(pairs: DataFrame) -> DataFrame:
+        """(place, w): the words of all lines of ``pairs``."""
         wanted = scratch.table(pairs.select("place").union(pairs.select("o")).distinct())
         if few := wanted.count() <= broadcast_lines:  # then only the documents of these lines are split
             ids = wanted.select((F.shiftright("place", 22) if whole else F.col("place.doc_id")).alias("doc_id")).distinct()
             some = docs.join(F.broadcast(ids), docs["doc_id"].eqNullSafe(ids["doc_id"]), "left_semi")
         words = lines_of(some if few else docs).select(place.alias("place"), "line").join(F.broadcast(wanted) if few else wanted, "place", "left_semi")
-        words = scratch.table(words.select("place", tokens(F.col("line")).alias("w")))
+        return scratch.table(words.select("place", tokens(F.col("line")).alias("w")))
+
+    def similar(pairs: DataFrame, words: DataFrame) -> DataFrame:
+        """The places of pairs whose word sets really are that similar."""
         p = pairs.join(words, "place").select("place", "o", F.col("w").alias("a")).join(words.select(F.col("place").alias("o"), F.col("w").alias("b")), "o")
         common = F.size(F.array_intersect("a", "b"))
         return scratch.table(p.where(common * 100 >= (F.size("a") + F.size("b") - common) * t).select("place").distinct())
 
+    def earliest(dealt: DataFrame, *by: str) -> DataFrame:
+        """The earliest line of each value of ``by`` and how many lines there are."""
+        return dealt.groupBy(*by).agg(F.min("place").alias("o"), F.min_by("size", "place").alias("o_size"), F.min_by("sig", "place").alias("o_sig"), F.min_by("sig2", "place").alias("o_sig2"), F.count("size").alias("n"))
+
+    def proposed(dealt: DataFrame, first: DataFrame) -> DataFrame:
+        """Pairs of a line and an earlier one of the same token that pass the filters."""
+        near = dealt.join(first, "token").where((F.col("o") < F.col("place")) & alike(*[F.col(c) for c in ("size", "o_size", "sig", "o_sig", "sig2", "o_sig2")]))
+        return near.select("place", "o").distinct()
+
     # a few tokens are enough to propose: what this round leaves, the next one meets in full
     columns = ["place", "size", "sig", "sig2", "token"]
     dealt = sigs.select("place", "size", "sig", "sig2", F.explode(F.slice(F.sort_array("prefix"), 1, PROPOSING)).alias("token"))
     # none of these is ever null; said here, it is below the exchange, which aggregation and join then share
     dealt = dealt.where(" and ".join(f"{c} is not null" for c in columns)).repartition("token")
-    first = dealt.groupBy("token").agg(F.min("place").alias("o"), F.min_by("size", "place").alias("o_size"), F.min_by("sig", "place").alias("o_sig"), F.min_by("sig2", "place").alias("o_sig2"), F.count("size").alias("n")).where("n > 1").drop("n")
-    near = dealt.join(first, "token").where((F.col("o") < F.col("place")) & alike(*[F.col(c) for c in ("size", "o_size", "sig", "o_sig", "sig2", "o_sig2")]))
-    found = verified(near.select("place", "o").distinct())
+    near = scratch.table(proposed(dealt, earliest(dealt, "token").where("n > 1").drop("n")))
+    words = words_of_lines(near)
+    found = similar(near, words)
+    # lines that were near one and not alike belong to looser groups, whose lines would meet each other pair by pair:
+    # they get the earliest line of each of several parts of a group, out of those whose words are at hand
+    close = sigs.join(small(words.select("place")), "place", "left_semi").select("place", "size", "sig", "sig2", F.explode(F.slice(F.sort_array("prefix"), 1, PROPOSING)).alias("token"))
+    heads = earliest(close.withColumn("part", F.pmod(F.xxhash64("place"), F.lit(PARTS))), "token", "part").drop("part", "n")
+    again = scratch.table(proposed(close.join(small(found), "place", "left_anti"), heads).join(near, ["place", "o"], "left_anti"))
+    found = scratch.table(found.union(similar(again, words)))
     # size and position in one long, with a mark for those that are settled
     meta = F.shiftleft(F.col("size").cast("long"), 31).bitwiseOR(F.col("pos").cast("long")).bitwiseOR(F.when(F.col("gone"), F.lit(1 << 62)).otherwise(F.lit(0)))
     flagged = sigs.join(small(found).withColumn("gone", F.lit(True)), "place", "left").select("place", "size", "sig", "sig2", F.coalesce("gone", F.lit(False)).alias("gone"), "prefix", F.posexplode("prefix").alias("pos", "token"))
@@ -177,8 +197,8 @@ def changed_lines(docs: DataFrame, t: int, broadcast_lines: int) -> tuple[DataFr
     # whichever of the two is smaller is met through its shorter, indexing prefix; long pairs through all tokens, which are counted
     indexed = lambda size, pos: size * (2 * t) <= (size - pos) * (100 + t)
     weak = lambda size, o_size: may_differ(WEAK_BITS, size + o_size, t)
-    again = F.coalesce(get("a", "last") == get("b", "last"), F.lit(False))
-    through = weak(size, o_size) | (~again & F.when(o_size <= size, indexed(o_size, o_pos)).otherwise(indexed(size, pos)))
+    repeats = F.coalesce(get("a", "last") == get("b", "last"), F.lit(False))
+    through = weak(size, o_size) | (~repeats & F.when(o_size <= size, indexed(o_size, o_pos)).otherwise(indexed(size, pos)))
     room = enough(1 + F.least(size - pos - 1, o_size - o_pos - 1) + F.least(pos, o_pos), size + o_size, t)
     # what is cheap and rare first: most pairs of a token end at their order or at the parity test
     like = alike(size, o_size, get("a", "sig"), get("b", "sig"), get("a", "sig2"), get("b", "sig2"))
@@ -187,7 +207,8 @@ def changed_lines(docs: DataFrame, t: int, broadcast_lines: int) -> tuple[DataFr
     # what two lines have in common is in both prefixes or after the prefix that ends first
     n, m = F.col("n"), F.col("m")
     pair = pair.where(~weak(n, m) | enough(F.col("shared") + F.greatest(beyond_prefix(n, t), beyond_prefix(m, t)), n + m, t))
-    later = found.union(verified(pair.select("place", "o"))).distinct()
+    pair = scratch.table(pair.select("place", "o"))
+    later = found.union(similar(pair, words_of_lines(pair))).distinct()
     gone = sigs.select("h", "place").join(small(later), "place", "left_semi").select("h", F.col("place").alias("first"), F.lit(True).alias("gone"))
     # of a class that is both, one row: the one that says so
     out = gone.union(repeated.select("h", "first", F.lit(False))).groupBy("h").agg(F.min("first").alias("first"), F.max("gone").alias("gone"))
