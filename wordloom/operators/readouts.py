@@ -21,6 +21,8 @@ from .ordering import fixed
 
 #: Miner registry: what fit and match mean for each method.
 METHODS = ("fastshapelets", "bossst")
+#: Samples that one task of a k-means step reads.
+FIT_ROWS = 50_000
 
 
 def flat_code(word_len: int, alphabet: int) -> int:
@@ -93,7 +95,10 @@ def forecast_evidence(queries: DataFrame, bank: DataFrame, futures: DataFrame, c
 
 def future_states(futures: DataFrame, horizon: int, k: int = 8, seeds: int = 3) -> tuple[DataFrame, DataFrame]:
     """((sample, state), (state, h, level)): k-means of standardised futures (sample, h, level), the best of several seeds by cost; centres in original units."""
-    wide = futures.groupBy("sample").pivot("h", list(range(horizon))).agg(F.first("level"))
+    wide = fixed(futures.groupBy("sample").pivot("h", list(range(horizon))).agg(F.first("level")))
+    # every step of a fit sends the driver one result a task, so tasks are counted by rows and the plan, whose metrics go along, is cut;
+    # seeds and sums go by part and order, which are made of the samples here and not of the session's settings
+    wide = fixed(wide.repartition(-(-max(1, wide.count()) // FIT_ROWS), "sample").sortWithinPartitions("sample"))
     stats = wide.agg(*[F.avg(str(h)).alias(f"m{h}") for h in range(horizon)], *[F.greatest(F.stddev_pop(str(h)), F.lit(1e-6)).alias(f"s{h}") for h in range(horizon)])
     z = wide.join(F.broadcast(stats)).select("sample", *[((F.col(str(h)) - F.col(f"m{h}")) / F.col(f"s{h}")).alias(f"z{h}") for h in range(horizon)])
     x = VectorAssembler(inputCols=[f"z{h}" for h in range(horizon)], outputCol="x").transform(z).cache()

@@ -12,6 +12,7 @@ from ..operators import reports as P
 from ..operators import retrieval as T
 from ..operators import rules as R
 from ..operators import windows as X
+from ..operators.ordering import fixed
 from .mining_queries import MATCH, classes, dictionary_and_matches, matched
 from .series_queries import CENTROID, RISK, _weights, confidence, logits, r6
 from .sqltext import DAILY, EMB, EV, FM, lit, sym
@@ -104,7 +105,7 @@ ls AS (SELECT sample, arg_max(value, i) AS base FROM cx GROUP BY sample)"""
 
 def contexts(spark, d):
     """(sample, ch, i, value) of 60-day contexts from every day on, and (sample, h, level) of the 7 days after."""
-    v = X.daily_series(spark, d).select(F.substring("channel", 1, 1).cast("long").alias("ch"), "t", (F.col("value") / 1e6).alias("value"))
+    v = fixed(X.daily_series(spark, d).select(F.substring("channel", 1, 1).cast("long").alias("ch"), "t", (F.col("value") / 1e6).alias("value")))  # one row a day and channel
     end = v.agg((F.max("t") + 1).alias("n"))
     s = v.join(F.broadcast(end)).where("t + 67 <= n").select((F.col("ch") * 100000 + F.col("t")).alias("sample"), "ch", F.col("t").alias("t0"))
     cells = s.select("sample", "ch", "t0", F.explode(F.sequence(F.col("t0"), F.col("t0") + 66)).alias("t")).join(v, ["ch", "t"]).withColumn("i", F.col("t") - F.col("t0"))
