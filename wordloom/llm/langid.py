@@ -24,6 +24,8 @@ from .common import HashIndex, small_batches, text_chunks
 
 ORDER = 4
 PAD = 0x0A
+#: Bytes of text that are coded at a time, unless one text alone is longer; the arrays of a step hold about a hundred bytes for each.
+STEP_BYTES = 1 << 18
 UNKNOWN = "und"
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 0x20
@@ -169,7 +171,7 @@ def predict_rows(docs: DataFrame, model: Trees, text: str = "text") -> DataFrame
         trees = shared.value
         for b in batches:
             pred, score = np.full(b.num_rows, UNKNOWN, object), np.zeros(b.num_rows)
-            for first, offsets, data in text_chunks(b.column(text)) if trees.langs else ():
+            for first, offsets, data in text_chunks(b.column(text), STEP_BYTES) if trees.langs else ():
                 bits = trees.code_lengths(data, offsets)
                 best = bits.argmin(axis=1)
                 share = 1.0 / np.exp2(np.minimum(bits.min(axis=1)[:, None] - bits, 0)).sum(axis=1)

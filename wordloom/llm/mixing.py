@@ -79,8 +79,10 @@ def mix_sources(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sou
     of what is left. Null text has size 0 and is taken 0 words; a source of size 0 has target 0. Rows that
     share an id are drawn alike and ordered by size; rows of null id draw from their text.
     """
-    d = docs.select(F.col(doc_id).alias("_id"), F.coalesce(F.regexp_count(F.col(text), F.lit(WORD_RE)), F.lit(0)).cast("long").alias("size"), F.col(source).alias("source"), F.coalesce(draw(F.when(F.col(doc_id).isNull(), F.xxhash64(F.col(text))).otherwise(F.xxhash64(F.col(doc_id))), seed), F.lit(0)).alias("_u"), *[F.col(c).alias(f"_keep_{i}") for i, c in enumerate(keep)])
-    d = materialise(d, "mix-sizes") if not keep else d
+    rows = docs.select(F.col(doc_id).alias("_id"), F.coalesce(F.regexp_count(F.col(text), F.lit(WORD_RE)), F.lit(0)).cast("long").alias("size"), F.col(source).alias("source"), F.coalesce(draw(F.when(F.col(doc_id).isNull(), F.xxhash64(F.col(text))).otherwise(F.xxhash64(F.col(doc_id))), seed), F.lit(0)).alias("_u"), *[F.col(c).alias(f"_keep_{i}") for i, c in enumerate(keep)])
+    # all that finds the cuts reads short rows; texts are read once for these and once more where they are kept
+    d = materialise(rows.select("_id", "size", "source", "_u"), "mix-sizes")
+    rows = rows if keep else d
     size = targets(d.groupBy("source").agg(F.sum("size").alias("source_size")), cycle, budget, cap)
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     size = size.withColumn("whole", F.floor(ratio + 1e-12))
@@ -89,16 +91,19 @@ def mix_sources(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sou
     levels = levels.join(size.select(F.col("source").alias("s0"), "rest"), F.col("source").eqNullSafe(F.col("s0"))).drop("s0")
     odds = inclusion(levels).withColumnRenamed("source", "s0")
     size = materialise(size.join(odds, F.col("source").eqNullSafe(F.col("s0")), "left").drop("s0").withColumn("left", F.col("rest") - F.coalesce("certain", F.lit(0))), "mix-targets")
-    # sources are few against documents, yet unbounded: the join is left to the planner, which measures the side
-    r = d.join(size, d["source"].eqNullSafe(size["source"])).drop(size["source"])
-    p, u = F.coalesce(F.col("scale") * order_of_size(F.col("size")), F.lit(0.0)), (F.col("_u") + 0.5) / F.lit(float(1 << 53))
-    r = r.withColumn("p", F.when(F.col("size") > 0, F.greatest(F.lit(0.0), p)).otherwise(F.lit(0.0)))
-    drawn = (F.col("p") > 0) & (F.col("p") < 1)
-    r = r.withColumn("rank", F.when(drawn, (u / (1 - u)) / (F.col("p") / (1 - F.col("p")))))
-    # bins of rank / (1 + rank), which lies between 0 and 1
-    bin_ = (F.col("rank") / (1 + F.col("rank")) * F.lit(float(BINS))).cast("double")
-    b1 = F.least(F.floor(bin_), F.lit(BINS - 1)).cast("int")
-    r = r.withColumn("b1", b1).withColumn("b2", F.least(F.floor((bin_ - F.col("b1")) * BINS), F.lit(BINS - 1)).cast("int"))
+
+    def ranked(d: DataFrame, sources: DataFrame) -> DataFrame:
+        """Rows beside what ``sources`` says of theirs, with probability, rank and bins."""
+        # sources are few against documents, yet unbounded: the join is left to the planner, which measures the side
+        r = d.join(sources, d["source"].eqNullSafe(sources["source"])).drop(sources["source"])
+        p, u = F.coalesce(F.col("scale") * order_of_size(F.col("size")), F.lit(0.0)), (F.col("_u") + 0.5) / F.lit(float(1 << 53))
+        r = r.withColumn("p", F.when(F.col("size") > 0, F.greatest(F.lit(0.0), p)).otherwise(F.lit(0.0)))
+        drawn = (F.col("p") > 0) & (F.col("p") < 1)
+        r = r.withColumn("rank", F.when(drawn, (u / (1 - u)) / (F.col("p") / (1 - F.col("p")))))
+        # bins of rank / (1 + rank), which lies between 0 and 1
+        bin_ = (F.col("rank") / (1 + F.col("rank")) * F.lit(float(BINS))).cast("double")
+        b1 = F.least(F.floor(bin_), F.lit(BINS - 1)).cast("int")
+        return r.withColumn("b1", b1).withColumn("b2", F.least(F.floor((bin_ - F.col("b1")) * BINS), F.lit(BINS - 1)).cast("int"))
 
     def cut(h: DataFrame, by: str, left: str) -> DataFrame:
         """Of each source the bin that holds the cut, and the words still to fill in it."""
@@ -107,7 +112,7 @@ def mix_sources(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sou
         at = h.where(F.col("upto") > F.col(left)).groupBy("source").agg(F.min(F.struct(by, (F.col("upto") - F.col("words")).alias("before"), left)).alias("m"))
         return at.select("source", F.col(f"m.{by}").alias(f"cut_{by}"), (F.col(f"m.{left}") - F.col("m.before")).alias(f"left_{by}"))
 
-    some = r.where(F.col("rank").isNotNull())
+    some = ranked(d, size).where(F.col("rank").isNotNull())
     c1 = materialise(cut(some.groupBy("source", "b1").agg(F.sum("size").alias("words"), F.first("left").alias("left")), "b1", "left"), "mix-cut")
     inner = some.join(c1.withColumnRenamed("source", "s1"), F.col("source").eqNullSafe(F.col("s1")) & (F.col("b1") == F.col("cut_b1"))).drop("s1")
     c2 = materialise(cut(inner.groupBy("source", "b2").agg(F.sum("size").alias("words"), F.first("left_b1").alias("left_b1")), "b2", "left_b1"), "mix-cut")
@@ -116,8 +121,9 @@ def mix_sources(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sou
     fine = fine.withColumn("upto", F.sum("size").over(w)).where(F.col("upto") - F.col("size") / 2.0 > F.col("left_b2"))
     c3 = fine.groupBy("source").agg(F.min(F.struct("rank", "_id", "size")).alias("stop"))
     cuts = c1.join(c2.withColumnRenamed("source", "s2"), F.col("source").eqNullSafe(F.col("s2")), "left").drop("s2")
-    cuts = materialise(cuts.join(c3.withColumnRenamed("source", "s3"), F.col("source").eqNullSafe(F.col("s3")), "left").drop("s3").withColumnRenamed("source", "s0"), "mix-cut")
-    r = r.join(cuts, F.col("source").eqNullSafe(F.col("s0")), "left")
+    cuts = cuts.join(c3.withColumnRenamed("source", "s3"), F.col("source").eqNullSafe(F.col("s3")), "left").drop("s3").withColumnRenamed("source", "s0")
+    # one row a source with all that the last pass looks up
+    r = ranked(rows, materialise(size.join(cuts, F.col("source").eqNullSafe(F.col("s0")), "left").drop("s0"), "mix-cut"))
     here = F.struct("rank", "_id", "size")
     more = (
         F.when(F.col("rank").isNull(), F.col("p") >= 1)
