@@ -1,6 +1,6 @@
 """Symbolic features of many channels at once: one job mines, matches and standardises all of them.
 
-Points are (series, channel, t, value, label). A channel is a key of every grouping, never a loop: candidates,
+Points are (series, channel, t, value, label), or packed (series, channel, values, label). A channel is a key of every grouping, never a loop: candidates,
 splits and dictionaries are made by channel in the same shuffles. Every channel's block has the same width:
 3 K + 1 features, K the most words of any channel; a channel with fewer words (a dead sensor has none) is
 padded with zeros and ``<none>``, so nothing is invented for it.
@@ -52,14 +52,16 @@ BY = ("channel",)
 
 
 def keyed(points: DataFrame) -> DataFrame:
-    """Points whose series are told apart by channel."""
+    """Points, or packed series, whose series are told apart by channel."""
     label = [F.col("label")] if "label" in points.columns else [F.lit(0).alias("label")]
+    if X.packed(points):
+        return X.dealt(points.select(F.struct("channel", "series").alias("series"), "channel", "values", *label))
     return points.select(F.struct("channel", "series").alias("series"), "channel", "t", "value", *label)
 
 
 def pieces(points: DataFrame, window: int, word_len: int, alphabet: int, step: int) -> tuple[DataFrame, DataFrame]:
     """(words, z-normalised windows) of keyed points."""
-    words = X.sax_words(points, window, word_len, alphabet, step, carry=("channel", "label")).cache()
+    words = X.sax_words(points, window, word_len, alphabet, step, carry=("channel", "label")).drop("word").cache()
     z = G.z_windows(points, window, carry=("channel", "label"))
     return words, z.where(F.col("t") % step == 0) if step > 1 else z
 

@@ -9,12 +9,14 @@ from __future__ import annotations
 
 import itertools
 import random
+from collections import Counter
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.symbols import FLAT, code
+from .windows import packed, packed_windows
 
 
 #: Bytes of a dictionary that may be broadcast; a larger one is shuffled.
@@ -69,11 +71,14 @@ def projection_masks(word_len: int, mask_size: int, n: int, seed: int = 0) -> li
 def collisions(words: DataFrame, masks: list[tuple[int, ...]], word_len: int, alphabet: int = 4, by: tuple[str, ...] = ()) -> DataFrame:
     """(by, code, label, n): for each word and class, the number of distinct series that hold a word equal to it under a mask, summed over masks."""
     s = [F.col(f"s{j}") for j in range(word_len)]
-    keys = F.array(*[F.struct(F.lit(k).alias("mask"), code([s[j] for j in m], alphabet).alias("key")) for k, m in enumerate(masks)])
+    # a mask drawn several times is counted once and taken as often
+    times = Counter(masks)
+    often = F.element_at(F.array(*[F.lit(n) for n in times.values()]), F.col("mask") + 1)
+    keys = F.array(*[F.struct(F.lit(k).alias("mask"), code([s[j] for j in m], alphabet).alias("key")) for k, m in enumerate(times)])
     own = words.select(*by, "series", "label", "code", *[f"s{j}" for j in range(word_len)]).distinct()
     per = own.select(*by, "series", "label", F.inline(keys)).distinct().groupBy(*by, "mask", "key", "label").agg(F.count("*").alias("n"))
     vocabulary = own.select(*by, "code", *[f"s{j}" for j in range(word_len)]).distinct().select(*by, "code", F.inline(keys))
-    return vocabulary.join(per, [*by, "mask", "key"]).groupBy(*by, "code", "label").agg(F.sum("n").alias("n"))
+    return vocabulary.join(per, [*by, "mask", "key"]).groupBy(*by, "code", "label").agg(F.sum(F.col("n") * often).alias("n"))
 
 
 def candidate_scores(coll: DataFrame, classes: DataFrame, n_masks: int, by: tuple[str, ...] = ()) -> DataFrame:
@@ -132,12 +137,16 @@ def best_splits(values: DataFrame, feature: str | tuple[str, ...] = "feature") -
 
 
 def z_windows(points: DataFrame, window: int, carry: tuple[str, ...] = ("label",)) -> DataFrame:
-    """(series, t, carry, flat, z0..z(w-1)): z-normalised windows as flat columns."""
-    spec = W.partitionBy("series").orderBy("t")
-    frame = spec.rowsBetween(0, window - 1)
-    x = points.select("series", "t", *carry, F.count("value").over(frame).alias("n"), F.avg("value").over(frame).alias("mean"), F.stddev_pop("value").over(frame).alias("sd"), *[(F.lead("value", i).over(spec) if i else F.col("value")).alias(f"x{i}") for i in range(window)])
+    """(series, t, carry, flat, z0..z(w-1)): z-normalised windows as flat columns; ``points`` may be packed."""
+    if packed(points):
+        x = packed_windows(points, window, 1, carry)
+    else:
+        spec = W.partitionBy("series").orderBy("t")
+        frame = spec.rowsBetween(0, window - 1)
+        x = points.select("series", "t", *carry, F.count("value").over(frame).alias("n"), F.avg("value").over(frame).alias("mean"), F.stddev_pop("value").over(frame).alias("sd"), *[(F.lead("value", i).over(spec) if i else F.col("value")).alias(f"x{i}") for i in range(window)])
+        x = x.where(F.col("n") == window)
     flat = F.col("sd") < FLAT
-    return x.where(F.col("n") == window).select("series", "t", *carry, flat.alias("flat"), *[F.when(flat, 0.0).otherwise((F.col(f"x{i}") - F.col("mean")) / F.col("sd")).alias(f"z{i}") for i in range(window)])
+    return x.select("series", "t", *carry, flat.alias("flat"), *[F.when(flat, 0.0).otherwise((F.col(f"x{i}") - F.col("mean")) / F.col("sd")).alias(f"z{i}") for i in range(window)])
 
 
 def first_at(rank: Column, t: Column) -> Column:
@@ -181,7 +190,7 @@ def representatives(words: DataFrame, windows: DataFrame, candidates: DataFrame,
 
 
 def mined(words: DataFrame, windows: DataFrame, window: int, word_len: int, flat_code: int, masks: list[tuple[int, ...]], n_candidates: int = 50, top_k: int = 10, alphabet: int = 4, by: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(dictionary: by, rank, code, ig, threshold, gap, dominant, support; its queries; distances of all candidates): symbolic filter, then verification of raw windows by information gain. ``words`` are read several times and should be cached."""
+    """(dictionary: by, rank, code, ig, threshold, gap, dominant, support; its queries; distances of all candidates): symbolic filter, then verification of raw windows by information gain. ``words`` are read several times and should be cached or cheap."""
     labels = words.select(*by, "series", "label").distinct().groupBy(*by, "label").agg(F.count("*").alias("n"))
     scores = candidate_scores(collisions(words, masks, word_len, alphabet, by), labels, len(masks), by)
     cand = ranked(scores.join(eligible(words, flat_code, by), [*by, "code"]), [F.desc(F.round("score", 9)), F.col("code")], n_candidates, by).drop("rank").cache()

@@ -31,19 +31,18 @@ def flat_code(word_len: int, alphabet: int) -> int:
 
 
 def features(points: DataFrame, window: int, method: str = "fastshapelets", word_len: int = 4, alphabet: int = 4, top_k: int = 10, n_candidates: int = 50, n_projections: int = 10, mask_size: int = 1, seed: int = 0) -> tuple[DataFrame, DataFrame]:
-    """(features, dictionary) of one channel's (series, t, value, label): presence, frequency, distance and location of each mined word in each series.
+    """(features, dictionary) of one channel's (series, t, value, label), or its packed series: presence, frequency, distance and location of each mined word in each series.
 
     A channel without usable words gives an empty dictionary and no rows.
     """
     if method not in METHODS:
         raise ValueError(f"method must be one of {METHODS}")
     if method == "fastshapelets":
-        words, z = X.sax_words(points, window, word_len, alphabet, carry=("label",)).cache(), G.z_windows(points, window)
+        words, z = X.sax_words(points, window, word_len, alphabet, carry=("label",)).drop("word").cache(), G.z_windows(points, window)
         top, queries, dist = G.mined(words, z, window, word_len, flat_code(word_len, alphabet), G.projection_masks(word_len, mask_size, n_projections, seed), n_candidates, top_k, alphabet)
         top = top.cache()
         return G.match(words, z, top, queries, window, distances=dist), top
-    coefs = X.fourier_windows(points, window, word_len, carry=("label",))
-    words, zero = X.fitted_sfa_words(coefs, word_len, alphabet, carry=("label",))
+    words, zero = X.fitted_sfa_words(points, window, word_len, alphabet, carry=("label",))
     top = G.boss_words(words, zero, top_k)
     digits = top.select("code", *[(F.floor(F.col("code") / alphabet ** (word_len - 1 - i)) % alphabet).cast("int").alias(f"r{i}") for i in range(word_len)])
     return G.boss_match(words, digits, word_len, alphabet), top

@@ -1,6 +1,9 @@
 """Series views of the test tables, windows over long series, splits, folds and blocks.
 
 A series is long: (series, t, value, ...), one row a point; windows are frames over it and are never stored.
+Where a table holds whole short series, such as vectors, they may stay packed: (series, values, ...), one row a
+series with its points in order from t = 0. Words and windows are then arithmetic on places of that array, without
+a sort or a shuffle of points.
 """
 
 from __future__ import annotations
@@ -12,7 +15,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.symbols import FLAT, breakpoints, code, fourier_rows, hash_order, paa_weights, symbol, word
-from .ordering import fixed, quantile_row, quantiles
+from .ordering import close_quantiles, fixed, quantile_row
+
+#: Packed series that one task takes.
+PACKED_ROWS = 4096
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +39,38 @@ def vector_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("series", F.col("t").cast("long").alias("t"), F.col("value").cast("double").alias("value"), "label")
 
 
+def packed_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(series, label, values): embeddings as packed series of 64 points with a class."""
+    e = read(spark, sf_dir, "embeddings")
+    return dealt(e.select(F.col("vec_id").alias("series"), "label", F.col("embedding").cast("array<double>").alias("values")))
+
+
+def packed(points: DataFrame) -> bool:
+    return "values" in points.columns
+
+
+def dealt(series: DataFrame) -> DataFrame:
+    """Packed series dealt by series to tasks counted by rows and kept: what is grouped by series later is where it belongs, and a task is as large on a large table as on a small one."""
+    return series.repartition(-(-max(1, series.count()) // PACKED_ROWS), "series").cache()
+
+
+def packed_windows(points: DataFrame, window: int, step: int, carry: tuple[str, ...]) -> DataFrame:
+    """(series, t, carry, x0..x(w-1), mean, sd) of every whole window of packed series; one with a null is not whole."""
+    starts = F.when(F.size("values") >= window, F.sequence(F.lit(0), F.size("values") - window, F.lit(step)))
+    d = points.select("series", *carry, "values", F.explode(starts).alias("t"))
+    d = d.select("series", F.col("t").cast("long").alias("t"), *carry, *[F.get("values", F.col("t") + i).alias(f"x{i}") for i in range(window)])
+    x = [F.col(f"x{i}") for i in range(window)]
+    d = d.where(" and ".join(f"x{i} is not null" for i in range(window)))
+    d = d.withColumn("mean", sum(x[1:], x[0]) / F.lit(float(window)))
+    gap = [(v - F.col("mean")) * (v - F.col("mean")) for v in x]
+    return d.withColumn("sd", F.sqrt(sum(gap[1:], gap[0]) / F.lit(float(window))))
+
+
+def made(df: DataFrame, keep: tuple[str, ...], cols: dict[str, Column]) -> DataFrame:
+    """``keep`` and ``cols`` of ``df``, through a generator of one row: a later condition on ``cols`` is asked of the result and not written out over its whole arithmetic."""
+    return df.select(*keep, F.inline(F.array(F.struct(*[c.alias(n) for n, c in cols.items()]))))
+
+
 def daily_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(channel, t, value): order totals by priority and day, with a row for every day."""
     o = read(spark, sf_dir, "orders").select(F.to_date("o_orderdate").alias("day"), F.col("o_orderpriority").alias("channel"), "o_totalprice")
@@ -85,45 +123,63 @@ def segment_means(value: str, window: int, segments: int, spec: W) -> list[Colum
     return out
 
 
+def packed_means(window: int, segments: int) -> list[Column]:
+    """PAA of packed windows x0..x(w-1)."""
+    if window % segments == 0:
+        k = window // segments
+        return [sum([F.col(f"x{i}") for i in range(j * k + 1, (j + 1) * k)], F.col(f"x{j * k}")) / F.lit(float(k)) for j in range(segments)]
+    terms = [[F.col(f"x{i}") * F.lit(wt) for i, wt in share] for share in paa_weights(window, segments)]
+    return [sum(t[1:], t[0]) for t in terms]
+
+
 def sax_words(points: DataFrame, window: int = 24, word_len: int = 8, alphabet: int = 4, step: int = 1, keys: tuple[str, ...] = ("series",), flat_std: float = FLAT, carry: tuple[str, ...] = ()) -> DataFrame:
     """Each window's keys, t, flat, s0..s(L-1), word and code. Flat windows are all middle symbols.
 
     The PAA of a z-normalised window is (segment mean - window mean) / sd, so no window is materialised:
-    one sort by (keys, t), then moving averages.
+    one sort by (keys, t), then moving averages. ``points`` may be packed if the series is their only key.
     """
-    df, spec = sliding(points, window, keys)
-    seg = [m.alias(f"m{j}") for j, m in enumerate(segment_means("value", window, word_len, spec))]
-    df = complete(df.select(*keys, "t", "n", "mean", "sd", *carry, *seg), window, step)
+    if packed(points):
+        df = packed_windows(points, window, step, carry)
+        df = df.select(*keys, "t", "mean", "sd", *carry, *[m.alias(f"m{j}") for j, m in enumerate(packed_means(window, word_len))])
+    else:
+        df, spec = sliding(points, window, keys)
+        seg = [m.alias(f"m{j}") for j, m in enumerate(segment_means("value", window, word_len, spec))]
+        df = complete(df.select(*keys, "t", "n", "mean", "sd", *carry, *seg), window, step)
     edges = breakpoints(alphabet)
     flat = F.col("sd") < flat_std
-    df = df.select(*keys, "t", *carry, flat.alias("flat"), *[symbol(F.when(flat, F.lit(0.0)).otherwise((F.col(f"m{j}") - F.col("mean")) / F.col("sd")), edges).alias(f"s{j}") for j in range(word_len)])
+    cols = {"flat": flat} | {f"s{j}": symbol(F.when(flat, F.lit(0.0)).otherwise((F.col(f"m{j}") - F.col("mean")) / F.col("sd")), edges) for j in range(word_len)}
+    df = made(df, (*keys, "t", *carry), cols) if packed(points) else df.select(*keys, "t", *carry, *[c.alias(n) for n, c in cols.items()])
     s = [F.col(f"s{j}") for j in range(word_len)]
     return df.withColumn("word", word(s)).withColumn("code", code(s, alphabet))
 
 
 def fourier_windows(points: DataFrame, window: int = 8, n: int = 4, step: int = 1, keys: tuple[str, ...] = ("series",), znorm: bool = True, carry: tuple[str, ...] = ()) -> DataFrame:
-    """Each window's keys, t, flat and first Fourier coefficients c0..c(n-1) after z-normalisation (or centring only)."""
-    df, spec = sliding(points, window, keys)
-    leads = [F.lead("value", i).over(spec).alias(f"x{i}") if i else F.col("value").alias("x0") for i in range(window)]
-    df = complete(df.select(*keys, "t", "n", "mean", "sd", *carry, *leads), window, step)
+    """Each window's keys, t, flat and first Fourier coefficients c0..c(n-1) after z-normalisation (or centring only). ``points`` may be packed."""
+    if packed(points):
+        df = packed_windows(points, window, step, carry)
+    else:
+        df, spec = sliding(points, window, keys)
+        leads = [F.lead("value", i).over(spec).alias(f"x{i}") if i else F.col("value").alias("x0") for i in range(window)]
+        df = complete(df.select(*keys, "t", "n", "mean", "sd", *carry, *leads), window, step)
     flat = F.col("sd") < FLAT
     rows = fourier_rows(window, n)
     z = [(F.col(f"x{i}") - F.col("mean")) / (F.col("sd") if znorm else F.lit(1.0)) for i in range(window)]
     dot = lambda r: sum([z[i] * F.lit(r[i]) for i in range(1, window)], z[0] * F.lit(r[0]))
-    return df.select(*keys, "t", *carry, flat.alias("flat"), *[F.when(flat & F.lit(znorm), F.lit(0.0)).otherwise(dot(r)).alias(f"c{k}") for k, r in enumerate(rows)])
+    cols = {"flat": flat} | {f"c{k}": F.when(flat & F.lit(znorm), F.lit(0.0)).otherwise(dot(r)) for k, r in enumerate(rows)}
+    return made(df, (*keys, "t", *carry), cols) if packed(points) else df.select(*keys, "t", *carry, *[c.alias(n) for n, c in cols.items()])
 
 
 def sfa_edges(coefs: DataFrame, n: int = 4, alphabet: int = 4) -> DataFrame:
     """(position, q, edge): multiple coefficient binning, exact quantiles i/alphabet of each coefficient over all windows."""
     at = [i / alphabet for i in range(1, alphabet)]
-    return quantiles(coefs, [f"c{k}" for k in range(n)], at).select(F.col("k").alias("position"), F.col("i").alias("q"), F.col("value").alias("edge"))
+    return close_quantiles(coefs, [f"c{k}" for k in range(n)], at).select(F.col("k").alias("position"), F.col("i").alias("q"), F.col("value").alias("edge"))
 
 
 def sfa_words(coefs: DataFrame, edges: DataFrame, n: int = 4, alphabet: int = 4, keys: tuple[str, ...] = ("series",), carry: tuple[str, ...] = ()) -> DataFrame:
     """Words of Fourier windows under fitted edges; the edges are (alphabet - 1) x n numbers, one broadcast row."""
-    row = edges.groupBy().agg(F.map_from_entries(F.collect_list(F.struct(F.col("position") * 100 + F.col("q"), F.col("edge")))).alias("edges"))
+    row = edges.groupBy().agg(*[F.max(F.when((F.col("position") == k) & (F.col("q") == q), F.col("edge"))).alias(f"e{k}_{q}") for k in range(n) for q in range(alphabet - 1)])
     df = coefs.join(F.broadcast(row))
-    df = df.select(*keys, "t", *carry, "flat", *[symbol(F.col(f"c{k}"), [F.col("edges")[F.lit(100 * k + q)] for q in range(alphabet - 1)]).alias(f"s{k}") for k in range(n)])
+    df = df.select(*keys, "t", *carry, "flat", *[symbol(F.col(f"c{k}"), [F.col(f"e{k}_{q}") for q in range(alphabet - 1)]).alias(f"s{k}") for k in range(n)])
     s = [F.col(f"s{k}") for k in range(n)]
     return df.withColumn("word", word(s)).withColumn("code", code(s, alphabet))
 
@@ -134,11 +190,12 @@ def sfa_zero_code(edges: DataFrame, alphabet: int = 4) -> int:
     return sum(s * alphabet ** (n - 1 - k) for k, s, n in up.join(edges.agg((F.max("position") + 1).alias("n"))).select("position", "s", "n").collect())
 
 
-def fitted_sfa_words(coefs: DataFrame, n: int = 4, alphabet: int = 4, keys: tuple[str, ...] = ("series",), carry: tuple[str, ...] = ()) -> tuple[DataFrame, int]:
-    """(words, zero code) under edges fitted on the same windows: coefficients, edges and words are made once, whoever reads them."""
-    coefs = coefs.cache()
+def fitted_sfa_words(points: DataFrame, window: int, n: int = 4, alphabet: int = 4, carry: tuple[str, ...] = ()) -> tuple[DataFrame, int]:
+    """(words, zero code) of the windows of ``points`` under edges fitted on them; edges and words are made once, whoever reads them, and so are coefficients if that takes a sort of points."""
+    coefs = fourier_windows(points, window, n, carry=carry)
+    coefs = coefs if packed(points) else coefs.cache()
     edges = fixed(sfa_edges(coefs, n, alphabet))  # n x (alphabet - 1) numbers
-    return sfa_words(coefs, edges, n, alphabet, keys, carry).cache(), sfa_zero_code(edges, alphabet)
+    return sfa_words(coefs, edges, n, alphabet, carry=carry).cache(), sfa_zero_code(edges, alphabet)
 
 
 def whole_paa(points: DataFrame, length: int, segments: int, keys: tuple[str, ...] = ("series",), name: str = "value") -> DataFrame:

@@ -32,8 +32,8 @@ def query(sql: str | None = None):
 
 
 def vectors(spark, d):
-    """Every vector as a series, whatever its class."""
-    return X.vector_series(spark, d)
+    """Every vector as a packed series, whatever its class."""
+    return X.packed_vectors(spark, d)
 
 
 def classes(spark, d):
@@ -42,8 +42,8 @@ def classes(spark, d):
 
 
 def vector_words(spark, d):
-    """The words of every vector, made once a query and kept in order of the series."""
-    return X.sax_words(vectors(spark, d), 8, 4, 4, carry=("label",)).cache()
+    """The codes and symbols of every vector's words, made once a query."""
+    return X.sax_words(vectors(spark, d), 8, 4, 4, carry=("label",)).drop("word").cache()
 
 
 SW = f"{EMB}, e3 AS (SELECT * FROM emb), {sax('e3', 8, 4, B4, extra=', label')}"

@@ -101,7 +101,7 @@ sfa AS (SELECT *, {' || '.join(f'chr((97 + s{k})::INTEGER)' for k in range(4))}
 
 
 def embedding_coefs(spark, d):
-    return X.fourier_windows(X.vector_series(spark, d), 8, 4, carry=("label",))
+    return X.fourier_windows(X.packed_vectors(spark, d), 8, 4, carry=("label",))
 
 
 def embedding_edges(spark, d):
@@ -110,7 +110,7 @@ def embedding_edges(spark, d):
 
 def embedding_sfa_and_zero(spark, d):
     """The SFA words of every vector and the code of the zero vector, under edges fitted once."""
-    return X.fitted_sfa_words(embedding_coefs(spark, d), carry=("label",))
+    return X.fitted_sfa_words(X.packed_vectors(spark, d), 8, carry=("label",))
 
 
 def embedding_sfa(spark, d):
