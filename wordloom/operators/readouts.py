@@ -42,7 +42,8 @@ def features(points: DataFrame, window: int, method: str = "fastshapelets", word
         top, queries, dist = G.mined(words, z, window, word_len, flat_code(word_len, alphabet), G.projection_masks(word_len, mask_size, n_projections, seed), n_candidates, top_k, alphabet)
         top = top.cache()
         return G.match(words, z, top, queries, window, distances=dist), top
-    words, zero = X.fitted_sfa_words(points, window, word_len, alphabet, carry=("label",))
+    coefs = X.fourier_windows(points, window, word_len, carry=("label",))
+    words, zero = X.fitted_sfa_words(coefs, word_len, alphabet, carry=("label",), keep=not X.packed(points))
     top = G.boss_words(words, zero, top_k)
     digits = top.select("code", *[(F.floor(F.col("code") / alphabet ** (word_len - 1 - i)) % alphabet).cast("int").alias(f"r{i}") for i in range(word_len)])
     return G.boss_match(words, digits, word_len, alphabet), top

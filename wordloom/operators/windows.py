@@ -190,12 +190,11 @@ def sfa_zero_code(edges: DataFrame, alphabet: int = 4) -> int:
     return sum(s * alphabet ** (n - 1 - k) for k, s, n in up.join(edges.agg((F.max("position") + 1).alias("n"))).select("position", "s", "n").collect())
 
 
-def fitted_sfa_words(points: DataFrame, window: int, n: int = 4, alphabet: int = 4, carry: tuple[str, ...] = ()) -> tuple[DataFrame, int]:
-    """(words, zero code) of the windows of ``points`` under edges fitted on them; edges and words are made once, whoever reads them, and so are coefficients if that takes a sort of points."""
-    coefs = fourier_windows(points, window, n, carry=carry)
-    coefs = coefs if packed(points) else coefs.cache()
+def fitted_sfa_words(coefs: DataFrame, n: int = 4, alphabet: int = 4, keys: tuple[str, ...] = ("series",), carry: tuple[str, ...] = (), keep: bool = True) -> tuple[DataFrame, int]:
+    """(words, zero code) under edges fitted on the same windows: edges and words are made once, whoever reads them, and so are coefficients unless, as those of packed series, they are cheaper made than kept."""
+    coefs = coefs.cache() if keep else coefs
     edges = fixed(sfa_edges(coefs, n, alphabet))  # n x (alphabet - 1) numbers
-    return sfa_words(coefs, edges, n, alphabet, carry=carry).cache(), sfa_zero_code(edges, alphabet)
+    return sfa_words(coefs, edges, n, alphabet, keys, carry).cache(), sfa_zero_code(edges, alphabet)
 
 
 def whole_paa(points: DataFrame, length: int, segments: int, keys: tuple[str, ...] = ("series",), name: str = "value") -> DataFrame:

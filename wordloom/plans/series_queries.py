@@ -110,7 +110,7 @@ def embedding_edges(spark, d):
 
 def embedding_sfa_and_zero(spark, d):
     """The SFA words of every vector and the code of the zero vector, under edges fitted once."""
-    return X.fitted_sfa_words(X.packed_vectors(spark, d), 8, carry=("label",))
+    return X.fitted_sfa_words(embedding_coefs(spark, d), carry=("label",), keep=False)
 
 
 def embedding_sfa(spark, d):
