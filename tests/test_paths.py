@@ -117,3 +117,40 @@ def test_readout_refits_on_permuted_targets(rows):
     assert rows_["symbolic"].aurc < rows_["random"].aurc and rows_["symbolic"].aurc == report["observed_aurc"]
     assert len(set(report["null_aurc"])) > 1 and report["p_value"] == pytest.approx(1 / 7) and report["head_sparsity"]["statistics"]["n_features"] == 2
     assert {("c", "lowers_risk")} < {(t, d) for t, _, d in paths.top_terms(report["heads"]["symbolic"], list("abcdef"))} <= {("a", "raises_risk"), ("c", "lowers_risk"), ("e", "raises_risk")}
+
+
+def test_direct_steps_reach_the_least_value_of_descent():
+    """Coordinates that hang together: descent alone took thousands of sweeps."""
+    rng = np.random.default_rng(1)
+    x = np.column_stack([rng.normal(size=(300, 12)), np.ones(300)])
+    x[:, :6] += 3 * x[:, [7]]
+    g, h, penalty = x.T @ rng.normal(size=300) / 300, x.T @ x / 300, 0.02
+    got, want, r = paths.penalised(g, h, np.zeros(13), penalty), np.zeros(13), g.copy()
+    for _ in range(20_000):
+        for j in range(13):
+            z = want[j] - r[j] / h[j, j]
+            new = z if j == 12 else np.sign(z) * max(0.0, abs(z) - penalty / h[j, j])
+            r, want[j] = r + h[:, j] * (new - want[j]), new
+    assert got == pytest.approx(want, abs=1e-6) and 0 < (got[:12] == 0).sum() < 12
+
+
+def test_folds_of_each_permutation_have_its_classes_alike(spark, rows):
+    """The null's folds were those of the true target, whose classes say nothing of a permutation's."""
+    d = paths.folds_of(rows, 4, target="y")
+    got = paths.shuffled(d, "y", 3, 0, n_folds=4).collect()
+    own = {r.id: r.fold for r in d.collect()}
+    assert all(r.fold[0] == own[r.id] and len(r.fold) == len(r.ys) == 4 for r in got)
+    for t in range(4):
+        for c in (0.0, 1.0):
+            n = [sum(r.fold[t] == f and r.ys[t] == c for r in got) for f in range(4)]
+            assert max(n) - min(n) <= 1 and sum(n) == sum(r.y == c for r in got)
+
+
+def test_few_failures_are_dealt_to_fewer_folds(rows):
+    d = rows.withColumn("target", (F.col("id") < 3).cast("int"))
+    summary, report = paths.readout(d, d.withColumn("loss", F.col("target").cast("double")).withColumn("conf", F.rand(1)), "classification", {"symbolic": [0, 2]}, "conf", 5, 1, strengths=(0.1,))
+    assert report["head_sparsity"]["symbolic"]["abstained_constant"] is False and len(summary.first()["curve"]) == 20
+    top = report["examples"]
+    assert len(top) == 6 and [r.risk for r in top] == sorted((r.risk for r in top), reverse=True)
+    h = report["heads"]["symbolic"]
+    assert [1 / (1 + math.exp(-h.intercept - sum(r.parts))) for r in top] == pytest.approx([r.risk for r in top], abs=1e-9)

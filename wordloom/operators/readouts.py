@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -162,3 +163,33 @@ def vus(scores: DataFrame, width: int, by: str = "series", n_thresholds: int = 2
 
     key = next(f for f in scores.schema if f.name == by).dataType.simpleString()
     return scores.select(by, "t", "label", "score").groupBy(by).applyInPandas(one, f"{by} {key}, vus_roc double, vus_pr double")
+
+
+def centroid_signals(rows: DataFrame, centres: DataFrame, length: int, in_channels: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """(series, y, state, predicted, probability, loss, conf, entropy, statistics) of packed ``rows`` (series, label, fold, values).
+
+    Logits are minus the squared distances to the ``centres`` (fold, classes: array of (k, c)) of the row's fold, a bounded
+    table; the loss is 1 for a wrong class, conf minus the largest probability. Series of other lengths are cut or
+    end in missing points, which add no distance. ``in_channels`` shapes a batch for ``statistics_of``.
+    """
+    of = {r.fold: ([c.k for c in r.classes], np.array([c.c for c in r.classes])) for r in centres.collect()}  # folds x classes x length numbers
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for fold, own in b.groupby("fold"):
+                ks, c = of[fold]
+                x = np.full((len(own), length), np.nan)
+                for i, v in enumerate(own["values"]):
+                    x[i, : min(length, len(v))] = v[:length]
+                gap = x[:, None, :] - c[None, :, :]
+                logit = -np.where(np.isnan(gap), 0.0, gap * gap).sum(2)
+                p = np.exp(logit - logit.max(1, keepdims=True))
+                p /= p.sum(1, keepdims=True)
+                predicted = np.array(ks)[logit.argmax(1)]
+                yield pd.DataFrame({
+                    "series": own["series"], "y": own["label"], "state": list(x), "predicted": predicted, "probability": p.max(1), "loss": (predicted != own["label"].to_numpy()).astype(float),
+                    "conf": -p.max(1), "entropy": -(p * np.log(p + 1e-12)).sum(1), "statistics": list(X.statistics_of(in_channels(x))),
+                })
+
+    d = rows.where(F.size("values") > 0).select("series", "label", "fold", "values")
+    return d.mapInPandas(run, "series long, y int, state array<double>, predicted int, probability double, loss double, conf double, entropy double, statistics array<double>")

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -223,6 +224,19 @@ def state_key(points: DataFrame, length: int, recent: int = 24, keys: tuple[str,
     )
 
 
+#: Names of ``summary_statistics`` in order.
+STATISTICS = ("mean", "sd", "least", "most", "last", "slope", "mean_step", "late_shift")
+
+
+def statistics_of(x: np.ndarray) -> np.ndarray:
+    """``summary_statistics`` of a batch of packed series of one length: (rows, channels, points) to (rows, channels x 8)."""
+    x = np.nan_to_num(x)
+    n = x.shape[2]
+    t, mean = np.arange(n) - (n - 1) / 2.0, x.mean(2)
+    each = [mean, x.std(2), x.min(2), x.max(2), x[:, :, -1], x @ t / (t @ t), np.abs(np.diff(x)).mean(2), x[:, :, n - n // 4 :].mean(2) - mean]
+    return np.stack(each, 2).reshape(len(x), -1)
+
+
 def summary_statistics(points: DataFrame, length: int, keys: tuple[str, ...] = ("series",)) -> DataFrame:
     """Mean, sd, min, max, last, least-squares slope, mean absolute step and last-quarter shift; NaN counts as 0."""
     v = F.coalesce(F.nanvl("value", F.lit(0.0)), F.lit(0.0))
