@@ -5,7 +5,7 @@ models, multiplies a batch of rows by all of them at once and adds up, for each
 each model's proximal Newton step is then taken where its sums meet. Least squares are done after one pass,
 logistic models after about eight, whatever the number of models. A model's sums are those of its own head's
 features, half of the symmetric curvature, so a narrow head costs little beside a wide one. What travels is
-models x features^2 / 2 numbers, bounded by the parameters and not by the rows.
+models x features^2 / 2 numbers from each of at most ``TASKS`` tasks, bounded by the parameters and not by the rows.
 
 L1 with an intercept that is not penalised: the mean weighted loss plus strength x the sum of absolute
 coefficients. Log-odds heads weigh both classes alike (balanced over the rows they are fitted on).
@@ -32,6 +32,8 @@ KINDS = ("classification", "regression")
 STRENGTHS = tuple(float(c) for c in np.logspace(-2.5, 1.0, 10))
 LASSO_PATH, LASSO_RATIO = 30, 1e-3
 TOLERANCE, STEPS = 1e-5, 40
+#: Rows that a task of a pass takes at least, and the most tasks of a pass: each sends the sums of all models.
+TASK_ROWS, TASKS = 2048, 96
 
 
 @dataclass(frozen=True)
@@ -186,12 +188,13 @@ def solve(rows: DataFrame, kind: str, models: list[Model], free: dict[str, np.nd
     columns = {h: np.flatnonzero(f) for h, f in free.items()}
     now = np.zeros((len(models), width + 1))
     before, value = now.copy(), np.full(len(models), np.inf)
-    active = list(range(len(models)))
+    active, many = list(range(len(models))), rows.rdd.getNumPartitions() > slices
     for _ in range(STEPS):
         mine = [models[k] for k in active]
         sums = rows.select("x", "fold", "ys").mapInPandas(sums_kernel(kind, mine, now[active], weights, columns, slices), SUMS)
         some = (F.col("model") % slices).alias("some")
-        sums = sums.groupBy(some, "slice").applyInPandas(added, SUMS)
+        if many:
+            sums = sums.groupBy(some, "slice").applyInPandas(added, SUMS)
         got = sums.groupBy(some).applyInPandas(newton(mine, columns, now[active], before[active], value[active]), "model int, coef array<double>, value double, moved double, base array<double>").collect()  # models x features numbers
         moving = []
         for r in got:
@@ -263,7 +266,7 @@ def fit_heads(rows: DataFrame, kind: str, heads: dict[str, list[int]], n_folds:
     if kind not in KINDS:
         raise ValueError(f"kind must be one of {KINDS}")
     rows, mean, sd = standardised(rows)
-    rows = rows.select("x", "fold", "ys").persist()
+    rows = rows.select("x", "fold", "ys").repartition(max(1, min(TASKS, -(-rows.count() // TASK_ROWS)))).persist()
     width = len(mean)
     live = rows.agg(*[F.max(F.get("x", F.lit(j)) != 0).alias(f"f{j}") for j in range(width)]).first()
     free = {h: np.isin(np.arange(width + 1), [*(j for j in use if live[j]), width]) for h, use in heads.items()}
